@@ -196,3 +196,73 @@ ORACLES: dict[str, str] = {
     "combine_runs": with_ctes(["lock_all", "ext"], f"select {STATE_COLS} from lock_all union all select {STATE_COLS} from ext"),
     "merge_state": with_ctes(["merged"], f"select {STATE_COLS} from merged"),
 }
+
+
+# ---- cron: brute force over every minute of a window that covers the fixture instants --
+
+def _duck_field(expr: str, lo: int, hi: int) -> str:
+    it_a = "cast(split_part(it, '-', 1) as int)"
+    it_b = "cast(split_part(split_part(it, '-', 2), '/', 1) as int)"
+    it_s = "cast(split_part(it, '/', 2) as int)"
+    return f"""list_sort(list_distinct(flatten(list_transform(string_split({expr}, ','), lambda it:
+   case when regexp_full_match(it, '\\*') then range({lo}, {hi} + 1)
+        when regexp_full_match(it, '\\*/[0-9]+') then range({lo}, {hi} + 1, {it_s})
+        when regexp_full_match(it, '[0-9]+') then [cast(it as bigint)]
+        when regexp_full_match(it, '[0-9]+-[0-9]+') then range({it_a}, {it_b} + 1)
+        when regexp_full_match(it, '[0-9]+-[0-9]+/[0-9]+') then range({it_a}, {it_b} + 1, {it_s})
+        when regexp_full_match(it, '[0-9]+/[0-9]+') then range(cast(split_part(it, '/', 1) as int), {hi} + 1, {it_s})
+   end))))"""
+
+
+STEPS.update({
+    "cron_req": """
+ select distinct d.cron, d.tz, cast(floor(r.start_time / 1000.0) as bigint) as as_of
+ from fx_runs r join defs d on r.job_id = d.job_id""",
+    "cron_parsed": f"""
+ select cron, tz, {_duck_field("f[1]", 0, 59)} as mi, {_duck_field("f[2]", 0, 23)} as hr,
+  {_duck_field("f[3]", 1, 31)} as dm, {_duck_field("f[4]", 1, 12)} as mo,
+  list_transform({_duck_field("f[5]", 0, 7)}, lambda x: x % 7) as dw
+ from (select distinct cron, tz, string_split(trim(regexp_replace(cron, '\\s+', ' ', 'g')), ' ') as f from cron_req)""",
+    "cron_grid": """
+ select unnest(generate_series(timestamp '2023-11-20 00:00:00', timestamp '2024-03-10 00:00:00', interval 1 minute)) as w""",
+    "cron_fire_list": """
+ select p.cron, p.tz, cast(epoch(timezone(p.tz, g.w)) as bigint) as fire
+ from cron_parsed p, cron_grid g
+ where list_contains(p.mi, minute(g.w)) and list_contains(p.hr, hour(g.w)) and list_contains(p.dm, day(g.w))
+   and list_contains(p.mo, month(g.w)) and list_contains(p.dw, dayofweek(g.w))""",
+    "cron_prev": """
+ select r.cron, r.tz, r.as_of, f.fire as prev_fire from cron_req r
+ asof left join cron_fire_list f on r.cron = f.cron and r.tz = f.tz and r.as_of > f.fire""",
+    "cron_next": """
+ select r.cron, r.tz, r.as_of, f.fire as next_fire from cron_req r
+ asof left join cron_fire_list f on r.cron = f.cron and r.tz = f.tz and r.as_of < f.fire""",
+    # fiscal bounds
+    "fis_inst": "select distinct cast(floor(epoch(o_orderdate)) as bigint) + 43200 as as_of from orders",
+    "fis_row": """
+ select i.as_of,
+  case when c.FCL_DAY_OF_PER_C < 3 then c.FCL_PER_INDEX - 1 else c.FCL_PER_INDEX end as pi,
+  case when c.FCL_DAY_OF_QTR_C < 3 then c.FCL_QTR_INDEX - 1 else c.FCL_QTR_INDEX end as qi,
+  c.FCL_PER_BGN_DT as pb, c.FCL_QTR_BGN_DT as qb
+ from fis_inst i left join fx_calendar c on c.CLDR_DT = cast(timezone('US/Eastern', to_timestamp(i.as_of)) as date)""",
+    "fis": """
+ select r.as_of,
+  cast(epoch(timezone('US/Eastern', cast(r.pb as timestamp))) as bigint) as fcl_per_start_time,
+  (select cast(epoch(timezone('US/Eastern', cast(min(c.CLDR_DT) as timestamp))) as bigint) from fx_calendar c
+    where c.FCL_PER_INDEX = r.pi and c.FCL_DAY_OF_PER_C = 3) as fcl_per_first_mon,
+  cast(epoch(timezone('US/Eastern', cast(r.qb as timestamp))) as bigint) as fcl_qtr_start_time,
+  (select cast(epoch(timezone('US/Eastern', cast(min(c.CLDR_DT) as timestamp))) as bigint) from fx_calendar c
+    where c.FCL_QTR_INDEX = r.qi and c.FCL_DAY_OF_QTR_C = 3) as fcl_qtr_first_mon
+ from fis_row r""",
+})
+_DEPS.update({
+    "cron_req": ["fx_runs", "defs"], "cron_parsed": ["cron_req"], "cron_grid": [],
+    "cron_fire_list": ["cron_parsed", "cron_grid"], "cron_prev": ["cron_req", "cron_fire_list"],
+    "cron_next": ["cron_req", "cron_fire_list"],
+    "fis_inst": [], "fis_row": ["fis_inst", "fx_calendar"], "fis": ["fis_row", "fx_calendar"],
+})
+ORACLES.update({
+    "cron_fires": with_ctes(["cron_prev", "cron_next"], """
+ select p.cron, p.tz, p.as_of, p.prev_fire, n.next_fire, true as valid
+ from cron_prev p join cron_next n on p.cron = n.cron and p.tz = n.tz and p.as_of = n.as_of"""),
+    "fiscal_bounds": with_ctes(["fis"], "select * from fis"),
+})

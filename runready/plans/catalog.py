@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import definitions, runs, state
+from ..operators import definitions, fiscal, runs, schedule, state
 from ..sources import fixtures as fx
 
 RAW_RUN_FLAT = ["run_id", "job_id", "life_cycle_state", "result_state", "start_time", "end_time"]
@@ -77,3 +77,16 @@ def pass_new_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_merge_state(spark: SparkSession, sf: str) -> DataFrame:
     return state.merge_state(fx.fx_state_old(spark, sf), pass_new_rows(spark, sf))
+
+
+def q_cron_fires(spark: SparkSession, sf: str) -> DataFrame:
+    """Previous / next scheduled fire of each job at the start of each of its runs."""
+    defs = _defs(spark, sf)
+    req = fx.fx_runs(spark, sf).join(defs.select("job_id", "cron", "tz"), "job_id").select(
+        "cron", "tz", F.floor(F.col("start_time") / 1000).cast("long").alias("as_of"))
+    return schedule.cron_fires(req)
+
+
+def q_fiscal_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Fiscal period / quarter bounds at noon UTC of every order date."""
+    return fiscal.fiscal_bounds(fx.fx_calendar(spark), fx.fx_order_instants(spark, sf))
