@@ -214,28 +214,42 @@ def _duck_field(expr: str, lo: int, hi: int) -> str:
    end))))"""
 
 
-STEPS.update({
-    "cron_req": """
- select distinct d.cron, d.tz, cast(floor(r.start_time / 1000.0) as bigint) as as_of
- from fx_runs r join defs d on r.job_id = d.job_id""",
-    "cron_parsed": f"""
+def _cron_steps(prefix: str, req_sql: str, req_deps: list[str]) -> None:
+    STEPS.update({
+        f"{prefix}req": req_sql,
+        f"{prefix}parsed": f"""
  select cron, tz, {_duck_field("f[1]", 0, 59)} as mi, {_duck_field("f[2]", 0, 23)} as hr,
   {_duck_field("f[3]", 1, 31)} as dm, {_duck_field("f[4]", 1, 12)} as mo,
   list_transform({_duck_field("f[5]", 0, 7)}, lambda x: x % 7) as dw
- from (select distinct cron, tz, string_split(trim(regexp_replace(cron, '\\s+', ' ', 'g')), ' ') as f from cron_req)""",
-    "cron_grid": """
- select unnest(generate_series(timestamp '2023-11-20 00:00:00', timestamp '2024-03-10 00:00:00', interval 1 minute)) as w""",
-    "cron_fire_list": """
+ from (select distinct cron, tz, string_split(trim(regexp_replace(cron, '\\s+', ' ', 'g')), ' ') as f from {prefix}req)""",
+        f"{prefix}fire_list": f"""
  select p.cron, p.tz, cast(epoch(timezone(p.tz, g.w)) as bigint) as fire
- from cron_parsed p, cron_grid g
+ from {prefix}parsed p, cron_grid g
  where list_contains(p.mi, minute(g.w)) and list_contains(p.hr, hour(g.w)) and list_contains(p.dm, day(g.w))
    and list_contains(p.mo, month(g.w)) and list_contains(p.dw, dayofweek(g.w))""",
-    "cron_prev": """
- select r.cron, r.tz, r.as_of, f.fire as prev_fire from cron_req r
- asof left join cron_fire_list f on r.cron = f.cron and r.tz = f.tz and r.as_of > f.fire""",
-    "cron_next": """
- select r.cron, r.tz, r.as_of, f.fire as next_fire from cron_req r
- asof left join cron_fire_list f on r.cron = f.cron and r.tz = f.tz and r.as_of < f.fire""",
+        f"{prefix}prev": f"""
+ select r.cron, r.tz, r.as_of, f.fire as prev_fire from {prefix}req r
+ asof left join {prefix}fire_list f on r.cron = f.cron and r.tz = f.tz and r.as_of > f.fire""",
+        f"{prefix}next": f"""
+ select r.cron, r.tz, r.as_of, f.fire as next_fire from {prefix}req r
+ asof left join {prefix}fire_list f on r.cron = f.cron and r.tz = f.tz and r.as_of < f.fire""",
+    })
+    _DEPS.update({
+        f"{prefix}req": req_deps, f"{prefix}parsed": [f"{prefix}req"],
+        f"{prefix}fire_list": [f"{prefix}parsed", "cron_grid"], f"{prefix}prev": [f"{prefix}req", f"{prefix}fire_list"],
+        f"{prefix}next": [f"{prefix}req", f"{prefix}fire_list"],
+    })
+
+
+STEPS["cron_grid"] = """
+ select unnest(generate_series(timestamp '2023-11-20 00:00:00', timestamp '2024-03-10 00:00:00', interval 1 minute)) as w"""
+_DEPS["cron_grid"] = []
+_cron_steps("cron_", """
+ select distinct d.cron, d.tz, cast(floor(r.start_time / 1000.0) as bigint) as as_of
+ from fx_runs r join defs d on r.job_id = d.job_id""", ["fx_runs", "defs"])
+_cron_steps("pcron_", f"select distinct cron, tz, cast({AS_OF} as bigint) as as_of from defs", ["defs"])
+
+STEPS.update({
     # fiscal bounds
     "fis_inst": "select distinct cast(floor(epoch(o_orderdate)) as bigint) + 43200 as as_of from orders",
     "fis_row": """
@@ -255,9 +269,6 @@ STEPS.update({
  from fis_row r""",
 })
 _DEPS.update({
-    "cron_req": ["fx_runs", "defs"], "cron_parsed": ["cron_req"], "cron_grid": [],
-    "cron_fire_list": ["cron_parsed", "cron_grid"], "cron_prev": ["cron_req", "cron_fire_list"],
-    "cron_next": ["cron_req", "cron_fire_list"],
     "fis_inst": [], "fis_row": ["fis_inst", "fx_calendar"], "fis": ["fis_row", "fx_calendar"],
 })
 ORACLES.update({
@@ -266,3 +277,85 @@ ORACLES.update({
  from cron_prev p join cron_next n on p.cron = n.cron and p.tz = n.tz and p.as_of = n.as_of"""),
     "fiscal_bounds": with_ctes(["fis"], "select * from fis"),
 })
+
+
+# ---- readiness pass at the fixture instant -------------------------------------------
+
+OWN_RULE = """(last_start_time < prev_min_exec_time)
+   and (spec = 'None' or (spec = 'fy_per_d1' and last_start_time < prev_fcl_per_start_time)
+        or (spec = 'fy_per_1st_monday' and last_start_time < prev_fcl_per_first_mon)
+        or (spec = 'fy_qtr_d1' and last_start_time < prev_fcl_qtr_start_time)
+        or (spec = 'fy_qtr_1st_monday' and last_start_time < prev_fcl_qtr_first_mon))
+   and lock_flag = 0 and (pipeline_status is null or pipeline_status <> 'FAILED' or onfail = 'pass')
+   and state = 'active'"""
+BOUNDS = "prev_min_exec_time, next_min_exec_time, prev_fcl_per_start_time, prev_fcl_per_first_mon, " \
+         "prev_fcl_qtr_start_time, prev_fcl_qtr_first_mon"
+
+STEPS.update({
+    "pfis_row": f"""
+ select i.as_of,
+  case when c.FCL_DAY_OF_PER_C < 3 then c.FCL_PER_INDEX - 1 else c.FCL_PER_INDEX end as pi,
+  case when c.FCL_DAY_OF_QTR_C < 3 then c.FCL_QTR_INDEX - 1 else c.FCL_QTR_INDEX end as qi,
+  c.FCL_PER_BGN_DT as pb, c.FCL_QTR_BGN_DT as qb
+ from (select cast({AS_OF} as bigint) as as_of) i
+ left join fx_calendar c on c.CLDR_DT = cast(timezone('US/Eastern', to_timestamp(i.as_of)) as date)""",
+    "pfis": STEPS["fis"].replace("from fis_row r", "from pfis_row r"),
+    "itin": """
+ select d.*, cp.prev_fire as prev_min_exec_time, cn.next_fire as next_min_exec_time,
+  f.fcl_per_start_time as prev_fcl_per_start_time, f.fcl_per_first_mon as prev_fcl_per_first_mon,
+  f.fcl_qtr_start_time as prev_fcl_qtr_start_time, f.fcl_qtr_first_mon as prev_fcl_qtr_first_mon
+ from defs d left join pcron_prev cp on d.cron = cp.cron and d.tz = cp.tz
+ left join pcron_next cn on d.cron = cn.cron and d.tz = cn.tz cross join pfis f""",
+    "own": """
+ select i.*, s.source, coalesce(try_cast(s.lock as int), 0) as lock_flag, s.status as pipeline_status,
+  coalesce(s.start_time, cast(floor(i.created_time / 1000.0) as bigint)) as last_start_time,
+  coalesce(s.end_time, 0) as last_end_time
+ from itin i left join merged s on trim(i.pipeline) = s.pipeline""",
+    "items": """
+ select job_id, 'trigger' as kind, unnest(string_split(tdep, ',')) as dependency from itin where tdep is not null
+ union all select job_id, 'status' as kind, unnest(string_split(sdep, ',')) as dependency from itin where sdep is not null
+ union all select job_id, 'completed' as kind, unnest(string_split(cdep, ',')) as dependency from itin where cdep is not null""",
+    "edges": """
+ select it.job_id, it.kind, it.dependency, s.source, s.start_time as dep_start_time, s.end_time as dep_end_time,
+  s.status as dep_status
+ from items it left join merged s on trim(it.dependency) = s.pipeline where it.dependency <> ''""",
+    "decisions": f"""
+ select job_id, pipeline, state, 'own' as row_kind, lock_flag, pipeline_status, tz, spec, onfail, last_start_time,
+  last_end_time, {BOUNDS}, cast(null as varchar) as dependency, source, cast(null as bigint) as dep_start_time,
+  cast(null as bigint) as dep_end_time, cast(null as varchar) as dep_status,
+  case when {OWN_RULE} then 0 else 1 end as readiness
+ from own
+ union all
+ select e.job_id, i.pipeline, i.state, e.kind as row_kind, cast(null as int) as lock_flag,
+  cast(null as varchar) as pipeline_status, i.tz, i.spec, i.onfail, m.mx as last_start_time,
+  cast(null as bigint) as last_end_time, i.prev_min_exec_time, i.next_min_exec_time, i.prev_fcl_per_start_time,
+  i.prev_fcl_per_first_mon, i.prev_fcl_qtr_start_time, i.prev_fcl_qtr_first_mon,
+  e.dependency, e.source, e.dep_start_time, e.dep_end_time, e.dep_status,
+  case when e.kind = 'trigger' and m.mx < e.dep_end_time and e.dep_status = 'SUCCESS' then 0
+       when e.kind = 'status' and e.dep_status = 'SUCCESS' then 0
+       when e.kind = 'completed' and m.mx < e.dep_end_time then 0 else 1 end as readiness
+ from edges e join itin i on e.job_id = i.job_id
+ join (select job_id, max(last_start_time) as mx from own group by job_id) m on e.job_id = m.job_id""",
+    "ready": f"""
+ select i.job_id from itin i
+ where not exists (select 1 from own o where o.job_id = i.job_id and not coalesce({OWN_RULE.replace("last_start_time", "o.last_start_time")}, false))
+   and not exists (select 1 from own o join edges e on o.job_id = e.job_id where o.job_id = i.job_id
+                   and e.kind = 'trigger' and not coalesce(o.last_start_time < e.dep_end_time and e.dep_status = 'SUCCESS', false))
+   and not exists (select 1 from edges e where e.job_id = i.job_id and e.kind = 'status'
+                   and not coalesce(e.dep_status = 'SUCCESS', false))
+   and not exists (select 1 from own o join edges e on o.job_id = e.job_id where o.job_id = i.job_id
+                   and e.kind = 'completed' and not coalesce(o.last_start_time < e.dep_end_time, false))""",
+})
+_DEPS.update({
+    "pfis_row": ["fx_calendar"], "pfis": ["pfis_row", "fx_calendar"],
+    "itin": ["defs", "pcron_prev", "pcron_next", "pfis"],
+    "own": ["itin", "merged"], "items": ["itin"], "edges": ["items", "merged"],
+    "decisions": ["own", "edges", "itin"], "ready": ["itin", "own", "edges"],
+})
+DECISION_COLS = ("job_id, pipeline, state, row_kind, lock_flag, pipeline_status, tz, spec, onfail, last_start_time, "
+                 f"last_end_time, {BOUNDS}, dependency, source, dep_start_time, dep_end_time, dep_status, readiness")
+ORACLES.update({
+    "dependency_edges": with_ctes(["edges"], "select job_id, kind, dependency, source, dep_start_time, dep_end_time, dep_status from edges"),
+    "readiness_rows": with_ctes(["decisions"], f"select {DECISION_COLS} from decisions"),
+    "ready_jobs": with_ctes(["ready"], "select job_id from ready"),
+})

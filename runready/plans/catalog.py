@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import definitions, fiscal, runs, schedule, state
+from ..operators import definitions, dependencies, fiscal, readiness, runs, schedule, state
 from ..sources import fixtures as fx
 
 RAW_RUN_FLAT = ["run_id", "job_id", "life_cycle_state", "result_state", "start_time", "end_time"]
@@ -90,3 +90,30 @@ def q_cron_fires(spark: SparkSession, sf: str) -> DataFrame:
 def q_fiscal_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Fiscal period / quarter bounds at noon UTC of every order date."""
     return fiscal.fiscal_bounds(fx.fx_calendar(spark), fx.fx_order_instants(spark, sf))
+
+
+def pass_state(spark: SparkSession, sf: str) -> DataFrame:
+    """State table after one incremental pass (same as ``q_merge_state``)."""
+    return q_merge_state(spark, sf)
+
+
+def pass_itinerary(spark: SparkSession, sf: str) -> DataFrame:
+    """Every orchestrated job with its schedule and fiscal bounds at the fixture instant."""
+    defs = _defs(spark, sf)
+    fires = schedule.cron_fires(defs, as_of=fx.AS_OF)
+    instant = spark.range(1).select(F.lit(fx.AS_OF).cast("long").alias("as_of"))
+    bounds = fiscal.fiscal_bounds(fx.fx_calendar(spark), instant)
+    return dependencies.itinerary(defs, fires, bounds, as_of=fx.AS_OF)
+
+
+def q_dependency_edges(spark: SparkSession, sf: str) -> DataFrame:
+    edges = dependencies.dependency_edges(_defs(spark, sf), pass_state(spark, sf))
+    return edges.select("job_id", "kind", "dependency", "source", "dep_start_time", "dep_end_time", "dep_status")
+
+
+def q_readiness_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return readiness.readiness_rows(pass_itinerary(spark, sf), pass_state(spark, sf))
+
+
+def q_ready_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    return readiness.ready_jobs(q_readiness_rows(spark, sf))

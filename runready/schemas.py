@@ -102,5 +102,5 @@ DECISION_COLUMNS = [
     "job_id", "pipeline", "state", "row_kind", "lock_flag", "pipeline_status", "tz", "spec", "onfail",
     "last_start_time", "last_end_time", "prev_min_exec_time", "next_min_exec_time",
     "prev_fcl_per_start_time", "prev_fcl_per_first_mon", "prev_fcl_qtr_start_time", "prev_fcl_qtr_first_mon",
-    "dependency", "dep_source", "dep_start_time", "dep_end_time", "dep_status", "readiness",
+    "dependency", "source", "dep_start_time", "dep_end_time", "dep_status", "readiness",
 ]
