@@ -359,3 +359,37 @@ ORACLES.update({
     "readiness_rows": with_ctes(["decisions"], f"select {DECISION_COLS} from decisions"),
     "ready_jobs": with_ctes(["ready"], "select job_id from ready"),
 })
+
+
+# ---- logs and outcomes ----------------------------------------------------------------
+
+FX["fx_invocations"] = f"""
+ select {SEC} * 1000 as start_time, ({SEC} + event_id % 7200) * 1000 as end_time, '4242' as conductor_job_id,
+  cast(user_id as varchar) as conductor_job_run_id, case when event_id % 2 = 0 then 'db' else 'adf' end as job_type,
+  concat('job_', cast(user_id as varchar)) as job_name, cast(event_id as varchar) as job_run_id,
+  case when event_type = 'view' then 'false' else 'true' end as wait_on_completion, props as parameters
+ from events"""
+STEPS["outcome_in"] = """
+ select 'db' as system, cast(run_id as varchar) as run_key, life_cycle_state as state, result_state as result from fx_runs
+ union all
+ select 'ADF' as system, pipeline as run_key,
+  case when lock = 1 then 'InProgress' when status = 'FAILED' then 'Failed' when status = 'SUCCESS' then 'Succeeded'
+       else 'Cancelled' end as state, cast(null as varchar) as result
+ from fx_external"""
+_DEPS["outcome_in"] = ["fx_runs", "fx_external"]
+ORACLES.update({
+    "decision_log": with_ctes(["decisions"], f"""
+ select {DECISION_COLS}, '2024-01-31' as log_date, cast({AS_OF} as bigint) as log_time from decisions"""),
+    "invocation_log": with_ctes(["fx_invocations"], """
+ select *, strftime(to_timestamp(start_time // 1000), '%Y%m') as yyyymm from fx_invocations"""),
+    "expire_log": with_ctes(["fx_runs"], f"""
+ select run_id, job_id, cast(floor(start_time / 1000.0) as bigint) as log_time from fx_runs
+ where cast(floor(start_time / 1000.0) as bigint) * 1000 > {AS_OF * 1000 - 10 * 86400 * 1000}"""),
+    "classify_outcome": with_ctes(["outcome_in"], f"""
+ select system, run_key, state, result,
+  case when lower(system) = 'db' then coalesce(state in ({TERMINAL}), false)
+       when lower(system) = 'adf' then coalesce(state in ('Succeeded', 'Failed', 'Cancelled'), false) end as terminal,
+  case when lower(system) = 'db' then coalesce(state in ({TERMINAL}), false) and coalesce(result <> 'SUCCESS', true)
+       when lower(system) = 'adf' then coalesce(state = 'Failed', false) end as failed
+ from outcome_in"""),
+})

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import definitions, dependencies, fiscal, readiness, runs, schedule, state
+from ..operators import definitions, dependencies, fiscal, logs, outcome, readiness, runs, schedule, state
+from ..session import shared_path
 from ..sources import fixtures as fx
 
 RAW_RUN_FLAT = ["run_id", "job_id", "life_cycle_state", "result_state", "start_time", "end_time"]
@@ -117,3 +118,41 @@ def q_readiness_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_ready_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return readiness.ready_jobs(q_readiness_rows(spark, sf))
+
+
+def q_decision_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Decision rows written as the pass's log partition and read back."""
+    path = shared_path(spark, "decision_log")
+    logs.write_decision_log(q_readiness_rows(spark, sf), path, fx.AS_OF)
+    return logs.read_decision_log(spark, path)
+
+
+def q_invocation_log(spark: SparkSession, sf: str) -> DataFrame:
+    """One invocation line per run, appended to the monthly log and read back."""
+    path = shared_path(spark, "invocation_log")
+    logs.write_invocation_log(fx.fx_invocations(spark, sf), path)
+    return logs.read_invocation_log(spark, path)
+
+
+# Retention used by the expire_log fixture query (10 days in ms).
+FIXTURE_RETENTION_MS = 10 * 86400 * 1000
+
+
+def q_expire_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Run-log lines kept by a 10-day retention at the fixture instant."""
+    lines = fx.fx_runs_flat(spark, sf).select(
+        "run_id", "job_id", F.floor(F.col("start_time") / 1000).cast("long").alias("log_time"))
+    return logs.expire_log(lines, fx.AS_OF, FIXTURE_RETENTION_MS)
+
+
+def q_classify_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome of every platform run and of every external pipeline run (in factory words)."""
+    db = fx.fx_runs_flat(spark, sf).select(
+        F.lit("db").alias("system"), F.col("run_id").cast("string").alias("run_key"),
+        F.col("life_cycle_state").alias("state"), F.col("result_state").alias("result"))
+    adf = fx.fx_external(spark, sf).selectExpr(
+        "'ADF' as system", "pipeline as run_key",
+        """case when lock = 1 then 'InProgress' when status = 'FAILED' then 'Failed'
+                when status = 'SUCCESS' then 'Succeeded' else 'Cancelled' end as state""",
+        "cast(null as string) as result")
+    return outcome.classify_outcome(db.unionByName(adf))
