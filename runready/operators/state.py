@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import vocab
-from ..session import list_dirs
+from ..session import list_dirs, path_exists
 
 
 def normalize_external(ext: DataFrame) -> DataFrame:
@@ -66,13 +66,20 @@ def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 # ---- versioned storage -------------------------------------------------------------
+#
+# <root>/v=000000007/state       the state table written by pass 7 (Parquet)
+# <root>/v=000000007/checkpoint  one row: the high-water mark (ms) the next pass starts from
+# A version is committed once its checkpoint folder has _SUCCESS (it is written last).
+
+CHECKPOINT_SCHEMA = "hwm_ms long"
+
 
 def _version_dir(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/v={version:09d}"
 
 
 def state_versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed versions under ``root`` (a version is committed once its _SUCCESS exists)."""
+    """Committed versions under ``root``, ascending."""
     out = []
     for name in list_dirs(spark, root):
         if name.startswith("v="):
@@ -80,24 +87,37 @@ def state_versions(spark: SparkSession, root: str) -> list[int]:
                 out.append(int(name[2:]))
             except ValueError:
                 continue
-    from ..session import path_exists
-    return [v for v in sorted(out) if path_exists(spark, f"{_version_dir(root, v)}/_SUCCESS")]
+    return [v for v in sorted(out) if path_exists(spark, f"{_version_dir(root, v)}/checkpoint/_SUCCESS")]
 
 
 def read_state(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """State at ``version`` (latest committed when None); an empty state when there is none."""
-    versions = state_versions(spark, root)
     if version is None:
+        versions = state_versions(spark, root)
         version = versions[-1] if versions else None
     if version is None:
         return spark.createDataFrame([], schemas.STATE)
-    return spark.read.schema(schemas.STATE).parquet(_version_dir(root, version))
+    return spark.read.schema(schemas.STATE).parquet(f"{_version_dir(root, version)}/state")
+
+
+def read_checkpoint(spark: SparkSession, root: str, version: int | None = None) -> int | None:
+    """High-water mark (ms) stored with ``version``; None when missing (the next pass is a full load)."""
+    if version is None:
+        versions = state_versions(spark, root)
+        version = versions[-1] if versions else None
+    if version is None:
+        return None
+    rows = spark.read.schema(CHECKPOINT_SCHEMA).parquet(f"{_version_dir(root, version)}/checkpoint").limit(1).collect()
+    return rows[0]["hwm_ms"] if rows else None
 
 
-def write_state(state: DataFrame, root: str, version: int) -> str:
-    """Write ``state`` as version ``version`` (overwrite makes a replay idempotent)."""
+def write_state(state: DataFrame, root: str, version: int, hwm_ms: int | None = None) -> str:
+    """Write ``state`` and its checkpoint as ``version`` (overwrite makes a replay idempotent)."""
     path = _version_dir(root, version)
-    state.select(*schemas.STATE_COLUMNS).write.mode("overwrite").parquet(path)
+    state.select(*schemas.STATE_COLUMNS).write.mode("overwrite").parquet(f"{path}/state")
+    spark = state.sparkSession
+    spark.createDataFrame([(hwm_ms,)], CHECKPOINT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/checkpoint")
     return path
 
 

@@ -156,3 +156,32 @@ def q_classify_outcome(spark: SparkSession, sf: str) -> DataFrame:
                 when status = 'SUCCESS' then 'Succeeded' else 'Cancelled' end as state""",
         "cast(null as string) as result")
     return outcome.classify_outcome(db.unionByName(adf))
+
+
+def stage_run_files(spark: SparkSession, sf: str, path: str, unit: str = "week") -> list[str]:
+    """Write the run log as one JSON file per ``unit`` of start time, oldest first.
+
+    The file source replays files in modification order, so the files are written one
+    after another; this staging is test input only (the stream itself reads any layout).
+    """
+    runs_df = fx.fx_runs(spark, sf).withColumn(
+        "_unit", F.date_trunc(unit, F.timestamp_millis(F.col("start_time"))).cast("string"))
+    units = [r["_unit"] for r in runs_df.select("_unit").distinct().orderBy("_unit").collect()]
+    out = []
+    for u in units:
+        target = f"{path}/{u[:10]}"
+        runs_df.where(F.col("_unit") == u).drop("_unit").coalesce(1).write.mode("overwrite").json(target)
+        out.append(target)
+    return out
+
+
+def q_readiness_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """State table after streaming the weekly run files through the pass (one batch per file)."""
+    from ..streaming.stream import readiness_stream
+    base = shared_path(spark, "readiness_stream")
+    stage_run_files(spark, sf, f"{base}/runs")
+    q = readiness_stream(spark, f"{base}/runs/*", fx.fx_defs(spark, sf), fx.fx_calendar(spark),
+                         f"{base}/state", f"{base}/log", f"{base}/checkpoint",
+                         external=fx.fx_external(spark, sf), max_files_per_trigger=1)
+    q.awaitTermination()
+    return state.read_state(spark, f"{base}/state")
