@@ -21,22 +21,25 @@ from pyspark.sql import functions as F
 DEPENDENCY_KINDS = [("trigger", "tdep"), ("status", "sdep"), ("completed", "cdep")]
 
 
-def itinerary(defs: DataFrame, fires: DataFrame, bounds: DataFrame, as_of: int | None = None) -> DataFrame:
-    """Definitions with their schedule and fiscal bounds at ``as_of``.
-
-    ``fires`` is ``cron_fires`` output and ``bounds`` is ``fiscal_bounds`` output; both are
-    joined on their keys (cron, tz, as_of) and (as_of).  With ``as_of`` given, every job is
-    evaluated at that instant; otherwise ``defs`` must carry an ``as_of`` column.
+def itinerary(defs: DataFrame, fires: DataFrame, bounds, as_of: int | None = None) -> DataFrame:
+    """Definitions with their schedule and fiscal bounds.
+
+    ``fires`` is ``cron_fires`` output.  With a scalar ``as_of`` every job is evaluated at
+    that instant: ``fires`` must be computed at it and is joined on (cron, tz), and
+    ``bounds`` is the dict of ``fiscal_bounds_at``, attached as constants.  Without it,
+    ``defs`` carries an ``as_of`` column, ``bounds`` is ``fiscal_bounds`` output, and both
+    are joined on their keys (cron, tz, as_of) and (as_of).
     """
-    it = defs if as_of is None else defs.withColumn("as_of", F.lit(int(as_of)).cast("long"))
+    names = {"fcl_per_start_time": "prev_fcl_per_start_time", "fcl_per_first_mon": "prev_fcl_per_first_mon",
+             "fcl_qtr_start_time": "prev_fcl_qtr_start_time", "fcl_qtr_first_mon": "prev_fcl_qtr_first_mon"}
     f = fires.select("cron", "tz", "as_of", F.col("prev_fire").alias("prev_min_exec_time"),
                      F.col("next_fire").alias("next_min_exec_time"))
-    b = bounds.select("as_of",
-                      F.col("fcl_per_start_time").alias("prev_fcl_per_start_time"),
-                      F.col("fcl_per_first_mon").alias("prev_fcl_per_first_mon"),
-                      F.col("fcl_qtr_start_time").alias("prev_fcl_qtr_start_time"),
-                      F.col("fcl_qtr_first_mon").alias("prev_fcl_qtr_first_mon"))
-    return it.join(f, ["cron", "tz", "as_of"], "left").join(b, "as_of", "left")
+    if as_of is not None:
+        it = defs.join(f.drop("as_of"), ["cron", "tz"], "left")
+        return it.withColumns({"as_of": F.lit(int(as_of)).cast("long"),
+                               **{names[k]: F.lit(bounds[k]).cast("long") for k in names}})
+    b = bounds.select("as_of", *[F.col(k).alias(v) for k, v in names.items()])
+    return defs.join(f, ["cron", "tz", "as_of"], "left").join(b, "as_of", "left")
 
 
 def _state_lookup(state: DataFrame, prefix: str) -> DataFrame:

@@ -52,3 +52,11 @@ def fiscal_bounds(calendar: DataFrame, as_of: DataFrame, as_of_col: str = "as_of
         local_midnight_epoch("_qb", tz).alias("fcl_qtr_start_time"),
         local_midnight_epoch("_qm", tz).alias("fcl_qtr_first_mon"),
     )
+
+
+def fiscal_bounds_at(calendar: DataFrame, as_of: int, tz: str = vocab.FISCAL_TZ) -> dict:
+    """The four bounds of one instant as a dict (a one-row result; used to attach constants)."""
+    spark = calendar.sparkSession
+    instant = spark.range(1).select(F.lit(int(as_of)).cast("long").alias("as_of"))
+    row = fiscal_bounds(calendar, instant, tz=tz).collect()[0]
+    return {k: row[k] for k in ("fcl_per_start_time", "fcl_per_first_mon", "fcl_qtr_start_time", "fcl_qtr_first_mon")}

@@ -94,16 +94,17 @@ def q_fiscal_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pass_state(spark: SparkSession, sf: str) -> DataFrame:
-    """State table after one incremental pass (same as ``q_merge_state``)."""
-    return q_merge_state(spark, sf)
+    """State after one incremental pass, written as a state version and read back (as the pass does)."""
+    root = shared_path(spark, "state")
+    state.write_state(q_merge_state(spark, sf), root, 1, hwm_ms=fx.AS_OF * 1000)
+    return state.read_state(spark, root, 1)
 
 
 def pass_itinerary(spark: SparkSession, sf: str) -> DataFrame:
     """Every orchestrated job with its schedule and fiscal bounds at the fixture instant."""
     defs = _defs(spark, sf)
     fires = schedule.cron_fires(defs, as_of=fx.AS_OF)
-    instant = spark.range(1).select(F.lit(fx.AS_OF).cast("long").alias("as_of"))
-    bounds = fiscal.fiscal_bounds(fx.fx_calendar(spark), instant)
+    bounds = fiscal.fiscal_bounds_at(fx.fx_calendar(spark), fx.AS_OF)
     return dependencies.itinerary(defs, fires, bounds, as_of=fx.AS_OF)
 
 

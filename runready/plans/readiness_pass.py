@@ -33,10 +33,6 @@ class PassResult:
     ready: DataFrame
 
 
-def _instant(spark: SparkSession, as_of: int) -> DataFrame:
-    return spark.range(1).select(F.lit(int(as_of)).cast("long").alias("as_of"))
-
-
 def new_state_rows(raw_defs: DataFrame, raw_runs: DataFrame, old_state: DataFrame, hwm_ms: int | None,
                    external: DataFrame | None = None, selected: DataFrame | None = None,
                    slot_runs: DataFrame | None = None, release_slots: bool = True,
@@ -58,7 +54,7 @@ def decide(spark: SparkSession, raw_defs: DataFrame, calendar: DataFrame, curren
     """Decision rows of every orchestrated job at ``as_of`` against ``current_state``."""
     defs = definitions.flatten_definitions(raw_defs)
     fires = schedule.cron_fires(defs, as_of=as_of, day_rule=day_rule)
-    bounds = fiscal.fiscal_bounds(calendar, _instant(spark, as_of))
+    bounds = fiscal.fiscal_bounds_at(calendar, as_of)
     itin = dependencies.itinerary(defs, fires, bounds, as_of=as_of)
     return readiness.readiness_rows(itin, current_state)
 
