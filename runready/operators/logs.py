@@ -30,7 +30,9 @@ DECISION_LOG = T.StructType(
     [T.StructField(c, _DECISION_TYPES.get(c, T.StringType())) for c in schemas.DECISION_COLUMNS]
     + [T.StructField("log_date", T.StringType()), T.StructField("log_time", T.LongType())])
 
-CSV_OPTIONS = {"sep": "|", "header": "true", "quoteAll": "true", "escape": '"',
+# Pipe-separated, every field quoted, whitespace kept, null written as \N so that an
+# empty string and a null survive the round trip as themselves.
+CSV_OPTIONS = {"sep": "|", "header": "true", "quoteAll": "true", "escape": '"', "nullValue": "\\N",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
