@@ -9,15 +9,22 @@ from pyspark.sql import functions as F
 OFFSET_PATTERN = r"^(?:(?:UTC|GMT|UT)?[+-](?:0?[0-9]|1[0-8])(?::?[0-5][0-9])?|Z|UTC|GMT|UT)$"
 
 
+_ZONE_IDS: list[str] | None = None
+
+
 def zone_ids(spark: SparkSession) -> list[str]:
     """Region ids and short aliases known to the JVM (about 600; falls back to Python's tz list)."""
+    global _ZONE_IDS
+    if _ZONE_IDS is not None:
+        return _ZONE_IDS
     try:
         jz = spark.sparkContext._jvm.java.time.ZoneId
         ids = set(jz.getAvailableZoneIds()) | set(jz.SHORT_IDS.keySet())
     except Exception:  # no JVM gateway (e.g. a Connect session)
         import zoneinfo
         ids = set(zoneinfo.available_timezones())
-    return sorted(ids)
+    _ZONE_IDS = sorted(ids)
+    return _ZONE_IDS
 
 
 def zone_table(spark: SparkSession) -> DataFrame:

@@ -27,18 +27,23 @@ def local_midnight_epoch(date_col, tz: str) -> "F.Column":
 
 
 def fiscal_bounds(calendar: DataFrame, as_of: DataFrame, as_of_col: str = "as_of",
-                  tz: str = vocab.FISCAL_TZ) -> DataFrame:
-    """(as_of, fcl_per_start_time, fcl_per_first_mon, fcl_qtr_start_time, fcl_qtr_first_mon), one row per distinct instant."""
+                  tz: str = vocab.FISCAL_TZ, check_size: bool = True) -> DataFrame:
+    """(as_of, fcl_per_start_time, fcl_per_first_mon, fcl_qtr_start_time, fcl_qtr_first_mon), one row per distinct instant.
+
+    ``check_size=False`` skips the broadcast size checks (for a handful of instants, where
+    the planner's own choice is as good).
+    """
     first = vocab.FISCAL_FIRST_MONDAY_DAY
-    days = broadcast_if_small(calendar.select(
+    bcast = broadcast_if_small if check_size else (lambda df: df)
+    days = bcast(calendar.select(
         F.col("CLDR_DT").alias("_d"),
         F.when(F.col("FCL_DAY_OF_PER_C") < first, F.col("FCL_PER_INDEX") - 1).otherwise(F.col("FCL_PER_INDEX")).alias("_pi"),
         F.when(F.col("FCL_DAY_OF_QTR_C") < first, F.col("FCL_QTR_INDEX") - 1).otherwise(F.col("FCL_QTR_INDEX")).alias("_qi"),
         F.col("FCL_PER_BGN_DT").alias("_pb"), F.col("FCL_QTR_BGN_DT").alias("_qb"),
     ))
-    per_day3 = broadcast_if_small(calendar.where(F.col("FCL_DAY_OF_PER_C") == first)
+    per_day3 = bcast(calendar.where(F.col("FCL_DAY_OF_PER_C") == first)
                                   .groupBy(F.col("FCL_PER_INDEX").alias("_pi")).agg(F.min("CLDR_DT").alias("_pm")))
-    qtr_day3 = broadcast_if_small(calendar.where(F.col("FCL_DAY_OF_QTR_C") == first)
+    qtr_day3 = bcast(calendar.where(F.col("FCL_DAY_OF_QTR_C") == first)
                                   .groupBy(F.col("FCL_QTR_INDEX").alias("_qi")).agg(F.min("CLDR_DT").alias("_qm")))
     inst = (as_of.select(F.col(as_of_col).cast("long").alias("as_of")).distinct()
             .withColumn("_d", F.to_date(F.from_utc_timestamp(F.timestamp_seconds("as_of"), F.lit(tz)))))
@@ -58,5 +63,5 @@ def fiscal_bounds_at(calendar: DataFrame, as_of: int, tz: str = vocab.FISCAL_TZ)
     """The four bounds of one instant as a dict (a one-row result; used to attach constants)."""
     spark = calendar.sparkSession
     instant = spark.range(1).select(F.lit(int(as_of)).cast("long").alias("as_of"))
-    row = fiscal_bounds(calendar, instant, tz=tz).collect()[0]
+    row = fiscal_bounds(calendar, instant, tz=tz, check_size=False).collect()[0]
     return {k: row[k] for k in ("fcl_per_start_time", "fcl_per_first_mon", "fcl_qtr_start_time", "fcl_qtr_first_mon")}

@@ -1,12 +1,15 @@
 """Run-log operators: O4 normalize_runs, O5 select_runs, O6 open_slots, O7 latest_run, O8 lock_status.
 
 Scale notes.  The run log is the table that grows (billions of runs, one job may own a
-third of them).  Every "per job" step here is an aggregate with a map-side partial
-(``max(struct(...))``, ``count``), so a hot job costs one partial row per map task
-instead of a third of the log in one task; no window over ``job_id`` is used.  The only
-join against the full log (``latest_run``'s tie recovery) keys on (job_id, end_time,
-start_time), which spreads a hot job's runs over all reducers, and its small side (one
-row per job) is broadcast by AQE when its measured size allows.
+third of them).  No window over ``job_id`` is used: every "per job" step is a hash
+aggregate of a primitive column (``max``, ``count``) with a map-side partial, so a hot
+job costs one partial row per map task.  "The rows holding the maximum" are found by
+joining the log to that per-job table on (job_id, value): when the number of jobs is
+known and small enough (``jobs_bound``, e.g. the definition count — normalised runs only
+hold defined jobs) the per-job table is broadcast and the log is never shuffled;
+otherwise the shuffle is hashed on (job_id, value), which spreads a hot job over all
+reducers.  Survivors (the runs at the maximum, plus any copies of them) are
+de-duplicated with a map-side partial before any per-job step on them.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import vocab
+from ..functions.joins import MAX_BROADCAST_ROWS, broadcast_if_small
 
 
 def is_terminal(state_col) -> "F.Column":
@@ -28,12 +32,15 @@ def _floor_sec(ms_col: str):
     return F.floor(F.col(ms_col) / F.lit(1000)).cast("long")
 
 
-def normalize_runs(raw_runs: DataFrame, defs: DataFrame, source: str = vocab.PLATFORM_SOURCE) -> DataFrame:
+def normalize_runs(raw_runs: DataFrame, defs: DataFrame, source: str = vocab.PLATFORM_SOURCE,
+                   jobs_bound: int | None = None) -> DataFrame:
     """Raw runs (ms, nested state) -> normalised runs (s) of orchestrated jobs.
 
     ``status`` is the result state, or the life-cycle state while there is no result.
     The inner join to the definitions keeps runs of orchestrated jobs only and adds the
-    pipeline name; definitions are one row per job, so AQE broadcasts them when they fit.
+    pipeline name.  Definitions are one row per job: with ``jobs_bound`` (their row count)
+    at most ``MAX_BROADCAST_ROWS`` they are broadcast, otherwise the join is left to the
+    planner (AQE broadcasts or splits skewed partitions at run time).
     """
     runs = raw_runs.select(
         "job_id",
@@ -42,21 +49,36 @@ def normalize_runs(raw_runs: DataFrame, defs: DataFrame, source: str = vocab.PLA
         "start_time", "end_time",
     )
     names = defs.select("job_id", "pipeline")
+    if jobs_bound is not None and jobs_bound <= MAX_BROADCAST_ROWS:
+        names = F.broadcast(names)
     return runs.join(names, "job_id", "inner").select(
         "job_id", F.lit(source).alias("source"), "state", "status", "pipeline",
         _floor_sec("start_time").alias("start_time"), _floor_sec("end_time").alias("end_time"),
     )
 
 
-def _latest_per_job(raw_runs: DataFrame) -> DataFrame:
-    """Top-1 run per job by (start_time desc, run_id desc), as one aggregate.
+def rows_at_max(df: DataFrame, key: str, col: str, jobs_bound: int | None = None,
+                null_safe: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``col`` equals the per-``key`` maximum of ``col``.
 
-    ``max(struct(start_time, run_id, ...))`` has a map-side partial, so a job with a
-    third of all runs never lands whole in one task.
+    ``null_safe``: a key whose values are all null keeps its null rows (otherwise it drops
+    out, as an equi-join on null does).  ``jobs_bound``: an upper bound on the number of
+    keys; the per-key table is broadcast when it is at most ``MAX_BROADCAST_ROWS``.
     """
-    cols = [c for c in raw_runs.columns if c not in ("job_id", "start_time", "run_id")]
-    top = raw_runs.groupBy("job_id").agg(F.max(F.struct("start_time", "run_id", *cols)).alias("t"))
-    return top.select("t.run_id", "job_id", *[f"t.{c}" for c in cols], "t.start_time").select(*raw_runs.columns)
+    m = df.groupBy(F.col(key).alias("_k")).agg(F.max(col).alias("_m"))
+    if jobs_bound is not None and jobs_bound <= MAX_BROADCAST_ROWS:
+        m = F.broadcast(m)
+    eq = F.col(col).eqNullSafe(F.col("_m")) if null_safe else (F.col(col) == F.col("_m"))
+    return df.join(m, (F.col(key) == F.col("_k")) & eq, "inner").drop("_k", "_m")
+
+
+def _latest_per_job(raw_runs: DataFrame, jobs_bound: int | None = None) -> DataFrame:
+    """Top-1 run per job by (start_time desc, run_id desc); all-null starts rank lowest."""
+    at_start = rows_at_max(raw_runs, "job_id", "start_time", jobs_bound, null_safe=True)
+    cols = [c for c in raw_runs.columns if c not in ("job_id", "run_id")]
+    # ties on start are few; max(struct) picks the greatest run_id (partial per map task)
+    top = at_start.groupBy("job_id").agg(F.max(F.struct("run_id", *cols)).alias("t"))
+    return top.select("job_id", "t.*").select(*raw_runs.columns)
 
 
 def carry_over_jobs(old_state: DataFrame, mode: str = "reference") -> DataFrame:
@@ -75,7 +97,7 @@ def carry_over_jobs(old_state: DataFrame, mode: str = "reference") -> DataFrame:
 
 
 def select_runs(raw_runs: DataFrame, old_state: DataFrame | None = None, hwm_ms: int | None = None,
-                carry_over: str = "reference") -> DataFrame:
+                carry_over: str = "reference", jobs_bound: int | None = None) -> DataFrame:
     """The runs one pass looks at (raw shape, ``schemas.RAW_RUN``).
 
     * ``hwm_ms is None`` (first pass / lost checkpoint): the latest run of every job.
@@ -83,16 +105,16 @@ def select_runs(raw_runs: DataFrame, old_state: DataFrame | None = None, hwm_ms:
       each carry-over job of ``old_state`` (see ``carry_over_jobs``), without duplicates.
     """
     if hwm_ms is None:
-        return _latest_per_job(raw_runs)
+        return _latest_per_job(raw_runs, jobs_bound)
     recent = raw_runs.where(F.col("start_time") >= F.lit(int(hwm_ms)))
     if old_state is None:
         return recent.distinct()
     ids = carry_over_jobs(old_state, carry_over)
-    carried = _latest_per_job(raw_runs.join(ids, "job_id", "left_semi"))
+    carried = _latest_per_job(raw_runs.join(broadcast_if_small(ids), "job_id", "left_semi"), jobs_bound)
     return recent.unionByName(carried).distinct()
 
 
-def open_slots(raw_runs: DataFrame, defs: DataFrame) -> DataFrame:
+def open_slots(raw_runs: DataFrame, defs: DataFrame, jobs_bound: int | None = None) -> DataFrame:
     """(job_id, max_concurrent_runs, active_runs, jobs_open) for multi-slot jobs with an active run.
 
     The reference lists at most ``max_concurrent_runs`` active runs per job and subtracts
@@ -104,6 +126,8 @@ def open_slots(raw_runs: DataFrame, defs: DataFrame) -> DataFrame:
         .groupBy("job_id").agg(F.count(F.lit(1)).alias("active_runs"))
     )
     multi = defs.where(F.col("max_concurrent_runs") > 1).select("job_id", "max_concurrent_runs")
+    if jobs_bound is not None and jobs_bound <= MAX_BROADCAST_ROWS:
+        multi = F.broadcast(multi)
     return multi.join(active, "job_id", "inner").select(
         "job_id", "max_concurrent_runs", "active_runs",
         (F.col("max_concurrent_runs") - F.least(F.col("active_runs"), F.col("max_concurrent_runs")))
@@ -111,7 +135,7 @@ def open_slots(raw_runs: DataFrame, defs: DataFrame) -> DataFrame:
     )
 
 
-def latest_run(runs: DataFrame) -> DataFrame:
+def latest_run(runs: DataFrame, jobs_bound: int | None = None) -> DataFrame:
     """Per job, the runs with the greatest end_time, then the greatest start_time.
 
     Same result as the reference's two max-joins: runs without an end time never win, a job
@@ -119,15 +143,8 @@ def latest_run(runs: DataFrame) -> DataFrame:
     duplicate rows collapse.
     """
     ended = runs.where(F.col("end_time").isNotNull())
-    top = (
-        ended.groupBy("job_id").agg(F.max(F.struct("end_time", "start_time")).alias("t"))
-        .select(F.col("job_id").alias("top_job"), F.col("t.end_time").alias("top_end"),
-                F.col("t.start_time").alias("top_start"))
-        .where(F.col("top_start").isNotNull())
-    )
-    cond = ((F.col("job_id") == F.col("top_job")) & (F.col("end_time") == F.col("top_end"))
-            & (F.col("start_time") == F.col("top_start")))
-    return ended.join(top, cond, "inner").select(*runs.columns).distinct()
+    at_end = rows_at_max(ended, "job_id", "end_time", jobs_bound).distinct()
+    return rows_at_max(at_end, "job_id", "start_time", jobs_bound).select(*runs.columns)
 
 
 def lock_status(latest: DataFrame, slots: DataFrame | None = None) -> DataFrame:

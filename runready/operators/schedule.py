@@ -49,15 +49,19 @@ def cron_fires(requests: DataFrame, as_of: int | None = None, cron_col: str = "c
                               F.col(as_of_col).cast("long").alias("as_of")).distinct()
     req = with_zone_check(req, "tz", "_tz_ok")
 
-    # parse each distinct cron string once; one row per distinct cron, broadcast when small
-    p = cronf.parse(F.col("_cron"))
-    schedules = req.select(F.col("cron").alias("_cron")).distinct().select(
-        "_cron",
-        p["n_fields"].alias("_nf"), p["minutes"].alias("_mi"), p["hours"].alias("_hr"),
-        p["doms"].alias("_dom"), p["months"].alias("_mo"), p["dows"].alias("_dow"),
-        p["dom_star"].alias("_doms"), p["dow_star"].alias("_dows"),
-    )
-    parsed = req.join(broadcast_if_small(schedules), req["cron"] == schedules["_cron"], "left").drop("_cron")
+    # parse each distinct cron string once.  With a scalar instant the requests already are
+    # the distinct schedules, so parsing happens in place; with many instants the parsed
+    # table (one row per distinct cron) is joined back, broadcast behind a row-count check.
+    cols = ["n_fields", "minutes", "hours", "doms", "months", "dows", "dom_star", "dow_star"]
+    alias = dict(zip(cols, ["_nf", "_mi", "_hr", "_dom", "_mo", "_dow", "_doms", "_dows"]))
+    if as_of is not None:
+        p = cronf.parse(F.col("cron"))
+        parsed = req.select("*", *[p[c].alias(alias[c]) for c in cols])
+    else:
+        p = cronf.parse(F.col("_cron"))
+        schedules = req.select(F.col("cron").alias("_cron")).distinct().select(
+            "_cron", *[p[c].alias(alias[c]) for c in cols])
+        parsed = req.join(broadcast_if_small(schedules), req["cron"] == schedules["_cron"], "left").drop("_cron")
     valid = (F.col("_tz_ok") & (F.col("_nf") == 5) & F.col("_mi").isNotNull() & F.col("_hr").isNotNull()
              & F.col("_dom").isNotNull() & F.col("_mo").isNotNull() & F.col("_dow").isNotNull())
     tz = safe_zone(F.col("tz"), F.col("_tz_ok"))

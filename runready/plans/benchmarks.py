@@ -42,7 +42,9 @@ def q_bench_order_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_bench_order_latest(spark: SparkSession, sf: str) -> DataFrame:
     """Latest run of every job over all 150k (sf0.1) order runs."""
-    return runs.latest_run(runs.normalize_runs(fx_order_runs(spark, sf), catalog._defs(spark, sf)))
+    defs = catalog._defs(spark, sf)
+    n = defs.count()
+    return runs.latest_run(runs.normalize_runs(fx_order_runs(spark, sf), defs, jobs_bound=n), jobs_bound=n)
 
 
 def q_bench_order_decisions(spark: SparkSession, sf: str) -> DataFrame:

@@ -48,7 +48,9 @@ def q_open_slots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_latest_run(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.latest_run(q_normalize_runs(spark, sf))
+    defs = _defs(spark, sf)
+    n = defs.count()
+    return runs.latest_run(runs.normalize_runs(fx.fx_runs(spark, sf), defs, jobs_bound=n), jobs_bound=n)
 
 
 def q_lock_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,12 +70,9 @@ def q_combine_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def pass_new_rows(spark: SparkSession, sf: str) -> DataFrame:
     """State rows of one incremental pass: selected runs -> latest -> lock/status, plus the external feed."""
-    defs = _defs(spark, sf)
-    raw = fx.fx_runs(spark, sf)
-    selected = runs.select_runs(raw, fx.fx_state_old(spark, sf), hwm_ms=fx.HWM_MS)
-    latest = runs.latest_run(runs.normalize_runs(selected, defs))
-    platform_rows = runs.lock_status(latest, runs.open_slots(raw, defs))
-    return state.combine_runs(platform_rows, state.normalize_external(fx.fx_external(spark, sf)))
+    from .readiness_pass import new_state_rows
+    return new_state_rows(fx.fx_defs(spark, sf), fx.fx_runs(spark, sf), fx.fx_state_old(spark, sf), fx.HWM_MS,
+                          external=fx.fx_external(spark, sf))
 
 
 def q_merge_state(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import MAX_BROADCAST_ROWS
 from ..operators import definitions, dependencies, fiscal, logs, readiness, runs, schedule, state
 
 
@@ -37,12 +38,22 @@ def new_state_rows(raw_defs: DataFrame, raw_runs: DataFrame, old_state: DataFram
                    external: DataFrame | None = None, selected: DataFrame | None = None,
                    slot_runs: DataFrame | None = None, release_slots: bool = True,
                    carry_over: str = "reference") -> DataFrame:
-    """State rows one pass contributes: latest selected platform runs plus the external feed."""
+    """State rows one pass contributes: latest selected platform runs plus the external feed.
+
+    The definitions are counted once; that count bounds every per-job table of the pass
+    (only runs of defined jobs are kept — the others would be dropped by the join to the
+    definitions anyway), which decides whether those tables are broadcast.
+    """
     defs = definitions.flatten_definitions(raw_defs)
+    n_jobs = defs.count()
+    ids = defs.select("job_id")
+    ids = F.broadcast(ids) if n_jobs <= MAX_BROADCAST_ROWS else ids
     if selected is None:
-        selected = runs.select_runs(raw_runs, old_state, hwm_ms, carry_over)
-    latest = runs.latest_run(runs.normalize_runs(selected, defs))
-    slots = runs.open_slots(slot_runs if slot_runs is not None else raw_runs, defs) if release_slots else None
+        selected = runs.select_runs(raw_runs.join(ids, "job_id", "left_semi"), old_state, hwm_ms, carry_over,
+                                    jobs_bound=n_jobs)
+    latest = runs.latest_run(runs.normalize_runs(selected, defs, jobs_bound=n_jobs), jobs_bound=n_jobs)
+    slots = (runs.open_slots(slot_runs if slot_runs is not None else raw_runs, defs, jobs_bound=n_jobs)
+             if release_slots else None)
     parts = [runs.lock_status(latest, slots)]
     if external is not None:
         parts.append(state.normalize_external(external))
