@@ -169,3 +169,22 @@ def lock_status(latest: DataFrame, slots: DataFrame | None = None) -> DataFrame:
             "status", "pipeline", "start_time", "end_time",
         )
     return rows.select(*schemas.STATE_COLUMNS).distinct()
+
+
+def active_runs(previous: DataFrame, records: DataFrame) -> DataFrame:
+    """Runs still active after applying new run records to the previous active set (raw shape).
+
+    For each run id the newest information wins: a record of this batch over the previous
+    set, and within a batch a terminal record over a non-terminal one (then the later
+    start).  Runs whose winning record is terminal leave the set.  One aggregate keyed by
+    run id with a map-side partial; the set holds active runs only, so it stays small.
+    """
+    def ranked(df: DataFrame, batch: int) -> DataFrame:
+        term = F.coalesce(is_terminal(F.col("state.life_cycle_state")), F.lit(False))
+        return df.select("run_id", F.struct(F.lit(batch).alias("b"), term.cast("int").alias("t"),
+                                            "start_time", "job_id", "state", "end_time").alias("r"))
+
+    latest = (ranked(previous, 0).unionByName(ranked(records, 1))
+              .groupBy("run_id").agg(F.max("r").alias("r")))
+    return latest.where(F.col("r.t") == 0).select(
+        "run_id", "r.job_id", "r.state", "r.start_time", "r.end_time").select(*schemas.RAW_RUN.fieldNames())

@@ -111,16 +111,33 @@ def read_checkpoint(spark: SparkSession, root: str, version: int | None = None)
     return rows[0]["hwm_ms"] if rows else None
 
 
-def write_state(state: DataFrame, root: str, version: int, hwm_ms: int | None = None) -> str:
-    """Write ``state`` and its checkpoint as ``version`` (overwrite makes a replay idempotent)."""
+def write_state(state: DataFrame, root: str, version: int, hwm_ms: int | None = None,
+                extras: dict[str, DataFrame] | None = None) -> str:
+    """Write ``state`` (and named ``extras`` tables) and then its checkpoint as ``version``.
+
+    The checkpoint is written last and marks the version committed; overwrite makes a
+    replay idempotent.
+    """
     path = _version_dir(root, version)
     state.select(*schemas.STATE_COLUMNS).write.mode("overwrite").parquet(f"{path}/state")
+    for name, df in (extras or {}).items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = state.sparkSession
     spark.createDataFrame([(hwm_ms,)], CHECKPOINT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
         f"{path}/checkpoint")
     return path
 
 
+def read_extra(spark: SparkSession, root: str, version: int | None, name: str, schema) -> DataFrame:
+    """An extra table stored with a committed version; empty when the version or table is missing."""
+    if version is None:
+        versions = state_versions(spark, root)
+        version = versions[-1] if versions else None
+    if version is None or not path_exists(spark, f"{_version_dir(root, version)}/{name}"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{_version_dir(root, version)}/{name}")
+
+
 def import_state_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read a state table saved as CSV with a header by the reference's pandas writer.
 

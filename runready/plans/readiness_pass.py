@@ -75,8 +75,13 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
                    version: int | None = None, initial_state: DataFrame | None = None,
                    selected: DataFrame | None = None, slot_runs: DataFrame | None = None,
                    release_slots: bool = True, carry_over: str = "reference", day_rule: str = "and",
-                   log_format: str = "csv") -> PassResult:
-    """Run one pass at ``as_of`` (epoch s) and write state version ``version`` (default: latest + 1)."""
+                   log_format: str = "csv", extras: dict[str, DataFrame] | None = None) -> PassResult:
+    """Run one pass at ``as_of`` (epoch s) and write state version ``version`` (default: latest + 1).
+
+    ``selected`` replaces the run selection (the stream passes its micro-batch),
+    ``slot_runs`` the runs counted for open slots, and ``extras`` are tables committed with
+    the version (the stream's active-run set).
+    """
     versions = state.state_versions(spark, state_root)
     if version is None:
         version = (versions[-1] + 1) if versions else 1
@@ -88,7 +93,7 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
         old = initial_state if initial_state is not None else spark.createDataFrame([], state.schemas.STATE)
         hwm = None
     rows = new_state_rows(raw_defs, raw_runs, old, hwm, external, selected, slot_runs, release_slots, carry_over)
-    state.write_state(state.merge_state(old, rows), state_root, version, hwm_ms=int(as_of) * 1000)
+    state.write_state(state.merge_state(old, rows), state_root, version, hwm_ms=int(as_of) * 1000, extras=extras)
     current = state.read_state(spark, state_root, version)
     logs.write_decision_log(decide(spark, raw_defs, calendar, current, as_of, day_rule), log_path, as_of, log_format)
     logged = logs.read_decision_log(spark, log_path, log_format).where(F.col("log_time") == F.lit(int(as_of)))

@@ -8,6 +8,9 @@ micro-batch, and ``foreachBatch`` runs the pass on it:
 * state version = batch id + 1, read version = the latest committed one below it;
   a batch whose version is already committed is skipped, so a replay after a failure
   (Spark re-runs the last uncommitted batch) writes nothing twice;
+* open-slot release counts the runs still active after the batch: the set of active runs
+  (latest record per run id, terminal records leave it) is kept with each state version
+  and updated from the batch;
 * the decision log gets one partition per batch instant (overwritten on replay).
 
 The pass instant of a batch is, by default, the latest run start in it (deterministic on
@@ -25,10 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
+from ..operators import runs as runs_ops
 from ..operators import state as st
 from ..plans.readiness_pass import readiness_pass
 
 
+# name of the active-run table kept with each state version
+ACTIVE = "active_runs"
+
+
 def batch_instant(batch: DataFrame) -> int | None:
     """Latest run start of a micro-batch, in epoch seconds (rounded up); None when empty."""
     row = batch.agg(F.max("start_time").alias("m")).collect()[0]
@@ -56,8 +64,12 @@ def readiness_stream(spark: SparkSession, runs_dir: str, raw_defs: DataFrame, ca
             return
         batch = batch.persist()
         try:
+            base = max([v for v in st.state_versions(spark, state_root) if v < version], default=None)
+            prev_active = st.read_extra(spark, state_root, base, ACTIVE, schemas.RAW_RUN)
+            active = runs_ops.active_runs(prev_active, batch)
             readiness_pass(spark, raw_defs, batch, calendar, state_root, log_path, as_of, external=external,
-                           version=version, selected=batch, slot_runs=batch, release_slots=release_slots)
+                           version=version, selected=batch, slot_runs=active, release_slots=release_slots,
+                           extras={ACTIVE: active})
         finally:
             batch.unpersist()
 

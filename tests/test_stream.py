@@ -5,6 +5,7 @@ import tempfile
 from conftest import rows
 from helpers import raw_defs, raw_runs
 
+from runready import schemas
 from runready.operators import logs, state
 from runready.plans.readiness_pass import readiness_pass
 from runready.sources import fixtures as fx
@@ -17,7 +18,8 @@ DAYS = [
     [(1, 1, "TERMINATED", "SUCCESS", T0 + 3600e3, T0 + 7200e3), (2, 2, "RUNNING", None, T0 + 3700e3, 0),
      (3, 3, "TERMINATED", "FAILED", T0 + 3800e3, T0 + 3900e3)],
     [(4, 2, "TERMINATED", "SUCCESS", T0 + DAY + 60e3, T0 + DAY + 120e3), (5, 1, "RUNNING", None, T0 + DAY + 1e3, 0),
-     (6, 4, "TERMINATED", "SUCCESS", T0 + DAY + 5e3, T0 + DAY + 9e3)],
+     (6, 4, "TERMINATED", "SUCCESS", T0 + DAY + 5e3, T0 + DAY + 9e3), (10, 3, "RUNNING", None, T0 + DAY + 7e3, 0),
+     (2, 2, "TERMINATED", "SUCCESS", T0 + 3700e3, T0 + DAY)],                    # run 2 finishes
     [(7, 3, "TERMINATED", "SUCCESS", T0 + 2 * DAY + 60e3, T0 + 2 * DAY + 80e3),
      (8, 1, "TERMINATED", "SUCCESS", T0 + 2 * DAY + 2e3, T0 + 2 * DAY + 4e3)],
 ]
@@ -52,12 +54,17 @@ def test_stream_equals_batch_and_replays(spark):
     start().awaitTermination()
     assert state.state_versions(spark, f"{base}/state") == [1, 2, 3]
 
-    # the same passes in batch, one per file, in file order
+    # the same passes in batch, one per file, in file order; open slots count the runs whose
+    # latest record so far is not terminal
     broot = f"{base}/batch_state"
+    latest_record = {}
     for i, day in enumerate(DAYS):
         d = _runs(spark, day)
+        for r in sorted(day, key=lambda r: r[2] in ("TERMINATED",)):
+            latest_record[r[0]] = r
+        still_active = _runs(spark, [r for r in latest_record.values() if r[2] != "TERMINATED"])
         readiness_pass(spark, defs, d, cal, broot, f"{base}/batch_log", batch_instant(d), external=ext,
-                       selected=d, slot_runs=d)
+                       selected=d, slot_runs=still_active)
     assert rows(state.read_state(spark, f"{base}/state")) == rows(state.read_state(spark, broot))
     assert rows(logs.read_decision_log(spark, f"{base}/log")) == rows(logs.read_decision_log(spark, f"{base}/batch_log"))
 
@@ -69,5 +76,7 @@ def test_stream_equals_batch_and_replays(spark):
         f"{base}/runs/d3")
     start().awaitTermination()
     assert state.state_versions(spark, f"{base}/state") == [1, 2, 3, 4]
+    active = state.read_extra(spark, f"{base}/state", None, "active_runs", schemas.RAW_RUN)
+    assert sorted(r.run_id for r in active.collect()) == [5, 10]
     final = {r.pipeline: r for r in state.read_state(spark, f"{base}/state").collect()}
     assert final["four"].status == "FAILED" and final["one"].status == "SUCCESS" and final["ext"].lock == "0"
