@@ -393,3 +393,4 @@ ORACLES.update({
        when lower(system) = 'adf' then coalesce(state = 'Failed', false) end as failed
  from outcome_in"""),
 })
+ORACLES["readiness_pass"] = ORACLES["ready_jobs"]

@@ -185,3 +185,13 @@ def q_readiness_stream(spark: SparkSession, sf: str) -> DataFrame:
                          external=fx.fx_external(spark, sf), max_files_per_trigger=1)
     q.awaitTermination()
     return state.read_state(spark, f"{base}/state")
+
+
+def q_readiness_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """The composed pass end to end: state v0 (old state + high-water mark) -> v1 -> log -> ready jobs."""
+    from .readiness_pass import readiness_pass
+    base = shared_path(spark, "pass")
+    state.write_state(fx.fx_state_old(spark, sf), f"{base}/state", 0, hwm_ms=fx.HWM_MS)
+    result = readiness_pass(spark, fx.fx_defs(spark, sf), fx.fx_runs(spark, sf), fx.fx_calendar(spark),
+                            f"{base}/state", f"{base}/log", fx.AS_OF, external=fx.fx_external(spark, sf))
+    return result.ready

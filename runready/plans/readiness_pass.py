@@ -37,15 +37,18 @@ class PassResult:
 def new_state_rows(raw_defs: DataFrame, raw_runs: DataFrame, old_state: DataFrame, hwm_ms: int | None,
                    external: DataFrame | None = None, selected: DataFrame | None = None,
                    slot_runs: DataFrame | None = None, release_slots: bool = True,
-                   carry_over: str = "reference") -> DataFrame:
+                   carry_over: str = "reference", defs: DataFrame | None = None,
+                   n_jobs: int | None = None) -> DataFrame:
     """State rows one pass contributes: latest selected platform runs plus the external feed.
 
     The definitions are counted once; that count bounds every per-job table of the pass
     (only runs of defined jobs are kept — the others would be dropped by the join to the
     definitions anyway), which decides whether those tables are broadcast.
     """
-    defs = definitions.flatten_definitions(raw_defs)
-    n_jobs = defs.count()
+    if defs is None:
+        defs = definitions.flatten_definitions(raw_defs)
+    if n_jobs is None:
+        n_jobs = defs.count()
     ids = defs.select("job_id")
     ids = F.broadcast(ids) if n_jobs <= MAX_BROADCAST_ROWS else ids
     if selected is None:
@@ -61,9 +64,10 @@ def new_state_rows(raw_defs: DataFrame, raw_runs: DataFrame, old_state: DataFram
 
 
 def decide(spark: SparkSession, raw_defs: DataFrame, calendar: DataFrame, current_state: DataFrame, as_of: int,
-           day_rule: str = "and") -> DataFrame:
+           day_rule: str = "and", defs: DataFrame | None = None) -> DataFrame:
     """Decision rows of every orchestrated job at ``as_of`` against ``current_state``."""
-    defs = definitions.flatten_definitions(raw_defs)
+    if defs is None:
+        defs = definitions.flatten_definitions(raw_defs)
     fires = schedule.cron_fires(defs, as_of=as_of, day_rule=day_rule)
     bounds = fiscal.fiscal_bounds_at(calendar, as_of)
     itin = dependencies.itinerary(defs, fires, bounds, as_of=as_of)
@@ -92,9 +96,19 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
     else:
         old = initial_state if initial_state is not None else spark.createDataFrame([], state.schemas.STATE)
         hwm = None
-    rows = new_state_rows(raw_defs, raw_runs, old, hwm, external, selected, slot_runs, release_slots, carry_over)
-    state.write_state(state.merge_state(old, rows), state_root, version, hwm_ms=int(as_of) * 1000, extras=extras)
-    current = state.read_state(spark, state_root, version)
-    logs.write_decision_log(decide(spark, raw_defs, calendar, current, as_of, day_rule), log_path, as_of, log_format)
+    # the definitions are read once per pass and kept for its six uses (count, run filter,
+    # names, open slots, schedules, itinerary); they are dimension-sized
+    defs = definitions.flatten_definitions(raw_defs).persist()
+    try:
+        n_jobs = defs.count()
+        rows = new_state_rows(raw_defs, raw_runs, old, hwm, external, selected, slot_runs, release_slots, carry_over,
+                              defs=defs, n_jobs=n_jobs)
+        state.write_state(state.merge_state(old, rows), state_root, version, hwm_ms=int(as_of) * 1000,
+                          extras=extras)
+        current = state.read_state(spark, state_root, version)
+        logs.write_decision_log(decide(spark, raw_defs, calendar, current, as_of, day_rule, defs=defs), log_path,
+                                as_of, log_format)
+    finally:
+        defs.unpersist()
     logged = logs.read_decision_log(spark, log_path, log_format).where(F.col("log_time") == F.lit(int(as_of)))
     return PassResult(version, int(as_of), hwm, current, logged, readiness.ready_jobs(logged))
