@@ -121,8 +121,9 @@ def open_slots(raw_runs: DataFrame, defs: DataFrame, jobs_bound: int | None = No
     their count, so ``jobs_open = n - least(active, n)`` is exact.  A run is active when its
     life-cycle state is not terminal; a missing state counts as active.
     """
+    lc = F.col("state.life_cycle_state")
     active = (
-        raw_runs.where(F.coalesce(~is_terminal(F.col("state.life_cycle_state")), F.lit(True)))
+        raw_runs.where(lc.isNull() | ~is_terminal(lc))          # pushable to the scan (nested field)
         .groupBy("job_id").agg(F.count(F.lit(1)).alias("active_runs"))
     )
     multi = defs.where(F.col("max_concurrent_runs") > 1).select("job_id", "max_concurrent_runs")

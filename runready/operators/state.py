@@ -101,13 +101,17 @@ def read_state(spark: SparkSession, root: str, version: int | None = None) -> Da
 
 
 def read_checkpoint(spark: SparkSession, root: str, version: int | None = None) -> int | None:
-    """High-water mark (ms) stored with ``version``; None when missing (the next pass is a full load)."""
+    """High-water mark (ms) stored with ``version``; None when missing or unreadable (the next pass is a full load)."""
     if version is None:
         versions = state_versions(spark, root)
         version = versions[-1] if versions else None
     if version is None:
         return None
-    rows = spark.read.schema(CHECKPOINT_SCHEMA).parquet(f"{_version_dir(root, version)}/checkpoint").limit(1).collect()
+    try:
+        rows = (spark.read.schema(CHECKPOINT_SCHEMA).parquet(f"{_version_dir(root, version)}/checkpoint")
+                .limit(1).collect())
+    except Exception:
+        return None
     return rows[0]["hwm_ms"] if rows else None
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
@@ -17,9 +19,28 @@ def read_runs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return spark.read.schema(schemas.RAW_RUN).format(fmt).load(path)
 
 
-def read_external(spark: SparkSession, path: str) -> DataFrame:
-    """External run feed (Parquet, glob allowed); its schema comes from the files."""
-    return spark.read.parquet(path)
+# Attempts and wait between them when the external feed cannot be listed.
+EXTERNAL_READ_ATTEMPTS = 5
+EXTERNAL_READ_WAIT_S = 10
+
+
+def read_external(spark: SparkSession, path: str, attempts: int = EXTERNAL_READ_ATTEMPTS,
+                  wait_s: float = EXTERNAL_READ_WAIT_S) -> DataFrame:
+    """External run feed (Parquet, glob allowed); its schema comes from the files.
+
+    Resolving the files (listing + footer schema) is retried ``attempts`` times ``wait_s``
+    apart, since the feed is landed by another system; reading the data itself is left to
+    Spark's task retries.  The last error is raised.
+    """
+    last = None
+    for i in range(max(1, attempts)):
+        try:
+            return spark.read.parquet(path)
+        except Exception as e:  # missing path, partial landing, transient store errors
+            last = e
+            if i + 1 < attempts:
+                time.sleep(wait_s)
+    raise last
 
 
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:

@@ -34,3 +34,30 @@ def test_high_water_mark_is_pushed_to_the_scan(spark):
     df = runs.select_runs(readers.read_runs(spark, path, fmt="parquet"), hwm_ms=5000)
     plan = _plan(df)
     assert "PushedFilters: [IsNotNull(start_time), GreaterThanOrEqual(start_time,5000)]" in plan
+
+
+def test_active_run_filter_is_pushed_to_the_scan(spark):
+    from helpers import raw_defs
+    from runready.operators import definitions
+    path = tempfile.mkdtemp(prefix="rr-runs-")
+    raw_runs(spark, [(1, 1, "RUNNING", None, 1000, None)]).write.mode("overwrite").parquet(path)
+    defs = definitions.flatten_definitions(raw_defs(spark, [{"job_id": 1, "name": "a", "state": "active", "mcr": 2}]))
+    plan = _plan(runs.open_slots(readers.read_runs(spark, path, fmt="parquet"), defs))
+    assert "Or(IsNull(state.life_cycle_state),Not(In(state.life_cycle_state" in plan
+
+
+def test_unreadable_checkpoint_means_full_load(spark, tmp_path):
+    from helpers import state_df
+    from runready.operators import state
+    root = str(tmp_path / "state")
+    state.write_state(state_df(spark, [(1, "p", "0", "SUCCESS", "a", 1, 2)]), root, 1, hwm_ms=5)
+    ck = tmp_path / "state" / "v=000000001" / "checkpoint"
+    for f in ck.glob("part-*"):
+        f.write_bytes(b"not parquet")
+    assert state.read_checkpoint(spark, root) is None
+
+
+def test_external_feed_read_retries_then_raises(spark, tmp_path):
+    import pytest
+    with pytest.raises(Exception):
+        readers.read_external(spark, str(tmp_path / "missing" / "*"), attempts=2, wait_s=0)
