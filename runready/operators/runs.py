@@ -82,10 +82,12 @@ def _latest_per_job(raw_runs: DataFrame, jobs_bound: int | None = None) -> DataF
 
 
 def carry_over_jobs(old_state: DataFrame, mode: str = "reference") -> DataFrame:
-    """Job ids whose latest run is polled again regardless of the high-water mark.
+    """(job_id, bound_ms) of jobs whose latest run is polled again regardless of the high-water mark.
 
     ``reference``: state rows whose status is RUNNING or FAILED.  ``locked``: rows that are
     locked or FAILED (also refreshes rows stuck in another non-terminal state).
+    ``bound_ms`` is the start (ms) of the run the state row records: the job's latest run
+    cannot start earlier.  It is null when any of the job's carried rows has no start.
     """
     if mode == "reference":
         pred = F.col("status").isin(vocab.STATUS_RUNNING, vocab.STATUS_FAILED)
@@ -93,24 +95,43 @@ def carry_over_jobs(old_state: DataFrame, mode: str = "reference") -> DataFrame:
         pred = (F.col("lock") == F.lit("1")) | (F.col("status") == F.lit(vocab.STATUS_FAILED))
     else:
         raise ValueError(f"unknown carry-over mode {mode!r}")
-    return old_state.where(pred).select("job_id").where(F.col("job_id").isNotNull()).distinct()
+    rows = old_state.where(pred & F.col("job_id").isNotNull())
+    return rows.groupBy("job_id").agg(
+        F.when(F.max(F.col("start_time").isNull().cast("int")) == 0, F.min("start_time") * 1000)
+        .cast("long").alias("bound_ms"))
 
 
 def select_runs(raw_runs: DataFrame, old_state: DataFrame | None = None, hwm_ms: int | None = None,
-                carry_over: str = "reference", jobs_bound: int | None = None) -> DataFrame:
+                carry_over: str = "reference", jobs_bound: int | None = None,
+                bound_by_state: bool = True) -> DataFrame:
     """The runs one pass looks at (raw shape, ``schemas.RAW_RUN``).
 
     * ``hwm_ms is None`` (first pass / lost checkpoint): the latest run of every job.
-    * otherwise: every run started at or after the high-water mark, plus the latest run of
-      each carry-over job of ``old_state`` (see ``carry_over_jobs``), without duplicates.
+    * otherwise: every run started at or after the high-water mark (pushed to the scan),
+      plus the latest run of each carry-over job of ``old_state`` (see ``carry_over_jobs``),
+      without duplicates.
+
+    ``bound_by_state``: the carry-over lookup only reads runs that start no earlier than
+    the run each job's state row records (a pushed-down global bound plus a per-job join
+    condition), instead of the job's whole history.  The result is the same whenever the
+    log still holds the run the state row came from.
     """
     if hwm_ms is None:
         return _latest_per_job(raw_runs, jobs_bound)
     recent = raw_runs.where(F.col("start_time") >= F.lit(int(hwm_ms)))
     if old_state is None:
         return recent.distinct()
-    ids = carry_over_jobs(old_state, carry_over)
-    carried = _latest_per_job(raw_runs.join(broadcast_if_small(ids), "job_id", "left_semi"), jobs_bound)
+    carry = broadcast_if_small(carry_over_jobs(old_state, carry_over))
+    candidates = raw_runs
+    cond = raw_runs["job_id"] == carry["job_id"]
+    if bound_by_state:
+        low = carry.agg(F.when(F.max(F.col("bound_ms").isNull().cast("int")) == 0, F.min("bound_ms"))
+                        .alias("m")).collect()[0]["m"]
+        if low is not None:
+            candidates = raw_runs.where(F.col("start_time") >= F.lit(int(low)))
+        cond = ((candidates["job_id"] == carry["job_id"])
+                & (carry["bound_ms"].isNull() | (candidates["start_time"] >= carry["bound_ms"])))
+    carried = _latest_per_job(candidates.join(carry, cond, "left_semi"), jobs_bound)
     return recent.unionByName(carried).distinct()
 
 

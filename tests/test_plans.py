@@ -61,3 +61,12 @@ def test_external_feed_read_retries_then_raises(spark, tmp_path):
     import pytest
     with pytest.raises(Exception):
         readers.read_external(spark, str(tmp_path / "missing" / "*"), attempts=2, wait_s=0)
+
+
+def test_carry_over_bound_is_pushed_to_the_scan(spark):
+    from helpers import state_df
+    path = tempfile.mkdtemp(prefix="rr-runs-")
+    raw_runs(spark, [(1, 1, "TERMINATED", "SUCCESS", 1000, 2000)]).write.mode("overwrite").parquet(path)
+    old = state_df(spark, [(1, "p", "1", "RUNNING", "a", 7, None)])
+    plan = _plan(runs.select_runs(readers.read_runs(spark, path, fmt="parquet"), old, hwm_ms=9000))
+    assert "GreaterThanOrEqual(start_time,7000)" in plan and "GreaterThanOrEqual(start_time,9000)" in plan

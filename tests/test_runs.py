@@ -77,3 +77,15 @@ def test_open_slots_and_lock_status(spark):
                                (3, "s", "TERMINATED", "FAILED", "c", 1, 2), (4, "s", None, None, "d", 1, 2)])
     assert rows(runs.lock_status(latest, slots), "job_id", "lock", "status") == [
         (1, "0", "RUNNING"), (2, "1", "PENDING"), (3, "0", "FAILED"), (4, "1", None)]
+
+
+def test_carry_over_bound_by_state_start(spark):
+    r = raw_runs(spark, [(20, 7, "TERMINATED", "SUCCESS", 10000, 11000), (21, 7, "TERMINATED", "SUCCESS", 60000, 61000),
+                         (22, 7, "RUNNING", None, 55000, None), (23, 8, "TERMINATED", "FAILED", 1000, 2000),
+                         (24, 8, "TERMINATED", "SUCCESS", 3000, 4000)])
+    old = state_df(spark, [(7, "p", "1", "RUNNING", "g", 55, None), (8, "p", "0", "FAILED", "h", None, None)])
+    bounded = rows(flat_runs(runs.select_runs(r, old, hwm_ms=10**9)), "run_id")
+    full = rows(flat_runs(runs.select_runs(r, old, hwm_ms=10**9, bound_by_state=False)), "run_id")
+    assert bounded == full == [(21,), (24,)]
+    carry = {row.job_id: row.bound_ms for row in runs.carry_over_jobs(old).collect()}
+    assert carry == {7: 55000, 8: None}
