@@ -210,3 +210,31 @@ def active_runs(previous: DataFrame, records: DataFrame) -> DataFrame:
               .groupBy("run_id").agg(F.max("r").alias("r")))
     return latest.where(F.col("r.t") == 0).select(
         "run_id", "r.job_id", "r.state", "r.start_time", "r.end_time").select(*schemas.RAW_RUN.fieldNames())
+
+
+def refresh_active_runs(raw_runs: DataFrame, previous: DataFrame | None = None,
+                        hwm_ms: int | None = None) -> DataFrame:
+    """Active runs now (raw shape, one row per run id), read from a run log that holds each
+    run's current state.
+
+    Without a previous set (or high-water mark) the whole log is filtered.  With one, only
+    two kinds of run can be active now: runs active at the previous pass, and runs started
+    since its high-water mark (a finished run never becomes active again).  A run's start
+    time never changes, so the log is read from the earliest of those starts on (pushed to
+    the scan; runs without a start are always read).  Copies of a run collapse to one row.
+    """
+    lc = F.col("state.life_cycle_state")
+    cand = raw_runs
+    if previous is not None and hwm_ms is not None:
+        prev_low = previous.agg(F.min("start_time").alias("m")).collect()[0]["m"]
+        low = min(int(hwm_ms), int(prev_low)) if prev_low is not None else int(hwm_ms)
+        ids = broadcast_if_small(previous.select(F.col("run_id").alias("_prev_id")).distinct())
+        cand = (raw_runs.where((F.col("start_time") >= F.lit(low)) | F.col("start_time").isNull())
+                .join(ids, F.col("run_id") == F.col("_prev_id"), "left")
+                .where((F.col("start_time") >= F.lit(int(hwm_ms))) | F.col("start_time").isNull()
+                       | F.col("_prev_id").isNotNull())
+                .drop("_prev_id"))
+    act = cand.where(lc.isNull() | ~is_terminal(lc))
+    one = act.groupBy("run_id").agg(F.max(F.struct("start_time", "job_id", "state", "end_time")).alias("r"))
+    return one.select("run_id", "r.job_id", "r.state", "r.start_time", "r.end_time").select(
+        *schemas.RAW_RUN.fieldNames())

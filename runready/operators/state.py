@@ -72,6 +72,8 @@ def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
 # A version is committed once its checkpoint folder has _SUCCESS (it is written last).
 
 CHECKPOINT_SCHEMA = "hwm_ms long"
+# name of the active-run table kept with each version (runs active at that pass)
+ACTIVE_RUNS = "active_runs"
 
 
 def _version_dir(root: str, version: int) -> str:
@@ -132,16 +134,27 @@ def write_state(state: DataFrame, root: str, version: int, hwm_ms: int | None =
     return path
 
 
+def has_extra(spark: SparkSession, root: str, version: int, name: str) -> bool:
+    return path_exists(spark, f"{_version_dir(root, version)}/{name}/_SUCCESS")
+
+
 def read_extra(spark: SparkSession, root: str, version: int | None, name: str, schema) -> DataFrame:
-    """An extra table stored with a committed version; empty when the version or table is missing."""
+    """An extra table stored with a version; empty when the version or table is missing."""
     if version is None:
         versions = state_versions(spark, root)
         version = versions[-1] if versions else None
-    if version is None or not path_exists(spark, f"{_version_dir(root, version)}/{name}"):
+    if version is None or not has_extra(spark, root, version, name):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{_version_dir(root, version)}/{name}")
 
 
+def write_extra(df: DataFrame, root: str, version: int, name: str) -> DataFrame:
+    """Write a table into (the not yet committed) ``version`` and return it read back."""
+    path = f"{_version_dir(root, version)}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def import_state_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read a state table saved as CSV with a header by the reference's pandas writer.
 

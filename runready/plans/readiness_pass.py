@@ -96,6 +96,14 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
     else:
         old = initial_state if initial_state is not None else spark.createDataFrame([], state.schemas.STATE)
         hwm = None
+    # open slots count the runs active now; the set is kept with each version and refreshed
+    # from the previous one (see runs.refresh_active_runs), so the log is not read whole
+    if release_slots and slot_runs is None:
+        prev_active = None
+        if base is not None and hwm is not None and state.has_extra(spark, state_root, base, state.ACTIVE_RUNS):
+            prev_active = state.read_extra(spark, state_root, base, state.ACTIVE_RUNS, state.schemas.RAW_RUN)
+        slot_runs = state.write_extra(runs.refresh_active_runs(raw_runs, prev_active, hwm), state_root, version,
+                                      state.ACTIVE_RUNS)
     # the definitions are read once per pass and kept for its six uses (count, run filter,
     # names, open slots, schedules, itinerary); they are dimension-sized
     defs = definitions.flatten_definitions(raw_defs).persist()

@@ -34,7 +34,7 @@ from ..plans.readiness_pass import readiness_pass
 
 
 # name of the active-run table kept with each state version
-ACTIVE = "active_runs"
+ACTIVE = st.ACTIVE_RUNS
 
 
 def batch_instant(batch: DataFrame) -> int | None:

@@ -89,3 +89,17 @@ def test_carry_over_bound_by_state_start(spark):
     assert bounded == full == [(21,), (24,)]
     carry = {row.job_id: row.bound_ms for row in runs.carry_over_jobs(old).collect()}
     assert carry == {7: 55000, 8: None}
+
+
+def test_refresh_active_runs_incremental_equals_full(spark):
+    # current-state run log at pass 2; the set kept at pass 1 had runs 1 and 2 active
+    log2 = raw_runs(spark, [(1, 1, "TERMINATED", "SUCCESS", 1000, 5000),       # finished since pass 1
+                            (2, 1, "RUNNING", None, 2000, None),               # still running
+                            (3, 2, "TERMINATED", "SUCCESS", 500, 900),
+                            (4, 2, "PENDING", None, 9000, None),               # new since the mark
+                            (4, 2, "PENDING", None, 9000, None),               # a copy
+                            (5, 3, None, None, None, None)])                   # no state, no start
+    prev = raw_runs(spark, [(1, 1, "RUNNING", None, 1000, None), (2, 1, "RUNNING", None, 2000, None)])
+    inc = rows(runs.refresh_active_runs(log2, prev, hwm_ms=8000), "run_id")
+    full = rows(runs.refresh_active_runs(log2), "run_id")
+    assert inc == full == [(2,), (4,), (5,)]
