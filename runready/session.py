@@ -49,6 +49,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+# Runtime settings the results depend on (the zone) or the plans are designed around (AQE).
+REQUIRED_RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings the operators assume to an existing session."""
+    for k, v in REQUIRED_RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -104,5 +121,5 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(hpath) if s.isDirectory())
 
 
-__all__ = ["get_spark", "ensure_checkpoint_dir", "shared_path", "local_path", "path_exists",
+__all__ = ["get_spark", "configure", "ensure_checkpoint_dir", "shared_path", "local_path", "path_exists",
            "list_dirs", "DEFAULT_CONF"]
