@@ -157,15 +157,20 @@ def open_slots(raw_runs: DataFrame, defs: DataFrame, jobs_bound: int | None = No
     )
 
 
-def latest_run(runs: DataFrame, jobs_bound: int | None = None) -> DataFrame:
+def latest_run(runs: DataFrame, jobs_bound: int | None = None, running_first: bool = False) -> DataFrame:
     """Per job, the runs with the greatest end_time, then the greatest start_time.
 
     Same result as the reference's two max-joins: runs without an end time never win, a job
     whose winning end time has no start time drops out, exact ties are all kept and
-    duplicate rows collapse.
+    duplicate rows collapse.  The reference lets an older finished run beat a running one
+    (end time 0); ``running_first=True`` ranks an end time of 0 above every other.
     """
     ended = runs.where(F.col("end_time").isNotNull())
-    at_end = rows_at_max(ended, "job_id", "end_time", jobs_bound).distinct()
+    key = "end_time"
+    if running_first:
+        key = "_end_rank"
+        ended = ended.withColumn(key, F.when(F.col("end_time") == 0, F.lit(2**63 - 1)).otherwise(F.col("end_time")))
+    at_end = rows_at_max(ended, "job_id", key, jobs_bound).select(*runs.columns).distinct()
     return rows_at_max(at_end, "job_id", "start_time", jobs_bound).select(*runs.columns)
 
 

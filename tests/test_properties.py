@@ -50,3 +50,31 @@ def test_full_selection_is_row_number_one(spark, seed):
         if r[1] not in best or key > best[r[1]][0]:
             best[r[1]] = (key, r[0])
     assert got == sorted((j, v[1]) for j, v in best.items())
+
+
+def test_running_first_option(spark):
+    data = [(1, "s", "RUNNING", "RUNNING", "a", 50, 0), (1, "s", "TERMINATED", "SUCCESS", "a", 10, 20)]
+    assert rows(runs.latest_run(norm_runs(spark, data)))[0][5] == 10                      # Q1: reference rule
+    assert rows(runs.latest_run(norm_runs(spark, data), running_first=True))[0][5] == 50
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(min_value=0, max_value=10**6))
+def test_full_then_latest_equals_incremental_from_zero(spark, seed):
+    """For finished, non-overlapping runs: O7(O5 full) == O7(O5 incremental with hwm 0)."""
+    from helpers import raw_defs
+    from runready.operators import definitions
+    rnd = random.Random(seed)
+    data, t = [], {}
+    for i in range(rnd.randint(1, 40)):
+        job = rnd.randint(1, 5)
+        start = t.get(job, 0) + rnd.randint(1, 5) * 1000
+        end = start + rnd.randint(0, 4) * 1000
+        t[job] = end
+        data.append((i, job, "TERMINATED", rnd.choice(["SUCCESS", "FAILED"]), start, end))
+    log = raw_runs(spark, data)
+    defs = definitions.flatten_definitions(raw_defs(spark, [{"job_id": j, "name": f"j{j}", "state": "active"}
+                                                            for j in range(1, 6)]))
+    full = runs.latest_run(runs.normalize_runs(runs.select_runs(log), defs))
+    inc = runs.latest_run(runs.normalize_runs(runs.select_runs(log, hwm_ms=0), defs))
+    assert rows(full) == rows(inc)
