@@ -394,3 +394,51 @@ ORACLES.update({
  from outcome_in"""),
 })
 ORACLES["readiness_pass"] = ORACLES["ready_jobs"]
+
+
+# ---- stream: one batch per week of run starts, folded column-wise ---------------------
+
+STEPS.update({
+    "sb": """
+ select r.*, dense_rank() over (order by date_trunc('week', epoch_ms(r.start_time))) as k from fx_runs r""",
+    "sn": """
+ select s.job_id, 'azure_databricks' as source, s.life_cycle_state as state,
+  coalesce(s.result_state, s.life_cycle_state) as status, d.pipeline,
+  cast(floor(s.start_time / 1000.0) as bigint) as start_time, cast(floor(s.end_time / 1000.0) as bigint) as end_time, s.k
+ from sb s join defs d on s.job_id = d.job_id""",
+    "sm1": "select job_id, k, max(end_time) as mx from sn group by job_id, k",
+    "sa2": "select n.* from sn n join sm1 m on n.job_id = m.job_id and n.k = m.k and n.end_time = m.mx",
+    "sm2": "select job_id, k, max(start_time) as ms from sa2 group by job_id, k",
+    "slat": "select distinct a.* from sa2 a join sm2 m on a.job_id = m.job_id and a.k = m.k and a.start_time = m.ms",
+    "sact": f"""
+ select b.k, r.job_id, count(distinct r.run_id) as c
+ from (select distinct k from sb) b join sb r on r.k <= b.k
+ where r.life_cycle_state is null or r.life_cycle_state not in ({TERMINAL})
+ group by b.k, r.job_id""",
+    "sslots": """
+ select a.k, a.job_id, d.max_concurrent_runs - least(a.c, d.max_concurrent_runs) as jobs_open
+ from sact a join defs d on a.job_id = d.job_id where d.max_concurrent_runs > 1""",
+    "srows": f"""
+ select distinct l.k, l.job_id, l.source,
+  case when s.jobs_open > 0 then '0' when l.state in ({TERMINAL}) then '0' else '1' end as lock,
+  case when l.state in ({TERMINAL}) then l.status else l.state end as status, l.pipeline, l.start_time, l.end_time
+ from slat l left join sslots s on s.k = l.k and s.job_id = l.job_id""",
+    "sall": f"""
+ select k, job_id, source, lock, status, pipeline, start_time, end_time from srows
+ union all
+ select b.k, e.job_id, e.source, e.lock, e.status, e.pipeline, e.start_time, e.end_time
+ from (select distinct k from sb) b, ext e""",
+    "sfinal": """
+ select arg_max(job_id, k) filter (where job_id is not null) as job_id, source,
+  arg_max(lock, k) filter (where lock is not null) as lock,
+  arg_max(status, k) filter (where status is not null) as status, pipeline,
+  arg_max(start_time, k) filter (where start_time is not null) as start_time,
+  arg_max(end_time, k) filter (where end_time is not null) as end_time
+ from sall group by pipeline, source""",
+})
+_DEPS.update({
+    "sb": ["fx_runs"], "sn": ["sb", "defs"], "sm1": ["sn"], "sa2": ["sn", "sm1"], "sm2": ["sa2"],
+    "slat": ["sa2", "sm2"], "sact": ["sb"], "sslots": ["sact", "defs"], "srows": ["slat", "sslots"],
+    "sall": ["srows", "sb", "ext"], "sfinal": ["sall"],
+})
+ORACLES["readiness_stream"] = with_ctes(["sfinal"], f"select {STATE_COLS} from sfinal")
