@@ -20,7 +20,7 @@ from ..functions import vocab
 from ..session import path_exists
 
 _DECISION_TYPES = {
-    "job_id": T.LongType(), "lock_flag": T.IntegerType(), "last_start_time": T.LongType(),
+    "as_of": T.LongType(), "job_id": T.LongType(), "lock_flag": T.IntegerType(), "last_start_time": T.LongType(),
     "last_end_time": T.LongType(), "prev_min_exec_time": T.LongType(), "next_min_exec_time": T.LongType(),
     "prev_fcl_per_start_time": T.LongType(), "prev_fcl_per_first_mon": T.LongType(),
     "prev_fcl_qtr_start_time": T.LongType(), "prev_fcl_qtr_first_mon": T.LongType(),
@@ -40,11 +40,16 @@ def _csv(writer_or_reader, fmt: str):
     return writer_or_reader.options(**CSV_OPTIONS) if fmt == "csv" else writer_or_reader
 
 
-def write_decision_log(decisions: DataFrame, path: str, as_of: int, fmt: str = "csv") -> None:
-    """Write one pass's decision rows (idempotent per pass instant)."""
+def write_decision_log(decisions: DataFrame, path: str, as_of: int | None = None, fmt: str = "csv") -> None:
+    """Write decision rows, one partition per pass instant (idempotent per instant).
+
+    ``as_of`` stamps every row with one pass instant; without it each row's own ``as_of``
+    is its log time (decisions at many instants go to one partition per instant).
+    """
+    t = F.lit(int(as_of)).cast("long") if as_of is not None else F.col("as_of").cast("long")
     out = decisions.select(*schemas.DECISION_COLUMNS).withColumns({
-        "log_date": F.date_format(F.timestamp_seconds(F.lit(int(as_of))), "yyyy-MM-dd"),
-        "log_time": F.lit(int(as_of)).cast("long"),
+        "log_date": F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd"),
+        "log_time": t,
     })
     w = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "log_time")
     _csv(w, fmt).format(fmt).save(path)

@@ -12,6 +12,9 @@ own(r) and T(r, t) and S(s) and C(r, c).  Hence "all rows pass" iff
 ``readiness_rows`` emits exactly these own rows and edge rows, each with ``readiness``
 0 (pass) or 1 (fail, including unknown/null inputs), so the gate is
 ``sum(readiness) = 0`` per job over r + t + s + c rows instead of r*t*s*c.
+
+Everything is keyed by (job_id, as_of), so one call can decide many jobs at many
+instants (the itinerary carries one row per requested (job, instant)).
 """
 
 from __future__ import annotations
@@ -58,9 +61,10 @@ def edge_rule(last_start="last_start_time") -> "F.Column":
 def readiness_rows(itin: DataFrame, state: DataFrame) -> DataFrame:
     """Decision rows (``schemas.DECISION_COLUMNS``): own rows and edge rows with ``readiness``."""
     own = own_rows(itin, state)
-    job_start = own.groupBy(F.col("job_id").alias("_job")).agg(F.max("last_start_time").alias("_job_start"))
+    job_start = own.groupBy(F.col("job_id").alias("_job"), F.col("as_of").alias("_at")).agg(
+        F.max("last_start_time").alias("_job_start"))
     own_out = own.select(
-        "job_id", "pipeline", "state", F.lit("own").alias("row_kind"), "lock_flag", "pipeline_status",
+        "as_of", "job_id", "pipeline", "state", F.lit("own").alias("row_kind"), "lock_flag", "pipeline_status",
         "tz", "spec", "onfail", "last_start_time", "last_end_time",
         "prev_min_exec_time", "next_min_exec_time", "prev_fcl_per_start_time", "prev_fcl_per_first_mon",
         "prev_fcl_qtr_start_time", "prev_fcl_qtr_first_mon",
@@ -70,8 +74,9 @@ def readiness_rows(itin: DataFrame, state: DataFrame) -> DataFrame:
         _flag(own_rule()).alias("readiness"),
     )
     edges = dependency_edges(itin, state)
-    e = edges.join(job_start, edges["job_id"] == job_start["_job"], "inner").select(
-        "job_id", "pipeline", "state", F.col("kind").alias("row_kind"),
+    e = edges.join(job_start, (edges["job_id"] == job_start["_job"]) & (edges["as_of"] == job_start["_at"]),
+                   "inner").select(
+        "as_of", "job_id", "pipeline", "state", F.col("kind").alias("row_kind"),
         F.lit(None).cast("int").alias("lock_flag"), F.lit(None).cast("string").alias("pipeline_status"),
         "tz", "spec", "onfail", F.col("_job_start").alias("last_start_time"),
         F.lit(None).cast("long").alias("last_end_time"),
@@ -84,6 +89,6 @@ def readiness_rows(itin: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def ready_jobs(decisions: DataFrame) -> DataFrame:
-    """Job ids whose decision rows all pass (``sum(readiness) = 0``)."""
-    return (decisions.groupBy("job_id").agg(F.sum("readiness").alias("_fails"))
-            .where(F.col("_fails") == 0).select("job_id"))
+    """(job_id, as_of) of every job whose decision rows at that instant all pass (``sum(readiness) = 0``)."""
+    return (decisions.groupBy("job_id", "as_of").agg(F.sum("readiness").alias("_fails"))
+            .where(F.col("_fails") == 0).select("job_id", "as_of"))

@@ -320,13 +320,13 @@ STEPS.update({
   s.status as dep_status
  from items it left join merged s on trim(it.dependency) = s.pipeline where it.dependency <> ''""",
     "decisions": f"""
- select job_id, pipeline, state, 'own' as row_kind, lock_flag, pipeline_status, tz, spec, onfail, last_start_time,
+ select cast({AS_OF} as bigint) as as_of, job_id, pipeline, state, 'own' as row_kind, lock_flag, pipeline_status, tz, spec, onfail, last_start_time,
   last_end_time, {BOUNDS}, cast(null as varchar) as dependency, source, cast(null as bigint) as dep_start_time,
   cast(null as bigint) as dep_end_time, cast(null as varchar) as dep_status,
   case when {OWN_RULE} then 0 else 1 end as readiness
  from own
  union all
- select e.job_id, i.pipeline, i.state, e.kind as row_kind, cast(null as int) as lock_flag,
+ select cast({AS_OF} as bigint) as as_of, e.job_id, i.pipeline, i.state, e.kind as row_kind, cast(null as int) as lock_flag,
   cast(null as varchar) as pipeline_status, i.tz, i.spec, i.onfail, m.mx as last_start_time,
   cast(null as bigint) as last_end_time, i.prev_min_exec_time, i.next_min_exec_time, i.prev_fcl_per_start_time,
   i.prev_fcl_per_first_mon, i.prev_fcl_qtr_start_time, i.prev_fcl_qtr_first_mon,
@@ -352,12 +352,12 @@ _DEPS.update({
     "own": ["itin", "merged"], "items": ["itin"], "edges": ["items", "merged"],
     "decisions": ["own", "edges", "itin"], "ready": ["itin", "own", "edges"],
 })
-DECISION_COLS = ("job_id, pipeline, state, row_kind, lock_flag, pipeline_status, tz, spec, onfail, last_start_time, "
+DECISION_COLS = ("as_of, job_id, pipeline, state, row_kind, lock_flag, pipeline_status, tz, spec, onfail, last_start_time, "
                  f"last_end_time, {BOUNDS}, dependency, source, dep_start_time, dep_end_time, dep_status, readiness")
 ORACLES.update({
     "dependency_edges": with_ctes(["edges"], "select job_id, kind, dependency, source, dep_start_time, dep_end_time, dep_status from edges"),
     "readiness_rows": with_ctes(["decisions"], f"select {DECISION_COLS} from decisions"),
-    "ready_jobs": with_ctes(["ready"], "select job_id from ready"),
+    "ready_jobs": with_ctes(["ready"], f"select job_id, cast({AS_OF} as bigint) as as_of from ready"),
 })
 
 

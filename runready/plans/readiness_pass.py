@@ -74,6 +74,24 @@ def decide(spark: SparkSession, raw_defs: DataFrame, calendar: DataFrame, curren
     return readiness.readiness_rows(itin, current_state)
 
 
+def decide_at(spark: SparkSession, raw_defs: DataFrame, calendar: DataFrame, current_state: DataFrame,
+              requests: DataFrame, day_rule: str = "and") -> DataFrame:
+    """Decision rows for any number of (job_id, as_of) requests against one state.
+
+    The requests join the definitions on job_id (an equi-join, one itinerary row per
+    request); fire times are computed per distinct (cron, tz, as_of) and fiscal bounds per
+    distinct instant, then joined on those keys.  ``ready_jobs`` of the result gives the
+    (job_id, as_of) pairs that are ready.
+    """
+    defs = definitions.flatten_definitions(raw_defs)
+    req = requests.select("job_id", F.col("as_of").cast("long").alias("as_of")).distinct()
+    jobs = defs.join(req, "job_id", "inner")
+    fires = schedule.cron_fires(jobs, day_rule=day_rule)
+    bounds = fiscal.fiscal_bounds(calendar, req.select("as_of"))
+    itin = dependencies.itinerary(jobs, fires, bounds)
+    return readiness.readiness_rows(itin, current_state)
+
+
 def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame, calendar: DataFrame,
                    state_root: str, log_path: str, as_of: int, external: DataFrame | None = None,
                    version: int | None = None, initial_state: DataFrame | None = None,

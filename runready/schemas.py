@@ -97,9 +97,9 @@ INVOCATION_COLUMNS = [f.name for f in INVOCATION.fields]
 DEFINITION_COLUMNS = ["job_id", "created_time", "pipeline", "state", "max_concurrent_runs", "cron", "tz",
                       "spec", "onfail", "sdep", "tdep", "cdep"]
 
-# Decision rows: one row per own-state row and per dependency edge of every job.
+# Decision rows: one row per own-state row and per dependency edge of every (job, instant).
 DECISION_COLUMNS = [
-    "job_id", "pipeline", "state", "row_kind", "lock_flag", "pipeline_status", "tz", "spec", "onfail",
+    "as_of", "job_id", "pipeline", "state", "row_kind", "lock_flag", "pipeline_status", "tz", "spec", "onfail",
     "last_start_time", "last_end_time", "prev_min_exec_time", "next_min_exec_time",
     "prev_fcl_per_start_time", "prev_fcl_per_first_mon", "prev_fcl_qtr_start_time", "prev_fcl_qtr_first_mon",
     "dependency", "source", "dep_start_time", "dep_end_time", "dep_status", "readiness",

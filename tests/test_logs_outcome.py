@@ -11,7 +11,7 @@ from runready.operators import logs, outcome
 
 
 def _decisions(spark, n=3):
-    data = [(i, f"p{i}", "active", "own", 0, None, "UTC", "None", "hold", 10, 0, 20, 30, 1, 2, 3, 4,
+    data = [(1706702400, i, f"p{i}", "active", "own", 0, None, "UTC", "None", "hold", 10, 0, 20, 30, 1, 2, 3, 4,
              " dep|with\"quote", "", None, None, None, i % 2) for i in range(n)]
     return spark.createDataFrame(data, T.StructType(logs.DECISION_LOG.fields[:-2]))
 

@@ -22,5 +22,5 @@ def test_every_query_has_an_oracle():
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.columns == ["job_id"]
+    assert df.columns == ["job_id", "as_of"]
     assert df.count() > 0

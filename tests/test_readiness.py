@@ -85,7 +85,7 @@ def test_decision_rows_are_own_plus_edges(spark):
 
 NAMES = ["a", "b", "c", " a", "", "zz"]
 ITIN = T.StructType([T.StructField(n, t) for n, t in [
-    ("job_id", T.LongType()), ("created_time", T.LongType()), ("pipeline", T.StringType()),
+    ("as_of", T.LongType()), ("job_id", T.LongType()), ("created_time", T.LongType()), ("pipeline", T.StringType()),
     ("state", T.StringType()), ("tz", T.StringType()), ("spec", T.StringType()), ("onfail", T.StringType()),
     ("tdep", T.StringType()), ("sdep", T.StringType()), ("cdep", T.StringType()),
     ("prev_min_exec_time", T.LongType()), ("next_min_exec_time", T.LongType()),
@@ -108,7 +108,7 @@ def product_gate(itin, state):
 
     ready = set()
     for j in itin:
-        (jid, created, pipe, st_, _tz, spec, onfail, tdep, sdep, cdep, pm, _nm, ps, pf, qs, qf) = j
+        (_at, jid, created, pipe, st_, _tz, spec, onfail, tdep, sdep, cdep, pm, _nm, ps, pf, qs, qf) = j
         ok = True
         for r in match(pipe):
             lock = r[2] if r else None
@@ -150,7 +150,7 @@ def _random_case(seed):
     state = [(i, pick(["p", "q"]), pick(["0", "0", "1", None, "x"]), pick(["SUCCESS", "SUCCESS", "FAILED", "RUNNING", None]),
               pick(NAMES[:4] + ["zz"]), pick([None, 5, 10, 15, 20]), pick([None, 8, 12, 18, 25]))
              for i in range(rnd.randint(0, 9))]
-    itin = [(j, pick([None, 3000, 9000, 30000]), pick(NAMES), pick(["active", "active", "paused"]), "UTC",
+    itin = [(100, j, pick([None, 3000, 9000, 30000]), pick(NAMES), pick(["active", "active", "paused"]), "UTC",
              pick(["None", "None", "fy_per_d1", "fy_qtr_1st_monday", "none"]), pick(["hold", "pass"]),
              dep_list(), dep_list(), dep_list(), pick([14, 30, None]), 40, pick([9, 30]), 11, 16, pick([2, 21]))
             for j in range(rnd.randint(1, 25))]
@@ -165,3 +165,24 @@ def test_factored_gate_equals_product_form(spark, seed):
     sdf = state_df(spark, state)
     got = {r[0] for r in rows(readiness.ready_jobs(readiness.readiness_rows(idf, sdf)))}
     assert got == product_gate(itin, state)
+
+
+def test_decide_at_many_instants_equals_scalar_passes(spark):
+    from pyspark.sql import functions as F
+
+    from runready.plans.readiness_pass import decide, decide_at
+    jobs = [{"job_id": i, "name": f"job{i}", "state": "active", "cron": c, "spec": sp, "tdep": td}
+            for i, (c, sp, td) in enumerate([("0 6 * * *", None, None), ("*/15 * * * *", "fy_per_d1", None),
+                                              ("30 2 1 * *", None, "up_ok"), ("0 0 * * 1", "fy_qtr_1st_monday", "up_old"),
+                                              (None, None, "up_ok,up_two")], start=1)]
+    own = [(i, "p", "0", "SUCCESS", f"job{i}", START - 40000 * i, START) for i in range(1, 6)]
+    defs = raw_defs(spark, jobs)
+    st_ = state_df(spark, UP + own)
+    cal = fx.fx_calendar(spark)
+    instants = [AS_OF, AS_OF - 3 * 86400, AS_OF - 10 * 86400]
+    req = spark.createDataFrame([(j["job_id"], t) for j in jobs for t in instants], "job_id long, as_of long")
+    many = rows(readiness.ready_jobs(decide_at(spark, defs, cal, st_, req)))
+    one = sorted(r for t in instants for r in rows(readiness.ready_jobs(decide(spark, defs, cal, st_, t))))
+    assert many == one and len({r[1] for r in many}) >= 2
+    dec = decide_at(spark, defs, cal, st_, req)
+    assert dec.select("as_of").distinct().count() == 3 and dec.where(F.col("prev_min_exec_time").isNull()).count() == 0
