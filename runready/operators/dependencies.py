@@ -17,23 +17,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import MAX_BROADCAST_ROWS
+
 # Dependency kinds and the definition tag each one comes from.
 DEPENDENCY_KINDS = [("trigger", "tdep"), ("status", "sdep"), ("completed", "cdep")]
 
 
-def itinerary(defs: DataFrame, fires: DataFrame, bounds, as_of: int | None = None) -> DataFrame:
+def itinerary(defs: DataFrame, fires: DataFrame, bounds, as_of: int | None = None,
+              jobs_bound: int | None = None) -> DataFrame:
     """Definitions with their schedule and fiscal bounds.
 
     ``fires`` is ``cron_fires`` output.  With a scalar ``as_of`` every job is evaluated at
     that instant: ``fires`` must be computed at it and is joined on (cron, tz), and
     ``bounds`` is the dict of ``fiscal_bounds_at``, attached as constants.  Without it,
     ``defs`` carries an ``as_of`` column, ``bounds`` is ``fiscal_bounds`` output, and both
-    are joined on their keys (cron, tz, as_of) and (as_of).
+    are joined on their keys (cron, tz, as_of) and (as_of).  The fire table has at most one
+    row per job; with ``jobs_bound`` (the definition count) at most ``MAX_BROADCAST_ROWS``
+    it is broadcast.
     """
     names = {"fcl_per_start_time": "prev_fcl_per_start_time", "fcl_per_first_mon": "prev_fcl_per_first_mon",
              "fcl_qtr_start_time": "prev_fcl_qtr_start_time", "fcl_qtr_first_mon": "prev_fcl_qtr_first_mon"}
     f = fires.select("cron", "tz", "as_of", F.col("prev_fire").alias("prev_min_exec_time"),
                      F.col("next_fire").alias("next_min_exec_time"))
+    if jobs_bound is not None and jobs_bound <= MAX_BROADCAST_ROWS:
+        f = F.broadcast(f)
     if as_of is not None:
         it = defs.join(f.drop("as_of"), ["cron", "tz"], "left")
         return it.withColumns({"as_of": F.lit(int(as_of)).cast("long"),

@@ -101,10 +101,9 @@ def pass_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def pass_itinerary(spark: SparkSession, sf: str) -> DataFrame:
     """Every orchestrated job with its schedule and fiscal bounds at the fixture instant."""
+    from .readiness_pass import build_itinerary
     defs = _defs(spark, sf)
-    fires = schedule.cron_fires(defs, as_of=fx.AS_OF)
-    bounds = fiscal.fiscal_bounds_at(fx.fx_calendar(spark), fx.AS_OF)
-    return dependencies.itinerary(defs, fires, bounds, as_of=fx.AS_OF)
+    return build_itinerary(defs, fx.fx_calendar(spark), fx.AS_OF, jobs_bound=defs.count())
 
 
 def q_dependency_edges(spark: SparkSession, sf: str) -> DataFrame:

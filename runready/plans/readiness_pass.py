@@ -63,15 +63,20 @@ def new_state_rows(raw_defs: DataFrame, raw_runs: DataFrame, old_state: DataFram
     return state.combine_runs(*parts)
 
 
+def build_itinerary(defs: DataFrame, calendar: DataFrame, as_of: int, day_rule: str = "and",
+                    jobs_bound: int | None = None) -> DataFrame:
+    """Every job with its fire times and fiscal bounds at ``as_of`` (one row per job)."""
+    fires = schedule.cron_fires(defs, as_of=as_of, day_rule=day_rule)
+    bounds = fiscal.fiscal_bounds_at(calendar, as_of)
+    return dependencies.itinerary(defs, fires, bounds, as_of=as_of, jobs_bound=jobs_bound)
+
+
 def decide(spark: SparkSession, raw_defs: DataFrame, calendar: DataFrame, current_state: DataFrame, as_of: int,
            day_rule: str = "and", defs: DataFrame | None = None) -> DataFrame:
     """Decision rows of every orchestrated job at ``as_of`` against ``current_state``."""
     if defs is None:
         defs = definitions.flatten_definitions(raw_defs)
-    fires = schedule.cron_fires(defs, as_of=as_of, day_rule=day_rule)
-    bounds = fiscal.fiscal_bounds_at(calendar, as_of)
-    itin = dependencies.itinerary(defs, fires, bounds, as_of=as_of)
-    return readiness.readiness_rows(itin, current_state)
+    return readiness.readiness_rows(build_itinerary(defs, calendar, as_of, day_rule), current_state)
 
 
 def decide_at(spark: SparkSession, raw_defs: DataFrame, calendar: DataFrame, current_state: DataFrame,
@@ -132,8 +137,13 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
         state.write_state(state.merge_state(old, rows), state_root, version, hwm_ms=int(as_of) * 1000,
                           extras=extras)
         current = state.read_state(spark, state_root, version)
-        logs.write_decision_log(decide(spark, raw_defs, calendar, current, as_of, day_rule, defs=defs), log_path,
-                                as_of, log_format)
+        # the itinerary (one row per job, with its cron search) feeds both the own rows and
+        # the edges; it is computed once and kept until the log is written
+        itin = build_itinerary(defs, calendar, as_of, day_rule, jobs_bound=n_jobs).persist()
+        try:
+            logs.write_decision_log(readiness.readiness_rows(itin, current), log_path, as_of, log_format)
+        finally:
+            itin.unpersist()
     finally:
         defs.unpersist()
     logged = logs.read_decision_log(spark, log_path, log_format).where(F.col("log_time") == F.lit(int(as_of)))
