@@ -1,8 +1,9 @@
 """O2 cron_fires: previous and next fire time of a cron schedule in its zone.
 
 For every distinct (cron, tz, as_of) the schedule is expanded into allowed-value arrays
-(``runready.functions.cron``) and searched with array expressions, all inside one
-projection (whole-stage codegen, no Python):
+(``runready.functions.cron``) and searched with array expressions — JVM expressions, no
+Python (the higher-order ``filter``/``transform`` calls are evaluated per row rather
+than compiled into the surrounding whole-stage code):
 
 * the as-of instant is turned into local wall time in ``tz``;
 * on the local day itself, the last (first) allowed minute strictly before (after) the

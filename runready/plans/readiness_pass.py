@@ -8,8 +8,9 @@ read(defs, runs, external, calendar, state@v)
   -> cron_fires + fiscal_bounds -> itinerary -> readiness_rows
   -> decision log partition for this instant -> ready_jobs read from that partition.
 
-Nothing is collected to the driver except the one-row checkpoint.  The instant is an
-argument, so a pass is deterministic and can be replayed: state versions and the log
+Only single values reach the driver: the definition count, the checkpoint, the four
+fiscal bounds and the scan bounds of the carry-over and active-run reads.  The instant is
+an argument, so a pass is deterministic and can be replayed: state versions and the log
 partition are overwritten, not appended.
 """
 
