@@ -1,7 +1,7 @@
 """Run-log operators: O4 normalize_runs, O5 select_runs, O6 open_slots, O7 latest_run, O8 lock_status.
 
 Scale notes.  The run log is the table that grows (billions of runs, one job may own a
-third of them).  No window over ``job_id`` is used: every "per job" step is a hash
+third of them).  No window runs over the log: every "per job" step on it is a hash
 aggregate of a primitive column (``max``, ``count``) with a map-side partial, so a hot
 job costs one partial row per map task.  "The rows holding the maximum" are found by
 joining the log to that per-job table on (job_id, value): when the number of jobs is
@@ -14,7 +14,7 @@ de-duplicated with a map-side partial before any per-job step on them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -170,8 +170,12 @@ def latest_run(runs: DataFrame, jobs_bound: int | None = None, running_first: bo
     if running_first:
         key = "_end_rank"
         ended = ended.withColumn(key, F.when(F.col("end_time") == 0, F.lit(2**63 - 1)).otherwise(F.col("end_time")))
+    # survivors: the distinct runs tied at their job's greatest end (copies collapse map-side)
     at_end = rows_at_max(ended, "job_id", key, jobs_bound).select(*runs.columns).distinct()
-    return rows_at_max(at_end, "job_id", "start_time", jobs_bound).select(*runs.columns)
+    # the start tie-break looks only at the survivors; a window keeps them referenced once,
+    # so the log itself is read twice in all (per-job aggregate + probe)
+    top = F.max("start_time").over(Window.partitionBy("job_id"))
+    return at_end.withColumn("_ms", top).where(F.col("start_time") == F.col("_ms")).select(*runs.columns)
 
 
 def lock_status(latest: DataFrame, slots: DataFrame | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ def test_readiness_plans_stay_in_the_jvm(spark):
 
 def test_latest_run_uses_aggregates_not_windows(spark):
     plan = _plan(catalog.q_latest_run(spark, SMOKE))
-    assert "Window" not in plan and "HashAggregate" in plan
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 
 def test_high_water_mark_is_pushed_to_the_scan(spark):
@@ -70,3 +70,24 @@ def test_carry_over_bound_is_pushed_to_the_scan(spark):
     old = state_df(spark, [(1, "p", "1", "RUNNING", "a", 7, None)])
     plan = _plan(runs.select_runs(readers.read_runs(spark, path, fmt="parquet"), old, hwm_ms=9000))
     assert "GreaterThanOrEqual(start_time,7000)" in plan and "GreaterThanOrEqual(start_time,9000)" in plan
+
+
+def test_hot_job_latest_run_is_exact_and_not_shuffled_by_job(spark):
+    """One job owns a third of the log: the per-job max is a partial aggregate and the
+    join back is a broadcast, so the log is never hash-partitioned by job_id alone."""
+    from pyspark.sql import functions as F
+    n = 30000
+    log = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 1000 + 100).alias("job_id"),
+        F.lit("s").alias("source"), F.lit("TERMINATED").alias("state"), F.lit("SUCCESS").alias("status"),
+        F.lit("p").alias("pipeline"), (F.col("id") * 10).alias("start_time"), (F.col("id") * 10 + 5).alias("end_time"))
+    latest = runs.latest_run(log, jobs_bound=1001)
+    plan = _plan(latest)
+    lines = plan.splitlines()
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
+    assert sum("Range (" in ln for ln in lines) == 2                       # the log is read twice
+    for i, ln in enumerate(lines):                                         # job_id shuffles carry partials only
+        if "Exchange hashpartitioning(job_id" in ln:
+            assert "partial_max" in lines[i + 1] or "HashAggregate(keys=[" in lines[i + 1], ln
+    got = {r.job_id: r.start_time for r in latest.collect()}
+    assert got[7] == (n - 3) * 10 and len(got) == 1001
