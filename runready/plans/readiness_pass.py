@@ -50,11 +50,8 @@ def new_state_rows(raw_defs: DataFrame, raw_runs: DataFrame, old_state: DataFram
         defs = definitions.flatten_definitions(raw_defs)
     if n_jobs is None:
         n_jobs = defs.count()
-    ids = defs.select("job_id")
-    ids = F.broadcast(ids) if n_jobs <= MAX_BROADCAST_ROWS else ids
     if selected is None:
-        selected = runs.select_runs(raw_runs.join(ids, "job_id", "left_semi"), old_state, hwm_ms, carry_over,
-                                    jobs_bound=n_jobs)
+        selected = select_defined_runs(raw_runs, defs, n_jobs, old_state, hwm_ms, carry_over)
     latest = runs.latest_run(runs.normalize_runs(selected, defs, jobs_bound=n_jobs), jobs_bound=n_jobs)
     slots = (runs.open_slots(slot_runs if slot_runs is not None else raw_runs, defs, jobs_bound=n_jobs)
              if release_slots else None)
@@ -64,6 +61,15 @@ def new_state_rows(raw_defs: DataFrame, raw_runs: DataFrame, old_state: DataFram
     return state.combine_runs(*parts)
 
 
+def select_defined_runs(raw_runs: DataFrame, defs: DataFrame, n_jobs: int, old_state: DataFrame,
+                        hwm_ms: int | None, carry_over: str = "reference") -> DataFrame:
+    """``select_runs`` over the runs of defined jobs (the others would be dropped later anyway)."""
+    ids = defs.select("job_id")
+    ids = F.broadcast(ids) if n_jobs <= MAX_BROADCAST_ROWS else ids
+    return runs.select_runs(raw_runs.join(ids, "job_id", "left_semi"), old_state, hwm_ms, carry_over,
+                            jobs_bound=n_jobs)
+
+
 def build_itinerary(defs: DataFrame, calendar: DataFrame, as_of: int, day_rule: str = "and",
                     jobs_bound: int | None = None) -> DataFrame:
     """Every job with its fire times and fiscal bounds at ``as_of`` (one row per job)."""
@@ -131,8 +137,14 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
     # the definitions are read once per pass and kept for its six uses (count, run filter,
     # names, open slots, schedules, itinerary); they are dimension-sized
     defs = definitions.flatten_definitions(raw_defs).persist()
+    kept = [defs]
     try:
         n_jobs = defs.count()
+        if selected is None:
+            # the selection is small (runs since the mark + one per carried job, or one per
+            # job on a full load) and is read twice by latest_run: keep it for the pass
+            selected = select_defined_runs(raw_runs, defs, n_jobs, old, hwm, carry_over).persist()
+            kept.append(selected)
         rows = new_state_rows(raw_defs, raw_runs, old, hwm, external, selected, slot_runs, release_slots, carry_over,
                               defs=defs, n_jobs=n_jobs)
         state.write_state(state.merge_state(old, rows), state_root, version, hwm_ms=int(as_of) * 1000,
@@ -146,6 +158,7 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
         finally:
             itin.unpersist()
     finally:
-        defs.unpersist()
+        for df in kept:
+            df.unpersist()
     logged = logs.read_decision_log(spark, log_path, log_format).where(F.col("log_time") == F.lit(int(as_of)))
     return PassResult(version, int(as_of), hwm, current, logged, readiness.ready_jobs(logged))
