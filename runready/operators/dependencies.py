@@ -56,14 +56,18 @@ def _state_lookup(state: DataFrame, prefix: str) -> DataFrame:
         F.col("end_time").alias(f"{prefix}_end_time"))
 
 
-def own_rows(itin: DataFrame, state: DataFrame) -> DataFrame:
+def _maybe_broadcast(df: DataFrame, state_rows: int | None) -> DataFrame:
+    return F.broadcast(df) if state_rows is not None and state_rows <= MAX_BROADCAST_ROWS else df
+
+
+def own_rows(itin: DataFrame, state: DataFrame, state_rows: int | None = None) -> DataFrame:
     """One row per (job, state row of its trimmed name); a job without state keeps one row.
 
     lock_flag: the state lock as an integer, 0 when missing or not a number.  A job that
     never ran counts its creation time (ms, floored to s) as its last start and 0 as its
     last end.
     """
-    st = _state_lookup(state, "own")
+    st = _maybe_broadcast(_state_lookup(state, "own"), state_rows)
     j = itin.join(st, F.trim(itin["pipeline"]) == st["own_key"], "left")
     return j.select(
         *[c for c in itin.columns],
@@ -87,13 +91,14 @@ def dependency_items(itin: DataFrame) -> DataFrame:
             .where(F.col("dependency") != F.lit("")))
 
 
-def dependency_edges(itin: DataFrame, state: DataFrame) -> DataFrame:
+def dependency_edges(itin: DataFrame, state: DataFrame, state_rows: int | None = None) -> DataFrame:
     """Items joined to their upstream's state rows (left join: an unknown upstream keeps nulls).
 
-    A heavily shared upstream is a hot key on the item side; the state side is one row per
-    (pipeline, source), so AQE either broadcasts it or splits the hot item partitions.
+    A heavily shared upstream is a hot key on the item side.  With ``state_rows`` (the
+    state's row count) at most ``MAX_BROADCAST_ROWS`` the state is broadcast, so no task
+    holds a hot key; beyond it the join shuffles and AQE splits skewed item partitions.
     """
-    st = _state_lookup(state, "dep")
+    st = _maybe_broadcast(_state_lookup(state, "dep"), state_rows)
     items = dependency_items(itin)
     j = items.join(st, F.trim(items["dependency"]) == st["dep_key"], "left")
     return j.drop("dep_key", "dep_lock")

@@ -107,12 +107,14 @@ def pass_itinerary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_dependency_edges(spark: SparkSession, sf: str) -> DataFrame:
-    edges = dependencies.dependency_edges(_defs(spark, sf), pass_state(spark, sf))
+    st = pass_state(spark, sf)
+    edges = dependencies.dependency_edges(_defs(spark, sf), st, st.count())
     return edges.select("job_id", "kind", "dependency", "source", "dep_start_time", "dep_end_time", "dep_status")
 
 
 def q_readiness_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return readiness.readiness_rows(pass_itinerary(spark, sf), pass_state(spark, sf))
+    st = pass_state(spark, sf)
+    return readiness.readiness_rows(pass_itinerary(spark, sf), st, st.count())
 
 
 def q_ready_jobs(spark: SparkSession, sf: str) -> DataFrame:

@@ -154,7 +154,9 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
         # the edges; it is computed once and kept until the log is written
         itin = build_itinerary(defs, calendar, as_of, day_rule, jobs_bound=n_jobs).persist()
         try:
-            logs.write_decision_log(readiness.readiness_rows(itin, current), log_path, as_of, log_format)
+            # the state was just written: its row count (Parquet metadata) bounds the lookups
+            logs.write_decision_log(readiness.readiness_rows(itin, current, current.count()), log_path, as_of,
+                                    log_format)
         finally:
             itin.unpersist()
     finally:
