@@ -66,10 +66,10 @@ def readiness_stream(spark: SparkSession, runs_dir: str, raw_defs: DataFrame, ca
         try:
             base = max([v for v in st.state_versions(spark, state_root) if v < version], default=None)
             prev_active = st.read_extra(spark, state_root, base, ACTIVE, schemas.RAW_RUN)
-            active = runs_ops.active_runs(prev_active, batch)
+            # written into the (uncommitted) version first, then read back for the slot count
+            active = st.write_extra(runs_ops.active_runs(prev_active, batch), state_root, version, ACTIVE)
             readiness_pass(spark, raw_defs, batch, calendar, state_root, log_path, as_of, external=external,
-                           version=version, selected=batch, slot_runs=active, release_slots=release_slots,
-                           extras={ACTIVE: active})
+                           version=version, selected=batch, slot_runs=active, release_slots=release_slots)
         finally:
             batch.unpersist()
 
