@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..operators import runs, state
 from ..sources import fixtures as fx
 from . import catalog
-from .readiness_pass import decide, new_state_rows
+from ..session import shared_path
+from .readiness_pass import new_state_rows, readiness_pass
 
 
 def fx_order_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,8 +49,13 @@ def q_bench_order_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_bench_order_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Decision rows of every job against the order-derived state."""
-    return decide(spark, fx.fx_defs(spark, sf), fx.fx_calendar(spark), q_bench_order_state(spark, sf), fx.AS_OF)
+    """A whole pass over the order run log (full load: no checkpoint yet): state v1, decision log,
+    and the logged decision rows read back."""
+    base = shared_path(spark, "bench_pass")
+    result = readiness_pass(spark, fx.fx_defs(spark, sf), fx_order_runs(spark, sf), fx.fx_calendar(spark),
+                            f"{base}/state", f"{base}/log", fx.AS_OF, external=fx.fx_external(spark, sf),
+                            initial_state=fx.fx_state_old(spark, sf))
+    return result.decisions
 
 
 def bench_queries():
