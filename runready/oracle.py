@@ -381,7 +381,7 @@ ORACLES.update({
     "decision_log": with_ctes(["decisions"], f"""
  select {DECISION_COLS}, '2024-01-31' as log_date, cast({AS_OF} as bigint) as log_time from decisions"""),
     "invocation_log": with_ctes(["fx_invocations"], """
- select *, strftime(to_timestamp(start_time // 1000), '%Y%m') as yyyymm from fx_invocations"""),
+ select *, strftime(epoch_ms(start_time), '%Y%m') as yyyymm from fx_invocations"""),
     "expire_log": with_ctes(["fx_runs"], f"""
  select run_id, job_id, cast(floor(start_time / 1000.0) as bigint) as log_time from fx_runs
  where cast(floor(start_time / 1000.0) as bigint) * 1000 > {AS_OF * 1000 - 10 * 86400 * 1000}"""),

@@ -50,7 +50,7 @@ def compare(spark, sf_dir: str, name: str, fn, sql: str | None) -> dict:
         out["status"] = "rows-only"
         return out
     con = duckdb.connect()
-    con.execute("SET TimeZone='UTC'")
+    con.execute(f"SET TimeZone='{os.environ.get('ORACLE_TZ', 'UTC')}'")
     for t in TABLES:
         p = f"{sf_dir}/{t}.parquet"
         if os.path.exists(p):
