@@ -1,20 +1,60 @@
-"""Join helpers: broadcast only behind a size check, with a shuffle join beyond it."""
+"""Join helpers: broadcast only behind a size check, with a shuffle join beyond it.
+
+A table is broadcast when (row count) x (estimated row width) fits ``MAX_BROADCAST_BYTES``.
+The row count is either a proven bound the caller knows (the definition count bounds every
+per-job table) or a count taken on the small side itself.  The width comes from the
+schema, counting strings and other variable-size values conservatively.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Budget for one broadcast table, in bytes (it is shipped to every executor).
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# Width assumed for a string / binary value, in bytes.
+VARIABLE_WIDTH = 64
+# Per-row overhead of a hashed relation, in bytes.
+ROW_OVERHEAD = 16
+# Rows counted before giving up on broadcasting a table of unknown size.
+MAX_COUNTED_ROWS = 4_000_000
+
+
+def row_width(schema: T.StructType) -> int:
+    """Estimated bytes per row of ``schema``."""
+    def width(t: T.DataType) -> int:
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            return VARIABLE_WIDTH
+        if isinstance(t, T.StructType):
+            return sum(width(f.dataType) for f in t.fields)
+        if isinstance(t, (T.ArrayType, T.MapType)):
+            return 4 * VARIABLE_WIDTH
+        if isinstance(t, (T.IntegerType, T.FloatType, T.DateType)):
+            return 4
+        if isinstance(t, (T.ShortType,)):
+            return 2
+        if isinstance(t, (T.ByteType, T.BooleanType, T.NullType)):
+            return 1
+        if isinstance(t, T.DecimalType):
+            return 16
+        return 8                                   # long, double, timestamps, intervals
+    return ROW_OVERHEAD + sum(width(f.dataType) for f in schema.fields)
+
+
+def fits_broadcast(n_rows: int | None, df: DataFrame) -> bool:
+    """Whether ``n_rows`` rows of ``df``'s schema fit the broadcast budget (None: unknown, no)."""
+    return n_rows is not None and n_rows * row_width(df.schema) <= MAX_BROADCAST_BYTES
 
-# Largest dimension (in rows) this package broadcasts on its own; above it the join is
-# left to the planner (sort-merge, AQE skew splitting).
-MAX_BROADCAST_ROWS = 2_000_000
 
+def broadcast_within(df: DataFrame, n_rows: int | None) -> DataFrame:
+    """``broadcast(df)`` when ``n_rows`` (a proven bound on its rows) fits the budget, else ``df``."""
+    return F.broadcast(df) if fits_broadcast(n_rows, df) else df
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The check is a ``limit(max_rows + 1).count()`` on the small side only, so it reads at
-    most ``max_rows + 1`` rows whatever the table's size.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Count the small side (reading at most a bounded number of rows) and broadcast it if it fits."""
+    limit = min(MAX_COUNTED_ROWS, MAX_BROADCAST_BYTES // row_width(df.schema))
+    n = df.limit(limit + 1).count()
+    return F.broadcast(df) if n <= limit else df

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import MAX_BROADCAST_ROWS
+from ..functions.joins import broadcast_within
 
 # Dependency kinds and the definition tag each one comes from.
 DEPENDENCY_KINDS = [("trigger", "tdep"), ("status", "sdep"), ("completed", "cdep")]
@@ -32,15 +32,14 @@ def itinerary(defs: DataFrame, fires: DataFrame, bounds, as_of: int | None = Non
     ``bounds`` is the dict of ``fiscal_bounds_at``, attached as constants.  Without it,
     ``defs`` carries an ``as_of`` column, ``bounds`` is ``fiscal_bounds`` output, and both
     are joined on their keys (cron, tz, as_of) and (as_of).  The fire table has at most one
-    row per job; with ``jobs_bound`` (the definition count) at most ``MAX_BROADCAST_ROWS``
-    it is broadcast.
+    row per job; it is broadcast when ``jobs_bound`` (the definition count) rows fit the
+    broadcast budget.
     """
     names = {"fcl_per_start_time": "prev_fcl_per_start_time", "fcl_per_first_mon": "prev_fcl_per_first_mon",
              "fcl_qtr_start_time": "prev_fcl_qtr_start_time", "fcl_qtr_first_mon": "prev_fcl_qtr_first_mon"}
     f = fires.select("cron", "tz", "as_of", F.col("prev_fire").alias("prev_min_exec_time"),
                      F.col("next_fire").alias("next_min_exec_time"))
-    if jobs_bound is not None and jobs_bound <= MAX_BROADCAST_ROWS:
-        f = F.broadcast(f)
+    f = broadcast_within(f, jobs_bound)
     if as_of is not None:
         it = defs.join(f.drop("as_of"), ["cron", "tz"], "left")
         return it.withColumns({"as_of": F.lit(int(as_of)).cast("long"),
@@ -57,7 +56,7 @@ def _state_lookup(state: DataFrame, prefix: str) -> DataFrame:
 
 
 def _maybe_broadcast(df: DataFrame, state_rows: int | None) -> DataFrame:
-    return F.broadcast(df) if state_rows is not None and state_rows <= MAX_BROADCAST_ROWS else df
+    return broadcast_within(df, state_rows)
 
 
 def own_rows(itin: DataFrame, state: DataFrame, state_rows: int | None = None) -> DataFrame:
@@ -94,9 +93,9 @@ def dependency_items(itin: DataFrame) -> DataFrame:
 def dependency_edges(itin: DataFrame, state: DataFrame, state_rows: int | None = None) -> DataFrame:
     """Items joined to their upstream's state rows (left join: an unknown upstream keeps nulls).
 
-    A heavily shared upstream is a hot key on the item side.  With ``state_rows`` (the
-    state's row count) at most ``MAX_BROADCAST_ROWS`` the state is broadcast, so no task
-    holds a hot key; beyond it the join shuffles and AQE splits skewed item partitions.
+    A heavily shared upstream is a hot key on the item side.  When ``state_rows`` (the
+    state's row count) fits the broadcast budget the state is broadcast, so no task holds
+    a hot key; beyond it the join shuffles and AQE splits skewed item partitions.
     """
     st = _maybe_broadcast(_state_lookup(state, "dep"), state_rows)
     items = dependency_items(itin)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import vocab
-from ..functions.joins import MAX_BROADCAST_ROWS, broadcast_if_small
+from ..functions.joins import broadcast_if_small, broadcast_within
 
 
 def is_terminal(state_col) -> "F.Column":
@@ -38,9 +38,9 @@ def normalize_runs(raw_runs: DataFrame, defs: DataFrame, source: str = vocab.PLA
 
     ``status`` is the result state, or the life-cycle state while there is no result.
     The inner join to the definitions keeps runs of orchestrated jobs only and adds the
-    pipeline name.  Definitions are one row per job: with ``jobs_bound`` (their row count)
-    at most ``MAX_BROADCAST_ROWS`` they are broadcast, otherwise the join is left to the
-    planner (AQE broadcasts or splits skewed partitions at run time).
+    pipeline name.  Definitions are one row per job: when ``jobs_bound`` (their row count)
+    fits the broadcast budget they are broadcast, otherwise the join is left to the planner
+    (AQE broadcasts or splits skewed partitions at run time).
     """
     runs = raw_runs.select(
         "job_id",
@@ -48,9 +48,7 @@ def normalize_runs(raw_runs: DataFrame, defs: DataFrame, source: str = vocab.PLA
         F.coalesce(F.col("state.result_state"), F.col("state.life_cycle_state")).alias("status"),
         "start_time", "end_time",
     )
-    names = defs.select("job_id", "pipeline")
-    if jobs_bound is not None and jobs_bound <= MAX_BROADCAST_ROWS:
-        names = F.broadcast(names)
+    names = broadcast_within(defs.select("job_id", "pipeline"), jobs_bound)
     return runs.join(names, "job_id", "inner").select(
         "job_id", F.lit(source).alias("source"), "state", "status", "pipeline",
         _floor_sec("start_time").alias("start_time"), _floor_sec("end_time").alias("end_time"),
@@ -63,11 +61,9 @@ def rows_at_max(df: DataFrame, key: str, col: str, jobs_bound: int | None = None
 
     ``null_safe``: a key whose values are all null keeps its null rows (otherwise it drops
     out, as an equi-join on null does).  ``jobs_bound``: an upper bound on the number of
-    keys; the per-key table is broadcast when it is at most ``MAX_BROADCAST_ROWS``.
+    keys; the per-key table is broadcast when that many rows fit the broadcast budget.
     """
-    m = df.groupBy(F.col(key).alias("_k")).agg(F.max(col).alias("_m"))
-    if jobs_bound is not None and jobs_bound <= MAX_BROADCAST_ROWS:
-        m = F.broadcast(m)
+    m = broadcast_within(df.groupBy(F.col(key).alias("_k")).agg(F.max(col).alias("_m")), jobs_bound)
     eq = F.col(col).eqNullSafe(F.col("_m")) if null_safe else (F.col(col) == F.col("_m"))
     return df.join(m, (F.col(key) == F.col("_k")) & eq, "inner").drop("_k", "_m")
 
@@ -147,9 +143,8 @@ def open_slots(raw_runs: DataFrame, defs: DataFrame, jobs_bound: int | None = No
         raw_runs.where(lc.isNull() | ~is_terminal(lc))          # pushable to the scan (nested field)
         .groupBy("job_id").agg(F.count(F.lit(1)).alias("active_runs"))
     )
-    multi = defs.where(F.col("max_concurrent_runs") > 1).select("job_id", "max_concurrent_runs")
-    if jobs_bound is not None and jobs_bound <= MAX_BROADCAST_ROWS:
-        multi = F.broadcast(multi)
+    multi = broadcast_within(defs.where(F.col("max_concurrent_runs") > 1).select("job_id", "max_concurrent_runs"),
+                             jobs_bound)
     return multi.join(active, "job_id", "inner").select(
         "job_id", "max_concurrent_runs", "active_runs",
         (F.col("max_concurrent_runs") - F.least(F.col("active_runs"), F.col("max_concurrent_runs")))

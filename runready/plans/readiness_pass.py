@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.joins import MAX_BROADCAST_ROWS
+from ..functions.joins import broadcast_within
 from ..operators import definitions, dependencies, fiscal, logs, readiness, runs, schedule, state
 
 
@@ -64,8 +64,7 @@ def new_state_rows(raw_defs: DataFrame, raw_runs: DataFrame, old_state: DataFram
 def select_defined_runs(raw_runs: DataFrame, defs: DataFrame, n_jobs: int, old_state: DataFrame,
                         hwm_ms: int | None, carry_over: str = "reference") -> DataFrame:
     """``select_runs`` over the runs of defined jobs (the others would be dropped later anyway)."""
-    ids = defs.select("job_id")
-    ids = F.broadcast(ids) if n_jobs <= MAX_BROADCAST_ROWS else ids
+    ids = broadcast_within(defs.select("job_id"), n_jobs)
     return runs.select_runs(raw_runs.join(ids, "job_id", "left_semi"), old_state, hwm_ms, carry_over,
                             jobs_bound=n_jobs)
 
