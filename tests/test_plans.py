@@ -9,6 +9,7 @@ from runready.plans import catalog
 from runready.sources import readers
 
 SMOKE = "/root/testdata/sf0.001"
+SCALE = "/root/testdata/sf0.1"
 BAD = ["BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"]
 
 
@@ -17,8 +18,10 @@ def _plan(df):
 
 
 def test_readiness_plans_stay_in_the_jvm(spark):
-    for q in (catalog.q_readiness_rows, catalog.q_cron_fires, catalog.q_merge_state, catalog.q_fiscal_bounds):
-        plan = _plan(q(spark, SMOKE))
+    """SURVEY 5.5: at sf0.1, no Python evaluation and no cartesian product in any readiness plan."""
+    for q in (catalog.q_readiness_rows, catalog.q_cron_fires, catalog.q_merge_state, catalog.q_fiscal_bounds,
+              catalog.q_readiness_pass):
+        plan = _plan(q(spark, SCALE))
         for bad in BAD:
             assert bad not in plan, (q.__name__, bad)
 

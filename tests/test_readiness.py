@@ -67,8 +67,13 @@ def test_each_rule_blocks_alone(spark):
     job(27, spec="bogus")                                           # unknown fiscal rule
     own.append((28, "q", "1", "RUNNING", "job28", START, START))   # own name under two sources
     job(28)
-    _, ready = _pass(spark, jobs, own)
+    job(29, cron="not a cron")                                      # Q15: bad cron blocks this job only
+    job(30, tz="Not/AZone")                                         # Q15: unknown zone blocks this job only
+    job(31, cron="0 0 31 2 *")                                      # never fires: no previous fire
+    dec, ready = _pass(spark, jobs, own)
     assert ready == {1, 4, 5, 7, 11, 12, 16, 17, 21, 23, 25}
+    bad = {r.job_id: r.prev_min_exec_time for r in dec.where("job_id in (29, 30, 31)").collect()}
+    assert bad == {29: None, 30: None, 31: None}
 
 
 def test_decision_rows_are_own_plus_edges(spark):
