@@ -118,22 +118,33 @@ def read_checkpoint(spark: SparkSession, root: str, version: int | None = None)
 
 
 def write_state(state: DataFrame, root: str, version: int, hwm_ms: int | None = None,
-                extras: dict[str, DataFrame] | None = None) -> str:
-    """Write ``state`` (and named ``extras`` tables) and then its checkpoint as ``version``.
+                extras: dict[str, DataFrame] | None = None, commit: bool = True) -> str:
+    """Write ``state`` (and named ``extras`` tables) as ``version``, then commit it.
 
-    The checkpoint is written last and marks the version committed; overwrite makes a
-    replay idempotent.
+    The checkpoint is written last and marks the version committed (``commit=False``
+    leaves that to ``commit_version``, after work that must precede it); overwrite makes
+    a replay idempotent.
     """
     path = _version_dir(root, version)
     state.select(*schemas.STATE_COLUMNS).write.mode("overwrite").parquet(f"{path}/state")
     for name, df in (extras or {}).items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = state.sparkSession
-    spark.createDataFrame([(hwm_ms,)], CHECKPOINT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
-        f"{path}/checkpoint")
+    if commit:
+        commit_version(state.sparkSession, root, version, hwm_ms)
     return path
 
 
+def read_uncommitted_state(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """The state written for ``version`` before its commit."""
+    return spark.read.schema(schemas.STATE).parquet(f"{_version_dir(root, version)}/state")
+
+
+def commit_version(spark: SparkSession, root: str, version: int, hwm_ms: int | None) -> None:
+    """Write the checkpoint of ``version``; its _SUCCESS marks the version committed."""
+    spark.createDataFrame([(hwm_ms,)], CHECKPOINT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+        f"{_version_dir(root, version)}/checkpoint")
+
+
 def has_extra(spark: SparkSession, root: str, version: int, name: str) -> bool:
     return path_exists(spark, f"{_version_dir(root, version)}/{name}/_SUCCESS")
 

@@ -3,10 +3,11 @@
 read(defs, runs, external, calendar, state@v)
   -> flatten_definitions -> select_runs (high-water mark of v, carry-over of v)
   -> normalize_runs -> latest_run -> lock_status (open-slot release)
-  -> combine with the external feed -> merge_state -> write state@v+1 (+ checkpoint)
+  -> combine with the external feed -> merge_state -> write state@v+1
   -> read state@v+1 back (cuts the lineage; the write is on shared storage)
   -> cron_fires + fiscal_bounds -> itinerary -> readiness_rows
-  -> decision log partition for this instant -> ready_jobs read from that partition.
+  -> decision log partition for this instant -> commit v+1 (checkpoint, written last)
+  -> ready_jobs read from the log partition.
 
 Only single values reach the driver: the definition count, the checkpoint, the four
 fiscal bounds and the scan bounds of the carry-over and active-run reads.  The instant is
@@ -146,9 +147,10 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
             kept.append(selected)
         rows = new_state_rows(raw_defs, raw_runs, old, hwm, external, selected, slot_runs, release_slots, carry_over,
                               defs=defs, n_jobs=n_jobs)
-        state.write_state(state.merge_state(old, rows), state_root, version, hwm_ms=int(as_of) * 1000,
-                          extras=extras)
-        current = state.read_state(spark, state_root, version)
+        # the version is committed only after its decision log is written, so a failure
+        # anywhere in the pass leaves it uncommitted and a replay redoes the whole pass
+        state.write_state(state.merge_state(old, rows), state_root, version, extras=extras, commit=False)
+        current = state.read_uncommitted_state(spark, state_root, version)
         # the itinerary (one row per job, with its cron search) feeds both the own rows and
         # the edges; it is computed once and kept until the log is written
         itin = build_itinerary(defs, calendar, as_of, day_rule, jobs_bound=n_jobs).persist()
@@ -158,6 +160,7 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
                                     log_format)
         finally:
             itin.unpersist()
+        state.commit_version(spark, state_root, version, int(as_of) * 1000)
     finally:
         for df in kept:
             df.unpersist()

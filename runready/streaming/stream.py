@@ -17,10 +17,17 @@ The pass instant of a batch is, by default, the latest run start in it (determin
 replay); pass ``as_of_fn`` to use another clock.  Spark's own checkpoint (offsets and
 commits) lives in ``checkpoint_location`` on shared storage, so the query survives
 driver restarts and executor loss.
+
+Readiness also changes with time alone (a cron fires, a fiscal period starts), but a file
+stream only runs a batch when new files arrive.  With ``tick=True`` the run stream is
+unioned with Spark's ``rate-micro-batch`` source (one row per trigger), so every trigger
+— e.g. ``{"processingTime": "10 minutes"}`` — runs a pass, at the processing time, even
+without new runs; the tick rows are dropped before the pass.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,18 +55,25 @@ def readiness_stream(spark: SparkSession, runs_dir: str, raw_defs: DataFrame, ca
                      external: DataFrame | None = None, fmt: str = "json", max_files_per_trigger: int | None = 1,
                      as_of_fn: Callable[[DataFrame, int], int | None] | None = None,
                      release_slots: bool = True, trigger: dict | None = None,
-                     query_name: str | None = None) -> StreamingQuery:
+                     query_name: str | None = None, tick: bool = False) -> StreamingQuery:
     """Start the stream; ``trigger`` defaults to ``{"availableNow": True}``."""
     reader = spark.readStream.schema(schemas.RAW_RUN).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    runs = reader.load(runs_dir)
+    runs = reader.load(runs_dir).withColumn("_tick", F.lit(False))
+    if tick:
+        ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load().select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.RAW_RUN.fields], F.lit(True).alias("_tick"))
+        runs = runs.unionByName(ticks)
+    if as_of_fn is None:
+        as_of_fn = (lambda b, i: int(time.time())) if tick else (lambda b, i: batch_instant(b))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         version = int(batch_id) + 1
         if version in st.state_versions(spark, state_root):
             return
-        as_of = as_of_fn(batch, batch_id) if as_of_fn else batch_instant(batch)
+        batch = batch.where(~F.col("_tick")).drop("_tick")
+        as_of = as_of_fn(batch, batch_id)
         if as_of is None:
             return
         batch = batch.persist()

@@ -80,3 +80,27 @@ def test_stream_equals_batch_and_replays(spark):
     assert sorted(r.run_id for r in active.collect()) == [5, 10]
     final = {r.pipeline: r for r in state.read_state(spark, f"{base}/state").collect()}
     assert final["four"].status == "FAILED" and final["one"].status == "SUCCESS" and final["ext"].lock == "0"
+
+
+def test_ticks_run_passes_without_new_runs(spark):
+    """With tick=True every trigger runs a pass at the processing time, even with no run files."""
+    import os
+    import time
+
+    base = tempfile.mkdtemp(prefix="rr-tick-")
+    os.makedirs(f"{base}/runs")
+    q = readiness_stream(spark, f"{base}/runs", _defs(spark), fx.fx_calendar(spark), f"{base}/state",
+                         f"{base}/log", f"{base}/ckpt", external=_external(spark), tick=True,
+                         trigger={"processingTime": "2 seconds"})
+    try:
+        deadline = time.time() + 90
+        while len(state.state_versions(spark, f"{base}/state")) < 3 and time.time() < deadline:
+            time.sleep(1)
+    finally:
+        q.stop()
+    versions = state.state_versions(spark, f"{base}/state")
+    assert len(versions) >= 3
+    st_ = {r.pipeline: r for r in state.read_state(spark, f"{base}/state").collect()}
+    assert set(st_) == {"ext"}                                    # only the external feed so far
+    times = {r.log_time for r in logs.read_decision_log(spark, f"{base}/log").collect()}
+    assert len(times) >= 2 and all(abs(t - time.time()) < 600 for t in times)
