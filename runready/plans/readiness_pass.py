@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vocab
 from ..functions.joins import broadcast_within
 from ..operators import definitions, dependencies, fiscal, logs, readiness, runs, schedule, state
 
@@ -109,12 +110,14 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
                    version: int | None = None, initial_state: DataFrame | None = None,
                    selected: DataFrame | None = None, slot_runs: DataFrame | None = None,
                    release_slots: bool = True, carry_over: str = "reference", day_rule: str = "and",
-                   log_format: str = "csv", extras: dict[str, DataFrame] | None = None) -> PassResult:
+                   log_format: str = "csv", extras: dict[str, DataFrame] | None = None,
+                   retention_ms: int | None = vocab.LOG_RETENTION_MS) -> PassResult:
     """Run one pass at ``as_of`` (epoch s) and write state version ``version`` (default: latest + 1).
 
     ``selected`` replaces the run selection (the stream passes its micro-batch),
     ``slot_runs`` the runs counted for open slots, and ``extras`` are tables committed with
-    the version (the stream's active-run set).
+    the version.  After the commit, log partitions at or before ``as_of - retention_ms``
+    are dropped (``None`` keeps them all).
     """
     versions = state.state_versions(spark, state_root)
     if version is None:
@@ -122,7 +125,9 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
     base = max([v for v in versions if v < version], default=None)
     if base is not None:
         old = state.read_state(spark, state_root, base)
-        hwm = state.read_checkpoint(spark, state_root, base)
+        # the mark is only needed to select runs or to refresh the active set
+        needs_mark = selected is None or (release_slots and slot_runs is None)
+        hwm = state.read_checkpoint(spark, state_root, base) if needs_mark else None
     else:
         old = initial_state if initial_state is not None else spark.createDataFrame([], state.schemas.STATE)
         hwm = None
@@ -164,5 +169,7 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
     finally:
         for df in kept:
             df.unpersist()
+    if retention_ms is not None:
+        logs.drop_expired_partitions(spark, log_path, as_of, retention_ms)
     logged = logs.read_decision_log(spark, log_path, log_format).where(F.col("log_time") == F.lit(int(as_of)))
     return PassResult(version, int(as_of), hwm, current, logged, readiness.ready_jobs(logged))

@@ -45,3 +45,15 @@ def test_two_passes_from_files(spark):
     per_pass = {r.log_time: 0 for r in logs.read_decision_log(spark, log).collect()}
     assert sorted(per_pass) == [fx.AS_OF - 86400, fx.AS_OF]
     assert logs.read_decision_log(spark, log).where(f"log_time = {fx.AS_OF}").count() == decisions_v2
+
+
+def test_pass_drops_expired_log_partitions(spark):
+    base = tempfile.mkdtemp(prefix="rr-ret-")
+    defs, cal = fx.fx_defs(spark, SF), fx.fx_calendar(spark)
+    run_log = fx.fx_runs(spark, SF)
+    root, log = f"{base}/state", f"{base}/log"
+    readiness_pass(spark, defs, run_log, cal, root, log, fx.AS_OF - 40 * 86400)
+    readiness_pass(spark, defs, run_log, cal, root, log, fx.AS_OF - 20 * 86400)
+    readiness_pass(spark, defs, run_log, cal, root, log, fx.AS_OF)          # 30-day retention
+    kept = sorted({r.log_time for r in logs.read_decision_log(spark, log).collect()})
+    assert kept == [fx.AS_OF - 20 * 86400, fx.AS_OF]
