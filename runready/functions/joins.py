@@ -58,3 +58,32 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     limit = min(MAX_COUNTED_ROWS, MAX_BROADCAST_BYTES // row_width(df.schema))
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
+
+
+# Rows per key from which a lookup key counts as hot (its rows would crowd one task).
+HOT_KEY_ROWS = 100_000
+
+
+def lookup_join(left: DataFrame, right: DataFrame, left_key, right_key: str, right_rows: int | None = None,
+                hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """``left`` left-outer-joined to ``right`` on ``left_key = right[right_key]``, skew-safe.
+
+    * ``right`` fits the broadcast budget (``right_rows``, a known row count): one broadcast
+      join, no shuffle, no hot task.
+    * otherwise the keys of ``left`` are counted (a partial aggregate).  Rows whose key
+      reaches ``hot_rows`` join a broadcast of just the matching ``right`` rows (bounded by
+      the number of hot keys); the remaining rows take an ordinary shuffle join, which has no
+      hot key left.  Null keys never match, as in a plain join.
+    """
+    lk = left.withColumn("_lk", left_key)
+    cond_col = F.col("_lk") == F.col(right_key)
+    if fits_broadcast(right_rows, right):
+        return lk.join(F.broadcast(right), cond_col, "left").drop("_lk")
+    hot = broadcast_if_small(lk.groupBy("_lk").count().where(F.col("count") >= hot_rows)
+                             .select(F.col("_lk").alias("_hk")).where(F.col("_hk").isNotNull()))
+    hot_left = lk.join(hot, F.col("_lk") == F.col("_hk"), "left_semi")
+    cold_left = lk.join(hot, F.col("_lk") == F.col("_hk"), "left_anti")
+    right_hot = broadcast_if_small(right.join(hot, F.col(right_key) == F.col("_hk"), "left_semi"))
+    hot_part = hot_left.join(right_hot, cond_col, "left")
+    cold_part = cold_left.join(right, cond_col, "left")
+    return hot_part.unionByName(cold_part).drop("_lk")

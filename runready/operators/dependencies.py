@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_within
+from ..functions.joins import HOT_KEY_ROWS, broadcast_within, lookup_join
 
 # Dependency kinds and the definition tag each one comes from.
 DEPENDENCY_KINDS = [("trigger", "tdep"), ("status", "sdep"), ("completed", "cdep")]
@@ -55,19 +55,15 @@ def _state_lookup(state: DataFrame, prefix: str) -> DataFrame:
         F.col("end_time").alias(f"{prefix}_end_time"))
 
 
-def _maybe_broadcast(df: DataFrame, state_rows: int | None) -> DataFrame:
-    return broadcast_within(df, state_rows)
-
-
-def own_rows(itin: DataFrame, state: DataFrame, state_rows: int | None = None) -> DataFrame:
+def own_rows(itin: DataFrame, state: DataFrame, state_rows: int | None = None,
+             hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """One row per (job, state row of its trimmed name); a job without state keeps one row.
 
     lock_flag: the state lock as an integer, 0 when missing or not a number.  A job that
     never ran counts its creation time (ms, floored to s) as its last start and 0 as its
     last end.
     """
-    st = _maybe_broadcast(_state_lookup(state, "own"), state_rows)
-    j = itin.join(st, F.trim(itin["pipeline"]) == st["own_key"], "left")
+    j = lookup_join(itin, _state_lookup(state, "own"), F.trim(F.col("pipeline")), "own_key", state_rows, hot_rows)
     return j.select(
         *[c for c in itin.columns],
         "source",
@@ -90,14 +86,16 @@ def dependency_items(itin: DataFrame) -> DataFrame:
             .where(F.col("dependency") != F.lit("")))
 
 
-def dependency_edges(itin: DataFrame, state: DataFrame, state_rows: int | None = None) -> DataFrame:
+def dependency_edges(itin: DataFrame, state: DataFrame, state_rows: int | None = None,
+                     hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Items joined to their upstream's state rows (left join: an unknown upstream keeps nulls).
 
     A heavily shared upstream is a hot key on the item side.  When ``state_rows`` (the
     state's row count) fits the broadcast budget the state is broadcast, so no task holds
-    a hot key; beyond it the join shuffles and AQE splits skewed item partitions.
+    a hot key; beyond it hot upstreams (``hot_rows`` items or more) join a broadcast of
+    their own state rows and only the rest is shuffled (``functions.joins.lookup_join``).
     """
-    st = _maybe_broadcast(_state_lookup(state, "dep"), state_rows)
     items = dependency_items(itin)
-    j = items.join(st, F.trim(items["dependency"]) == st["dep_key"], "left")
+    j = lookup_join(items, _state_lookup(state, "dep"), F.trim(F.col("dependency")), "dep_key", state_rows,
+                    hot_rows)
     return j.drop("dep_key", "dep_lock")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import vocab
+from ..functions.joins import HOT_KEY_ROWS
 from .dependencies import dependency_edges, own_rows
 
 
@@ -58,13 +59,15 @@ def edge_rule(last_start="last_start_time") -> "F.Column":
             .when(kind == "completed", ls < end))
 
 
-def readiness_rows(itin: DataFrame, state: DataFrame, state_rows: int | None = None) -> DataFrame:
+def readiness_rows(itin: DataFrame, state: DataFrame, state_rows: int | None = None,
+                   hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Decision rows (``schemas.DECISION_COLUMNS``): own rows and edge rows with ``readiness``.
 
     ``state_rows``: the state's row count, when known; it decides whether the state lookups
-    are broadcast (see ``dependency_edges``).
+    are broadcast; ``hot_rows`` is the key frequency from which a lookup key is split off
+    when they are not (see ``dependency_edges``).
     """
-    own = own_rows(itin, state, state_rows)
+    own = own_rows(itin, state, state_rows, hot_rows)
     job_start = own.groupBy(F.col("job_id").alias("_job"), F.col("as_of").alias("_at")).agg(
         F.max("last_start_time").alias("_job_start"))
     own_out = own.select(
@@ -77,7 +80,7 @@ def readiness_rows(itin: DataFrame, state: DataFrame, state_rows: int | None = N
         F.lit(None).cast("string").alias("dep_status"),
         _flag(own_rule()).alias("readiness"),
     )
-    edges = dependency_edges(itin, state, state_rows)
+    edges = dependency_edges(itin, state, state_rows, hot_rows)
     e = edges.join(job_start, (edges["job_id"] == job_start["_job"]) & (edges["as_of"] == job_start["_at"]),
                    "inner").select(
         "as_of", "job_id", "pipeline", "state", F.col("kind").alias("row_kind"),

@@ -163,12 +163,13 @@ def _random_case(seed):
 
 
 @settings(max_examples=12, deadline=None)
-@given(st.integers(min_value=0, max_value=10**6))
-def test_factored_gate_equals_product_form(spark, seed):
+@given(st.integers(min_value=0, max_value=10**6), st.sampled_from(["shuffle", "split", "broadcast"]))
+def test_factored_gate_equals_product_form(spark, seed, lookup):
     itin, state = _random_case(seed)
     idf = spark.createDataFrame(itin, ITIN)
     sdf = state_df(spark, state)
-    got = {r[0] for r in rows(readiness.ready_jobs(readiness.readiness_rows(idf, sdf)))}
+    kwargs = {"shuffle": {}, "split": {"hot_rows": 2}, "broadcast": {"state_rows": len(state)}}[lookup]
+    got = {r[0] for r in rows(readiness.ready_jobs(readiness.readiness_rows(idf, sdf, **kwargs)))}
     assert got == product_gate(itin, state)
 
 
@@ -191,3 +192,19 @@ def test_decide_at_many_instants_equals_scalar_passes(spark):
     assert many == one and len({r[1] for r in many}) >= 2
     dec = decide_at(spark, defs, cal, st_, req)
     assert dec.select("as_of").distinct().count() == 3 and dec.where(F.col("prev_min_exec_time").isNull()).count() == 0
+
+
+def test_lookup_join_split_equals_plain_join(spark):
+    """Beyond the broadcast budget, hot keys take a broadcast of their own rows: same result."""
+    from pyspark.sql import functions as F
+
+    from runready.functions.joins import lookup_join
+    left = spark.createDataFrame([(i, k) for i, k in enumerate(["hot"] * 40 + ["a", "b", " hot", None, "zz"] * 3)],
+                                 "id long, name string")
+    right = spark.createDataFrame([("hot", "p", 1), ("hot", "q", 2), ("a", "p", 3), ("b", "p", 4)],
+                                  "rk string, src string, v long")
+    plain = left.join(right, F.trim(F.col("name")) == F.col("rk"), "left")
+    split = lookup_join(left, right, F.trim(F.col("name")), "rk", right_rows=None, hot_rows=10)
+    bcast = lookup_join(left, right, F.trim(F.col("name")), "rk", right_rows=4)
+    assert rows(split, "id", "rk", "src", "v") == rows(plain, "id", "rk", "src", "v") == rows(bcast, "id", "rk", "src", "v")
+    assert len(rows(split, "id")) == 40 * 2 + 3 * 3 + 3 * 2 + 3   # hot x2 sources, ' hot' trims to hot
