@@ -58,3 +58,16 @@ def test_import_state_csv_keeps_float_written_ints(spark, tmp_path):
                  "1,p,0,SUCCESS,a,1702926855.0,\n2,p,1,RUNNING,b,1702926900.0,1702927000.0\n")
     out = rows(state.import_state_csv(spark, str(p)), "job_id", "start_time", "end_time")
     assert out == [(1, 1702926855, None), (2, 1702926900, 1702927000)]
+
+
+def test_merge_split_of_hot_keys_equals_plain_merge(spark):
+    old = state_df(spark, [(1, "p", "0", "SUCCESS", "a", 10, 20), (2, "p", "0", "FAILED", "b", 10, 20),
+                           (3, "f", "0", "SUCCESS", "hot", 1, 2), (3, "f", "1", None, "hot", 5, None),
+                           (4, "p", "0", "SUCCESS", None, 1, 2)])
+    new = state_df(spark, [(9, "f", None, "SUCCESS", "hot", 100 + i, None) for i in range(12)]
+                   + [(2, "p", "1", None, "b", 30, None), (5, "p", "0", "SUCCESS", "e", 1, 2),
+                      (6, "p", "0", "SUCCESS", None, 3, 4)])
+    plain = rows(state.merge_state(old, new, hot_rows=None))
+    assert rows(state.merge_state(old, new, hot_rows=5)) == plain
+    assert rows(state.merge_state(old, new)) == plain
+    assert len(plain) == 12 * 2 + 1 + 1 + 1 + 2        # 12 hot rows x 2 old rows, a, b, e, two null names
