@@ -44,6 +44,8 @@ def itinerary(defs: DataFrame, fires: DataFrame, bounds, as_of: int | None = Non
         it = defs.join(f.drop("as_of"), ["cron", "tz"], "left")
         return it.withColumns({"as_of": F.lit(int(as_of)).cast("long"),
                                **{names[k]: F.lit(bounds[k]).cast("long") for k in names}})
+    # one row per distinct key on the right: AQE broadcasts them when its measured size allows
+    # (many jobs sharing an instant then never meet in one task) and splits skew otherwise
     b = bounds.select("as_of", *[F.col(k).alias(v) for k, v in names.items()])
     return defs.join(f, ["cron", "tz", "as_of"], "left").join(b, "as_of", "left")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import vocab
-from ..functions.joins import HOT_KEY_ROWS
+from ..functions.joins import HOT_KEY_ROWS, broadcast_within
 from .dependencies import dependency_edges, own_rows
 
 
@@ -60,16 +60,17 @@ def edge_rule(last_start="last_start_time") -> "F.Column":
 
 
 def readiness_rows(itin: DataFrame, state: DataFrame, state_rows: int | None = None,
-                   hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                   hot_rows: int = HOT_KEY_ROWS, jobs_bound: int | None = None) -> DataFrame:
     """Decision rows (``schemas.DECISION_COLUMNS``): own rows and edge rows with ``readiness``.
 
     ``state_rows``: the state's row count, when known; it decides whether the state lookups
     are broadcast; ``hot_rows`` is the key frequency from which a lookup key is split off
-    when they are not (see ``dependency_edges``).
+    when they are not (see ``dependency_edges``).  ``jobs_bound`` (itinerary rows) bounds the
+    per-(job, instant) start table joined to the edges, which is broadcast when it fits.
     """
     own = own_rows(itin, state, state_rows, hot_rows)
-    job_start = own.groupBy(F.col("job_id").alias("_job"), F.col("as_of").alias("_at")).agg(
-        F.max("last_start_time").alias("_job_start"))
+    job_start = broadcast_within(own.groupBy(F.col("job_id").alias("_job"), F.col("as_of").alias("_at")).agg(
+        F.max("last_start_time").alias("_job_start")), jobs_bound)
     own_out = own.select(
         "as_of", "job_id", "pipeline", "state", F.lit("own").alias("row_kind"), "lock_flag", "pipeline_status",
         "tz", "spec", "onfail", "last_start_time", "last_end_time",

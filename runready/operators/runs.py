@@ -173,7 +173,7 @@ def latest_run(runs: DataFrame, jobs_bound: int | None = None, running_first: bo
     return at_end.withColumn("_ms", top).where(F.col("start_time") == F.col("_ms")).select(*runs.columns)
 
 
-def lock_status(latest: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+def lock_status(latest: DataFrame, slots: DataFrame | None = None, jobs_bound: int | None = None) -> DataFrame:
     """Latest runs -> state rows (``schemas.STATE``).
 
     A finished run unlocks its pipeline ("0") and reports its result; an unfinished run
@@ -188,7 +188,8 @@ def lock_status(latest: DataFrame, slots: DataFrame | None = None) -> DataFrame:
         "pipeline", "start_time", "end_time",
     )
     if slots is not None:
-        release = slots.where(F.col("jobs_open") > 0).select("job_id", F.lit(True).alias("_free")).distinct()
+        release = broadcast_within(
+            slots.where(F.col("jobs_open") > 0).select("job_id", F.lit(True).alias("_free")).distinct(), jobs_bound)
         rows = rows.join(release, "job_id", "left").select(
             "job_id", "source",
             F.when(F.col("_free"), F.lit("0")).otherwise(F.col("lock")).alias("lock"),

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..session import ensure_checkpoint_dir
 from ..functions.joins import broadcast_within
 from ..operators import definitions, dependencies, fiscal, logs, readiness, runs, schedule, state
 
@@ -57,7 +58,7 @@ def new_state_rows(raw_defs: DataFrame, raw_runs: DataFrame, old_state: DataFram
     latest = runs.latest_run(runs.normalize_runs(selected, defs, jobs_bound=n_jobs), jobs_bound=n_jobs)
     slots = (runs.open_slots(slot_runs if slot_runs is not None else raw_runs, defs, jobs_bound=n_jobs)
              if release_slots else None)
-    parts = [runs.lock_status(latest, slots)]
+    parts = [runs.lock_status(latest, slots, jobs_bound=n_jobs)]
     if external is not None:
         parts.append(state.normalize_external(external))
     return state.combine_runs(*parts)
@@ -93,15 +94,17 @@ def decide_at(spark: SparkSession, raw_defs: DataFrame, calendar: DataFrame, cur
 
     The requests join the definitions on job_id (an equi-join, one itinerary row per
     request); fire times are computed per distinct (cron, tz, as_of) and fiscal bounds per
-    distinct instant, then joined on those keys.  ``ready_jobs`` of the result gives the
-    (job_id, as_of) pairs that are ready.
+    distinct instant, then joined on those keys.  The itinerary is materialised once with a
+    reliable ``checkpoint()`` (in ``spark.checkpoint.dir``), since both state lookups read
+    it.  ``ready_jobs`` of the result gives the (job_id, as_of) pairs that are ready.
     """
+    ensure_checkpoint_dir(spark)
     defs = definitions.flatten_definitions(raw_defs)
     req = requests.select("job_id", F.col("as_of").cast("long").alias("as_of")).distinct()
     jobs = defs.join(req, "job_id", "inner")
     fires = schedule.cron_fires(jobs, day_rule=day_rule)
     bounds = fiscal.fiscal_bounds(calendar, req.select("as_of"))
-    itin = dependencies.itinerary(jobs, fires, bounds)
+    itin = dependencies.itinerary(jobs, fires, bounds).checkpoint()
     return readiness.readiness_rows(itin, current_state)
 
 
@@ -161,8 +164,8 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
         itin = build_itinerary(defs, calendar, as_of, day_rule, jobs_bound=n_jobs).persist()
         try:
             # the state was just written: its row count (Parquet metadata) bounds the lookups
-            logs.write_decision_log(readiness.readiness_rows(itin, current, current.count()), log_path, as_of,
-                                    log_format)
+            logs.write_decision_log(readiness.readiness_rows(itin, current, current.count(), jobs_bound=n_jobs),
+                                    log_path, as_of, log_format)
         finally:
             itin.unpersist()
         state.commit_version(spark, state_root, version, int(as_of) * 1000)
