@@ -61,7 +61,8 @@ def _merged(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     )
 
 
-def merge_state(old: DataFrame, new: DataFrame, hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
+def merge_state(old: DataFrame, new: DataFrame, hot_rows: int | None = HOT_KEY_ROWS,
+                new_rows: int | None = None) -> DataFrame:
     """Full outer join USING (pipeline, source); a non-null new value wins column-wise.
 
     Rows are never deleted; a key repeated on both sides yields every pairing, as in the
@@ -71,9 +72,11 @@ def merge_state(old: DataFrame, new: DataFrame, hot_rows: int | None = HOT_KEY_R
     put all its rows in one task of the full outer join, which AQE cannot split.  Such keys
     are counted first; their new rows are left-joined to a broadcast of their old rows (a
     hot key is on the new side, so every old row of it matches), and only the other keys
-    go through the full outer join.  ``hot_rows=None`` does a single full outer join.
+    go through the full outer join.  ``hot_rows=None`` does a single full outer join, as
+    does a known ``new_rows`` (row count of ``new``) below ``hot_rows``: then no key can be
+    hot.
     """
-    if hot_rows is None:
+    if hot_rows is None or (new_rows is not None and new_rows < hot_rows):
         return _merged(old, new, "full")
     hot = broadcast_if_small(
         new.groupBy("pipeline", "source").count().where(F.col("count") >= hot_rows)

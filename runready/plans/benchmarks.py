@@ -38,7 +38,7 @@ def q_bench_order_state(spark: SparkSession, sf: str) -> DataFrame:
     raw = fx_order_runs(spark, sf)
     rows = new_state_rows(fx.fx_defs(spark, sf), raw, fx.fx_state_old(spark, sf), None,
                           external=fx.fx_external(spark, sf))
-    return state.merge_state(fx.fx_state_old(spark, sf), rows)
+    return state.merge_state(fx.fx_state_old(spark, sf), rows, new_rows=rows.count())
 
 
 def q_bench_order_latest(spark: SparkSession, sf: str) -> DataFrame:

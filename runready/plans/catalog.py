@@ -76,7 +76,8 @@ def pass_new_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_merge_state(spark: SparkSession, sf: str) -> DataFrame:
-    return state.merge_state(fx.fx_state_old(spark, sf), pass_new_rows(spark, sf))
+    new = pass_new_rows(spark, sf)
+    return state.merge_state(fx.fx_state_old(spark, sf), new, new_rows=new.count())
 
 
 def q_cron_fires(spark: SparkSession, sf: str) -> DataFrame:

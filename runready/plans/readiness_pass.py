@@ -154,10 +154,12 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
             selected = select_defined_runs(raw_runs, defs, n_jobs, old, hwm, carry_over).persist()
             kept.append(selected)
         rows = new_state_rows(raw_defs, raw_runs, old, hwm, external, selected, slot_runs, release_slots, carry_over,
-                              defs=defs, n_jobs=n_jobs)
+                              defs=defs, n_jobs=n_jobs).persist()
+        kept.append(rows)
         # the version is committed only after its decision log is written, so a failure
         # anywhere in the pass leaves it uncommitted and a replay redoes the whole pass
-        state.write_state(state.merge_state(old, rows), state_root, version, extras=extras, commit=False)
+        state.write_state(state.merge_state(old, rows, new_rows=rows.count()), state_root, version, extras=extras,
+                          commit=False)
         current = state.read_uncommitted_state(spark, state_root, version)
         # the itinerary (one row per job, with its cron search) feeds both the own rows and
         # the edges; it is computed once and kept until the log is written
