@@ -41,7 +41,7 @@ def _expand(f, lo, hi, names=None, first=0):
     return out
 
 
-def brute(cron, zone, as_of, horizon_days=400):
+def brute(cron, zone, as_of, horizon_days=400, day_rule="and"):
     try:
         zi = zoneinfo.ZoneInfo(zone)
         f = cron.split()
@@ -52,8 +52,12 @@ def brute(cron, zone, as_of, horizon_days=400):
         return None, None, False
     wall = dt.datetime.fromtimestamp(as_of, zi).replace(tzinfo=None)
 
+    restricted = not f[2].startswith("*") and not f[4].startswith("*")
+
     def ok(t):
-        return t.minute in mi and t.hour in hr and t.day in dm and t.month in mo and t.isoweekday() % 7 in dw
+        dom_ok, dow_ok = t.day in dm, t.isoweekday() % 7 in dw
+        day = (dom_ok or dow_ok) if (day_rule == "or" and restricted) else (dom_ok and dow_ok)
+        return t.minute in mi and t.hour in hr and t.month in mo and day
 
     def utc(t):
         return int(t.replace(tzinfo=zi).timestamp())
@@ -103,6 +107,16 @@ def test_prev_before_next_after(spark, instants, zone):
         assert r.valid and r.prev_fire < r.as_of < r.next_fire
 
 
+def test_day_rule_or_equals_brute_force(spark):
+    crons = ["0 0 13 * 5", "30 6 1,15 * MON", "0 12 * * 0", "15 3 31 * SUN", "0 0 1 JAN,JUL *", "*/30 1 10-12 * 1-5"]
+    req = [(c, z, a) for c in crons for z in ZONES[:3] for a in INSTANTS]
+    df = spark.createDataFrame(req, "cron string, tz string, as_of long")
+    got = {(r.cron, r.tz, r.as_of): (r.prev_fire, r.next_fire, r.valid)
+           for r in schedule.cron_fires(df, day_rule="or").collect()}
+    for c, z, a in req:
+        assert got[(c, z, a)] == brute(c, z, a, day_rule="or"), (c, z, a)
+
+
 def test_day_rule_or(spark):
     # 13th of the month OR a Friday; 2024-01-31 is a Wednesday
     df = spark.createDataFrame([("0 0 13 * 5", "UTC", 1706702400)], "cron string, tz string, as_of long")
