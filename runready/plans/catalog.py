@@ -163,16 +163,23 @@ def q_classify_outcome(spark: SparkSession, sf: str) -> DataFrame:
 def stage_run_files(spark: SparkSession, sf: str, path: str, unit: str = "week") -> list[str]:
     """Write the run log as one JSON file per ``unit`` of start time, oldest first.
 
-    The file source replays files in modification order, so the files are written one
-    after another; this staging is test input only (the stream itself reads any layout).
+    The file source replays files in modification order, so each unit's files get an
+    explicit modification time, one second apart in unit order; this staging is test input
+    only (the stream itself reads any layout).
     """
     runs_df = fx.fx_runs(spark, sf).withColumn(
         "_unit", F.date_trunc(unit, F.timestamp_millis(F.col("start_time"))).cast("string"))
     units = [r["_unit"] for r in runs_df.select("_unit").distinct().orderBy("_unit").collect()]
     out = []
-    for u in units:
+    jvm = spark.sparkContext._jvm
+    base_ms = 1_000_000_000_000
+    for i, u in enumerate(units):
         target = f"{path}/{u[:10]}"
         runs_df.where(F.col("_unit") == u).drop("_unit").coalesce(1).write.mode("overwrite").json(target)
+        hpath = jvm.org.apache.hadoop.fs.Path(target)
+        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for st in fs.listStatus(hpath):
+            fs.setTimes(st.getPath(), base_ms + i * 1000, -1)
         out.append(target)
     return out
 
