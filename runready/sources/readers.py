@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -46,3 +48,27 @@ def read_external(spark: SparkSession, path: str, attempts: int = EXTERNAL_READ_
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     """Fiscal calendar as CSV with a header, read with the declared schema (no inference)."""
     return spark.read.schema(schemas.CALENDAR).option("header", "true").csv(path)
+
+
+def read_definition_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Job definitions from landed list-API pages (``{"jobs": [...], "has_more": ...}``, one per line)."""
+    page = T.StructType([T.StructField("jobs", T.ArrayType(schemas.DEFINITION))])
+    return spark.read.schema(page).json(path).select(F.explode("jobs").alias("j")).select("j.*")
+
+
+def read_run_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Run records from landed run-list pages (``{"runs": [...], "has_more": ...}``, one per line)."""
+    page = T.StructType([T.StructField("runs", T.ArrayType(schemas.RAW_RUN))])
+    return spark.read.schema(page).json(path).select(F.explode("runs").alias("r")).select("r.*")
+
+
+def read_checkpoint_text(spark: SparkSession, path: str) -> int | None:
+    """A checkpoint saved as one integer (epoch ms) in a text file; None when missing or not a number."""
+    try:
+        rows = spark.read.text(path).limit(1).collect()
+    except Exception:
+        return None
+    try:
+        return int(rows[0]["value"].strip()) if rows else None
+    except ValueError:
+        return None

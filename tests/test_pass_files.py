@@ -57,3 +57,34 @@ def test_pass_drops_expired_log_partitions(spark):
     readiness_pass(spark, defs, run_log, cal, root, log, fx.AS_OF)          # 30-day retention
     kept = sorted({r.log_time for r in logs.read_decision_log(spark, log).collect()})
     assert kept == [fx.AS_OF - 20 * 86400, fx.AS_OF]
+
+
+def test_api_pages_and_migration(spark, tmp_path):
+    import json as _json
+
+    from runready.plans.migrate import import_previous_state
+    jobs = [{"job_id": 1, "created_time": 1700000000000, "settings": {"name": "a", "max_concurrent_runs": 1,
+             "tags": {"state": "active", "cron": "0 6 * * *"}}},
+            {"job_id": 2, "created_time": 1700000000000, "settings": {"name": "b", "tags": {"state": "paused"}},
+             "unknown_key": 5}]
+    (tmp_path / "defs.json").write_text(_json.dumps({"jobs": jobs[:1], "has_more": True}) + "\n"
+                                        + _json.dumps({"jobs": jobs[1:], "has_more": False}) + "\n")
+    runs = [{"job_id": 1, "run_id": 7, "state": {"life_cycle_state": "TERMINATED", "result_state": "SUCCESS"},
+             "start_time": 1706000000000, "end_time": 1706000600000},
+            {"job_id": 1, "run_id": 8, "state": {"life_cycle_state": "RUNNING"}, "start_time": 1706100000000,
+             "end_time": 0}]
+    (tmp_path / "runs.json").write_text(_json.dumps({"runs": runs, "has_more": False}) + "\n")
+    d = readers.read_definition_pages(spark, str(tmp_path / "defs.json"))
+    r = readers.read_run_pages(spark, str(tmp_path / "runs.json"))
+    assert sorted(x.job_id for x in d.collect()) == [1, 2]
+    assert sorted((x.run_id, x.state.result_state) for x in r.collect()) == [(7, "SUCCESS"), (8, None)]
+
+    (tmp_path / "state.csv").write_text("job_id,source,lock,status,pipeline,start_time,end_time\n"
+                                        "1,azure_databricks,1,RUNNING,a,1706100000.0,\n")
+    (tmp_path / "checkpoint.txt").write_text("1706050000000")
+    root = str(tmp_path / "state")
+    assert import_previous_state(spark, str(tmp_path / "state.csv"), str(tmp_path / "checkpoint.txt"), root) \
+        == 1706050000000
+    result = readiness_pass(spark, d, r, fx.fx_calendar(spark), root, str(tmp_path / "log"), fx.AS_OF)
+    assert result.version == 1 and result.hwm_ms == 1706050000000                  # incremental from the import
+    assert readers.read_checkpoint_text(spark, str(tmp_path / "missing.txt")) is None
