@@ -23,6 +23,7 @@ def _flat_runs(df: DataFrame) -> DataFrame:
 
 
 def q_flatten_definitions(spark: SparkSession, sf: str) -> DataFrame:
+    """O1 over every customer as a job definition."""
     return definitions.flatten_definitions(fx.fx_defs(spark, sf))
 
 
@@ -31,29 +32,35 @@ def _defs(spark, sf):
 
 
 def q_normalize_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a run, normalised and joined to the definitions."""
     return runs.normalize_runs(fx.fx_runs(spark, sf), _defs(spark, sf))
 
 
 def q_select_runs_full(spark: SparkSession, sf: str) -> DataFrame:
+    """O5 full load: the latest run of every job in the run log."""
     return _flat_runs(runs.select_runs(fx.fx_runs(spark, sf)))
 
 
 def q_select_runs_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """O5 incremental: runs since the high-water mark plus the latest run of carried jobs."""
     return _flat_runs(runs.select_runs(fx.fx_runs(spark, sf), fx.fx_state_old(spark, sf), hwm_ms=fx.HWM_MS))
 
 
 def q_open_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """Free concurrent slots of multi-slot jobs with active runs."""
     return runs.open_slots(fx.fx_runs(spark, sf), _defs(spark, sf)).select(
         "job_id", "max_concurrent_runs", "jobs_open")
 
 
 def q_latest_run(spark: SparkSession, sf: str) -> DataFrame:
+    """O7 over all normalised runs (definition count as the per-job bound)."""
     defs = _defs(spark, sf)
     n = defs.count()
     return runs.latest_run(runs.normalize_runs(fx.fx_runs(spark, sf), defs, jobs_bound=n), jobs_bound=n)
 
 
 def q_lock_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Lock and status of every job's latest runs, with open-slot release."""
     defs = _defs(spark, sf)
     raw = fx.fx_runs(spark, sf)
     latest = runs.latest_run(runs.normalize_runs(raw, defs))
@@ -61,10 +68,12 @@ def q_lock_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_normalize_external(spark: SparkSession, sf: str) -> DataFrame:
+    """The supplier feed as state rows."""
     return state.normalize_external(fx.fx_external(spark, sf))
 
 
 def q_combine_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Platform state rows and external rows, UNION ALL."""
     return state.combine_runs(q_lock_status(spark, sf), q_normalize_external(spark, sf))
 
 
@@ -76,6 +85,7 @@ def pass_new_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_merge_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The old state merged with one incremental pass's rows."""
     new = pass_new_rows(spark, sf)
     return state.merge_state(fx.fx_state_old(spark, sf), new, new_rows=new.count())
 
@@ -108,17 +118,20 @@ def pass_itinerary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_dependency_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Every non-blank dependency item joined to its upstream's state rows."""
     st = pass_state(spark, sf)
     edges = dependencies.dependency_edges(_defs(spark, sf), st, st.count())
     return edges.select("job_id", "kind", "dependency", "source", "dep_start_time", "dep_end_time", "dep_status")
 
 
 def q_readiness_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Decision rows of every job at the fixture instant."""
     st = pass_state(spark, sf)
     return readiness.readiness_rows(pass_itinerary(spark, sf), st, st.count())
 
 
 def q_ready_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """The jobs whose decision rows all pass."""
     return readiness.ready_jobs(q_readiness_rows(spark, sf))
 
 
