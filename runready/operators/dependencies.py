@@ -24,7 +24,8 @@ DEPENDENCY_KINDS = [("trigger", "tdep"), ("status", "sdep"), ("completed", "cdep
 
 
 def itinerary(defs: DataFrame, fires: DataFrame, bounds, as_of: int | None = None,
-              jobs_bound: int | None = None) -> DataFrame:
+              jobs_bound: int | None = None, fires_rows: int | None = None,
+              bounds_rows: int | None = None) -> DataFrame:
     """Definitions with their schedule and fiscal bounds.
 
     ``fires`` is ``cron_fires`` output.  With a scalar ``as_of`` every job is evaluated at
@@ -34,6 +35,12 @@ def itinerary(defs: DataFrame, fires: DataFrame, bounds, as_of: int | None = Non
     are joined on their keys (cron, tz, as_of) and (as_of).  The fire table has at most one
     row per job; it is broadcast when ``jobs_bound`` (the definition count) rows fit the
     broadcast budget.
+
+    Many jobs share an instant (and often a schedule), so in the many-instant form those
+    keys can be hot: with known row counts of the two tables (``fires_rows``,
+    ``bounds_rows``) each lookup is a ``lookup_join`` (broadcast when it fits, else hot keys
+    split off; ``defs`` should then be materialised, as it is read more than once); without
+    them the joins are left to AQE.
     """
     names = {"fcl_per_start_time": "prev_fcl_per_start_time", "fcl_per_first_mon": "prev_fcl_per_first_mon",
              "fcl_qtr_start_time": "prev_fcl_qtr_start_time", "fcl_qtr_first_mon": "prev_fcl_qtr_first_mon"}
@@ -44,10 +51,15 @@ def itinerary(defs: DataFrame, fires: DataFrame, bounds, as_of: int | None = Non
         it = defs.join(f.drop("as_of"), ["cron", "tz"], "left")
         return it.withColumns({"as_of": F.lit(int(as_of)).cast("long"),
                                **{names[k]: F.lit(bounds[k]).cast("long") for k in names}})
-    # one row per distinct key on the right: AQE broadcasts them when its measured size allows
-    # (many jobs sharing an instant then never meet in one task) and splits skew otherwise
-    b = bounds.select("as_of", *[F.col(k).alias(v) for k, v in names.items()])
-    return defs.join(f, ["cron", "tz", "as_of"], "left").join(b, "as_of", "left")
+    if fires_rows is None or bounds_rows is None:
+        # one row per distinct key on the right: AQE broadcasts them when its measured size
+        # allows and splits skew otherwise
+        b = bounds.select("as_of", *[F.col(k).alias(v) for k, v in names.items()])
+        return defs.join(f, ["cron", "tz", "as_of"], "left").join(b, "as_of", "left")
+    fk = f.withColumn("_fk", F.struct("cron", "tz", "as_of")).drop("cron", "tz", "as_of")
+    it = lookup_join(defs, fk, F.struct("cron", "tz", "as_of"), "_fk", fires_rows).drop("_fk")
+    b = bounds.select(F.col("as_of").alias("_bk"), *[F.col(k).alias(v) for k, v in names.items()])
+    return lookup_join(it, b, F.col("as_of"), "_bk", bounds_rows).drop("_bk")
 
 
 def _state_lookup(state: DataFrame, prefix: str) -> DataFrame:

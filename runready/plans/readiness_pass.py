@@ -94,17 +94,20 @@ def decide_at(spark: SparkSession, raw_defs: DataFrame, calendar: DataFrame, cur
 
     The requests join the definitions on job_id (an equi-join, one itinerary row per
     request); fire times are computed per distinct (cron, tz, as_of) and fiscal bounds per
-    distinct instant, then joined on those keys.  The itinerary is materialised once with a
-    reliable ``checkpoint()`` (in ``spark.checkpoint.dir``), since both state lookups read
-    it.  ``ready_jobs`` of the result gives the (job_id, as_of) pairs that are ready.
+    distinct instant, then joined on those keys.  Many requests share an instant, so the
+    requests, the two lookup tables and the itinerary are materialised with reliable
+    ``checkpoint()`` calls (in ``spark.checkpoint.dir``): the tables' exact sizes then decide
+    between broadcast and a hot-key split (``lookup_join``), and nothing is recomputed.
+    ``ready_jobs`` of the result gives the (job_id, as_of) pairs that are ready.
     """
     ensure_checkpoint_dir(spark)
     defs = definitions.flatten_definitions(raw_defs)
     req = requests.select("job_id", F.col("as_of").cast("long").alias("as_of")).distinct()
-    jobs = defs.join(req, "job_id", "inner")
-    fires = schedule.cron_fires(jobs, day_rule=day_rule)
-    bounds = fiscal.fiscal_bounds(calendar, req.select("as_of"))
-    itin = dependencies.itinerary(jobs, fires, bounds).checkpoint()
+    jobs = defs.join(req, "job_id", "inner").checkpoint()
+    fires = schedule.cron_fires(jobs, day_rule=day_rule).checkpoint()
+    bounds = fiscal.fiscal_bounds(calendar, req.select("as_of")).checkpoint()
+    itin = dependencies.itinerary(jobs, fires, bounds, fires_rows=fires.count(),
+                                  bounds_rows=bounds.count()).checkpoint()
     return readiness.readiness_rows(itin, current_state)
 
 
