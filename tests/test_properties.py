@@ -78,3 +78,35 @@ def test_full_then_latest_equals_incremental_from_zero(spark, seed):
     full = runs.latest_run(runs.normalize_runs(runs.select_runs(log), defs))
     inc = runs.latest_run(runs.normalize_runs(runs.select_runs(log, hwm_ms=0), defs))
     assert rows(full) == rows(inc)
+
+
+def _random_state(rnd, n, names, dup=False):
+    out = []
+    for i in range(n):
+        out.append((rnd.choice([1, 2, None]), rnd.choice(["p", "q"]), rnd.choice(["0", "1", None]),
+                    rnd.choice(["SUCCESS", "FAILED", None]), rnd.choice(names), rnd.choice([None, 5, 9]),
+                    rnd.choice([None, 7, 11])))
+    if dup and out:
+        out += [out[0]] * rnd.randint(1, 6)                     # copies of one key
+    return out
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.integers(min_value=0, max_value=10**6))
+def test_merge_properties(spark, seed):
+    from helpers import state_df
+
+    from runready.operators import state
+    rnd = random.Random(seed)
+    names = ["a", "b", "c", "d", None]
+    # unique keys: merging the same new rows twice changes nothing
+    keys = rnd.sample([(n, s) for n in "abcdefg" for s in "pq"], 8)
+    uniq_old = [(1, s, "0", "SUCCESS", n, 1, 2) for n, s in keys[:5]]
+    uniq_new = [(2, s, rnd.choice(["1", None]), None, n, 3, None) for n, s in keys[3:]]
+    a, b = state_df(spark, uniq_old), state_df(spark, uniq_new)
+    once = state.merge_state(a, b)
+    assert rows(state.merge_state(once, b)) == rows(once)
+    # any keys, with copies: the hot-key split equals one full outer join
+    old = state_df(spark, _random_state(rnd, rnd.randint(0, 12), names))
+    new = state_df(spark, _random_state(rnd, rnd.randint(0, 12), names, dup=True))
+    assert rows(state.merge_state(old, new, hot_rows=3)) == rows(state.merge_state(old, new, hot_rows=None))
