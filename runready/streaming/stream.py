@@ -72,12 +72,12 @@ def readiness_stream(spark: SparkSession, runs_dir: str, raw_defs: DataFrame, ca
         version = int(batch_id) + 1
         if version in st.state_versions(spark, state_root):
             return
-        batch = batch.where(~F.col("_tick")).drop("_tick")
-        as_of = as_of_fn(batch, batch_id)
-        if as_of is None:
-            return
-        batch = batch.persist()
+        # the batch is read from its files once: persisted before the instant is taken
+        batch = batch.where(~F.col("_tick")).drop("_tick").persist()
         try:
+            as_of = as_of_fn(batch, batch_id)
+            if as_of is None:
+                return
             base = max([v for v in st.state_versions(spark, state_root) if v < version], default=None)
             prev_active = st.read_extra(spark, state_root, base, ACTIVE, schemas.RAW_RUN)
             # written into the (uncommitted) version first, then read back for the slot count
