@@ -1,4 +1,6 @@
-"""Run-log operators: O4 normalize_runs, O5 select_runs, O6 open_slots, O7 latest_run, O8 lock_status.
+"""Run-log operators: O4 normalize_runs, O5 select_runs, O6 open_slots, O7 latest_run, O8 lock_status,
+and the active-run set behind open slots (``refresh_active_runs`` for a log holding each
+run's current state, ``active_runs`` for a stream of run records).
 
 Scale notes.  The run log is the table that grows (billions of runs, one job may own a
 third of them).  No window runs over the log: every "per job" step on it is a hash
