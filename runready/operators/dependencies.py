@@ -25,7 +25,7 @@ DEPENDENCY_KINDS = [("trigger", "tdep"), ("status", "sdep"), ("completed", "cdep
 
 def itinerary(defs: DataFrame, fires: DataFrame, bounds, as_of: int | None = None,
               jobs_bound: int | None = None, fires_rows: int | None = None,
-              bounds_rows: int | None = None) -> DataFrame:
+              bounds_rows: int | None = None, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Definitions with their schedule and fiscal bounds.
 
     ``fires`` is ``cron_fires`` output.  With a scalar ``as_of`` every job is evaluated at
@@ -57,9 +57,9 @@ def itinerary(defs: DataFrame, fires: DataFrame, bounds, as_of: int | None = Non
         b = bounds.select("as_of", *[F.col(k).alias(v) for k, v in names.items()])
         return defs.join(f, ["cron", "tz", "as_of"], "left").join(b, "as_of", "left")
     fk = f.withColumn("_fk", F.struct("cron", "tz", "as_of")).drop("cron", "tz", "as_of")
-    it = lookup_join(defs, fk, F.struct("cron", "tz", "as_of"), "_fk", fires_rows).drop("_fk")
+    it = lookup_join(defs, fk, F.struct("cron", "tz", "as_of"), "_fk", fires_rows, hot_rows).drop("_fk")
     b = bounds.select(F.col("as_of").alias("_bk"), *[F.col(k).alias(v) for k, v in names.items()])
-    return lookup_join(it, b, F.col("as_of"), "_bk", bounds_rows).drop("_bk")
+    return lookup_join(it, b, F.col("as_of"), "_bk", bounds_rows, hot_rows).drop("_bk")
 
 
 def _state_lookup(state: DataFrame, prefix: str) -> DataFrame:

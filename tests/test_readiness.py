@@ -208,3 +208,22 @@ def test_lookup_join_split_equals_plain_join(spark):
     bcast = lookup_join(left, right, F.trim(F.col("name")), "rk", right_rows=4)
     assert rows(split, "id", "rk", "src", "v") == rows(plain, "id", "rk", "src", "v") == rows(bcast, "id", "rk", "src", "v")
     assert len(rows(split, "id")) == 40 * 2 + 3 * 3 + 3 * 2 + 3   # hot x2 sources, ' hot' trims to hot
+
+
+def test_many_instant_itinerary_paths_agree(spark):
+    """Broadcast, hot-key split and plain joins give the same itinerary for shared instants."""
+    from runready.operators import definitions
+    defs = definitions.flatten_definitions(raw_defs(spark, [
+        {"job_id": i, "name": f"j{i}", "state": "active", "cron": ["0 6 * * *", None][i % 2]} for i in range(1, 13)]))
+    req = spark.createDataFrame([(i, AS_OF - 86400 * (i % 3)) for i in range(1, 13)], "job_id long, as_of long")
+    jobs = defs.join(req, "job_id").checkpoint()
+    fires = schedule.cron_fires(jobs).checkpoint()
+    bounds = fiscal.fiscal_bounds(fx.fx_calendar(spark), req.select("as_of")).checkpoint()
+    cols = ["job_id", "as_of", "prev_min_exec_time", "next_min_exec_time", "prev_fcl_per_start_time",
+            "prev_fcl_qtr_first_mon"]
+    plain = rows(dependencies.itinerary(jobs, fires, bounds), *cols)
+    bcast = rows(dependencies.itinerary(jobs, fires, bounds, fires_rows=fires.count(), bounds_rows=bounds.count()),
+                 *cols)
+    split = rows(dependencies.itinerary(jobs, fires, bounds, fires_rows=10**12, bounds_rows=10**12, hot_rows=2),
+                 *cols)
+    assert plain == bcast == split and len(plain) == 12 and all(r[2] is not None for r in plain)
