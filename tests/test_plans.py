@@ -94,3 +94,25 @@ def test_hot_job_latest_run_is_exact_and_not_shuffled_by_job(spark):
             assert "partial_max" in lines[i + 1] or "HashAggregate(keys=[" in lines[i + 1], ln
     got = {r.job_id: r.start_time for r in latest.collect()}
     assert got[7] == (n - 3) * 10 and len(got) == 1001
+
+
+def test_ready_list_reads_only_its_log_partition(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from runready.operators import logs, readiness
+    path = str(tmp_path / "log")
+    row = (1706702400, 1, "p", "active", "own", 0, None, "UTC", "None", "hold", 10, 0, 20, 30, 1, 2, 3, 4,
+           None, "src", None, None, None, 0)
+    decisions = spark.createDataFrame([row], T_DECISIONS())
+    for t in (1706700000, 1706702400):
+        logs.write_decision_log(decisions, path, t)
+    logged = logs.read_decision_log(spark, path).where(F.col("log_time") == F.lit(1706702400))
+    plan = _plan(readiness.ready_jobs(logged))
+    assert "PartitionFilters: [isnotnull(log_time" in plan and "(log_time#" in plan
+
+
+def T_DECISIONS():
+    from pyspark.sql import types as T
+
+    from runready.operators import logs
+    return T.StructType(logs.DECISION_LOG.fields[:-2])
