@@ -88,3 +88,12 @@ def test_api_pages_and_migration(spark, tmp_path):
     result = readiness_pass(spark, d, r, fx.fx_calendar(spark), root, str(tmp_path / "log"), fx.AS_OF)
     assert result.version == 1 and result.hwm_ms == 1706050000000                  # incremental from the import
     assert readers.read_checkpoint_text(spark, str(tmp_path / "missing.txt")) is None
+
+
+def test_pass_with_no_definitions(spark, tmp_path):
+    from runready import schemas
+    defs = spark.createDataFrame([], schemas.DEFINITION)
+    result = readiness_pass(spark, defs, fx.fx_runs(spark, SF), fx.fx_calendar(spark), str(tmp_path / "state"),
+                            str(tmp_path / "log"), fx.AS_OF, external=fx.fx_external(spark, SF))
+    assert result.version == 1 and result.ready.count() == 0
+    assert state.read_state(spark, str(tmp_path / "state")).count() == fx.fx_external(spark, SF).count()
