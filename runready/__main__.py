@@ -30,8 +30,10 @@ from .sources import readers
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="runready", description="Decide which pipelines are ready to run.")
     sub = p.add_subparsers(dest="mode", required=True)
+    helps = {"pass": "run one pass at an instant and commit a new state version",
+             "stream": "run a pass per trigger over run files as they land"}
     for name in ("pass", "stream"):
-        s = sub.add_parser(name)
+        s = sub.add_parser(name, help=helps[name])
         s.add_argument("--defs", required=True, help="job definitions (JSON lines)")
         s.add_argument("--runs", required=True, help="run records (folder or glob)")
         s.add_argument("--runs-format", default="json", choices=["json", "parquet"])
