@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from runready.llm.bayes_minhash import near_duplicates
+from runready.llm.language_id import predict, train
+from runready.llm.quality_divergence import quality_rules
 from runready.llm.tables import read_table
 from runready.llm.token_store import tokenize_documents
 
@@ -28,3 +32,29 @@ def word_tokenizer() -> str:
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole document, write the token files, read them back: one row per document."""
     return tokenize_documents(read_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=2)
+
+
+def split_by_id(docs: DataFrame) -> DataFrame:
+    """``held_out``: crc32 of the id's text leaves 2 modulo 4 (a null id is not held out)."""
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    return docs.withColumn("held_out", F.coalesce(remainder == 2, F.lit(False)))
+
+
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document, learnt from the documents that are not held out."""
+    docs = split_by_id(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    model = train(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()).select("text", "lang"))
+    return predict(docs, model, "doc_id", "held_out")
+
+
+@_query
+def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and divergence verdict of every whole document."""
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on 2-word shingles at similarity 0.8."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
