@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runready.llm.bayes_minhash import near_duplicates
 from runready.llm.language_id import predict, train
 from runready.llm.quality_divergence import quality_rules
+from runready.llm.spaced_seeds import contaminated
 from runready.llm.tables import read_table
 from runready.llm.token_store import tokenize_documents
 
@@ -58,3 +59,9 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 2-word shingles at similarity 0.8."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
+
+
+@_query
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair with a substitution-tolerant overlap."""
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
