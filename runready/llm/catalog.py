@@ -12,6 +12,7 @@ from runready.llm.language_id import predict, train
 from runready.llm.quality_divergence import quality_rules
 from runready.llm.spaced_seeds import contaminated
 from runready.llm.tables import read_table
+from runready.llm.temperature_mix import mix, word_count
 from runready.llm.token_store import tokenize_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,65 @@ def op5_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) pair with a substitution-tolerant overlap."""
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+# half the way from natural to equal entropy is near 0.95 for one large source among twenty
+MIX = {"target_entropy": 0.95, "max_repetition": 4.0, "seed": 1}
+
+
+@_query
+def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 95 % of the greatest entropy of sources, no source over four times, in
+    as many words as the corpus has."""
+    docs = read_table(spark, sf_dir, "documents")
+    budget = docs.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
+    return mix(docs, budget=budget, **MIX).select(
+        "doc_id", "source", "mix_tokens", "mix_epoch", "mix_block", "mix_key",
+        F.round("mix_weight", 6).alias("mix_weight"))
+
+
+ORACLES["op8_temperature_mix"] = r"""
+with recursive sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as n from documents),
+src as (select source, sum(n)::bigint as tokens from sized group by source having sum(n) > 0),
+tot as (select sum(tokens)::double as total, count(*) as c from src),
+shares as (select list(tokens / total) as s, list(tokens::double) as t, any_value(c) as c, any_value(total) as total
+           from src, tot),
+ent(i, lo, hi) as (
+  select 0, 0.0::double, 8.0::double
+  union all
+  select i + 1, case when h >= 0.95 * ln(c) - 1e-12 then (lo + hi) / 2 else lo end,
+         case when h >= 0.95 * ln(c) - 1e-12 then hi else (lo + hi) / 2 end
+  from (select i, lo, hi, c,
+          ln(list_sum(list_transform(s, lambda x: pow(x, (lo + hi) / 2))))
+          - list_sum(list_transform(s, lambda x: pow(x, (lo + hi) / 2) * ln(pow(x, (lo + hi) / 2))))
+            / list_sum(list_transform(s, lambda x: pow(x, (lo + hi) / 2))) as h
+        from ent, shares where i < 40)),
+rep(i, lo, hi) as (
+  select 0, 0.0::double, 1.0::double
+  union all
+  select i + 1, case when m > 4.0 + 1e-12 then (lo + hi) / 2 else lo end,
+         case when m > 4.0 + 1e-12 then hi else (lo + hi) / 2 end
+  from (select i, lo, hi,
+          list_max(list_transform(s, lambda x: pow(x, (lo + hi) / 2) / (x * total))) * total
+          / list_sum(list_transform(s, lambda x: pow(x, (lo + hi) / 2))) as m
+        from rep, shares where i < 40)),
+exponent as (select greatest((select lo from ent where i = 40), (select lo from rep where i = 40)) as a),
+w as (select source, tokens, pow(tokens / total, a) as w from src, tot, exponent),
+weights as (select source, tokens, round(w / (select sum(w) from w), 9) as weight from w),
+plan as (select source, tokens, weight, round(weight * total)::bigint as given,
+                round(weight * total)::bigint // tokens as epochs,
+                round(weight * total)::bigint % tokens as rest from weights, tot),
+keyed as (
+  select d.doc_id, d.source, d.n, epochs, rest, weight,
+         ('0x' || substr(md5(concat_ws('|', '1', epochs, coalesce(d.doc_id::varchar, ''))), 1, 15))::bigint as k
+  from sized d join plan p on d.source is not distinct from p.source where given > 0),
+placed as (
+  select *, coalesce(sum(n) over (partition by source order by k range between unbounded preceding and 1 preceding), 0)
+            as before from keyed),
+taken as (select *, epochs + (case when before < rest then 1 else 0 end) as copies from placed),
+rows_ as (select doc_id, source, n, weight, unnest(range(copies)) as mix_epoch from taken where copies > 0)
+select doc_id, source, n as mix_tokens, mix_epoch, mix_key >> 48 as mix_block, mix_key, round(weight, 6) as mix_weight
+from (select *, ('0x' || substr(md5(concat_ws('|', '1', mix_epoch, coalesce(doc_id::varchar, ''))), 1, 15))::bigint
+             as mix_key from rows_)
+"""
