@@ -21,8 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 14
 DIM = 16
@@ -104,7 +106,7 @@ def _examples(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(labelled: DataFrame, seed: int = 7) -> LanguageModel:
     """Fit a model to ``labelled(text, lang)``; rows without a text, a lang or a letter teach nothing.
 
-    Raises ``ValueError`` where no row is left.
+    Where no row is left the model has no language and finds every text undetermined.
     """
     rows = labelled.where("text is not null and lang is not null").select(
         F.col("text"), F.col("lang"), F.xxhash64("text").alias("key"))
@@ -117,7 +119,7 @@ def train(labelled: DataFrame, seed: int = 7) -> LanguageModel:
                                       "ids array<int>, share array<float>"))
     got = sorted(sample.collect(), key=lambda r: (r.key, r.lang, r.span))
     if not got:
-        raise ValueError("no labelled text to learn a language from")
+        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), frozenset())
     langs = sorted({r.lang for r in got})
     data = [(langs.index(r.lang), np.array(r.ids, np.int32), np.array(r.share, np.float32),
              (r.key // 1024) % CALIBRATION_PART == 0) for r in got]
@@ -173,15 +175,15 @@ def predict(docs: DataFrame, model: LanguageModel, *carried: str) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)      # a few MB at most: BUCKETS x languages
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known: dict[str, int] = {}
         table = np.zeros((1024, len(model.langs) + 3))
-        for part in parts:
+        for batch in batches:
             best, value = [], []
-            for text in part["text"]:
+            for text in batch.column(0).to_pylist():
                 words = letter_runs(text)
-                if not words:
+                if not words or not model.langs:
                     best.append(UNDETERMINED)
                     value.append(0.0)
                     continue
@@ -197,14 +199,16 @@ def predict(docs: DataFrame, model: LanguageModel, *carried: str) -> DataFrame:
                 lang, s = model.finish(table[at].sum(0))
                 best.append(model.langs[lang])
                 value.append(min(1.0, max(0.0, s)))
-            out = part[list(carried)].copy()
-            out["lang_pred"], out["score"] = best, np.array(value, float)
-            out["rejected"] = (out["score"] < model.threshold) | (out["lang_pred"] == UNDETERMINED)
-            yield out
-
-    kept = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(["text", *carried])])
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for c in carried for f in kept.schema if f.name == c]
-    return kept.mapInPandas(score, ", ".join([*types, "lang_pred string, score double, rejected boolean"]))
+            rejected = [s < model.threshold or b == UNDETERMINED for b, s in zip(best, value, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(best, pa.string()), pa.array(value, pa.float64()),
+                 pa.array(rejected, pa.bool_())],
+                names=[*carried, "lang_pred", "score", "rejected"])
+
+    read = docs.select(F.col("text").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in carried])
+    schema = T.StructType([*read.schema.fields[1:], T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return read.mapInArrow(score, schema)
 
 
 __all__ = ["train", "predict", "letter_runs", "LanguageModel", "UNDETERMINED"]

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -145,26 +146,27 @@ def histograms(docs: DataFrame, common: list[str]) -> DataFrame:
     """Base counts and both histograms of every document, from its whole text."""
     at = {w: k for k, w in enumerate(common)}
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for doc, lang, text in zip(part["doc_id"], part["lang"], part["text"], strict=True):
+            for text in batch.column("text").to_pylist():
                 text = text or ""
                 words = _WORD.findall(text)
                 base = base_counts(text, words)
                 hits = Counter(filter(at.__contains__, _WORD.findall(text.lower())))
-                rows.append((doc, lang, *base, fails_base(base[0], base[4]), class_counts(text).tolist(),
+                rows.append((*base, fails_base(base[0], base[4]), class_counts(text).tolist(),
                              [at[w] for w in hits], list(hits.values())))
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            new = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *new], names=_COLUMNS)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-                       F.col("text").cast("string").alias("text")).mapInPandas(count, _SCHEMA)
+                       F.col("text").cast("string").alias("text")).mapInArrow(count, _SCHEMA)
 
 
 _COLUMNS = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "base_failed", "classes", "words", "hits"]
+_TYPES = [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 _SCHEMA = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
            "n_repeat_words long, base_failed boolean, classes array<long>, words array<int>, hits array<long>")
 
@@ -226,18 +228,20 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     size = len(common)
     refs = spark.sparkContext.broadcast(references(measured, size))     # languages x bins
 
-    def verdict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [judge(np.asarray(c, float), _dense(w, h, n, size), refs.value)
-                     for c, w, h, n in zip(part["classes"], part["words"], part["hits"], part["n_words"], strict=True)]
-            out = part.drop(columns=["lang", "classes", "words", "hits"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            out["class_distance"] = [f[0] for f in found]
-            out["word_distance"] = [f[1] for f in found]
-            out["kept"] = ~out["base_failed"].astype(bool) & np.array([f[2] for f in found], bool)
-            yield out
-
-    return measured.mapInPandas(
+    def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.select(["classes", "words", "hits", "n_words"]).to_pydict()
+            found = [judge(np.asarray(c, float), _dense(w, h, n, size), refs.value) for c, w, h, n in zip(
+                part["classes"], part["words"], part["hits"], part["n_words"], strict=True)]
+            failed = batch.column("base_failed").to_pylist()
+            kept = [f[2] and not b for f, b in zip(found, failed, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, names), pa.array([f[0] for f in found], pa.float64()),
+                 pa.array([f[1] for f in found], pa.float64()), pa.array(kept, pa.bool_())],
+                names=[*names, "class_distance", "word_distance", "kept"])
+
+    names = [c for c in _COLUMNS if c not in ("lang", "classes", "words", "hits")]
+    return measured.mapInArrow(
         verdict, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                  "n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runready.session import shared_path
@@ -33,9 +33,12 @@ def ascii_words(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """``df``'s own columns ``names``; other columns, whatever their names, are left out."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def shielded(df: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but ``own`` under names of their own, and the columns that restore the
+    original names and order: an operator's new columns then clash with none of the table's."""
+    names = {c: c if c in own else f"x_{k}" for k, c in enumerate(df.columns)}
+    return (df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]),
+            [F.col(n).alias(c) for c, n in names.items()])
 
 
-__all__ = ["WORD", "read_table", "stored", "ascii_words", "only"]
+__all__ = ["WORD", "read_table", "stored", "ascii_words", "shielded"]
