@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runready.llm.bayes_minhash import near_duplicates
+from runready.llm.html_wrapper import extract
 from runready.llm.language_id import predict, train
 from runready.llm.quality_divergence import quality_rules
 from runready.llm.spaced_seeds import contaminated
@@ -128,3 +129,9 @@ select doc_id, source, n as mix_tokens, mix_epoch, mix_key >> 48 as mix_block, m
 from (select *, ('0x' || substr(md5(concat_ws('|', '1', mix_epoch, coalesce(doc_id::varchar, ''))), 1, 15))::bigint
              as mix_key from rows_)
 """
+
+
+@_query
+def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page."""
+    return extract(read_table(spark, sf_dir, "pages"))
