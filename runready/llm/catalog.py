@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runready.llm.bayes_minhash import near_duplicates
 from runready.llm.html_wrapper import extract
+from runready.llm.importance_resampling import resample
 from runready.llm.language_id import predict, train
 from runready.llm.quality_divergence import quality_rules
 from runready.llm.spaced_seeds import contaminated
@@ -135,3 +136,10 @@ from (select *, ('0x' || substr(md5(concat_ws('|', '1', mix_epoch, coalesce(doc_
 def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every whole page."""
     return extract(read_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, resampled towards those labelled good and not toxic, as many as their share of the labels."""
+    labels = read_table(spark, sf_dir, "labels")
+    return resample(read_table(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"), labelled=labels)
