@@ -11,7 +11,9 @@ from runready.llm.bayes_minhash import near_duplicates
 from runready.llm.html_wrapper import extract
 from runready.llm.importance_resampling import resample
 from runready.llm.language_id import predict, train
+from runready.llm.license_scan import scan
 from runready.llm.quality_divergence import quality_rules
+from runready.llm.quote_links import conversations
 from runready.llm.spaced_seeds import contaminated
 from runready.llm.tables import read_table
 from runready.llm.temperature_mix import mix, word_count
@@ -143,3 +145,15 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, resampled towards those labelled good and not toxic, as many as their share of the labels."""
     labels = read_table(spark, sf_dir, "labels")
     return resample(read_table(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"), labelled=labels)
+
+
+@_query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every whole document."""
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quotes, with the message each one replies to and its thread."""
+    return conversations(read_table(spark, sf_dir, "conversations"))
