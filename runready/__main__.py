@@ -58,11 +58,11 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = _parser().parse_args(argv)
     spark = configure(spark) if spark is not None else get_spark(app_name="runready")
-    defs = readers.read_definitions(spark, args.defs)
-    cal = readers.read_calendar(spark, args.calendar)
-    ext = readers.read_external(spark, args.external) if args.external else None
     if args.mode == "pass":
         from .plans.readiness_pass import readiness_pass
+        defs = readers.read_definitions(spark, args.defs)
+        cal = readers.read_calendar(spark, args.calendar)
+        ext = readers.read_external(spark, args.external) if args.external else None
         as_of = args.as_of if args.as_of is not None else int(time.time())
         result = readiness_pass(spark, defs, readers.read_runs(spark, args.runs, args.runs_format), cal,
                                 args.state, args.log, as_of, external=ext, carry_over=args.carry_over,
@@ -72,9 +72,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return 0
     from .streaming.stream import readiness_stream
     trigger = {"availableNow": True} if args.available_now else {"processingTime": args.trigger}
-    q = readiness_stream(spark, args.runs, defs, cal, args.state, args.log, args.checkpoint, external=ext,
+    # functions, so that every batch sees the definitions, calendar and feed of its time
+    q = readiness_stream(spark, args.runs, lambda: readers.read_definitions(spark, args.defs),
+                         lambda: readers.read_calendar(spark, args.calendar), args.state, args.log, args.checkpoint,
+                         external=(lambda: readers.read_external(spark, args.external)) if args.external else None,
                          fmt=args.runs_format, max_files_per_trigger=args.max_files_per_trigger,
-                         trigger=trigger, tick=args.tick)
+                         trigger=trigger, tick=args.tick, day_rule=args.day_rule, log_format=args.log_format)
     q.awaitTermination()
     return 0
 

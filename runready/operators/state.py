@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import vocab
-from ..functions.joins import HOT_KEY_ROWS, broadcast_if_small
 from ..session import list_dirs, path_exists
 
 
@@ -48,56 +47,40 @@ def combine_runs(*frames: DataFrame, distinct: bool = False) -> DataFrame:
     return out.distinct() if distinct else out
 
 
-def _merged(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    a, b = a.alias("a"), b.alias("b")
-    return a.join(b, ["pipeline", "source"], how).select(
-        F.coalesce("b.job_id", "a.job_id").alias("job_id"),
-        "source",
-        F.coalesce("b.lock", "a.lock").alias("lock"),
-        F.coalesce("b.status", "a.status").alias("status"),
-        "pipeline",
-        F.coalesce("b.start_time", "a.start_time").alias("start_time"),
-        F.coalesce("b.end_time", "a.end_time").alias("end_time"),
-    )
+_KEY = ("pipeline", "source")
+_VALUES = tuple(c for c in schemas.STATE_COLUMNS if c not in _KEY)
 
 
-def merge_state(old: DataFrame, new: DataFrame, hot_rows: int | None = HOT_KEY_ROWS,
-                new_rows: int | None = None) -> DataFrame:
-    """Full outer join USING (pipeline, source); a non-null new value wins column-wise.
+def merge_state(old: DataFrame, new: DataFrame, newest_wins: bool = False) -> DataFrame:
+    """One row per (pipeline, source); each column takes its last non-null value.
 
-    Rows are never deleted; a key repeated on both sides yields every pairing, as in the
-    reference (its state keys are unique unless a feed repeats a key).
+    Old rows come before new ones, and rows of one side are ordered by end and start (null first);
+    ``newest_wins`` orders by start and end first and by side last, for records that may arrive
+    late.  Rows are never deleted.  A key that a side repeats (a feed that keeps history) yields
+    one row all the same, so equal passes leave the state's size as it is; a null in a key
+    is a value like any other.
 
-    Skew: a key with ``hot_rows`` or more new rows (e.g. a feed that keeps history) would
-    put all its rows in one task of the full outer join, which AQE cannot split.  Such keys
-    are counted first; their new rows are left-joined to a broadcast of their old rows (a
-    hot key is on the new side, so every old row of it matches), and only the other keys
-    go through the full outer join.  ``hot_rows=None`` does a single full outer join, as
-    does a known ``new_rows`` (row count of ``new``) below ``hot_rows``: then no key can be
-    hot.
+    One aggregate per key with a map-side partial: a hot key costs a row per map task, and
+    neither side is joined or counted.
     """
-    if hot_rows is None or (new_rows is not None and new_rows < hot_rows):
-        return _merged(old, new, "full")
-    hot = broadcast_if_small(
-        new.groupBy("pipeline", "source").count().where(F.col("count") >= hot_rows)
-        .select(F.col("pipeline").alias("_hp"), F.col("source").alias("_hs")))
-
-    def is_hot(df: DataFrame):
-        return (df["pipeline"] == hot["_hp"]) & (df["source"] == hot["_hs"])
-
-    new_hot, new_cold = new.join(hot, is_hot(new), "left_semi"), new.join(hot, is_hot(new), "left_anti")
-    old_hot, old_cold = old.join(hot, is_hot(old), "left_semi"), old.join(hot, is_hot(old), "left_anti")
-    hot_part = _merged(broadcast_if_small(old_hot), new_hot, "right")
-    return hot_part.unionByName(_merged(old_cold, new_cold, "full"))
+    rows = (old.select(*schemas.STATE_COLUMNS).withColumn("_side", F.lit(0))
+            .unionByName(new.select(*schemas.STATE_COLUMNS).withColumn("_side", F.lit(1))))
+    order = ["start_time", "end_time", "_side"] if newest_wins else ["_side", "end_time", "start_time"]
+    # the value itself comes last: rows that tie in time still give one answer
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(*[F.col(o).alias(f"o{k}") for k, o in enumerate(order)],
+                                                        F.col(c).alias("v")))).alias(c) for c in _VALUES]
+    merged = rows.groupBy(*_KEY).agg(*last)
+    return merged.select(*[c if c in _KEY else F.col(f"{c}.v").alias(c) for c in schemas.STATE_COLUMNS])
 
 
 # ---- versioned storage -------------------------------------------------------------
 #
 # <root>/v=000000007/state       the state table written by pass 7 (Parquet)
-# <root>/v=000000007/checkpoint  one row: the high-water mark (ms) the next pass starts from
+# <root>/v=000000007/checkpoint  one row: the high-water mark (ms) the next pass starts from, and the last
+#                               batch of each stream that is part of the state (carried from version to version)
 # A version is committed once its checkpoint folder has _SUCCESS (it is written last).
 
-CHECKPOINT_SCHEMA = "hwm_ms long"
+CHECKPOINT_SCHEMA = "hwm_ms long, batches map<string, long>"
 # name of the active-run table kept with each version (runs active at that pass)
 ACTIVE_RUNS = "active_runs"
 
@@ -106,41 +89,77 @@ def _version_dir(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/v={version:09d}"
 
 
+def _version_numbers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of all version folders, committed or not, ascending: one listing."""
+    return sorted(int(n[2:]) for n in list_dirs(spark, root) if n.startswith("v=") and n[2:].isdigit())
+
+
+def _committed(spark: SparkSession, root: str, version: int) -> bool:
+    return path_exists(spark, f"{_version_dir(root, version)}/checkpoint/_SUCCESS")
+
+
 def state_versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed versions under ``root``, ascending."""
-    out = []
-    for name in list_dirs(spark, root):
-        if name.startswith("v="):
-            try:
-                out.append(int(name[2:]))
-            except ValueError:
-                continue
-    return [v for v in sorted(out) if path_exists(spark, f"{_version_dir(root, v)}/checkpoint/_SUCCESS")]
+    """Committed versions under ``root``, ascending (asks the store once per version)."""
+    return [v for v in _version_numbers(spark, root) if _committed(spark, root, v)]
+
+
+def latest_version(spark: SparkSession, root: str, below: int | None = None) -> int | None:
+    """Greatest committed version (below ``below``): one listing and a look at the newest folders."""
+    for v in reversed(_version_numbers(spark, root)):
+        if (below is None or v < below) and _committed(spark, root, v):
+            return v
+    return None
+
+
+def prune_versions(spark: SparkSession, root: str, keep: int) -> list[int]:
+    """Delete the version folders older than the ``keep`` newest committed ones; returns their numbers."""
+    numbers = _version_numbers(spark, root)
+    kept, oldest = 0, None
+    for v in reversed(numbers):
+        if _committed(spark, root, v):
+            kept, oldest = kept + 1, v
+            if kept == max(1, keep):
+                break
+    gone = [v for v in numbers if oldest is not None and kept >= keep and v < oldest]
+    jvm = spark.sparkContext._jvm
+    for v in gone:
+        path = jvm.org.apache.hadoop.fs.Path(_version_dir(root, v))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def read_state(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """State at ``version`` (latest committed when None); an empty state when there is none."""
     if version is None:
-        versions = state_versions(spark, root)
-        version = versions[-1] if versions else None
+        version = latest_version(spark, root)
     if version is None:
         return spark.createDataFrame([], schemas.STATE)
     return spark.read.schema(schemas.STATE).parquet(f"{_version_dir(root, version)}/state")
 
 
-def read_checkpoint(spark: SparkSession, root: str, version: int | None = None) -> int | None:
-    """High-water mark (ms) stored with ``version``; None when missing or unreadable (the next pass is a full load)."""
-    if version is None:
-        versions = state_versions(spark, root)
-        version = versions[-1] if versions else None
+def _checkpoint_row(spark: SparkSession, root: str, version: int | None):
     if version is None:
+        version = latest_version(spark, root)
+    folder = None if version is None else f"{_version_dir(root, version)}/checkpoint"
+    if folder is None or not path_exists(spark, folder):
         return None
-    try:
-        rows = (spark.read.schema(CHECKPOINT_SCHEMA).parquet(f"{_version_dir(root, version)}/checkpoint")
-                .limit(1).collect())
-    except Exception:
-        return None
-    return rows[0]["hwm_ms"] if rows else None
+    rows = spark.read.schema(CHECKPOINT_SCHEMA).parquet(folder).limit(1).collect()
+    return rows[0] if rows else None
+
+
+def read_checkpoint(spark: SparkSession, root: str, version: int | None = None) -> int | None:
+    """High-water mark (ms) stored with ``version``; None when there is none (the next pass is a full load).
+
+    Only a missing mark means a full load: an error of the store or a damaged file is raised.
+    """
+    row = _checkpoint_row(spark, root, version)
+    return row["hwm_ms"] if row else None
+
+
+def read_batches(spark: SparkSession, root: str, version: int | None = None) -> dict[str, int]:
+    """The last batch of each stream that is part of ``version`` (default: the latest)."""
+    row = _checkpoint_row(spark, root, version)
+    return dict(row["batches"] or {}) if row else {}
 
 
 def write_state(state: DataFrame, root: str, version: int, hwm_ms: int | None = None,
@@ -165,9 +184,10 @@ def read_uncommitted_state(spark: SparkSession, root: str, version: int) -> Data
     return spark.read.schema(schemas.STATE).parquet(f"{_version_dir(root, version)}/state")
 
 
-def commit_version(spark: SparkSession, root: str, version: int, hwm_ms: int | None) -> None:
+def commit_version(spark: SparkSession, root: str, version: int, hwm_ms: int | None,
+                   batches: dict[str, int] | None = None) -> None:
     """Write the checkpoint of ``version``; its _SUCCESS marks the version committed."""
-    spark.createDataFrame([(hwm_ms,)], CHECKPOINT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+    spark.createDataFrame([(hwm_ms, batches or {})], CHECKPOINT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
         f"{_version_dir(root, version)}/checkpoint")
 
 
@@ -178,8 +198,7 @@ def has_extra(spark: SparkSession, root: str, version: int, name: str) -> bool:
 def read_extra(spark: SparkSession, root: str, version: int | None, name: str, schema) -> DataFrame:
     """An extra table stored with a version; empty when the version or table is missing."""
     if version is None:
-        versions = state_versions(spark, root)
-        version = versions[-1] if versions else None
+        version = latest_version(spark, root)
     if version is None or not has_extra(spark, root, version, name):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{_version_dir(root, version)}/{name}")

@@ -7,17 +7,16 @@ same parquet tables, which DuckDB sees as views named after the tables.
 
 from __future__ import annotations
 
-from .functions import vocab
-
 SEC = "cast(floor(epoch(ts)) as bigint)"
 LATE = "ts >= timestamp '2024-01-30 00:00:00'"
-TERMINAL = ", ".join(f"'{s}'" for s in vocab.TERMINAL_LIFE_CYCLE_STATES)
+# written out here, not shared with the engine, so that a wrong literal there shows
+TERMINAL = "'TERMINATED', 'SKIPPED', 'INTERNAL_ERROR', 'BLOCKED'"
 AS_OF = 1706702400
 HWM_MS = 1706572800000
 
 
 def _name(offset: int) -> str:
-    return f"concat('Customer#', lpad(cast((c_custkey + {offset}) % 150 as varchar), 9, '0'))"
+    return f"concat('Customer#', lpad(cast((c_custkey + {offset}) % (select count(*) from customer) as varchar), 9, '0'))"
 
 
 # ---- fixtures (mirror runready.sources.fixtures) ----------------------------------
@@ -55,13 +54,24 @@ FX: dict[str, str] = {
   case s_suppkey % 4 when 0 then 'FAILED' when 1 then null else 'SUCCESS' end as status,
   case when s_suppkey % 10 = 0 then concat('Customer#', lpad(cast(s_suppkey as varchar), 9, '0')) else s_name end as pipeline,
   1706600000 + s_suppkey * 60 as start_time, 1706600000 + s_suppkey * 60 + 900 as end_time
- from supplier""",
+ from supplier
+ union all
+ select 'order_feed', case when o_orderkey % 6 = 0 then null when o_orderkey % 5 = 0 then 1 else 0 end,
+  case o_orderkey % 4 when 0 then 'FAILED' when 1 then null else 'SUCCESS' end,
+  concat('Customer#', lpad(cast(o_custkey as varchar), 9, '0')), 1706000000 + o_orderkey,
+  case when o_orderkey % 3 = 0 then null else 1706000000 + o_orderkey + 600 end
+ from orders""",
     "fx_state_old": """
- select cast(c_custkey as bigint) as job_id, 'platform' as source, '0' as lock,
+ select cast(c_custkey as bigint) as job_id, 'azure_databricks' as source, '0' as lock,
   case c_custkey % 3 when 0 then 'RUNNING' when 1 then 'FAILED' else 'SUCCESS' end as status, c_name as pipeline,
-  cast(1704000000 + c_custkey as bigint) as start_time,
-  cast(case when c_custkey % 17 = 0 then null else 1704000600 + c_custkey end as bigint) as end_time
- from customer where c_mktsegment <> 'HOUSEHOLD'""",
+  cast(1704067200 + c_custkey * 997 % 2400000 as bigint) as start_time,
+  cast(case when c_custkey % 17 = 0 then null else 1704067800 + c_custkey * 997 % 2400000 end as bigint) as end_time
+ from customer where c_custkey % 7 <> 3
+ union all
+ select 99999999999999, 'order_feed', case when c_custkey % 3 = 0 then '1' else '0' end,
+  case c_custkey % 5 when 0 then 'FAILED' when 1 then null else 'SUCCESS' end, c_name,
+  1700000000 + c_custkey, 1700000600 + c_custkey
+ from customer where c_custkey % 4 <> 1""",
     "fx_calendar": """
  select d as CLDR_DT, cast(n // 28 as int) as FCL_PER_INDEX, cast(n % 28 + 1 as int) as FCL_DAY_OF_PER_C,
   d - cast(n % 28 as int) as FCL_PER_BGN_DT, cast(n // 84 as int) as FCL_QTR_INDEX,
@@ -69,6 +79,14 @@ FX: dict[str, str] = {
  from (select cast(date '1994-12-31' + cast(n as int) as date) as d, n from (select unnest(range(0, 11323)) as n))""",
 }
 
+def _merged(first: str, second: str, third: str, rows: str) -> str:
+    """Per key and column the last non-null value, one ordered scan a column."""
+    cols = ["job_id", "lock", "status", "start_time", "end_time"]
+    order = ", ".join(f"{c} nulls first" for c in (first, second, third))
+    picks = ", ".join(f"last({c} order by {order}, {c}) filter (where {c} is not null) as {c}" for c in cols)
+    return f" select pipeline, source, {picks} from {rows} group by pipeline, source"
+
+
 # ---- operator steps as CTEs ---------------------------------------------------------
 
 STEPS: dict[str, str] = {
@@ -131,11 +149,10 @@ STEPS: dict[str, str] = {
     "new_rows": """
  select job_id, source, lock, status, pipeline, start_time, end_time from lock_incr
  union all select job_id, source, lock, status, pipeline, start_time, end_time from ext""",
-    "merged": """
- select coalesce(b.job_id, a.job_id) as job_id, source, coalesce(b.lock, a.lock) as lock,
-  coalesce(b.status, a.status) as status, pipeline, coalesce(b.start_time, a.start_time) as start_time,
-  coalesce(b.end_time, a.end_time) as end_time
- from fx_state_old a full outer join new_rows b using (pipeline, source)""",
+    "merge_in": """
+ select *, 0 as side from fx_state_old
+ union all by name select *, 1 as side from new_rows""",
+    "merged": _merged("side", "end_time", "start_time", "merge_in"),
 }
 
 # dependency order of every CTE name
@@ -154,7 +171,8 @@ _DEPS: dict[str, list[str]] = {
     "latest_incr": ["incr_a2", "incr_m2"],
     "lock_incr": ["latest_incr", "slots"],
     "new_rows": ["lock_incr", "ext"],
-    "merged": ["fx_state_old", "new_rows"],
+    "merge_in": ["fx_state_old", "new_rows"],
+    "merged": ["merge_in"],
 }
 
 
@@ -428,13 +446,7 @@ STEPS.update({
  union all
  select b.k, e.job_id, e.source, e.lock, e.status, e.pipeline, e.start_time, e.end_time
  from (select distinct k from sb) b, ext e""",
-    "sfinal": """
- select arg_max(job_id, k) filter (where job_id is not null) as job_id, source,
-  arg_max(lock, k) filter (where lock is not null) as lock,
-  arg_max(status, k) filter (where status is not null) as status, pipeline,
-  arg_max(start_time, k) filter (where start_time is not null) as start_time,
-  arg_max(end_time, k) filter (where end_time is not null) as end_time
- from sall group by pipeline, source""",
+    "sfinal": _merged("start_time", "end_time", "k", "sall"),
 })
 _DEPS.update({
     "sb": ["fx_runs"], "sn": ["sb", "defs"], "sm1": ["sn"], "sa2": ["sn", "sm1"], "sm2": ["sa2"],

@@ -68,8 +68,9 @@ def select_defined_runs(raw_runs: DataFrame, defs: DataFrame, n_jobs: int, old_s
                         hwm_ms: int | None, carry_over: str = "reference") -> DataFrame:
     """``select_runs`` over the runs of defined jobs (the others would be dropped later anyway)."""
     ids = broadcast_within(defs.select("job_id"), n_jobs)
-    return runs.select_runs(raw_runs.join(ids, "job_id", "left_semi"), old_state, hwm_ms, carry_over,
-                            jobs_bound=n_jobs)
+    # rows of retired jobs and of external feeds carry nothing over either
+    return runs.select_runs(raw_runs.join(ids, "job_id", "left_semi"), old_state.join(ids, "job_id", "left_semi"),
+                            hwm_ms, carry_over, jobs_bound=n_jobs)
 
 
 def build_itinerary(defs: DataFrame, calendar: DataFrame, as_of: int, day_rule: str = "and",
@@ -117,18 +118,26 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
                    selected: DataFrame | None = None, slot_runs: DataFrame | None = None,
                    release_slots: bool = True, carry_over: str = "reference", day_rule: str = "and",
                    log_format: str = "csv", extras: dict[str, DataFrame] | None = None,
-                   retention_ms: int | None = vocab.LOG_RETENTION_MS) -> PassResult:
+                   retention_ms: int | None = vocab.LOG_RETENTION_MS, newest_wins: bool = False,
+                   stream_batch: tuple[str, int] | None = None, keep_versions: int | None = 100,
+                   late_ms: int | None = None) -> PassResult:
     """Run one pass at ``as_of`` (epoch s) and write state version ``version`` (default: latest + 1).
 
     ``selected`` replaces the run selection (the stream passes its micro-batch),
     ``slot_runs`` the runs counted for open slots, and ``extras`` are tables committed with
     the version.  After the commit, log partitions at or before ``as_of - retention_ms``
-    are dropped (``None`` keeps them all).
+    are dropped (``None`` keeps them all).  ``newest_wins``: see ``merge_state``.  ``stream_batch``
+    (stream, batch id) is recorded with the version; the ``keep_versions`` newest versions
+    are kept (``None``: all).  ``late_ms``: see ``refresh_active_runs``.  Runs that start after
+    ``as_of`` are not looked at, so a replay at a past instant sees the log of that instant.
     """
-    versions = state.state_versions(spark, state_root)
+    raw_runs = raw_runs.where(F.col("start_time").isNull() | (F.col("start_time") < F.lit((int(as_of) + 1) * 1000)))
     if version is None:
-        version = (versions[-1] + 1) if versions else 1
-    base = max([v for v in versions if v < version], default=None)
+        version = (state.latest_version(spark, state_root) or 0) + 1
+    base = state.latest_version(spark, state_root, below=version)
+    batches = state.read_batches(spark, state_root, base) if base is not None else {}
+    if stream_batch is not None:
+        batches[stream_batch[0]] = stream_batch[1]
     if base is not None:
         old = state.read_state(spark, state_root, base)
         # the mark is only needed to select runs or to refresh the active set
@@ -143,7 +152,7 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
         prev_active = None
         if base is not None and hwm is not None and state.has_extra(spark, state_root, base, state.ACTIVE_RUNS):
             prev_active = state.read_extra(spark, state_root, base, state.ACTIVE_RUNS, state.schemas.RAW_RUN)
-        slot_runs = state.write_extra(runs.refresh_active_runs(raw_runs, prev_active, hwm), state_root, version,
+        slot_runs = state.write_extra(runs.refresh_active_runs(raw_runs, prev_active, hwm, late_ms), state_root, version,
                                       state.ACTIVE_RUNS)
     # the definitions are read once per pass and kept for its six uses (count, run filter,
     # names, open slots, schedules, itinerary); they are dimension-sized
@@ -161,7 +170,7 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
         kept.append(rows)
         # the version is committed only after its decision log is written, so a failure
         # anywhere in the pass leaves it uncommitted and a replay redoes the whole pass
-        state.write_state(state.merge_state(old, rows, new_rows=rows.count()), state_root, version, extras=extras,
+        state.write_state(state.merge_state(old, rows, newest_wins), state_root, version, extras=extras,
                           commit=False)
         current = state.read_uncommitted_state(spark, state_root, version)
         # the itinerary (one row per job, with its cron search) feeds both the own rows and
@@ -173,11 +182,13 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
                                     log_path, as_of, log_format)
         finally:
             itin.unpersist()
-        state.commit_version(spark, state_root, version, int(as_of) * 1000)
+        state.commit_version(spark, state_root, version, int(as_of) * 1000, batches)
     finally:
         for df in kept:
             df.unpersist()
+    if keep_versions is not None:
+        state.prune_versions(spark, state_root, keep_versions)
     if retention_ms is not None:
         logs.drop_expired_partitions(spark, log_path, as_of, retention_ms)
-    logged = logs.read_decision_log(spark, log_path, log_format).where(F.col("log_time") == F.lit(int(as_of)))
+    logged = logs.read_decision_log(spark, log_path, log_format, as_of=as_of)
     return PassResult(version, int(as_of), hwm, current, logged, readiness.ready_jobs(logged))

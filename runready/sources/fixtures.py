@@ -70,8 +70,10 @@ def fx_defs_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job definitions as flat tag columns (one job per customer)."""
     cu = table(spark, sf_dir, "customer")
 
+    n = cu.count()
+
     def name(offset: int) -> str:
-        return f"concat('Customer#', lpad(cast((c_custkey + {offset}) % 150 as string), 9, '0'))"
+        return f"concat('Customer#', lpad(cast((c_custkey + {offset}) % {n} as string), 9, '0'))"
 
     return cu.selectExpr(
         "c_custkey as job_id",
@@ -115,9 +117,9 @@ def fx_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """External run feed (one run per supplier); every tenth name is also a job name."""
-    su = table(spark, sf_dir, "supplier")
-    return su.selectExpr(
+    """External run feeds: one run per supplier (every tenth name is also a job name), and one per order for
+    the customer's job, so that a key has as many rows as its customer has orders."""
+    su = table(spark, sf_dir, "supplier").selectExpr(
         "'supplier_feed' as source",
         "case when s_suppkey % 5 = 0 then 1 else 0 end as lock",
         "case s_suppkey % 4 when 0 then 'FAILED' when 1 then null else 'SUCCESS' end as status",
@@ -126,20 +128,40 @@ def fx_external(spark: SparkSession, sf_dir: str) -> DataFrame:
         "1706600000 + s_suppkey * 60 as start_time",
         "1706600000 + s_suppkey * 60 + 900 as end_time",
     )
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "'order_feed' as source",
+        "case when o_orderkey % 6 = 0 then null when o_orderkey % 5 = 0 then 1 else 0 end as lock",
+        "case o_orderkey % 4 when 0 then 'FAILED' when 1 then null else 'SUCCESS' end as status",
+        "concat('Customer#', lpad(cast(o_custkey as string), 9, '0')) as pipeline",
+        "1706000000 + o_orderkey as start_time",
+        "case when o_orderkey % 3 = 0 then null else 1706000000 + o_orderkey + 600 end as end_time",
+    )
+    return su.unionByName(orders)
 
 
 def fx_state_old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Previous state table: one row per job outside the HOUSEHOLD segment."""
+    """Previous state table: a platform row and an order-feed row for most customers, with starts inside
+    the run log."""
     cu = table(spark, sf_dir, "customer")
-    return cu.where("c_mktsegment <> 'HOUSEHOLD'").selectExpr(
+    platform = cu.where("c_custkey % 7 <> 3").selectExpr(
         "c_custkey as job_id",
-        "'platform' as source",
+        "'azure_databricks' as source",
         "'0' as lock",
         "case c_custkey % 3 when 0 then 'RUNNING' when 1 then 'FAILED' else 'SUCCESS' end as status",
         "c_name as pipeline",
-        "1704000000 + c_custkey as start_time",
-        "case when c_custkey % 17 = 0 then null else 1704000600 + c_custkey end as end_time",
-    ).select(*[F.col(f.name).cast(f.dataType) for f in schemas.STATE.fields])
+        "1704067200 + c_custkey * 997 % 2400000 as start_time",
+        "case when c_custkey % 17 = 0 then null else 1704067800 + c_custkey * 997 % 2400000 end as end_time",
+    )
+    feed = cu.where("c_custkey % 4 <> 1").selectExpr(
+        "99999999999999 as job_id",
+        "'order_feed' as source",
+        "case when c_custkey % 3 = 0 then '1' else '0' end as lock",
+        "case c_custkey % 5 when 0 then 'FAILED' when 1 then null else 'SUCCESS' end as status",
+        "c_name as pipeline",
+        "1700000000 + c_custkey as start_time",
+        "1700000600 + c_custkey as end_time",
+    )
+    return platform.unionByName(feed).select(*[F.col(f.name).cast(f.dataType) for f in schemas.STATE.fields])
 
 
 def fx_calendar(spark: SparkSession) -> DataFrame:

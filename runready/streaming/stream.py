@@ -5,9 +5,13 @@ micro-batch, and ``foreachBatch`` runs the pass on it:
 
 * the micro-batch is the pass's run selection (records arrive as runs start and change,
   so no high-water mark and no carry-over poll is needed);
-* state version = batch id + 1, read version = the latest committed one below it;
-  a batch whose version is already committed is skipped, so a replay after a failure
-  (Spark re-runs the last uncommitted batch) writes nothing twice;
+* the batch becomes the next state version, whatever wrote the versions before it; each
+  version records the last batch of every stream (named by its checkpoint folder), so a
+  replay after a failure (Spark re-runs the last uncommitted batch) is skipped if that very
+  batch is part of the state, and a batch pass or a new checkpoint folder hides nothing;
+* definitions, calendar and external feed may be given as functions: they are called, and so
+  read again, for every batch;
+* files may arrive in any order: per key the run with the later start and end wins;
 * open-slot release counts the runs still active after the batch: the set of active runs
   (latest record per run id, terminal records leave it) is kept with each state version
   and updated from the batch;
@@ -37,6 +41,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..operators import runs as runs_ops
 from ..operators import state as st
+from ..functions import vocab
 from ..plans.readiness_pass import readiness_pass
 
 
@@ -50,13 +55,43 @@ def batch_instant(batch: DataFrame) -> int | None:
     return None if row["m"] is None else -(-int(row["m"]) // 1000)
 
 
-def readiness_stream(spark: SparkSession, runs_dir: str, raw_defs: DataFrame, calendar: DataFrame,
-                     state_root: str, log_path: str, checkpoint_location: str,
-                     external: DataFrame | None = None, fmt: str = "json", max_files_per_trigger: int | None = 1,
+INSTANT_SCHEMA = "stream string, batch long, as_of long"
+
+
+def _now(source: DataFrame | Callable[[], DataFrame] | None) -> DataFrame | None:
+    """A frame as it is, or the result of calling a function that reads it."""
+    return source if source is None or isinstance(source, DataFrame) else source()
+
+
+def _instant(spark: SparkSession, state_root: str, version: int, stream: str, batch_id: int,
+             take: Callable[[], int | None]) -> int | None:
+    """The batch's instant: the one noted by an attempt that failed, else ``take()``, noted."""
+    noted = st.read_extra(spark, state_root, version, "instant", INSTANT_SCHEMA).where(
+        (F.col("stream") == stream) & (F.col("batch") == batch_id)).collect()
+    if noted:
+        return noted[0]["as_of"]
+    as_of = take()
+    if as_of is not None:
+        st.write_extra(spark.createDataFrame([(stream, batch_id, int(as_of))], INSTANT_SCHEMA).coalesce(1),
+                       state_root, version, "instant")
+    return as_of
+
+
+def readiness_stream(spark: SparkSession, runs_dir: str, raw_defs: DataFrame | Callable[[], DataFrame],
+                     calendar: DataFrame | Callable[[], DataFrame], state_root: str, log_path: str,
+                     checkpoint_location: str, external: DataFrame | Callable[[], DataFrame] | None = None,
+                     fmt: str = "json", max_files_per_trigger: int | None = None,
                      as_of_fn: Callable[[DataFrame, int], int | None] | None = None,
                      release_slots: bool = True, trigger: dict | None = None,
-                     query_name: str | None = None, tick: bool = False) -> StreamingQuery:
-    """Start the stream; ``trigger`` defaults to ``{"availableNow": True}``."""
+                     query_name: str | None = None, tick: bool = False, day_rule: str = "and",
+                     log_format: str = "csv", retention_ms: int | None = vocab.LOG_RETENTION_MS,
+                     keep_versions: int | None = 100) -> StreamingQuery:
+    """Start the stream; ``trigger`` defaults to ``{"availableNow": True}``.
+
+    ``max_files_per_trigger`` decides what one batch, and so one pass and its instant, holds; by default
+    a batch takes all files that have arrived.
+    """
+    stream = checkpoint_location.rstrip("/")
     reader = spark.readStream.schema(schemas.RAW_RUN).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
@@ -69,21 +104,24 @@ def readiness_stream(spark: SparkSession, runs_dir: str, raw_defs: DataFrame, ca
         as_of_fn = (lambda b, i: int(time.time())) if tick else (lambda b, i: batch_instant(b))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        version = int(batch_id) + 1
-        if version in st.state_versions(spark, state_root):
+        base = st.latest_version(spark, state_root)
+        if base is not None and st.read_batches(spark, state_root, base).get(stream, -1) >= batch_id:
             return
+        version = (base or 0) + 1
         # the batch is read from its files once: persisted before the instant is taken
         batch = batch.where(~F.col("_tick")).drop("_tick").persist()
         try:
-            as_of = as_of_fn(batch, batch_id)
+            as_of = _instant(spark, state_root, version, stream, int(batch_id), lambda: as_of_fn(batch, batch_id))
             if as_of is None:
                 return
-            base = max([v for v in st.state_versions(spark, state_root) if v < version], default=None)
             prev_active = st.read_extra(spark, state_root, base, ACTIVE, schemas.RAW_RUN)
             # written into the (uncommitted) version first, then read back for the slot count
             active = st.write_extra(runs_ops.active_runs(prev_active, batch), state_root, version, ACTIVE)
-            readiness_pass(spark, raw_defs, batch, calendar, state_root, log_path, as_of, external=external,
-                           version=version, selected=batch, slot_runs=active, release_slots=release_slots)
+            readiness_pass(spark, _now(raw_defs), batch, _now(calendar), state_root, log_path, as_of,
+                           external=_now(external), version=version, selected=batch, slot_runs=active,
+                           release_slots=release_slots, day_rule=day_rule, log_format=log_format,
+                           retention_ms=retention_ms, newest_wins=True, stream_batch=(stream, int(batch_id)),
+                           keep_versions=keep_versions)
         finally:
             batch.unpersist()
 

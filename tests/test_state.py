@@ -18,7 +18,7 @@ def test_normalize_external_lock_string_and_times(spark):
     assert dict(u.dtypes)["lock"] == "string"                                   # Q8
 
 
-def test_merge_state_columnwise_and_multiplicity(spark):
+def test_merge_state_is_one_row_per_key(spark):
     old = state_df(spark, [(1, "p", "0", "SUCCESS", "a", 10, 20), (2, "p", "0", "FAILED", "b", 10, 20),
                            (3, "p", "0", "SUCCESS", "c", 10, 20), (3, "p", "1", "RUNNING", "c", 11, None),
                            (9, "q", "0", "SUCCESS", "b", 5, 6)])
@@ -29,8 +29,7 @@ def test_merge_state_columnwise_and_multiplicity(spark):
         ("a", "p", "0", "SUCCESS", 10, 20),
         ("b", "p", "1", "FAILED", 30, 20),            # Q5: null in new keeps old; new wins even if older
         ("b", "q", "0", "SUCCESS", 5, 6),             # same name, other source: untouched
-        ("c", "p", "0", "FAILED", 40, 42), ("c", "p", "0", "FAILED", 40, 42),
-        ("c", "p", "0", "SUCCESS", 40, 41), ("c", "p", "0", "SUCCESS", 40, 41),   # Q16: 2 x 2 rows
+        ("c", "p", "0", "FAILED", 40, 42),            # a repeated key: its last row
         ("d", "p", "0", "SUCCESS", 1, 2)]
 
 
@@ -60,14 +59,33 @@ def test_import_state_csv_keeps_float_written_ints(spark, tmp_path):
     assert out == [(1, 1702926855, None), (2, 1702926900, 1702927000)]
 
 
-def test_merge_split_of_hot_keys_equals_plain_merge(spark):
-    old = state_df(spark, [(1, "p", "0", "SUCCESS", "a", 10, 20), (2, "p", "0", "FAILED", "b", 10, 20),
-                           (3, "f", "0", "SUCCESS", "hot", 1, 2), (3, "f", "1", None, "hot", 5, None),
-                           (4, "p", "0", "SUCCESS", None, 1, 2)])
-    new = state_df(spark, [(9, "f", None, "SUCCESS", "hot", 100 + i, None) for i in range(12)]
-                   + [(2, "p", "1", None, "b", 30, None), (5, "p", "0", "SUCCESS", "e", 1, 2),
-                      (6, "p", "0", "SUCCESS", None, 3, 4)])
-    plain = rows(state.merge_state(old, new, hot_rows=None))
-    assert rows(state.merge_state(old, new, hot_rows=5)) == plain
-    assert rows(state.merge_state(old, new)) == plain
-    assert len(plain) == 12 * 2 + 1 + 1 + 1 + 2        # 12 hot rows x 2 old rows, a, b, e, two null names
+def test_merge_keeps_its_size_over_equal_passes(spark):
+    """A feed that keeps history, and null keys, add no rows from pass to pass."""
+    feed = state_df(spark, [(9, "f", None if i % 2 else "1", "SUCCESS", "hot", 100 + i, None) for i in range(12)]
+                    + [(6, "p", "0", "SUCCESS", None, 3, 4), (6, None, "0", "SUCCESS", "x", 3, 4)])
+    now = state_df(spark, [(3, "f", "0", "SUCCESS", "hot", 1, 2)])
+    sizes = []
+    for _ in range(5):
+        now = state.merge_state(now, feed)
+        sizes.append(now.count())
+    assert sizes == [3] * 5
+    hot = now.where("pipeline = 'hot'").collect()[0]
+    assert (hot.start_time, hot.end_time, hot.lock) == (111, 2, "1")
+
+
+def test_merge_newest_wins_whatever_the_side(spark):
+    old = state_df(spark, [(1, "p", "0", "SUCCESS", "a", 200, 300), (1, "p", "1", "RUNNING", "b", 200, 0)])
+    late = state_df(spark, [(1, "p", "0", "FAILED", "a", 100, 150), (1, "p", "0", "SUCCESS", "b", 200, 260)])
+    out = rows(state.merge_state(old, late, newest_wins=True), "pipeline", "lock", "status", "start_time", "end_time")
+    assert out == [("a", "0", "SUCCESS", 200, 300), ("b", "0", "SUCCESS", 200, 260)]
+
+
+def test_latest_version_and_pruning(spark):
+    root = tempfile.mkdtemp(prefix="rr-state-")
+    s1 = state_df(spark, [(1, "p", "0", "SUCCESS", "a", 10, 20)])
+    for v in (1, 2, 4):
+        state.write_state(s1, root, v, hwm_ms=v)
+    state.write_state(s1, root, 5, commit=False)
+    assert state.latest_version(spark, root) == 4 and state.latest_version(spark, root, below=4) == 2
+    assert state.prune_versions(spark, root, keep=2) == [1]
+    assert state.state_versions(spark, root) == [2, 4] and state.read_checkpoint(spark, root) == 4

@@ -104,3 +104,47 @@ def test_ticks_run_passes_without_new_runs(spark):
     assert set(st_) == {"ext"}                                    # only the external feed so far
     times = {r.log_time for r in logs.read_decision_log(spark, f"{base}/log").collect()}
     assert len(times) >= 2 and all(abs(t - time.time()) < 600 for t in times)
+
+
+def test_stream_after_batch_pass_new_checkpoint_and_fresh_inputs(spark):
+    """No batch is lost behind other writers' versions; inputs are read again for every batch."""
+    base = tempfile.mkdtemp(prefix="rr-stream-")
+    root, log = f"{base}/state", f"{base}/log"
+    cal = fx.fx_calendar(spark)
+    defs = [{"job_id": 1, "name": "one", "state": "active"}]
+    feed = [("feed", 0, "SUCCESS", "ext", 1706600000, 1706600900)]
+
+    def read_defs():
+        return raw_defs(spark, defs)
+
+    def read_feed():
+        return spark.createDataFrame(feed, "source string, lock int, status string, pipeline string, "
+                                           "start_time long, end_time long")
+
+    def stream(checkpoint):
+        readiness_stream(spark, f"{base}/runs/*", read_defs, cal, root, log, f"{base}/{checkpoint}",
+                         external=read_feed).awaitTermination()
+
+    # a batch pass commits version 1, later another one version 3
+    readiness_pass(spark, read_defs(), _runs(spark, []), cal, root, log, T0 // 1000)
+    _runs(spark, [(1, 1, "TERMINATED", "SUCCESS", T0, T0 + 1000)]).coalesce(1).write.json(f"{base}/runs/a")
+    stream("ckpt")
+    assert state.state_versions(spark, root) == [1, 2]
+    readiness_pass(spark, read_defs(), _runs(spark, []), cal, root, log, T0 // 1000 + 60)
+    assert state.read_batches(spark, root) == {f"{base}/ckpt": 0}          # carried through other writers' versions
+    # a job, a feed row and a late older run arrive; a new one too
+    defs.append({"job_id": 2, "name": "two", "state": "active"})
+    feed.append(("feed", 1, "SUCCESS", "ext2", 1706600000, 1706600900))
+    _runs(spark, [(0, 1, "TERMINATED", "FAILED", T0 - DAY, T0 - DAY + 1000),
+                  (2, 2, "TERMINATED", "SUCCESS", T0 + 5000, T0 + 6000)]).coalesce(1).write.json(f"{base}/runs/b")
+    stream("ckpt")
+    now = {r.pipeline: r for r in state.read_state(spark, root).collect()}
+    assert set(now) == {"one", "two", "ext", "ext2"}
+    assert now["one"].status == "SUCCESS" and now["one"].start_time == T0 // 1000
+    # a new checkpoint folder starts over with batch 0: its files are read, nothing is skipped
+    before = state.latest_version(spark, root)
+    _runs(spark, [(3, 1, "TERMINATED", "FAILED", T0 + DAY, T0 + DAY + 1000)]).coalesce(1).write.json(f"{base}/runs/c")
+    stream("other")
+    assert state.latest_version(spark, root) == before + 1
+    now = {r.pipeline: r for r in state.read_state(spark, root).collect()}
+    assert now["one"].status == "FAILED" and now["two"].status == "SUCCESS"
