@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Offsets Spark accepts besides region ids: Z, +h, +hh, +hh:mm, +hhmm (optionally after UTC/GMT/UT).
-OFFSET_PATTERN = r"^(?:(?:UTC|GMT|UT)?[+-](?:0?[0-9]|1[0-8])(?::?[0-5][0-9])?|Z|UTC|GMT|UT)$"
+# Offsets Spark accepts besides region ids: Z, +h, +hh, +h:mm, +hh:mm, +hhmm (optionally after UTC/GMT/UT), up to
+# 18 hours; minutes without a colon need two hour digits.
+OFFSET_PATTERN = (r"^(?:(?:UTC|GMT|UT)?[+-](?:0?[0-9]|1[0-8]|(?:0?[0-9]|1[0-7]):[0-5][0-9]|18:00"
+                  r"|(?:0[0-9]|1[0-7])[0-5][0-9]|1800)|Z|UTC|GMT|UT)$")
 
 
 _ZONE_IDS: list[str] | None = None

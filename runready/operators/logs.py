@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,39 @@ def _csv(writer_or_reader, fmt: str):
     return writer_or_reader.options(**CSV_OPTIONS) if fmt == "csv" else writer_or_reader
 
 
+# Characters that would end a line, stand for null or start an escape, and what is written for them; undone in
+# reverse order, so that any string survives and files stay splittable at line ends.
+ESCAPES = [("%", "%25"), ("\n", "%0A"), ("\r", "%0D"), ("\\", "%5C")]
+
+
+def _each_string(df: DataFrame, change) -> DataFrame:
+    return df.select(*[change(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+def _escaped(c):
+    for char, code in ESCAPES:
+        c = F.replace(c, F.lit(char), F.lit(code))
+    return c
+
+
+def _unescaped(c):
+    for char, code in reversed(ESCAPES):
+        c = F.replace(c, F.lit(code), F.lit(char))
+    return c
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def _partition(path: str, as_of: int) -> str:
+    from datetime import UTC, datetime
+    day = datetime.fromtimestamp(int(as_of), UTC).strftime("%Y-%m-%d")
+    return f"{path.rstrip('/')}/log_date={day}/log_time={int(as_of)}"
+
+
 def write_decision_log(decisions: DataFrame, path: str, as_of: int | None = None, fmt: str = "csv") -> None:
     """Write decision rows, one partition per pass instant (idempotent per instant).
 
@@ -47,7 +82,12 @@ def write_decision_log(decisions: DataFrame, path: str, as_of: int | None = None
     is its log time (decisions at many instants go to one partition per instant).
     """
     t = F.lit(int(as_of)).cast("long") if as_of is not None else F.col("as_of").cast("long")
-    out = decisions.select(*schemas.DECISION_COLUMNS).withColumns({
+    out = decisions.select(*schemas.DECISION_COLUMNS)
+    if fmt == "csv":
+        out = _each_string(out, _escaped)
+    if as_of is not None:                # a replay that yields no rows must leave none
+        _delete(decisions.sparkSession, _partition(path, as_of))
+    out = out.withColumns({
         "log_date": F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd"),
         "log_time": t,
     })
@@ -55,27 +95,44 @@ def write_decision_log(decisions: DataFrame, path: str, as_of: int | None = None
     _csv(w, fmt).format(fmt).save(path)
 
 
-def read_decision_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return _csv(spark.read.schema(DECISION_LOG), fmt).format(fmt).load(path)
+def read_decision_log(spark: SparkSession, path: str, fmt: str = "csv", as_of: int | None = None) -> DataFrame:
+    """The decision log, or the partition of one pass (only its folder is opened)."""
+    reader = _csv(spark.read.schema(DECISION_LOG), fmt).format(fmt)
+    if as_of is not None:
+        folder = _partition(path, as_of)
+        if not path_exists(spark, folder):
+            return spark.createDataFrame([], DECISION_LOG)
+        log = reader.option("basePath", path).load(folder)
+    else:
+        log = reader.load(path)
+    return _each_string(log, _unescaped) if fmt == "csv" else log
+
 
+def write_invocation_log(invocations: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append invocation lines, one folder per month of their start time and batch.
 
-def write_invocation_log(invocations: DataFrame, path: str) -> None:
-    """Append invocation lines, one folder per month of their start time."""
-    out = invocations.select(*[F.col(f.name).cast(f.dataType) for f in schemas.INVOCATION.fields]).withColumn(
-        "yyyymm", F.date_format(F.timestamp_millis(F.col("start_time")), "yyyyMM"))
-    out.write.mode("append").partitionBy("yyyymm").options(**CSV_OPTIONS).csv(path)
+    Writing the same ``batch`` again replaces its lines; without one the lines are a batch of their own.
+    """
+    out = invocations.select(*[F.col(f.name).cast(f.dataType) for f in schemas.INVOCATION.fields])
+    out = _each_string(out, _escaped).withColumns({
+        "yyyymm": F.date_format(F.timestamp_millis(F.col("start_time")), "yyyyMM"),
+        "batch": F.lit(batch if batch is not None else uuid.uuid4().hex)})
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("yyyymm", "batch")
+     .options(**CSV_OPTIONS).csv(path))
 
 
 def read_invocation_log(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType(list(schemas.INVOCATION.fields) + [T.StructField("yyyymm", T.StringType())])
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    schema = T.StructType(list(schemas.INVOCATION.fields)
+                          + [T.StructField("yyyymm", T.StringType()), T.StructField("batch", T.StringType())])
+    return _each_string(spark.read.schema(schema).options(**CSV_OPTIONS).csv(path), _unescaped).drop("batch")
 
 
 def expire_log(log: DataFrame, as_of: int, retention_ms: int = vocab.LOG_RETENTION_MS,
                time_col: str = "log_time") -> DataFrame:
     """Rows still inside the retention window (instant in seconds > as_of - retention)."""
-    cutoff_ms = int(as_of) * 1000 - int(retention_ms)
-    return log.where(F.col(time_col) * 1000 > F.lit(cutoff_ms))
+    # in seconds, so that the filter is a bare column's and reaches the scan
+    cutoff = (int(as_of) * 1000 - int(retention_ms)) // 1000
+    return log.where(F.col(time_col) > F.lit(cutoff))
 
 
 def drop_expired_partitions(spark: SparkSession, path: str, as_of: int,

@@ -16,7 +16,7 @@ de-duplicated with a map-side partial before any per-job step on them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -100,8 +100,7 @@ def carry_over_jobs(old_state: DataFrame, mode: str = "reference") -> DataFrame:
 
 
 def select_runs(raw_runs: DataFrame, old_state: DataFrame | None = None, hwm_ms: int | None = None,
-                carry_over: str = "reference", jobs_bound: int | None = None,
-                bound_by_state: bool = True) -> DataFrame:
+                carry_over: str = "reference", jobs_bound: int | None = None) -> DataFrame:
     """The runs one pass looks at (raw shape, ``schemas.RAW_RUN``).
 
     * ``hwm_ms is None`` (first pass / lost checkpoint): the latest run of every job.
@@ -109,10 +108,9 @@ def select_runs(raw_runs: DataFrame, old_state: DataFrame | None = None, hwm_ms:
       plus the latest run of each carry-over job of ``old_state`` (see ``carry_over_jobs``),
       without duplicates.
 
-    ``bound_by_state``: the carry-over lookup only reads runs that start no earlier than
-    the run each job's state row records (a pushed-down global bound plus a per-job join
-    condition), instead of the job's whole history.  The result is the same whenever the
-    log still holds the run the state row came from.
+    A carried job whose recorded run is in the log needs no run older than that one: the
+    scan starts at the oldest such run (pushed down).  Carried jobs whose recorded run the log
+    does not hold are looked up in their whole history, so nothing is cut on trust.
     """
     if hwm_ms is None:
         return _latest_per_job(raw_runs, jobs_bound)
@@ -120,16 +118,20 @@ def select_runs(raw_runs: DataFrame, old_state: DataFrame | None = None, hwm_ms:
     if old_state is None:
         return recent.distinct()
     carry = broadcast_if_small(carry_over_jobs(old_state, carry_over))
-    candidates = raw_runs
-    cond = raw_runs["job_id"] == carry["job_id"]
-    if bound_by_state:
-        low = carry.agg(F.when(F.max(F.col("bound_ms").isNull().cast("int")) == 0, F.min("bound_ms"))
-                        .alias("m")).collect()[0]["m"]
-        if low is not None:
-            candidates = raw_runs.where(F.col("start_time") >= F.lit(int(low)))
-        cond = ((candidates["job_id"] == carry["job_id"])
-                & (carry["bound_ms"].isNull() | (candidates["start_time"] >= carry["bound_ms"])))
-    carried = _latest_per_job(candidates.join(carry, cond, "left_semi"), jobs_bound)
+    low = carry.agg(F.min("bound_ms").alias("m")).collect()[0]["m"]
+    if low is None:
+        carried = _latest_per_job(raw_runs.join(carry, "job_id", "left_semi"), jobs_bound)
+        return recent.unionByName(carried).distinct()
+    since = raw_runs.where(F.col("start_time") >= F.lit(int(low)))
+    # the recorded start is in whole seconds
+    at_bound = ((since["job_id"] == carry["job_id"]) & (since["start_time"] >= carry["bound_ms"])
+                & (since["start_time"] < carry["bound_ms"] + 1000))
+    found = broadcast_if_small(carry.join(since, at_bound, "left_semi"))
+    per_job = (since["job_id"] == found["job_id"]) & (since["start_time"] >= found["bound_ms"])
+    carried = _latest_per_job(since.join(found, per_job, "left_semi"), jobs_bound)
+    lost = carry.join(found.select("job_id"), "job_id", "left_anti")
+    if lost.limit(1).count():
+        carried = carried.unionByName(_latest_per_job(raw_runs.join(lost, "job_id", "left_semi"), jobs_bound))
     return recent.unionByName(carried).distinct()
 
 
@@ -169,10 +171,9 @@ def latest_run(runs: DataFrame, jobs_bound: int | None = None, running_first: bo
         ended = ended.withColumn(key, F.when(F.col("end_time") == 0, F.lit(2**63 - 1)).otherwise(F.col("end_time")))
     # survivors: the distinct runs tied at their job's greatest end (copies collapse map-side)
     at_end = rows_at_max(ended, "job_id", key, jobs_bound).select(*runs.columns).distinct()
-    # the start tie-break looks only at the survivors; a window keeps them referenced once,
-    # so the log itself is read twice in all (per-job aggregate + probe)
-    top = F.max("start_time").over(Window.partitionBy("job_id"))
-    return at_end.withColumn("_ms", top).where(F.col("start_time") == F.col("_ms")).select(*runs.columns)
+    # the start tie-break looks only at the survivors, again by an aggregate and a join: with
+    # ``running_first`` all running runs of a hot job are survivors
+    return rows_at_max(at_end, "job_id", "start_time", jobs_bound).select(*runs.columns)
 
 
 def lock_status(latest: DataFrame, slots: DataFrame | None = None, jobs_bound: int | None = None) -> DataFrame:
@@ -220,19 +221,21 @@ def active_runs(previous: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def refresh_active_runs(raw_runs: DataFrame, previous: DataFrame | None = None,
-                        hwm_ms: int | None = None) -> DataFrame:
+                        hwm_ms: int | None = None, late_ms: int | None = None) -> DataFrame:
     """Active runs now (raw shape, one row per run id), read from a run log that holds each
     run's current state.
 
-    Without a previous set (or high-water mark) the whole log is filtered.  With one, only
-    two kinds of run can be active now: runs active at the previous pass, and runs started
-    since its high-water mark (a finished run never becomes active again).  A run's start
-    time never changes, so the log is read from the earliest of those starts on (pushed to
-    the scan; runs without a start are always read).  Copies of a run collapse to one row.
+    By default the whole log is filtered (the state filter reaches the scan): a record may land
+    long after its run started.  ``late_ms`` promises that no record lands later than that after
+    its run's start; then only runs active at the previous pass and runs started since
+    its high-water mark less ``late_ms`` can be active now, and the log is read from the earliest of
+    those starts on (pushed to the scan; runs without a start are always read).  Copies of a run
+    collapse to one row.
     """
     lc = F.col("state.life_cycle_state")
     cand = raw_runs
-    if previous is not None and hwm_ms is not None:
+    if previous is not None and hwm_ms is not None and late_ms is not None:
+        hwm_ms = int(hwm_ms) - int(late_ms)
         prev_low = previous.agg(F.min("start_time").alias("m")).collect()[0]["m"]
         low = min(int(hwm_ms), int(prev_low)) if prev_low is not None else int(hwm_ms)
         ids = broadcast_if_small(previous.select(F.col("run_id").alias("_prev_id")).distinct())

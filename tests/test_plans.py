@@ -49,7 +49,8 @@ def test_active_run_filter_is_pushed_to_the_scan(spark):
     assert "Or(IsNull(state.life_cycle_state),Not(In(state.life_cycle_state" in plan
 
 
-def test_unreadable_checkpoint_means_full_load(spark, tmp_path):
+def test_damaged_checkpoint_is_an_error_and_a_missing_one_a_full_load(spark, tmp_path):
+    import pytest
     from helpers import state_df
     from runready.operators import state
     root = str(tmp_path / "state")
@@ -57,7 +58,9 @@ def test_unreadable_checkpoint_means_full_load(spark, tmp_path):
     ck = tmp_path / "state" / "v=000000001" / "checkpoint"
     for f in ck.glob("part-*"):
         f.write_bytes(b"not parquet")
-    assert state.read_checkpoint(spark, root) is None
+    with pytest.raises(Exception):
+        state.read_checkpoint(spark, root)
+    assert state.read_checkpoint(spark, str(tmp_path / "none")) is None
 
 
 def test_external_feed_read_retries_then_raises(spark, tmp_path):

@@ -84,9 +84,10 @@ def test_carry_over_bound_by_state_start(spark):
                          (22, 7, "RUNNING", None, 55000, None), (23, 8, "TERMINATED", "FAILED", 1000, 2000),
                          (24, 8, "TERMINATED", "SUCCESS", 3000, 4000)])
     old = state_df(spark, [(7, "p", "1", "RUNNING", "g", 55, None), (8, "p", "0", "FAILED", "h", None, None)])
-    bounded = rows(flat_runs(runs.select_runs(r, old, hwm_ms=10**9)), "run_id")
-    full = rows(flat_runs(runs.select_runs(r, old, hwm_ms=10**9, bound_by_state=False)), "run_id")
-    assert bounded == full == [(21,), (24,)]
+    assert rows(flat_runs(runs.select_runs(r, old, hwm_ms=10**9)), "run_id") == [(21,), (24,)]
+    # the recorded run of job 7 is not in the log: its whole history is looked up
+    gone = r.where("run_id not in (21, 22)")
+    assert rows(flat_runs(runs.select_runs(gone, old, hwm_ms=10**9)), "run_id") == [(20,), (24,)]
     carry = {row.job_id: row.bound_ms for row in runs.carry_over_jobs(old).collect()}
     assert carry == {7: 55000, 8: None}
 
@@ -100,6 +101,10 @@ def test_refresh_active_runs_incremental_equals_full(spark):
                             (4, 2, "PENDING", None, 9000, None),               # a copy
                             (5, 3, None, None, None, None)])                   # no state, no start
     prev = raw_runs(spark, [(1, 1, "RUNNING", None, 1000, None), (2, 1, "RUNNING", None, 2000, None)])
-    inc = rows(runs.refresh_active_runs(log2, prev, hwm_ms=8000), "run_id")
+    inc = rows(runs.refresh_active_runs(log2, prev, hwm_ms=8000, late_ms=0), "run_id")
     full = rows(runs.refresh_active_runs(log2), "run_id")
     assert inc == full == [(2,), (4,), (5,)]
+    # an active run that started before the mark and landed after it: found by default and within late_ms
+    late = log2.unionByName(raw_runs(spark, [(6, 3, "RUNNING", None, 7000, None)]))
+    assert rows(runs.refresh_active_runs(late, prev, hwm_ms=8000), "run_id") == [(2,), (4,), (5,), (6,)]
+    assert rows(runs.refresh_active_runs(late, prev, hwm_ms=8000, late_ms=1000), "run_id") == [(2,), (4,), (5,), (6,)]
