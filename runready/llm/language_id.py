@@ -17,7 +17,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runready.functions.joins import broadcast_if_small
+
 BUCKETS = 1 << 14
 DIM = 16
 MAX_PER_LANG = 500           # documents of each language that training reads
@@ -35,7 +38,7 @@ RATE = 0.5
 CALIBRATION_PART = 5         # one document in five calibrates
 MAX_REJECTED = 0.001         # share of right answers that rejection may cost on the calibration part
 MAX_THRESHOLD = 0.5
-CACHED_WORDS = 200_000
+CACHED_WORDS = 1_000_000
 UNDETERMINED = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -68,14 +71,18 @@ class LanguageModel:
     letters: frozenset[str]     # letters seen in training
     temperature: float = 1.0
     threshold: float = 0.0      # a lower score is rejected
+    key: str = field(default_factory=lambda: uuid4().hex)
 
-    def word(self, word: str) -> np.ndarray:
-        """Summed scores of the word's subwords, their number, its letters and its known letters."""
-        ids = subwords(word)
-        return np.array([*self.scores[ids].sum(0), len(ids), len(word), sum(c in self.letters for c in word)])
+    def words(self, words: list[str]) -> np.ndarray:
+        """Per word: summed scores of its subwords, their number, its letters and its known letters."""
+        ids = [subwords(w) for w in words]
+        n = np.array([len(i) for i in ids])
+        sums = np.add.reduceat(self.scores[np.concatenate(ids)], np.cumsum(n) - n, axis=0)
+        letters = self.letters
+        return np.column_stack([sums, n, [len(w) for w in words], [sum(c in letters for c in w) for w in words]])
 
     def finish(self, total: np.ndarray) -> tuple[int, float]:
-        """Best language and its calibrated score from the sum of ``word`` over a text."""
+        """Best language and its calibrated score from the sum of ``words`` over a text."""
         n = len(self.langs)
         z = (total[:n] / total[n] + self.bias) / self.temperature
         p = np.exp(z - z.max())
@@ -84,6 +91,38 @@ class LanguageModel:
         return best, float(p[best] * total[n + 2] / total[n + 1])
 
 
+class WordScores:
+    """Scores of the words that a worker has met, for one model."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.known, self.table = model, {}, np.zeros((1024, len(model.langs) + 3))
+
+    def total(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        new = [w for w in set(words) if w not in known]
+        if len(known) + len(new) > CACHED_WORDS:
+            known = self.known = {}
+            new = list(set(words))
+        if len(known) + len(new) > len(self.table):
+            more = np.zeros((len(self.table) + len(new), self.table.shape[1]))
+            self.table = np.vstack([self.table, more])
+        if new:
+            at = len(known)
+            self.table[at:at + len(new)] = self.model.words(new)
+            known.update(zip(new, range(at, at + len(new)), strict=True))
+        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
+
+
+_scores: dict[str, WordScores] = {}          # of the last model that a Python worker used
+
+
+def _scorer(model: LanguageModel) -> WordScores:
+    if model.key not in _scores:
+        _scores.clear()
+        _scores[model.key] = WordScores(model)
+    return _scores[model.key]
+
+
 def _examples(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in texts:
         out = []
@@ -99,7 +138,7 @@ def _examples(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             letters = "".join(sorted({c for w in words for c in w}))
             for k, span in enumerate(spans):
                 ids, share = bag(span)
-                out.append((lang, key, k, letters if k == 0 else "", ids.tolist(), share.tolist()))
+                out.append((lang, key, k, letters if k == 0 else "", ids.tobytes(), share.tobytes()))
         yield pd.DataFrame(out, columns=["lang", "key", "span", "letters", "ids", "share"])
 
 
@@ -113,15 +152,16 @@ def train(labelled: DataFrame, seed: int = 7) -> LanguageModel:
     counts = rows.groupBy("lang").count()
     # a hash below count-dependent bounds: about MAX_PER_LANG rows of each language, the same at every run
     share = F.pmod(F.col("key"), F.lit(1 << 20)) / F.lit(1 << 20)
-    sample = (rows.join(counts, "lang").where(share < F.lit(MAX_PER_LANG) / F.col("count"))
+    # one row per language joins every text: broadcast while it is small, not dealt out by language
+    sample = (rows.join(broadcast_if_small(counts), "lang").where(share < F.lit(MAX_PER_LANG) / F.col("count"))
               .select("lang", "text", "key")
               .mapInPandas(_examples, "lang string, key long, span int, letters string, "
-                                      "ids array<int>, share array<float>"))
+                                      "ids binary, share binary"))
     got = sorted(sample.collect(), key=lambda r: (r.key, r.lang, r.span))
     if not got:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), frozenset())
     langs = sorted({r.lang for r in got})
-    data = [(langs.index(r.lang), np.array(r.ids, np.int32), np.array(r.share, np.float32),
+    data = [(langs.index(r.lang), np.frombuffer(r.ids, np.int32), np.frombuffer(r.share, np.float32),
              (r.key // 1024) % CALIBRATION_PART == 0) for r in got]
     fit, held = [d for d in data if not d[3]] or data, [d for d in data if d[3]] or data
 
@@ -177,8 +217,7 @@ def predict(docs: DataFrame, model: LanguageModel, *carried: str) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known: dict[str, int] = {}
-        table = np.zeros((1024, len(model.langs) + 3))
+        scorer = _scorer(model)
         for batch in batches:
             best, value = [], []
             for text in batch.column(0).to_pylist():
@@ -187,16 +226,7 @@ def predict(docs: DataFrame, model: LanguageModel, *carried: str) -> DataFrame:
                     best.append(UNDETERMINED)
                     value.append(0.0)
                     continue
-                new = [w for w in set(words) if w not in known]
-                if len(known) + len(new) > CACHED_WORDS:
-                    known, new = {}, list(set(words))
-                if len(known) + len(new) > len(table):
-                    table = np.vstack([table, np.zeros((len(table) + len(new), table.shape[1]))])
-                for w in new:
-                    known[w] = len(known)
-                    table[known[w]] = model.word(w)
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                lang, s = model.finish(table[at].sum(0))
+                lang, s = model.finish(scorer.total(words))
                 best.append(model.langs[lang])
                 value.append(min(1.0, max(0.0, s)))
             rejected = [s < model.threshold or b == UNDETERMINED for b, s in zip(best, value, strict=True)]
