@@ -12,11 +12,15 @@ than compiled into the surrounding whole-stage code):
   sequence — first within a week, then two months, one year, 8 years (Feb 29) and 40
   years (Feb 29 on a given weekday), each wider search only for rows still empty — and
   its last (first) allowed minute is taken;
-* the local fire time goes back to UTC with an exact zone conversion.
+* the local fire time goes back to UTC under both offsets of its day, and only an instant
+  whose local time is that fire time counts.
 
-prev_fire < as_of < next_fire (epoch seconds).  Fires are matched in local wall time; a
-wall time that a DST gap skips maps to the instant Spark's conversion gives it.  An
-unparsable cron or unknown zone gives ``valid = false`` and null fire times instead of
+A fire is a UTC minute whose local wall time matches: a wall time that a change of offset
+skips does not fire that day, one that it repeats fires twice.  Within ``NEAR`` of a change
+of offset, where the nearest wall time need not be the nearest instant, all fires of the local
+days around are listed as instants and compared as such (a few days a year of any zone).
+
+prev_fire < as_of < next_fire (epoch seconds).  An unparsable cron or unknown zone gives ``valid = false`` and null fire times instead of
 failing the pass.  Cron strings are parsed once per distinct string (a small table
 broadcast behind a row-count check), the search runs once per distinct request row, and
 the zone list is a fixed-size broadcast, so the only shuffle is the ``distinct``.
@@ -33,6 +37,10 @@ from ..functions.zones import safe_zone, with_zone_check
 
 # Search horizons in days, tried in order (each only for rows the previous one left null).
 HORIZONS = (7, 62, 366, 366 * 8, 366 * 40)
+# Seconds around the instant within which a change of offset leads to the search by instants, and
+# the local days listed on either side then.
+NEAR = 26 * 3600
+DAYS_AROUND = 1
 
 
 def cron_fires(requests: DataFrame, as_of: int | None = None, cron_col: str = "cron", tz_col: str = "tz",
@@ -91,26 +99,65 @@ def cron_fires(requests: DataFrame, as_of: int | None = None, cron_col: str = "c
     next_hour = F.array_min(F.filter(hr, lambda h: h > h0))
     same_prev = F.when(day_ok(today), F.coalesce(h0 * 60 + prev_min, prev_hour * 60 + F.array_max(mi)))
     same_next = F.when(day_ok(today), F.coalesce(h0 * 60 + next_min, next_hour * 60 + F.array_min(mi)))
-    # other days: nearest firing day, widening the horizon only where nothing was found
-    prev_day = F.coalesce(*[
-        F.array_max(F.filter(F.sequence(F.date_sub(today, h), F.date_sub(today, 1)), day_ok)) for h in HORIZONS])
-    next_day = F.coalesce(*[
-        F.array_min(F.filter(F.sequence(F.date_add(today, 1), F.date_add(today, h)), day_ok)) for h in HORIZONS])
-
     def epoch_day(d):
         return F.unix_seconds(d.cast("timestamp"))
 
-    prev_wall = F.coalesce(F.col("_day0") + same_prev * 60,
-                           epoch_day(prev_day) + (F.array_max(hr) * 60 + F.array_max(mi)) * 60)
-    next_wall = F.coalesce(F.col("_day0") + same_next * 60,
-                           epoch_day(next_day) + (F.array_min(hr) * 60 + F.array_min(mi)) * 60)
-
-    def to_utc(w):
-        return F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(w), F.col("_tz")))
-
-    return staged.select(
+    def offset_at(t):
+        return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(t), F.col("_tz"))) - t
+
+    def nearest_day(back: bool, day, skip: int = 1):
+        """Nearest firing day at least ``skip`` days before (after) ``day``; wider horizons only where none is found."""
+        if back:
+            return F.coalesce(*[F.array_max(F.filter(F.sequence(F.date_sub(day, h), F.date_sub(day, skip)), day_ok))
+                                for h in HORIZONS])
+        return F.coalesce(*[F.array_min(F.filter(F.sequence(F.date_add(day, skip), F.date_add(day, h)), day_ok))
+                            for h in HORIZONS])
+
+    def instants(walls, around):
+        """Instants whose local time is one of ``walls``, under the offsets ``around`` (before, after)."""
+        def local(t):
+            return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(t), F.col("_tz")))
+        return F.flatten(F.transform(walls, lambda w: F.filter(
+            F.array(w - around[0], w - around[1]), lambda t: local(t) == w)))
+
+    def walls_of(day):
+        return F.flatten(F.transform(hr, lambda h: F.transform(mi, lambda m: epoch_day(day) + (h * 60 + m) * 60)))
+
+    def on_day(back: bool, day):
+        """Last (first) fire of a firing day: of its last (first) minute, or of all where no clock shows that one."""
+        pick, hour, minute = (F.array_max, F.array_max, F.array_max) if back else (F.array_min,) * 3
+        wall = epoch_day(day) + (hour(hr) * 60 + minute(mi)) * 60
+        around = (offset_at(epoch_day(day) - 86400), offset_at(epoch_day(day) + 2 * 86400))
+        return F.coalesce(pick(instants(F.array(wall), around)), pick(instants(walls_of(day), around)))
+
+    # by wall time: the offset does not change near the instant
+    steady = staged.withColumn("_near", offset_at(F.col("as_of") - NEAR) != offset_at(F.col("as_of") + NEAR)) \
+        .withColumn("_off", F.col("_wall") - F.col("as_of")) \
+        .withColumn("_before", offset_at(F.col("as_of") - NEAR - DAYS_AROUND * 86400)) \
+        .withColumn("_after", offset_at(F.col("as_of") + NEAR + DAYS_AROUND * 86400))
+    # all fires of the days around a change, as instants
+    days = F.filter(F.sequence(F.date_sub(today, DAYS_AROUND), F.date_add(today, DAYS_AROUND)), day_ok)
+    listed = instants(F.flatten(F.transform(days, walls_of)), (F.col("_before"), F.col("_after")))
+    found = steady.withColumn("_listed", F.when(F.col("valid") & F.col("_near"), listed)) \
+        .withColumn("_prev", F.when(F.col("_near"), F.array_max(F.filter("_listed", lambda t: t < F.col("as_of"))))
+                    .otherwise(F.col("_day0") + same_prev * 60 - F.col("_off"))) \
+        .withColumn("_next", F.when(F.col("_near"), F.array_min(F.filter("_listed", lambda t: t > F.col("as_of"))))
+                    .otherwise(F.col("_day0") + same_next * 60 - F.col("_off")))
+    # other days: the nearest firing day, or where no clock showed any of its fires, the one beyond it
+    for back, name in ((True, "_prev"), (False, "_next")):
+        skip = F.when(F.col(name).isNull() & F.col("valid"), F.when(
+            F.col("_near"), nearest_day(back, today, DAYS_AROUND + 1)).otherwise(nearest_day(back, today)))
+        found = found.withColumn(f"{name}_day", skip) \
+            .withColumn(f"{name}_there", F.when(F.col(f"{name}_day").isNotNull(), on_day(back, F.col(f"{name}_day")))) \
+            .withColumn(f"{name}_beyond", F.when(
+                F.col(f"{name}_day").isNotNull() & F.col(f"{name}_there").isNull(),
+                nearest_day(back, F.col(f"{name}_day")))) \
+            .withColumn(f"{name}_fire", F.coalesce(name, f"{name}_there", F.when(
+                F.col(f"{name}_beyond").isNotNull(), on_day(back, F.col(f"{name}_beyond")))))
+    return found.select(
         "cron", "tz", "as_of",
-        F.when(F.col("valid"), to_utc(prev_wall)).alias("prev_fire"),
-        F.when(F.col("valid"), to_utc(next_wall)).alias("next_fire"),
+        F.when(F.col("valid"), F.col("_prev_fire")).alias("prev_fire"),
+        F.when(F.col("valid"), F.col("_next_fire")).alias("next_fire"),
         "valid",
     )
+

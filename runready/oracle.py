@@ -241,8 +241,8 @@ def _cron_steps(prefix: str, req_sql: str, req_deps: list[str]) -> None:
   list_transform({_duck_field("f[5]", 0, 7)}, lambda x: x % 7) as dw
  from (select distinct cron, tz, string_split(trim(regexp_replace(cron, '\\s+', ' ', 'g')), ' ') as f from {prefix}req)""",
         f"{prefix}fire_list": f"""
- select p.cron, p.tz, cast(epoch(timezone(p.tz, g.w)) as bigint) as fire
- from {prefix}parsed p, cron_grid g
+ select p.cron, p.tz, g.fire
+ from {prefix}parsed p join cron_grid g on p.tz = g.tz
  where list_contains(p.mi, minute(g.w)) and list_contains(p.hr, hour(g.w)) and list_contains(p.dm, day(g.w))
    and list_contains(p.mo, month(g.w)) and list_contains(p.dw, dayofweek(g.w))""",
         f"{prefix}prev": f"""
@@ -259,12 +259,19 @@ def _cron_steps(prefix: str, req_sql: str, req_deps: list[str]) -> None:
     })
 
 
+# every UTC minute with the local time it is in each zone
 STEPS["cron_grid"] = """
- select unnest(generate_series(timestamp '2023-11-20 00:00:00', timestamp '2024-03-10 00:00:00', interval 1 minute)) as w"""
+ select tz, m as fire, timezone(tz, to_timestamp(m)) as w
+ from (select unnest(range(1693526400, 1717200000, 60)) as m), (select unnest(['UTC', 'US/Eastern', 'Asia/Tokyo']) as tz)"""
 _DEPS["cron_grid"] = []
 _cron_steps("cron_", """
- select distinct d.cron, d.tz, cast(floor(r.start_time / 1000.0) as bigint) as as_of
- from fx_runs r join defs d on r.job_id = d.job_id""", ["fx_runs", "defs"])
+ select distinct cron, tz, as_of from (
+  select d.cron, d.tz, unnest([s.at, s.at + s.shift]) as as_of
+  from (select job_id, cast(floor(start_time / 1000.0) as bigint) as at,
+          case when run_id % 2 = 0 then 45 else -75 end * 86400 as shift from fx_runs) s
+  join (select job_id, coalesce(cron, '* * * * *') as cron,
+          case when coalesce(spec, 'None') <> 'None' then 'US/Eastern' else coalesce(tz, 'UTC') end as tz
+        from fx_defs where state is not null) d on s.job_id = d.job_id)""", ["fx_runs", "fx_defs"])
 _cron_steps("pcron_", f"select distinct cron, tz, cast({AS_OF} as bigint) as as_of from defs", ["defs"])
 
 STEPS.update({
@@ -292,7 +299,11 @@ _DEPS.update({
 ORACLES.update({
     "cron_fires": with_ctes(["cron_prev", "cron_next"], """
  select p.cron, p.tz, p.as_of, p.prev_fire, n.next_fire, true as valid
- from cron_prev p join cron_next n on p.cron = n.cron and p.tz = n.tz and p.as_of = n.as_of"""),
+ from cron_prev p join cron_next n on p.cron = n.cron and p.tz = n.tz and p.as_of = n.as_of
+ union all
+ select distinct case s_suppkey % 4 when 0 then 'every day' when 1 then '61 * * * *' else '0 6 * * *' end,
+  case s_suppkey % 4 when 2 then '+930' when 3 then '+18:30' else 'UTC' end, 1706600000 + s_suppkey * 60,
+  null, null, false from supplier"""),
     "fiscal_bounds": with_ctes(["fis"], "select * from fis"),
 })
 

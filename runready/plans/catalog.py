@@ -90,11 +90,9 @@ def q_merge_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_cron_fires(spark: SparkSession, sf: str) -> DataFrame:
-    """Previous / next scheduled fire of each job at the start of each of its runs."""
-    defs = _defs(spark, sf)
-    req = fx.fx_runs(spark, sf).join(defs.select("job_id", "cron", "tz"), "job_id").select(
-        "cron", "tz", F.floor(F.col("start_time") / 1000).cast("long").alias("as_of"))
-    return schedule.cron_fires(req)
+    """Previous / next scheduled fire of each job at the start of each of its runs, at instants of the seasons
+    in which clocks change, and of schedules that do not parse."""
+    return schedule.cron_fires(fx.fx_cron_requests(spark, sf))
 
 
 def q_fiscal_bounds(spark: SparkSession, sf: str) -> DataFrame:

@@ -116,6 +116,22 @@ def fx_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fx_cron_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fire-time requests: (cron, tz) of each job at each of its run starts, again 45 days later (even run ids) or 75
+    days earlier (odd), which spans both changes of US time, and schedules or zones that are not valid."""
+    tags = fx_defs_flat(spark, sf_dir).where("state is not null").selectExpr(
+        "job_id", "coalesce(cron, '* * * * *') as cron",
+        "case when coalesce(spec, 'None') <> 'None' then 'US/Eastern' else coalesce(tz, 'UTC') end as tz")
+    at = fx_runs_flat(spark, sf_dir).selectExpr(
+        "job_id", "floor(start_time / 1000) as at", "case when run_id % 2 = 0 then 45 else -75 end * 86400 as shift")
+    runs = at.join(tags, "job_id").selectExpr("cron", "tz", "explode(array(at, at + shift)) as as_of")
+    broken = table(spark, sf_dir, "supplier").selectExpr(
+        "case s_suppkey % 4 when 0 then 'every day' when 1 then '61 * * * *' else '0 6 * * *' end as cron",
+        "case s_suppkey % 4 when 2 then '+930' when 3 then '+18:30' else 'UTC' end as tz",
+        "1706600000 + s_suppkey * 60 as as_of")
+    return runs.unionByName(broken)
+
+
 def fx_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External run feeds: one run per supplier (every tenth name is also a job name), and one per order for
     the customer's job, so that a key has as many rows as its customer has orders."""

@@ -50,34 +50,27 @@ def brute(cron, zone, as_of, horizon_days=400, day_rule="and"):
         mo, dw = _expand(f[3], 1, 12, MONTHS, 1), {v % 7 for v in _expand(f[4], 0, 7, DAYS, 0)}
     except Exception:
         return None, None, False
-    wall = dt.datetime.fromtimestamp(as_of, zi).replace(tzinfo=None)
-
     restricted = not f[2].startswith("*") and not f[4].startswith("*")
 
-    def ok(t):
+    def day_ok(t):
         dom_ok, dow_ok = t.day in dm, t.isoweekday() % 7 in dw
-        day = (dom_ok or dow_ok) if (day_rule == "or" and restricted) else (dom_ok and dow_ok)
-        return t.minute in mi and t.hour in hr and t.month in mo and day
-
-    def utc(t):
-        return int(t.replace(tzinfo=zi).timestamp())
-
-    prev = nxt = None
-    t = wall.replace(second=0)
-    if t == wall:
-        t -= dt.timedelta(minutes=1)
-    for _ in range(60 * 24 * horizon_days):
-        if ok(t):
-            prev = utc(t)
-            break
-        t -= dt.timedelta(minutes=1)
-    t = wall.replace(second=0) + dt.timedelta(minutes=1)
-    for _ in range(60 * 24 * horizon_days):
-        if ok(t):
-            nxt = utc(t)
-            break
-        t += dt.timedelta(minutes=1)
-    return prev, nxt, True
+        return t.month in mo and ((dom_ok or dow_ok) if (day_rule == "or" and restricted) else (dom_ok and dow_ok))
+
+    def scan(t, step):
+        """Nearest UTC minute whose local time matches: no local time is ever turned into an instant."""
+        end = t + step * 86400 * horizon_days
+        while (t < end) if step > 0 else (t > end):
+            local = dt.datetime.fromtimestamp(t, zi)
+            if not day_ok(local) and t % 900 == 0:
+                t += 900 * step
+                continue
+            if day_ok(local) and local.minute in mi and local.hour in hr:
+                return t
+            t += 60 * step
+        return None
+
+    first = as_of - as_of % 60
+    return scan(first if first < as_of else first - 60, -1), scan(first + 60, 1), True
 
 
 # instants: fixture noon, both US DST changes of 2024, exactly on a fire, a second after midnight
@@ -98,6 +91,29 @@ def test_cron_fires_equal_brute_force(spark):
     assert got[("0 0 31 2 *", "UTC", 1706702400)] == (None, None, True)                 # never fires
 
 
+def test_fires_around_changes_of_offset_equal_brute_force(spark):
+    """Skipped and repeated hours, in three zones, on and around both change days."""
+    crons = ["30 2 * * *", "*/15 * * * *", "15,45 1-3 * * *", "0 0 * * *", "30 2 10 3 *", "30 1 3 11 *", "*/20 2 * 3 SUN"]
+    changes = {"US/Eastern": (1710054000, 1730613600), "Europe/London": (1711846800, 1729990800),
+               "Australia/Lord_Howe": (1712415600, 1728142200)}
+    req = [(c, z, at + d) for z, both in changes.items() for at in both for c in crons
+           for d in (-90000, -7200, -1800, -60, 0, 60, 600, 1800, 3599, 3600, 5400, 9000, 90000)]
+    df = spark.createDataFrame(req, "cron string, tz string, as_of long")
+    got = {(r.cron, r.tz, r.as_of): (r.prev_fire, r.next_fire, r.valid) for r in schedule.cron_fires(df).collect()}
+    for c, z, a in req:
+        assert got[(c, z, a)] == brute(c, z, a, horizon_days=800), (c, z, a)
+
+
+def test_every_offset_that_passes_the_check_converts(spark):
+    zones = [f"{p}{s}{h}{m}" for p in ("", "UTC", "GMT", "UT") for s in "+-" for h in ("0", "9", "09", "17", "18", "19")
+             for m in ("", "30", ":30", ":00", "00")] + ["Z", "UTC", "+930", "+18:30", "+99", "UTC+", "Mars/Base"]
+    df = spark.createDataFrame([("0 6 * * *", z, 1706702400) for z in dict.fromkeys(zones)], "cron string, tz string, as_of long")
+    got = {r.tz: r for r in schedule.cron_fires(df).collect()}
+    assert all(r.valid == (r.prev_fire is not None) for r in got.values())
+    assert got["+9:30"].valid and got["-17:30"].valid and got["UTC+0930"].valid and got["+18"].valid
+    assert not any(got[z].valid for z in ("+930", "+18:30", "+1830", "+99", "UTC+", "Mars/Base", "+19"))
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.integers(min_value=1577836800, max_value=1893456000), min_size=5, max_size=20),
        st.sampled_from(["US/Eastern", "Asia/Tokyo", "UTC", "Australia/Sydney"]))
