@@ -23,7 +23,7 @@ from runready.llm.tables import stored
 
 QUOTE = r"^(?:[ \t]*>)+[ \t]?"
 # a line that announces the quote after it, up to the passage mark
-ATTRIBUTION = r"(?<=[\n\x1F])[^\n\x1E\x1F]*\b(?:wrote|writes|said)[ \t]*:[ \t]*\n*(?=\x1E[1-9])"
+ATTRIBUTION = r"(?:\n|(?<=\x1F))[^\n\x1E\x1F]*\b(?:wrote|writes|said)[ \t]*:[ \t]*\n*(?=\x1E[1-9])"
 MAX_ROUNDS = 64              # doubles the depth followed each time
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runready.llm.tables import WORD, stored
+from runready.llm.tables import WORD, shielded, stored
 
 BLOCKS = 1 << 12             # blocks a permutation is cut into, at each of two levels
 HASH_BITS = 60
@@ -143,8 +143,8 @@ def epoch_cuts(docs: DataFrame, weights: DataFrame, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None = None,
         max_repetition: float | None = None, seed: int = 1) -> DataFrame:
-    """``docs`` mixed to target weights: a row for each copy taken, with all columns of ``docs`` and
-    ``mix_tokens``, ``mix_weight``, ``mix_epoch`` (from 0), ``mix_block`` (of the epoch's order) and ``mix_key``.
+    """``docs`` mixed to target weights: a row for each copy taken, with all columns of ``docs`` (but those
+    named like one of the following) and ``mix_tokens``, ``mix_weight``, ``mix_epoch`` (from 0), ``mix_block`` (of the epoch's order) and ``mix_key``.
 
     Read each source in the order of (mix_epoch, mix_key).  A null source is a source like any other; a null
     or empty text counts no token and is taken where its key comes before the cut; rows with
@@ -163,13 +163,15 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
     partial = F.col("mix_cut").isNotNull() & (order_key(seed, F.col("mix_epochs"), doc_id) <= F.col("mix_cut"))
     copies = F.col("mix_epochs") + F.when(partial, 1).otherwise(0)
     key = order_key(seed, F.col("mix_epoch"), doc_id)
-    return (docs.join(per_source, F.col("source").cast("string").eqNullSafe(F.col("mix_source")))
+    rows, restored = shielded(docs, "doc_id", "text", "source")
+    new = ["mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_key"]
+    return (rows.join(per_source, F.col("source").cast("string").eqNullSafe(F.col("mix_source")))
             .withColumn("mix_copies", copies).where("mix_copies > 0")
             .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)))
             .withColumn("mix_key", key)
             .withColumn("mix_block", F.shiftright("mix_key", HASH_BITS - 12))
             .withColumn("mix_tokens", word_count(F.col("text").cast("string")))
-            .drop("mix_source", "mix_epochs", "mix_cut", "mix_copies"))
+            .select(*[c for c, name in zip(restored, docs.columns, strict=True) if name not in new], *new))
 
 
 __all__ = ["mix", "mixing_weights", "epoch_cuts", "source_tokens", "order_key", "word_count"]
