@@ -208,6 +208,8 @@ ORACLES: dict[str, str] = {
     "select_runs_full": with_ctes(["runs_full"], f"select {RUN_FLAT} from runs_full"),
     "select_runs_incremental": with_ctes(["runs_incr"], f"select {RUN_FLAT} from runs_incr"),
     "open_slots": with_ctes(["slots"], "select job_id, max_concurrent_runs, jobs_open from slots"),
+    "refresh_active_runs": with_ctes(["fx_runs"], f"""select distinct {RUN_FLAT} from fx_runs
+ where life_cycle_state is null or life_cycle_state not in ({TERMINAL})"""),
     "latest_run": with_ctes(["latest_all"], "select * from latest_all"),
     "lock_status": with_ctes(["lock_all"], f"select {STATE_COLS} from lock_all"),
     "normalize_external": with_ctes(["ext"], f"select {STATE_COLS} from ext"),

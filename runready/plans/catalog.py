@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import definitions, dependencies, fiscal, logs, outcome, readiness, runs, schedule, state
-from ..session import shared_path
+from ..session import list_dirs, shared_path
 from ..sources import fixtures as fx
 
 RAW_RUN_FLAT = ["run_id", "job_id", "life_cycle_state", "result_state", "start_time", "end_time"]
@@ -52,6 +52,17 @@ def q_open_slots(spark: SparkSession, sf: str) -> DataFrame:
         "job_id", "max_concurrent_runs", "jobs_open")
 
 
+# Fixed value: half a day after the fixture's high-water mark, with active runs on both sides.
+ACTIVE_MARK_MS = fx.HWM_MS + 43_200_000
+
+
+def q_refresh_active_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The active set kept by one pass and refreshed by the next, from the runs since its mark."""
+    log = fx.fx_runs(spark, sf)
+    first = runs.refresh_active_runs(log.where(F.col("start_time") < F.lit(ACTIVE_MARK_MS)))
+    return _flat_runs(runs.refresh_active_runs(log, first, ACTIVE_MARK_MS, late_ms=0))
+
+
 def q_latest_run(spark: SparkSession, sf: str) -> DataFrame:
     """O7 over all normalised runs (definition count as the per-job bound)."""
     defs = _defs(spark, sf)
@@ -177,15 +188,15 @@ def stage_run_files(spark: SparkSession, sf: str, path: str, unit: str = "week")
     explicit modification time, one second apart in unit order; this staging is test input
     only (the stream itself reads any layout).
     """
-    runs_df = fx.fx_runs(spark, sf).withColumn(
-        "_unit", F.date_trunc(unit, F.timestamp_millis(F.col("start_time"))).cast("string"))
-    units = [r["_unit"] for r in runs_df.select("_unit").distinct().orderBy("_unit").collect()]
+    start = F.date_trunc(unit, F.timestamp_millis(F.col("start_time")))
+    # one task and one file per unit, all in one write
+    (fx.fx_runs(spark, sf).withColumn("unit", F.date_format(start, "yyyy-MM-dd")).repartition("unit")
+     .write.mode("overwrite").partitionBy("unit").json(path))
     out = []
     jvm = spark.sparkContext._jvm
     base_ms = 1_000_000_000_000
-    for i, u in enumerate(units):
-        target = f"{path}/{u[:10]}"
-        runs_df.where(F.col("_unit") == u).drop("_unit").coalesce(1).write.mode("overwrite").json(target)
+    for i, name in enumerate(n for n in list_dirs(spark, path) if n.startswith("unit=")):
+        target = f"{path}/{name}"
         hpath = jvm.org.apache.hadoop.fs.Path(target)
         fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         for st in fs.listStatus(hpath):

@@ -124,11 +124,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/runready/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python can look at a local folder (tests only)."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop's FileSystem, so it works on any store."""
     jvm = spark.sparkContext._jvm
@@ -147,5 +142,5 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(hpath) if s.isDirectory())
 
 
-__all__ = ["get_spark", "configure", "ensure_checkpoint_dir", "shared_path", "local_path", "path_exists",
+__all__ = ["get_spark", "configure", "ensure_checkpoint_dir", "shared_path", "path_exists",
            "list_dirs", "DEFAULT_CONF"]
