@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runready.llm.components import connected_components
-from runready.llm.tables import ascii_words, stored
+from runready.llm.tables import ascii_words, stored, worker_cache
 
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 BATCH = 48                   # minima compared before each look at the posterior
 MISS = 1e-7                  # chance of dropping a true link at one look
 LEADERS = 3
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 CHUNK = 512                  # shingles hashed at once: bounds the memory of very long texts
 
 _rng = np.random.default_rng(20240229)
@@ -113,7 +113,7 @@ def least_matches(threshold: float) -> list[int]:
 
 def _sketch(docs: DataFrame, shingle: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = ShingleHasher(shingle)
+        shingles = worker_cache(("shingles", shingle), lambda: ShingleHasher(shingle))
         for part in parts:
             for at in range(0, len(part), 512):
                 rows = []
@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float)
     percent = round(threshold * 100)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = ShingleHasher(shingle)
+        shingles = worker_cache(("shingles", shingle), lambda: ShingleHasher(shingle))
         last, last_set = None, None
         for part in parts:
             keep = np.zeros(len(part), bool)

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runready.functions.joins import broadcast_if_small
-from runready.llm.tables import ascii_words, stored
+from runready.llm.tables import ascii_words, stored, worker_cache
 
 BUCKETS = 1 << 16
 SMOOTHING = 10.0             # expected counts added on both sides: a bucket must be met often to say much
 FULL_WEIGHT = 200
 BINS = 4096
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,7 +57,7 @@ def ngram_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     A row per partition and bucket is shuffled; the driver gets one per bucket.
     """
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets_of = NgramHasher()
+        buckets_of = worker_cache("ngrams", NgramHasher)
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for part in parts:
             for text, is_target in zip(part["text"], part["is_target"], strict=True):
@@ -131,7 +131,7 @@ def resample(docs: DataFrame, targets: DataFrame, share: float | None = None, se
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(raw, target))      # BUCKETS doubles
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets_of = NgramHasher()
+        buckets_of = worker_cache("ngrams", NgramHasher)
         for batch in batches:
             found = [log_weight(buckets_of(t), ratios.value) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())],

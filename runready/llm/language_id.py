@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runready.functions.joins import broadcast_if_small
+from runready.llm.tables import worker_cache
 
 BUCKETS = 1 << 14
 DIM = 16
@@ -38,7 +39,7 @@ RATE = 0.5
 CALIBRATION_PART = 5         # one document in five calibrates
 MAX_REJECTED = 0.001         # share of right answers that rejection may cost on the calibration part
 MAX_THRESHOLD = 0.5
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 UNDETERMINED = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -113,16 +114,6 @@ class WordScores:
         return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
 
 
-_scores: dict[str, WordScores] = {}          # of the last model that a Python worker used
-
-
-def _scorer(model: LanguageModel) -> WordScores:
-    if model.key not in _scores:
-        _scores.clear()
-        _scores[model.key] = WordScores(model)
-    return _scores[model.key]
-
-
 def _examples(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in texts:
         out = []
@@ -217,7 +208,7 @@ def predict(docs: DataFrame, model: LanguageModel, *carried: str) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer = _scorer(model)
+        scorer = worker_cache(model.key, lambda: WordScores(model))
         for batch in batches:
             best, value = [], []
             for text in batch.column(0).to_pylist():

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runready.llm.spaced_seeds import TokenHasher
+from runready.llm.tables import worker_cache
 
 BANDS, ROWS = 48, 2
 HASHES = BANDS * ROWS
@@ -180,7 +181,7 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(Templates(texts or TEMPLATES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of, templates = TokenHasher(), shared.value
+        tokens_of, templates = worker_cache("tokens", TokenHasher), shared.value
         for batch in batches:
             rows = []
             for at in range(0, batch.num_rows, CHUNK):

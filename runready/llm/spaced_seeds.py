@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runready.llm.tables import stored
+from runready.llm.tables import stored, worker_cache
 
 MASKS = [(0, 1, 2, 3, 6, 8), (0, 1, 5, 7, 8, 9), (0, 2, 3, 5, 6, 9), (0, 1, 2, 4, 5, 6)]
 WINDOW = 13
 SUBSTITUTED = 2
 MIN_ITEM = 5                 # an item of fewer tokens says too little to be found again
 MAX_BROADCAST_TOKENS = 1_000_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 CHUNK = 128                  # documents hashed at once
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -149,7 +149,7 @@ def _by_broadcast(docs: DataFrame, ids: list[int], index: SeedIndex) -> DataFram
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, index = shared.value
-        tokens_of = TokenHasher()
+        tokens_of = worker_cache("tokens", TokenHasher)
         for part in parts:
             rows = []
             for at in range(0, len(part), CHUNK):
@@ -175,7 +175,7 @@ def _by_join(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame
     masks = masks_for(lengths)
 
     def rows_of(parts: Iterator[pd.DataFrame], of_items: bool) -> Iterator[pd.DataFrame]:
-        tokens_of = TokenHasher()
+        tokens_of = worker_cache("tokens", TokenHasher)
         for part in parts:
             for key, text in zip(part.iloc[:, 0], part["text"], strict=True):
                 t = tokens_of(text)
@@ -189,7 +189,7 @@ def _by_join(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame
             .select(F.col("key").alias("doc_id"), "item_id", (F.col("at") - F.col("q")).alias("shift")).distinct())
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens_of = TokenHasher()
+        tokens_of = worker_cache("tokens", TokenHasher)
         for part in parts:
             rows = []
             for r in part.itertuples(index=False):
@@ -224,7 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast_tokens: in
     docs, items = narrow(docs, "doc_id"), narrow(benchmark, "item_id")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens_of = TokenHasher()
+        tokens_of = worker_cache("tokens", TokenHasher)
         for part in parts:
             yield pd.DataFrame({"item_id": part["item_id"], "n": [len(tokens_of(t)) for t in part["text"]]})
 
@@ -232,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast_tokens: in
     total = counted.agg(F.sum("n")).first()[0] or 0
     used = items.join(counted.select("item_id"), "item_id", "left_semi")
     if total <= max_broadcast_tokens:
-        tokens_of = TokenHasher()
+        tokens_of = worker_cache("tokens", TokenHasher)
         got = sorted((r.item_id, r.text) for r in used.collect())        # at most max_broadcast_tokens tokens
         found = _by_broadcast(docs, [i for i, _ in got], SeedIndex([tokens_of(t) for _, t in got]))
     else:

@@ -33,6 +33,18 @@ def ascii_words(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
+_cache: dict = {}
+
+
+def worker_cache(key, make):
+    """What a Python worker keeps from task to task: the cache of one operator at a time, so that those of a
+    pipeline's stages do not add up in workers that Spark uses again."""
+    if key not in _cache:
+        _cache.clear()
+        _cache[key] = make()
+    return _cache[key]
+
+
 def shielded(df: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
     """``df`` with all columns but ``own`` under names of their own, and the columns that restore the
     original names and order: an operator's new columns then clash with none of the table's."""
@@ -41,4 +53,4 @@ def shielded(df: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
             [F.col(n).alias(c) for c, n in names.items()])
 
 
-__all__ = ["WORD", "read_table", "stored", "ascii_words", "shielded"]
+__all__ = ["WORD", "read_table", "stored", "ascii_words", "worker_cache", "shielded"]

@@ -17,6 +17,7 @@ ids of up to ``CACHED_WORDS`` words, which changes no result (tested against who
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runready.llm.tables import worker_cache
 from runready.session import shared_path
 
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 PAGE_BYTES = 256 * 1024
 PAGE_ROWS = 2_000
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 700_000
 BATCH_ROWS = 256
 
 WRITER = {
@@ -73,15 +75,11 @@ class WordEncoder:
         return b"".join(map(self.ids.__getitem__, words))
 
 
-_encoders: dict[str, WordEncoder] = {}           # one per Python worker and tokenizer
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        import os
+    def make() -> WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark runs one task per core already
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        return WordEncoder(path)
+    return worker_cache(path, make)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
