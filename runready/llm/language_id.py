@@ -40,6 +40,7 @@ CALIBRATION_PART = 5         # one document in five calibrates
 MAX_REJECTED = 0.001         # share of right answers that rejection may cost on the calibration part
 MAX_THRESHOLD = 0.5
 CACHED_WORDS = 400_000
+PIECE = 50_000
 UNDETERMINED = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -111,7 +112,9 @@ class WordScores:
             at = len(known)
             self.table[at:at + len(new)] = self.model.words(new)
             known.update(zip(new, range(at, at + len(new)), strict=True))
-        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        # in pieces: bounds the memory of very long texts
+        return sum(self.table[at[k:k + PIECE]].sum(0) for k in range(0, len(at), PIECE))
 
 
 def _examples(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

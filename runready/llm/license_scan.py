@@ -26,7 +26,8 @@ BANDS, ROWS = 48, 2
 HASHES = BANDS * ROWS
 SHINGLE = 2
 MIN_CONTAINMENT = 0.8
-CHUNK = 64                   # documents hashed at once
+CHUNK = 64                   # documents looked at together
+PIECE = 20_000               # shingles hashed at once: bounds the memory of very long texts
 
 # Well-known license notices.
 TEMPLATES = {
@@ -154,15 +155,22 @@ class Templates:
         found = set()
         for length, index in self.classes.items():
             step = max(1, length // 4)
-            runs = minima(members, step)
-            sigs = runs
-            for ahead in range(1, -(-5 * length // (4 * step))):        # a window is 1.25 lengths of runs
-                sigs = sigs.copy() if sigs is runs else sigs
-                np.minimum(sigs[:, :-ahead], runs[:, ahead:], out=sigs[:, :-ahead])
-            keys = band_hashes(sigs)
-            for band, window in zip(*np.nonzero(np.isin(keys, self.keys[length])), strict=True):
-                for k in index[int(keys[band, window])]:
-                    found.add((k, int(window) * step, int(window) * step + -(-5 * length // (4 * step)) * step))
+            runs_in_window = -(-5 * length // (4 * step))           # a window is 1.25 lengths
+            # long inputs go piece by piece; pieces begin at a window's start and overlap by a window
+            piece = max(1, PIECE // step) * step
+            for start in range(0, max(1, len(members)), piece):
+                part = members[start:start + piece + runs_in_window * step]
+                if not len(part):
+                    continue
+                runs = minima(part, step)
+                sigs = runs.copy()
+                for ahead in range(1, runs_in_window):
+                    np.minimum(sigs[:, :-ahead], runs[:, ahead:], out=sigs[:, :-ahead])
+                keys = band_hashes(sigs)
+                for band, window in zip(*np.nonzero(np.isin(keys, self.keys[length])), strict=True):
+                    at = start + int(window) * step
+                    for k in index[int(keys[band, window])]:
+                        found.add((k, at, at + runs_in_window * step))
         return found
 
 
