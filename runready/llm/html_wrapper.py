@@ -3,8 +3,8 @@
 A page is parsed to a tree of its block elements (inline markup is text; siblings of one label that follow
 each other become one repeated node).  Pages of a host are aligned by simple tree matching: the
 order-keeping assignment of children with the most matched nodes, level by level.  The host's wrapper is the
-merged tree; each of its nodes knows how many pages it met and in how many each text stood.  A text
-that stands in at least ``TEMPLATE_SHARE`` of a node's pages (``ARTICLE_SHARE`` inside the article, where pages may
+merged tree.  Every page is laid over it, and Spark counts, exactly, in how many pages each node
+stands and in how many of them each of its texts.  A text that stands in at least ``TEMPLATE_SHARE`` of a node's pages (``ARTICLE_SHARE`` inside the article, where pages may
 be copies of each other) and in ``MIN_PAGES`` of them is template; what varies is content.
 
 A page is then laid over its host's wrapper and yields the blocks that are not template and
@@ -13,16 +13,18 @@ section.  Where the page marks its article (``article`` or ``main``), only that
 
 Wrappers are merged like partial aggregates: one per host and partition, then per host and
 one of ``MERGE_WAYS`` ways, then per host, so a host with a third of all pages burdens no task.
-Their size does not grow with the pages: a node keeps its ``KEPT_TEXTS`` most frequent texts (Misra-Gries
-counters: a text in over 1 / ``KEPT_TEXTS`` of the pages is never lost) and rare nodes beyond ``MAX_NODES`` go.
+Their size does not grow with the pages: rare nodes beyond ``MAX_NODES`` go.  That loses no text:
+an element that meets no wrapper node is counted by the labels that lead to it from the nearest one that does.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -35,11 +37,12 @@ from runready.llm.tables import stored
 MIN_PAGES = 5
 TEMPLATE_SHARE = 0.6
 ARTICLE_SHARE = 0.9
-KEPT_TEXTS = 64
 MAX_NODES = 2_000
 MAX_DEPTH = 100              # deeper elements are read as if they stood at this depth
 MERGE_WAYS = 64
 BATCH_ROWS = 64
+TRIM_EVERY = 256             # merges into a wrapper between two cuts to MAX_NODES
+HELD_COUNTS = 200_000        # counts that a task adds up before it sends them on
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset("script style noscript template iframe svg math object canvas head title select textarea option "
@@ -187,15 +190,26 @@ def parse(html: str | None) -> Node:
     return p.root
 
 
-# A wrapper node is [label, pages, {text hash: pages}, children]: it is sent between tasks as JSON.
+# A tree node is [label, pages, held, children]: trees are sent between tasks as JSON.  A page holds its text
+# hashes, a wrapper nothing.
 
 def text_hash(text: str) -> str:
     return f"{zlib.crc32(text.encode('utf-8', 'surrogatepass')):x}.{len(text):x}"
 
 
-def as_wrapper(node: Node) -> list:
+def as_tree(node: Node, held: Callable[[Node], object]) -> list:
+    """The tree of a single page."""
+    return [node.label, 1, held(node), [as_tree(c, held) for c in node.children]]
+
+
+def _hashes(node: Node) -> list[str]:
+    """Texts that may be template; those of boilerplate elements are never read."""
+    return [] if node.boilerplate else sorted({text_hash(t) for _, t in node.texts})
+
+
+def bare(page: list) -> list:
     """The wrapper of a single page."""
-    return [node.label, 1, {text_hash(t): 1 for _, t in node.texts}, [as_wrapper(c) for c in node.children]]
+    return [page[0], page[1], [], [bare(c) for c in page[3]]]
 
 
 def _match(a: list, b: list, weights: dict) -> int:
@@ -238,12 +252,6 @@ def merge(w: list, p: list, weights: dict | None = None) -> None:
     """Merge the aligned tree ``p`` (same label) into the wrapper ``w``."""
     weights = {} if weights is None else weights
     w[1] += p[1]
-    counts = w[2]
-    for t, n in p[2].items():
-        counts[t] = counts.get(t, 0) + n
-    if len(counts) > KEPT_TEXTS:
-        least = sorted(counts.values(), reverse=True)[KEPT_TEXTS]
-        w[2] = {t: n - least for t, n in counts.items() if n > least}
     pairs = aligned(w[3], p[3], weights)
     out, at = [], 0
     of = {j: i for i, j in pairs}
@@ -257,6 +265,13 @@ def merge(w: list, p: list, weights: dict | None = None) -> None:
     w[3] = out + w[3][at:]
 
 
+def _cut(w: list, least: int) -> None:
+    """Drop the nodes of ``least`` pages or fewer."""
+    w[3] = [c for c in w[3] if c[1] > least]
+    for c in w[3]:
+        _cut(c, least)
+
+
 def trimmed(w: list) -> list:
     """Drop the rarest nodes while the wrapper has more than ``MAX_NODES``."""
     def sizes(n: list) -> Iterator[int]:
@@ -264,67 +279,81 @@ def trimmed(w: list) -> list:
         for c in n[3]:
             yield from sizes(c)
 
-    def cut(n: list, least: int) -> None:
-        n[3] = [c for c in n[3] if c[1] > least]
-        for c in n[3]:
-            cut(c, least)
-
     met = sorted(sizes(w), reverse=True)
     if len(met) > MAX_NODES:
-        cut(w, met[MAX_NODES])
+        _cut(w, met[MAX_NODES])
     return w
 
 
-def template_of(w: list) -> list | None:
-    """The wrapper with its template texts alone; None where a node and all below have none."""
-    article = w[0].split(".")[0] in _ARTICLE
-    return _template(w, article)
+def _key(path: str) -> int:
+    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
+
 
+def placed(page: list, wrapper: list) -> Iterator[tuple[object, int, bool, list]]:
+    """What each node of ``page`` holds, the key of its place in the host's wrapper, whether that lies in
+    an article, and the list of nodes to go on with (a caller may empty it).
 
-def _template(w: list, article: bool) -> list | None:
-    need = max(MIN_PAGES, (ARTICLE_SHARE if article else TEMPLATE_SHARE) * w[1])
-    texts = {t: 1 for t, n in w[2].items() if n >= need}
-    children = [_template(c, article or c[0].split(".")[0] in _ARTICLE) for c in w[3]]
-    if not texts and not any(children):
-        return None
-    # nodes without template stay as bare labels: alignment needs them
-    return [w[0], w[1], texts, [t or [c[0], c[1], {}, []] for c, t in zip(w[3], children, strict=True)]]
+    A node that is aligned has the key of the wrapper's node, another one that of its labels below the nearest aligned one.
+    """
+    weights: dict = {}
+    todo = [(page, wrapper, "", False)]
+    while todo:
+        node, at, path, article = todo.pop()
+        article = article or node[0].split(".")[0] in _ARTICLE
+        of = {j: i for i, j in aligned(at[3], node[3], weights)} if at else {}
+        below = [(c, at[3][of[j]], f"{path}.{of[j]}", article) if j in of else (c, None, f"{path}/{c[0]}", article)
+                 for j, c in enumerate(node[3])]
+        yield node[2], _key(path), article, below
+        todo += below
+
+
+def _read(root: Node, wrapper: list | None) -> Iterator[tuple[Node, int, list]]:
+    if wrapper:
+        for node, key, _, below in placed(as_tree(root, lambda n: n), wrapper):
+            yield node, key, below
+        return
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node, 0, (below := list(node.children))
+        todo += below
 
 
-def main_text(html: str | None, template: list | None) -> str:
-    """The content blocks of a page in page order, one per line."""
-    root = parse(html)
+def main_text(html: str | None, wrapper: list | None, template: set[tuple[int, str]] = frozenset()) -> str:
+    """The content blocks of a page in page order, one per line; ``template`` has the place and hash of each template text."""
     blocks: list[tuple[int, str, bool]] = []
     any_article = False
-    weights: dict = {}
-    tree = as_wrapper(root) if template else None
-    todo = [(root, tree, template)]
-    while todo:
-        node, own, tpl = todo.pop()
+    for node, key, below in _read(parse(html), wrapper):
         if node.boilerplate:
+            below.clear()
             continue
-        fixed = tpl[2] if tpl else ()
         for place, text in node.texts:
             any_article |= node.article
-            if not fixed or text_hash(text) not in fixed:
+            if not template or (key, text_hash(text)) not in template:
                 blocks.append((place, text, node.article))
-        of = dict((j, i) for i, j in aligned(tpl[3], own[3], weights)) if tpl else {}
-        for j, child in enumerate(node.children):
-            todo.append((child, own[3][j] if own else None, tpl[3][of[j]] if j in of else None))
     return "\n".join(text for _, text, inside in sorted(blocks) if inside or not any_article)
 
 
+def _trees(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        yield pd.DataFrame({"host": part["host"], "page": [
+            json.dumps(as_tree(parse(html), _hashes), separators=(",", ":")) for html in part["html"]]})
+
+
 def _partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     wrappers: dict[str, list] = {}
+    merges: Counter = Counter()
     way = 0
     for part in parts:
-        for host, html in zip(part["host"], part["html"], strict=True):
-            page = as_wrapper(parse(html))
-            way = zlib.crc32((html or "").encode("utf-8", "surrogatepass"), way)
+        for host, page in zip(part["host"], part["page"], strict=True):
+            way = zlib.crc32(page.encode("utf-8", "surrogatepass"), way)
             if host in wrappers:
-                merge(wrappers[host], page)
+                merge(wrappers[host], bare(json.loads(page)))
+                merges[host] += 1
+                if merges[host] % TRIM_EVERY == 0:
+                    trimmed(wrappers[host])
             else:
-                wrappers[host] = page
+                wrappers[host] = bare(json.loads(page))
     yield pd.DataFrame([(h, way % MERGE_WAYS, json.dumps(trimmed(w))) for h, w in wrappers.items()],
                        columns=["host", "way", "wrapper"])
 
@@ -333,23 +362,60 @@ def _merged(part: pd.DataFrame) -> pd.DataFrame:
     trees = [json.loads(w) for w in sorted(part["wrapper"])]
     for t in trees[1:]:
         merge(trees[0], t)
+        trimmed(trees[0])
     return pd.DataFrame({"host": part["host"].iloc[:1], "wrapper": [json.dumps(trimmed(trees[0]))]})
 
 
 def _final(part: pd.DataFrame) -> pd.DataFrame:
     merged = _merged(part)
-    found = template_of(json.loads(merged["wrapper"].iloc[0]))
-    merged["wrapper"] = [json.dumps(found) if found else None]
+    tree = json.loads(merged["wrapper"].iloc[0])
+    _cut(tree, MIN_PAGES - 1)
+    merged["wrapper"] = [json.dumps(tree, separators=(",", ":"))]
     return merged
 
 
+_COUNTS = "host string, node long, article boolean, text string, n long"
+
+
+def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages of every node (a null text) and of every text in it."""
+    counts: Counter = Counter()
+
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["host", "node", "article", "text", "n"])
+
+    last, wrapper = None, None
+    for part in parts:
+        for host, page, tree in zip(part["host"], part["page"], part["wrapper"], strict=True):
+            if tree != last:
+                last, wrapper = tree, json.loads(tree)
+            found = set()
+            for texts, key, article, _ in placed(json.loads(page), wrapper):
+                found.add((host, key, article, None))
+                found.update((host, key, article, t) for t in texts)
+            counts.update(found)
+            if len(counts) > HELD_COUNTS:
+                yield rows()
+                counts.clear()
+    yield rows()
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """``host, wrapper``: the template of every host of ``pages(host, html)`` that has one."""
+    """``host, wrapper``: the wrapper and the template texts of every host of ``pages(host, html)`` that has some."""
     schema = "host string, wrapper string"
-    partial = (pages.where("host is not null").select("host", "html")
-               .mapInPandas(_partial, "host string, way int, wrapper string"))
-    return (partial.groupBy("host", "way").applyInPandas(_merged, schema)
-            .groupBy("host").applyInPandas(_final, schema).where("wrapper is not null"))
+    trees = stored(pages.where("host is not null").select("host", "html").mapInPandas(_trees, "host string, page string"),
+                   "page-trees")
+    wrappers = stored(trees.mapInPandas(_partial, "host string, way int, wrapper string")
+                      .groupBy("host", "way").applyInPandas(_merged, schema)
+                      .groupBy("host").applyInPandas(_final, schema), "host-trees")
+    counts = (trees.join(wrappers, "host").mapInPandas(_counts, _COUNTS)
+              .groupBy("host", "node", "article", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAGES))
+    counts = stored(counts, "text-pages")
+    met = counts.where("text is null").select("host", "node", F.col("n").alias("pages"))
+    share = F.when(F.col("article"), F.lit(ARTICLE_SHARE)).otherwise(F.lit(TEMPLATE_SHARE))
+    texts = (counts.where("text is not null").join(met, ["host", "node"]).where(F.col("n") >= share * F.col("pages"))
+             .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "text"))).alias("texts")))
+    return texts.join(wrappers, "host").select("host", F.to_json(F.struct("wrapper", "texts")).alias("wrapper"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -365,14 +431,18 @@ def extract(pages: DataFrame) -> DataFrame:
     templates = stored(induce(rows), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, template = None, None
+        last, wrapper, template = None, None, frozenset()
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch, texts = whole.slice(at, BATCH_ROWS), []
-                for html, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-                    if wrapper != last:
-                        last, template = wrapper, json.loads(wrapper) if wrapper else None
-                    texts.append(main_text(html, template))
+                for html, found in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+                    if found != last:
+                        last, wrapper, template = found, None, frozenset()
+                        if found:
+                            read = json.loads(found)
+                            wrapper = json.loads(read["wrapper"])
+                            template = {(t["node"], t["text"]) for t in read["texts"]}
+                    texts.append(main_text(html, wrapper, template))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                      pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -382,4 +452,4 @@ def extract(pages: DataFrame) -> DataFrame:
             .mapInArrow(run, "page_id long, url string, text string, n_chars long"))
 
 
-__all__ = ["extract", "induce", "parse", "merge", "main_text", "template_of", "as_wrapper", "aligned"]
+__all__ = ["extract", "induce", "parse", "merge", "main_text", "placed", "as_tree", "bare", "aligned"]

@@ -87,6 +87,28 @@ def test_wrapper_merge_does_not_depend_on_partitions(spark):
     assert all(texts(w) for w in one.values())
 
 
+def test_template_text_beside_many_other_texts_is_found(spark):
+    """A notice among 70 paragraphs that differ, in an element whose class is the page's own on every second page."""
+    notice, rows = "All stories are kept in our archive", []
+    for k in range(40):
+        body = "".join(f"<p>story {k} part {j}</p>" for j in range(70))
+        name = f" class=post{k}" if k % 2 else ""
+        rows.append((k, f"http://long.example/{k}", f"<body><div><p>{notice}</p>{body}</div><section{name}><p>own {k}</p></section></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text.split("\n") for r in hw.extract(df).collect()}
+    assert got == {k: [*(f"story {k} part {j}" for j in range(70)), f"own {k}"] for k in range(40)}
+
+
+def test_nodes_cut_from_the_wrapper_keep_their_template_texts(spark, monkeypatch):
+    wide = "".join(f"<div class=c{j}><p>Fixed {j}</p></div>" for j in range(30))
+    page = lambda k: f"<body>{wide}<section><p>own {k}</p></section></body>"
+    tree = hw.as_tree(hw.parse(page(0)), hw._hashes)
+    root_only = hw.bare(tree)
+    root_only[3] = []
+    keys = [[(key, tuple(t)) for t, key, _, _ in hw.placed(hw.as_tree(hw.parse(page(k)), hw._hashes), root_only)] for k in (0, 1)]
+    assert len(set(keys[0]) & set(keys[1])) == len(keys[0]) - 1      # all but the page's own text
+
+
 # ---- op4 -----------------------------------------------------------------------------
 
 def brute_threads(messages):
