@@ -4,8 +4,10 @@ A page is parsed to a tree of its block elements (inline markup is text; sibling
 each other become one repeated node).  Pages of a host are aligned by simple tree matching: the
 order-keeping assignment of children with the most matched nodes, level by level.  The host's wrapper is the
 merged tree.  Every page is laid over it, and Spark counts, exactly, in how many pages each node
-stands and in how many of them each of its texts.  A text that stands in at least ``TEMPLATE_SHARE`` of a node's pages (``ARTICLE_SHARE`` inside the article, where pages may
-be copies of each other) and in ``MIN_PAGES`` of them is template; what varies is content.
+stands and in how many of them each of its texts.  A text that stands in at least ``TEMPLATE_SHARE``
+of a node's pages (``ARTICLE_SHARE`` inside the article, where pages may be copies of each other) and in
+``MIN_PAGES`` of them is template; what varies is content.
+Pages of a host that read the same without a wrapper (repeated rows, print or session URLs) count as one.
 
 A page is then laid over its host's wrapper and yields the blocks that are not template and
 lie in no element that names itself a menu, header, footer, sidebar, notice, advert, form or comment
@@ -321,9 +323,13 @@ def _read(root: Node, wrapper: list | None) -> Iterator[tuple[Node, int, list]]:
 
 def main_text(html: str | None, wrapper: list | None, template: set[tuple[int, str]] = frozenset()) -> str:
     """The content blocks of a page in page order, one per line; ``template`` has the place and hash of each template text."""
+    return _content(parse(html), wrapper, template)
+
+
+def _content(root: Node, wrapper: list | None, template: set[tuple[int, str]] = frozenset()) -> str:
     blocks: list[tuple[int, str, bool]] = []
     any_article = False
-    for node, key, below in _read(parse(html), wrapper):
+    for node, key, below in _read(root, wrapper):
         if node.boilerplate:
             below.clear()
             continue
@@ -336,8 +342,12 @@ def main_text(html: str | None, wrapper: list | None, template: set[tuple[int, s
 
 def _trees(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        yield pd.DataFrame({"host": part["host"], "page": [
-            json.dumps(as_tree(parse(html), _hashes), separators=(",", ":")) for html in part["html"]]})
+        rows = []
+        for host, html in zip(part["host"], part["html"], strict=True):
+            root = parse(html)
+            read = hashlib.blake2b(_content(root, None).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            rows.append((host, read, json.dumps(as_tree(root, _hashes), separators=(",", ":"))))
+        yield pd.DataFrame(rows, columns=["host", "read", "page"])
 
 
 def _partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -403,8 +413,10 @@ def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def induce(pages: DataFrame) -> DataFrame:
     """``host, wrapper``: the wrapper and the template texts of every host of ``pages(host, html)`` that has some."""
     schema = "host string, wrapper string"
-    trees = stored(pages.where("host is not null").select("host", "html").mapInPandas(_trees, "host string, page string"),
-                   "page-trees")
+    read = (pages.where("host is not null").select("host", "html")
+            .mapInPandas(_trees, "host string, read binary, page string"))
+    # one page of those that read the same: the first tree in order
+    trees = stored(read.groupBy("host", "read").agg(F.min("page").alias("page")).select("host", "page"), "page-trees")
     wrappers = stored(trees.mapInPandas(_partial, "host string, way int, wrapper string")
                       .groupBy("host", "way").applyInPandas(_merged, schema)
                       .groupBy("host").applyInPandas(_final, schema), "host-trees")

@@ -109,6 +109,18 @@ def test_nodes_cut_from_the_wrapper_keep_their_template_texts(spark, monkeypatch
     assert len(set(keys[0]) & set(keys[1])) == len(keys[0]) - 1      # all but the page's own text
 
 
+@pytest.mark.parametrize("copies", [5, 3000])
+def test_copies_of_a_page_keep_their_text(spark, copies):
+    page = "<body><header>Seen {}</header><article><h1>Head</h1><p>Same old text</p></article></body>"
+    rows = [(k, f"http://copy.example/{k}", page.format(k % 7)) for k in range(copies)]
+    # a host with copies among other pages still has its template
+    rows += [(10_000 + k, f"http://mixed.example/{k}", f"<body><p>Notice</p><div><p>own {max(k, 20)}</p></div></body>") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in hw.extract(df).collect()}
+    assert all(got[k] == "Head\nSame old text" for k in range(copies))
+    assert all(got[10_000 + k] == f"own {max(k, 20)}" for k in range(40))
+
+
 # ---- op4 -----------------------------------------------------------------------------
 
 def brute_threads(messages):
