@@ -69,6 +69,9 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _SCOPES = frozenset("html body table td th ul ol dl article main section div nav aside footer header form "
                     "blockquote".split())
 _WORDS = re.compile(r"[a-z]+")
+# elements that stand in a head, and skipped elements that end without an end tag of their own
+_IN_HEAD = frozenset("title meta link style script base noscript template".split())
+_ENDS_ALONE = frozenset("head title option script style".split())
 
 
 class Node:
@@ -90,14 +93,60 @@ def _names_boilerplate(tag: str, attrs: dict, in_article: bool) -> bool:
     return any(w in _NAMES for w in _WORDS.findall(named))
 
 
+def _skips(events: list[tuple[str, str, list]]) -> dict[int, int]:
+    """For each skipped element that ends: the event it starts with and the first one after it.
+
+    A head ends at the first thing that cannot stand in it, a title at a block element, an option at the
+    next one or at a block element; these, scripts and styles also end with the element around them.
+    """
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    depth: Counter = Counter()           # open elements by tag
+
+    def leave(at: int) -> None:
+        tag, start = stack.pop()
+        depth[tag] -= 1
+        if tag in _ENDS_ALONE:
+            out[start] = at
+
+    for k, (kind, what, _) in enumerate(events):
+        if kind == "text":
+            if stack and stack[-1][0] == "head" and what.strip():
+                leave(k)
+        elif kind == "end":
+            if depth[what]:
+                while stack[-1][0] != what:
+                    leave(k)
+                out[stack[-1][1]] = k + 1
+                stack.pop()
+                depth[what] -= 1
+        else:
+            block = what not in _INLINE and what not in _SKIPPED and what not in _VOID
+            if stack and (stack[-1][0] == "title" and depth["head"] and block
+                          or stack[-1][0] == "option" and (block or what == "option")):
+                leave(k)
+            if stack and stack[-1][0] == "head" and what not in _IN_HEAD:
+                leave(k)
+            if what not in _VOID and (what not in _INLINE or what in _SKIPPED):
+                stack.append((what, k))
+                depth[what] += 1
+    while stack:
+        leave(len(events))
+    return out
+
+
 class _Parser(HTMLParser):
-    """Builds the block tree of a page; unclosed and misplaced tags are repaired, no text is lost."""
+    """Builds the block tree of a page; unclosed and misplaced tags are repaired, no text is lost.
+
+    The page is read to a list of events first: a skipped element reaches to its own end tag, and one
+    that has none (``_skips``) takes nothing with it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", "#root")
         self.open = [self.root]
-        self.inline_skips = 0        # open skipped elements
+        self.events: list[tuple[str, str, list]] = []       # kind, tag or text, attributes
         self.text: list[str] = []
         self.place = 0
 
@@ -110,13 +159,32 @@ class _Parser(HTMLParser):
             self.place += 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SKIPPED:
-            self.inline_skips += tag not in _VOID
-            if tag not in _INLINE:
+        self.events.append(("start", tag, attrs))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.events.append(("end", tag, []))
+
+    def handle_data(self, data: str) -> None:
+        self.events.append(("text", data, []))
+
+    def build(self) -> None:
+        skips, k = _skips(self.events), 0
+        while k < len(self.events):
+            kind, what, attrs = self.events[k]
+            if kind == "text":
+                self.text.append(what)
+            elif kind == "end":
+                self._end(what)
+            elif what in _SKIPPED:
                 self.flush()
-            return
-        if self.inline_skips:
-            return
+                k = skips.get(k, k + 1)
+                continue
+            else:
+                self._start(what, attrs)
+            k += 1
+        self.flush()
+
+    def _start(self, tag: str, attrs: list) -> None:
         if tag == "br":
             self.text.append(" ")
         if tag in _INLINE:
@@ -149,11 +217,8 @@ class _Parser(HTMLParser):
             if self.open[k].tag in _SCOPES:
                 return
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in _SKIPPED:
-            self.inline_skips = max(0, self.inline_skips - 1)
-            return
-        if self.inline_skips or tag in _INLINE:
+    def _end(self, tag: str) -> None:
+        if tag in _SKIPPED or tag in _INLINE:
             return
         self.flush()
         for k in range(len(self.open) - 1, 0, -1):
@@ -161,10 +226,6 @@ class _Parser(HTMLParser):
                 del self.open[k:]
                 return
 
-    def handle_data(self, data: str) -> None:
-        if not self.inline_skips:
-            self.text.append(data)
-
 
 def _joined(children: list[Node]) -> list[Node]:
     """Neighbouring siblings of one label as one repeated node."""
@@ -183,7 +244,7 @@ def parse(html: str | None) -> Node:
     p = _Parser()
     p.feed(html or "")
     p.close()
-    p.flush()
+    p.build()
     todo = [p.root]
     while todo:
         node = todo.pop()

@@ -121,6 +121,23 @@ def test_copies_of_a_page_keep_their_text(spark, copies):
     assert all(got[10_000 + k] == f"own {max(k, 20)}" for k in range(40))
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<html><head><title>t</title><body><article><p>text</p></article>", "text"),
+    ("<head><title>t<meta name=a><p>text</p>", "text"),
+    ("<head><title>t</title>text", "text"),
+    ("<head><title>t</title><noscript><img src=x></noscript><script>a</script></head><p>text</p>", "text"),
+    ("<select><option>a<option>b</select><p>text</p>", "text"),
+    ("<div><select><option>a<option>b</div><p>text</p>", "text"),
+    ("<p>text <button>Go<p>more</p>", "text\nGo\nmore"),
+    ("<div><noscript></div><p>text</p>", "text"),
+    ("<div><svg><path d=x></div><p>text</p>", "text"),
+    ("<body>" + "<svg>" * 3000 + "<p>text</p>", "text"),
+    ("<button><div>x</div><p>y</button><p>text</p><svg><title>z</title></svg>", "text"),
+    ("<button>a<svg><path/></svg>b</button>text</svg> more<script>x = '<p>'", "text more")])
+def test_skipped_elements_without_end_tags_take_no_text(html, text):
+    assert hw.main_text(html, None) == text
+
+
 # ---- op4 -----------------------------------------------------------------------------
 
 def brute_threads(messages):
