@@ -35,7 +35,9 @@ MIN_WORDS = 40
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.5
 COMMON_WORDS = 64            # of each language
-COMMON_SHARE = 1 / 1000      # a common word has at least this share of some partition's words
+HELD_WORDS = 500_000         # counts that a task adds up before it sends them on
+HELD_CHARS = 32_000_000      # and characters it reads at most for them
+SENT_WORDS = 50_000          # counts in a batch
 
 CLASSES = ["lower", "upper", "other letter", "digit", "space", "line end", "sentence mark", "symbol"]
 _SYMBOLS = "[#*$%&|<>]"
@@ -116,27 +118,36 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> float:
 def common_words(docs: DataFrame) -> list[str]:
     """The ``COMMON_WORDS`` most frequent lower-cased words of each language, in order.
 
-    Each partition sends on the words that hold at least ``COMMON_SHARE`` of its words of a language:
-    at most 1 / ``COMMON_SHARE`` rows per language and partition, whatever the vocabulary.
+    Every occurrence counts: a task sends its counts on when it holds many, and at its end.
     """
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
-        total: Counter = Counter()
-        for part in parts:
-            for lang, text in zip(part["lang"], part["text"], strict=True):
-                words = _WORD.findall(text.lower())
-                total[lang] += len(words)
-                c = seen.setdefault(lang, Counter())
-                c.update(words)
-                if len(c) > 500_000:        # a word dropped here holds under COMMON_SHARE so far
-                    seen[lang] = Counter({w: n for w, n in c.items() if n >= COMMON_SHARE * total[lang]})
-        yield pd.DataFrame([(lang, w, n) for lang, c in seen.items() for w, n in c.items()
-                            if n >= COMMON_SHARE * total[lang]], columns=["lang", "word", "n"])
-
-    counts = (docs.where("text is not null and lang is not null").select("lang", "text")
-              .mapInPandas(count, "lang string, word string, n long")
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, c in seen.items():
+                words, n = list(c), list(c.values())
+                for k in range(0, len(words), SENT_WORDS):
+                    part = pa.array(words[k:k + SENT_WORDS], pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(part), pa.string()), part, pa.array(n[k:k + SENT_WORDS], pa.int64())],
+                        names=["lang", "word", "n"])
+            seen.clear()
+
+        chars = 0
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                seen.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                chars += len(text)
+                if chars > HELD_CHARS or sum(map(len, seen.values())) > HELD_WORDS:
+                    yield from rows()
+                    chars = 0
+        yield from rows()
+
+    counts = (docs.where("text is not null and lang is not null")
+              .select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+              .mapInArrow(count, "lang string, word string, n long")
               .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    # at most 1 / COMMON_SHARE words per language and partition reach this window
+    # Spark takes each partition's COMMON_WORDS first: as many rows per language and partition reach one task
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS)
     return sorted({r.word for r in top.select("word").distinct().collect()})

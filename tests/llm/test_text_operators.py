@@ -80,6 +80,24 @@ def test_junk_fails_and_clean_passes(spark):
     assert sum(r.kept for r in clean) >= 0.99 * len(clean) and sum(r.kept for r in junk) <= 0.05 * len(junk)
 
 
+@pytest.mark.parametrize("held", [None, 50])
+def test_common_words_are_counted_over_all_documents(spark, monkeypatch, held):
+    """Frequent words under a thousandth of every large partition, beside a partition of a few words."""
+    if held:
+        monkeypatch.setattr(quality_divergence, "HELD_WORDS", held)
+    rnd = random.Random(5)
+    flat = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rnd.choice(flat[:100] if rnd.random() < .02 else flat) for _ in range(2000)) for _ in range(12)]
+    rows = [(k, t, "aa", "s") for k, t in enumerate(texts)] + [(99, "Few rare words", "aa", "s"), (100, "x " * 5, "bb", "s")]
+    counts = Counter((r[2], w) for r in rows for w in WORD.findall(r[1].lower()))
+    expected = set()
+    for lang in ("aa", "bb"):
+        mine = sorted(((-n, w) for (at, w), n in counts.items() if at == lang))
+        expected |= {w for _, w in mine[:quality_divergence.COMMON_WORDS]}
+    for parts in (1, 4):
+        assert quality_divergence.common_words(docs_of(spark, rows).repartition(parts)) == sorted(expected)
+
+
 # ---- op2 -----------------------------------------------------------------------------
 
 def test_language_id_held_out_accuracy_and_corner_cases(spark):
