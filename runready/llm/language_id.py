@@ -2,9 +2,9 @@
 
 A text is the average of the embeddings of its words' character n-grams (1 to 4, with word
 boundaries) and whole words, hashed into ``BUCKETS`` rows; a linear softmax scores the languages.
-Embeddings and weights are trained by plain stochastic gradient descent in numpy, on at most about
-``MAX_PER_LANG`` labelled documents of each language (chosen by a hash of their text, whole
-texts) and on short word spans drawn from them, so that one-line texts are in distribution too.
+Embeddings and weights are trained by plain stochastic gradient descent in numpy, on at most
+``MAX_PER_LANG`` different labelled texts of each language (chosen by a hash of the text, whole
+texts; copies count once) and on short word spans drawn from them, so that one-line texts are in distribution too.
 A fifth of the sample is kept out of training: it sets the softmax temperature and the rejection
 threshold.
 
@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from runready.functions.joins import broadcast_if_small
-from runready.llm.tables import worker_cache
+from runready.llm.tables import stored, worker_cache
 
 BUCKETS = 1 << 14
 DIM = 16
@@ -136,21 +137,40 @@ def _examples(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["lang", "key", "span", "letters", "ids", "share"])
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's first row of each ``lang`` and ``key``."""
+    seen: set = set()
+    for batch in batches:
+        at = []
+        for k, row in enumerate(zip(batch.column("lang").to_pylist(), batch.column("key").to_pylist(), strict=True)):
+            if row not in seen:
+                seen.add(row)
+                at.append(k)
+        if at:
+            yield batch.take(pa.array(at, pa.int64()))
+
+
+def sampled(labelled: DataFrame) -> DataFrame:
+    """``lang, text, key`` of the ``MAX_PER_LANG`` different texts of each language with the smallest hashes."""
+    rows = labelled.where("text is not null and lang is not null").select(
+        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
+        F.xxhash64("text").alias("key"))
+    # Spark takes each partition's MAX_PER_LANG first: as many rows per language and partition reach one task
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 20)), "key"))
+    chosen = stored(rows.select("lang", "key").distinct().withColumn("rank", rank)
+                    .where(F.col("rank") <= MAX_PER_LANG).select("lang", "key"), "sampled-texts")
+    # of a text with many copies, every task sends one
+    found = rows.join(broadcast_if_small(chosen), ["lang", "key"]).select("lang", "text", "key")
+    return found.mapInArrow(_first_of_each, "lang string, text string, key long").dropDuplicates(["lang", "key"])
+
+
 def train(labelled: DataFrame, seed: int = 7) -> LanguageModel:
     """Fit a model to ``labelled(text, lang)``; rows without a text, a lang or a letter teach nothing.
 
     Where no row is left the model has no language and finds every text undetermined.
     """
-    rows = labelled.where("text is not null and lang is not null").select(
-        F.col("text"), F.col("lang"), F.xxhash64("text").alias("key"))
-    counts = rows.groupBy("lang").count()
-    # a hash below count-dependent bounds: about MAX_PER_LANG rows of each language, the same at every run
-    share = F.pmod(F.col("key"), F.lit(1 << 20)) / F.lit(1 << 20)
-    # one row per language joins every text: broadcast while it is small, not dealt out by language
-    sample = (rows.join(broadcast_if_small(counts), "lang").where(share < F.lit(MAX_PER_LANG) / F.col("count"))
-              .select("lang", "text", "key")
-              .mapInPandas(_examples, "lang string, key long, span int, letters string, "
-                                      "ids binary, share binary"))
+    sample = sampled(labelled).mapInPandas(_examples, "lang string, key long, span int, letters string, "
+                                                      "ids binary, share binary")
     got = sorted(sample.collect(), key=lambda r: (r.key, r.lang, r.span))
     if not got:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), frozenset())

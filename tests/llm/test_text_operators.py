@@ -100,6 +100,28 @@ def test_common_words_are_counted_over_all_documents(spark, monkeypatch, held):
 
 # ---- op2 -----------------------------------------------------------------------------
 
+def test_language_sample_takes_each_text_once_up_to_its_limit(spark):
+    limit = language_id.MAX_PER_LANG
+    rows = [(k, f"distinct text {k}", "aa") for k in range(60)]
+    rows += [(k, "one text often", "aa") for k in range(5000)]
+    rows += [(k, f"other text {k}", "bb") for k in range(3 * limit)]
+    rows += [(k, f"copy {k % 2}", "cc") for k in range(3000)] + [(1, None, "aa"), (2, "no lang", None)]
+    for parts in (1, 6):
+        got = language_id.sampled(docs_of(spark, rows).repartition(parts).select("text", "lang")).collect()
+        texts = {lang: [r.text for r in got if r.lang == lang] for lang in ("aa", "bb", "cc")}
+        assert sum(map(len, texts.values())) == len(got)
+        assert sorted(texts["aa"]) == sorted({r[1] for r in rows if r[2] == "aa"} - {None})
+        assert len(set(texts["bb"])) == len(texts["bb"]) == limit and sorted(texts["cc"]) == ["copy 0", "copy 1"]
+
+
+def test_language_of_copies_reaches_the_model(spark):
+    words = {"aa": "alpha beta gamma delta", "bb": "ein zwei drei vier", "cc": "uno dos tres cuatro"}
+    rows = [(k, f"{words[lang]} {chr(97 + k % 26)}{chr(97 + k // 26)}", lang) for lang in ("aa", "bb") for k in range(60)]
+    rows += [(k, words["cc"], "cc") for k in range(20_000)]
+    model = language_id.train(docs_of(spark, rows).select("text", "lang"))
+    assert model.langs == ["aa", "bb", "cc"]
+
+
 def test_language_id_held_out_accuracy_and_corner_cases(spark):
     from runready.llm.catalog import op2_language_id
     from runready.llm.tables import read_table
