@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runready.llm import fim_fenwick
 from runready.llm.bayes_minhash import near_duplicates
+from runready.llm.best_position import search
+from runready.llm.bit_sliced import top_inner_products
 from runready.llm.html_wrapper import extract
 from runready.llm.importance_resampling import resample
 from runready.llm.language_id import predict, train
@@ -157,3 +160,68 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages without quotes, with the message each one replies to and its thread."""
     return conversations(read_table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for every benchmark item."""
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+ORACLES["op11_best_position"] = r"""
+with term as (select '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' as p,
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as up, 'abcdefghijklmnopqrstuvwxyz' as low),
+docs as (select doc_id, regexp_extract_all(translate(text, up, low), p) as t from documents, term where text is not null),
+stat as (select count(*)::bigint as nd, sum(len(t))::bigint as l from docs where len(t) > 0),
+tf as (select doc_id, n, w, count(*)::bigint as tf
+       from (select doc_id, len(t)::bigint as n, unnest(t) as w from docs) group by doc_id, n, w),
+wt as (select w, floor(1000 * ln((2.0::double * nd + 2) / (2.0::double * count(*) + 1)))::bigint as weight from tf, stat group by w, nd),
+query as (select item_id, w, count(*)::bigint as times
+          from (select item_id, unnest(regexp_extract_all(translate(text, up, low), p)) as w from benchmark, term)
+          group by item_id, w),
+scored as (select item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nd) // l))))::bigint as score
+           from query join wt using (w) join tf using (w), stat group by item_id, doc_id),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+           from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 20
+"""
+
+
+@_query
+def op12_fim_fenwick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document in its fill-in-middle form, as digests of the output and of the text rebuilt from it."""
+    return fim_fenwick.digests(fim_fenwick.transform(read_table(spark, sf_dir, "documents")))
+
+
+ORACLES["op12_fim_fenwick"] = r"""
+with t as (select doc_id, coalesce(text, '') as text, length(coalesce(text, ''))::bigint as n,
+                  sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+g as (select *, ('0x' || substr(h, 1, 8))::bigint % (n + 1) as c1, ('0x' || substr(h, 9, 8))::bigint % (n + 1) as c2,
+             ('0x' || substr(h, 17, 8))::bigint % 100 as h3, ('0x' || substr(h, 25, 8))::bigint % 100 as h4 from t),
+f as (select doc_id, text, n, least(c1, c2) as a, greatest(c1, c2) as b,
+             case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 >= 90 then 'plain'
+                  when h4 < 20 then 'spm' else 'psm' end as form from g),
+o as (select *, text[:a] as prefix, text[a + 1:b] as middle, text[b + 1:] as suffix from f)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars,
+       case when form <> 'plain' then b - a end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from o
+"""
+
+
+@_query
+def op13_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other vectors for every vector whose id 50 divides."""
+    return top_inner_products(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+ORACLES["op13_bit_sliced"] = r"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+           where embedding is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint as score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
