@@ -57,10 +57,10 @@ class CutIndex:
     def cut(self, k: int) -> tuple[int, int]:
         """``(byte, code points before it)`` of the start of unit ``k``; of the end of the text where k is the number
         of units, and of the start of the text for unit 0."""
-        if k >= self.units:
-            return len(self.data), self.points
         if k <= 0:
             return 0, 0
+        if k >= self.units:
+            return len(self.data), self.points
         at, units, points = 0, 0, 0
         step = 1 << (self.blocks.bit_length() - 1)
         while step:
