@@ -1,8 +1,8 @@
 """Ranked lexical search with the Best Position Algorithm.
 
-1. Index.  Every document is split into terms and lies in one shard of bounded size (one row of a stored table): its documents in
-   ascending id, its terms, and for each term the documents that hold it with their counts.  The counts of documents and
-   terms (N, L) and the document frequency of each query term are sums over the shards.
+1. Index.  Every document is split into terms and lies in one shard of bounded size.  The stored index has one row for a shard, with
+   its documents in ascending id and their lengths, and one for each of its terms, with the documents that hold it and their
+   counts.  The numbers of documents and terms (N, L) and the document frequency of each query term are sums over these rows.
 2. Impact lists.  With these, a shard turns a query term's postings into a list by descending impact; it also keeps
    them by document, with the position of each in the list.
 3. Best positions.  For a query, the lists of its terms are read from the top, a few more entries at a time.  Each document
@@ -14,7 +14,8 @@
 4. The k best of the shards (a task passes on its k-th score so far to its next shard) are ranked by exact
    score, equal scores by ascending id.
 
-Shards and queries meet in blocks (``blocks.block_pairs``); neither is broadcast or collected.
+Of a shard only the terms that some query has are read.  Shards and queries meet in blocks (``blocks.block_stream``); neither
+is collected.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runready.llm.blocks import block_pairs
+from runready.llm.blocks import QUERY, block_stream
 from runready.llm.tables import stored
 
 SHARD_TERMS = 4_000_000      # occurrences after which a shard is closed; one document is never cut
 SHARD_DOCS = 16_384
-QUERY_BLOCK = 32             # queries of a block, about
+TERM_ROWS = 20_000           # terms of a shard written at once
 FIRST_READ = 64              # entries read of each list at first; each further read is twice as long
 NO_ID = 2 ** 63 - 1          # sorts documents without an id last
 
@@ -50,56 +50,65 @@ def terms_of(text: bytes | None) -> list[bytes]:
 
 # ---- index ---------------------------------------------------------------------------
 
-SHARD = ("shard long, n_docs long, n_terms long, terms array<binary>, dfs array<int>, ids array<long>, lengths array<int>, "
-         "docs binary, tfs binary")
+# part 0: the shard's documents (``docs``: ids, ``numbers``: lengths); part 1: a term's documents (places in the shard) and their counts
+INDEX = "shard long, part int, term binary, n long, n_terms long, docs binary, numbers binary"
+_ARROW = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("term", pa.binary()), ("n", pa.int64()), ("n_terms", pa.int64()),
+                    ("docs", pa.binary()), ("numbers", pa.binary())])
 
 
-def _shard(number: int, ids: list, lengths: list[int], words: list[np.ndarray], vocabulary: dict[bytes, int]) -> dict:
+def _slices(numbers: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """``numbers`` cut into binary values of ``sizes`` numbers each."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * 4
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(numbers.astype("<i4"))])
+
+
+def _shard_rows(shard: int, ids: list, lengths: list[int], words: list[np.ndarray], vocabulary: list[bytes]) -> Iterator[pa.RecordBatch]:
     key = np.array([NO_ID if i is None else i for i in ids], np.int64)
     order = np.argsort(key, kind="stable")                       # documents in ascending id
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     n = np.array(lengths, np.int64)
-    flat = np.concatenate(words) if words else np.empty(0, np.int64)
+    yield pa.RecordBatch.from_pylist([{
+        "shard": shard, "part": 0, "n": int((n > 0).sum()), "n_terms": int(n.sum()),
+        "docs": key[order].tobytes(), "numbers": n[order].tobytes()}], schema=_ARROW)
     # one number for (term, document); equal ones are counted
-    pairs, tfs = np.unique(flat * len(ids) + np.repeat(rank, n), return_counts=True)
-    dfs = np.bincount(pairs // max(1, len(ids)), minlength=len(vocabulary))
-    return {"shard": number, "n_docs": int((n > 0).sum()), "n_terms": int(n.sum()), "terms": list(vocabulary), "dfs": dfs.tolist(),
-            "ids": [ids[i] for i in order], "lengths": n[order].tolist(),
-            "docs": (pairs % max(1, len(ids))).astype("<i4").tobytes(), "tfs": tfs.astype("<i4").tobytes()}
+    pairs = np.concatenate(words).astype(np.int64)
+    pairs *= len(ids)
+    pairs += np.repeat(rank, n)
+    pairs, tfs = np.unique(pairs, return_counts=True)
+    terms, docs = pairs // len(ids), pairs % len(ids)
+    edges = np.searchsorted(terms, np.arange(0, len(vocabulary) + TERM_ROWS, TERM_ROWS))
+    for k, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        some = vocabulary[k * TERM_ROWS:(k + 1) * TERM_ROWS]
+        if some:
+            dfs = np.bincount(terms[a:z] - k * TERM_ROWS, minlength=len(some))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard] * len(some), pa.int64()), pa.array([1] * len(some), pa.int32()), pa.array(some, pa.binary()),
+                 pa.array(dfs, pa.int64()), pa.nulls(len(some), pa.int64()), _slices(docs[a:z], dfs), _slices(tfs[a:z], dfs)], schema=_ARROW)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents as stored shards; those without a term are in them but in no list."""
-    arrow = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_terms", pa.int64()), ("terms", pa.list_(pa.binary())),
-                       ("dfs", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
-                       ("docs", pa.binary()), ("tfs", pa.binary())])
-
+    """All documents as a stored index (``INDEX``); those without a term are in their shard but in no list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, lengths, words, held = 0, [], [], [], 0
+        number, part, ids, lengths, words, held = 0, 0, [], [], [], 0
         vocabulary: dict[bytes, int] = defaultdict(count().__next__)
-        part = 0
-
-        def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([_shard((part << 24) + number, ids, lengths, words, vocabulary)], schema=arrow)
-
         for batch in batches:
             for doc, text, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 found = terms_of(text.as_py())
                 if ids and (held + len(found) > SHARD_TERMS or len(ids) >= SHARD_DOCS):
-                    yield closed()
+                    yield from _shard_rows((part << 24) + number, ids, lengths, words, list(vocabulary))
                     number, ids, lengths, words, held = number + 1, [], [], [], 0
                     vocabulary = defaultdict(count().__next__)
                 ids.append(doc)
                 lengths.append(len(found))
-                words.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
+                words.append(np.fromiter(map(vocabulary.__getitem__, found), np.int32, len(found)))
                 held += len(found)
         if ids:
-            yield closed()
+            yield from _shard_rows((part << 24) + number, ids, lengths, words, list(vocabulary))
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"),
                        F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"), F.spark_partition_id().alias("part"))
-    return stored(rows.mapInArrow(run, SHARD), "shards")
+    return stored(rows.mapInArrow(run, INDEX), "index")
 
 
 # ---- queries -------------------------------------------------------------------------
@@ -120,14 +129,13 @@ def query_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     return own.mapInPandas(run, "item string, item_id long, term binary, times long")
 
 
-def weighted_queries(terms: DataFrame, shards: DataFrame, n_docs: int) -> DataFrame:
-    """``qblock, queries``: blocks of queries with their terms' weights; terms in no document are left out."""
-    df = (shards.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.dfs").alias("n"))
-          .join(terms.select("term").distinct(), "term", "left_semi")
-          .groupBy("term").agg(F.sum("n").alias("df")))
+def weighted_queries(terms: DataFrame, postings: DataFrame, n_docs: int) -> DataFrame:
+    """``item, item_id, query_terms``: each query's terms with weight times repeats; those in no document, or of weight 0,
+    are left out.  ``postings``: the index rows of query terms."""
+    df = postings.groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(1000 * F.log((2.0 * n_docs + 2) / (2.0 * F.col("df") + 1))).cast("long")
-    return (terms.join(df.select("term", weight.alias("weight")), "term").where("weight > 0")
-            .groupBy("item", "item_id").agg(F.collect_list(F.struct("term", (F.col("weight") * F.col("times")).alias("factor"))).alias("terms")))
+    return (terms.join(df.select("term", weight.alias("weight")), "term").where("weight > 0").groupBy("item", "item_id")
+            .agg(F.collect_list(F.struct("term", (F.col("weight") * F.col("times")).alias("factor"))).alias("query_terms")))
 
 
 # ---- search --------------------------------------------------------------------------
@@ -185,45 +193,59 @@ def best_position_search(lists: list[tuple[ImpactList, int]], n_docs: int, k: in
 class Shard:
     """Impact lists of one shard, made when a query asks for a term."""
 
-    def __init__(self, row, n_docs: int, n_terms: int):
-        self.ids, self.n = row.ids, len(row.ids)
-        lengths = np.asarray(row.lengths, np.int64)
-        self.norm = 12 * (100 - 25 + (25 * lengths * n_docs) // n_terms)
-        self.docs, self.tfs = (np.frombuffer(x, "<i4") for x in (row.docs, row.tfs))
-        ends = np.cumsum(np.asarray(row.dfs, np.int64))
-        self.at = {t: (int(z) - int(d), int(z)) for t, d, z in zip(row.terms, row.dfs, ends, strict=True)}
+    def __init__(self, ids: bytes, lengths: bytes, n_docs: int, n_terms: int):
+        self.ids = np.frombuffer(ids, np.int64)
+        self.norm = 12 * (100 - 25 + (25 * np.frombuffer(lengths, np.int64) * n_docs) // n_terms)
+        self.postings: dict[bytes, tuple[bytes, bytes]] = {}
         self.lists: dict[bytes, ImpactList] = {}
 
     def list_of(self, term: bytes) -> ImpactList | None:
-        if term not in self.at:
-            return None
         if term not in self.lists:
-            a, z = self.at[term]
-            docs, tf = self.docs[a:z].astype(np.int64), self.tfs[a:z].astype(np.int64)
+            if term not in self.postings:
+                return None
+            docs, tf = (np.frombuffer(x, "<i4").astype(np.int64) for x in self.postings.pop(term))
             self.lists[term] = ImpactList(docs, (1_000_000_000 * tf) // (1000 * tf + self.norm[docs]))
         return self.lists[term]
 
 
-def _search(pairs: DataFrame, n_docs: int, n_terms: int, k: int) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, shard = None, None
-        best: dict[str, list] = {}                               # the k best of this task for each of its queries
-        for part in parts:
-            for row in part.itertuples(index=False):
-                if row.shard != held:
-                    held, shard = row.shard, Shard(row, n_docs, n_terms)
-                for query in row.queries:
-                    lists = [(x, t["factor"]) for t in query["query_terms"] if (x := shard.list_of(bytes(t["term"]))) is not None]
-                    mine = best.setdefault(query["item"], [])
-                    docs, scores, _ = best_position_search(lists, shard.n, k, mine[k - 1][0] if len(mine) == k else 0)
-                    ids = ((None if (i := shard.ids[d]) is None or i != i else int(i)) for d in docs)
-                    mine += [(int(s), i, query["item_id"]) for s, i in zip(scores, ids, strict=True)]
-                    mine.sort(key=lambda r: (-r[0], NO_ID if r[1] is None else r[1]))
-                    del mine[k:]
-        out = [(item, item_id, doc, s) for item, rows in best.items() for s, doc, item_id in rows]
-        yield pd.DataFrame(out, columns=["item", "item_id", "doc_id", "score"]).astype({"item_id": "Int64", "doc_id": "Int64"})
-
-    return pairs.mapInPandas(run, "item string, item_id long, doc_id long, score long")
+def _search(stream: DataFrame, n_docs: int, n_terms: int, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard, queries = None, None, []                     # queries: item, its id, its terms, its k best so far
+
+        def searched() -> None:
+            for _, _, terms, mine in queries if shard else ():
+                lists = [(x, factor) for term, factor in terms if (x := shard.list_of(term)) is not None]
+                docs, scores, _ = best_position_search(lists, len(shard.ids), k, mine[-1][0] if len(mine) == k else 0)
+                mine += zip(scores.tolist(), shard.ids[docs].tolist(), strict=True)
+                mine.sort(key=lambda r: (-r[0], r[1]))
+                del mine[k:]
+
+        def results() -> pa.RecordBatch:
+            rows = [(item, item_id, None if doc == NO_ID else doc, s) for item, item_id, _, mine in queries for s, doc in mine]
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, types, strict=True)],
+                                              names=["item", "item_id", "doc_id", "score"])
+
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for n, (at, kind, part) in enumerate(zip(*(columns[c].to_pylist() for c in ("key", "kind", "part")), strict=True)):
+                value = lambda c, n=n: columns[c][n].as_py()
+                if at != key or kind != QUERY and part == 0:
+                    searched()
+                    shard = None
+                if at != key:
+                    yield results()
+                    key, queries = at, []
+                if kind == QUERY:
+                    queries.append((value("item"), value("item_id"), [(t["term"], t["factor"]) for t in value("query_terms")], []))
+                elif part == 0:
+                    shard = Shard(value("docs"), value("numbers"), n_docs, n_terms)
+                else:
+                    shard.postings[value("term")] = (value("docs"), value("numbers"))
+        searched()
+        yield results()
+
+    return stream.mapInArrow(run, "item string, item_id long, doc_id long, score long")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
@@ -234,17 +256,18 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     equal rows of ``items`` count once, different texts with one ``item_id`` are ranked each for itself.  An empty table gives no row.
     Other columns are not read.
     """
-    shards = build_index(docs)
-    total = shards.agg(F.sum("n_docs").alias("docs"), F.sum("n_terms").alias("terms"), F.count("*").alias("shards")).first()
+    index = build_index(docs)
+    total = index.where("part = 0").agg(F.sum("n").alias("docs"), F.sum("n_terms").alias("terms"), F.count("*").alias("shards")).first()
     n_docs, n_terms = total["docs"] or 0, max(1, total["terms"] or 0)
-    weighted = stored(weighted_queries(query_terms(items), shards, n_docs), "queries")
-    n_blocks = ceil(weighted.count() / QUERY_BLOCK)
-    queries = (weighted.withColumn("qblock", F.pmod(F.xxhash64("item"), F.lit(max(1, n_blocks))))
-               .groupBy("qblock").agg(F.collect_list(F.struct("item", "item_id", F.col("terms").alias("query_terms"))).alias("queries")))
-    pairs = block_pairs(shards.select(F.xxhash64("shard").alias("block"), "shard", "terms", "dfs", "ids", "lengths", "docs", "tfs"),
-                        queries, total["shards"], n_blocks)
+    terms = stored(query_terms(items), "query-terms")
+    # the rows of query terms; the vocabulary is broadcast only if its measured size allows it (AQE)
+    postings = index.where("part = 1").join(terms.select("term").distinct(), "term", "left_semi")
+    queries = stored(weighted_queries(terms, postings, n_docs), "queries")
+    rows = (index.where("part = 0").select(*index.columns).unionByName(postings)
+            .select(F.xxhash64("shard").alias("block"), "part", "term", "docs", "numbers"))
+    stream = block_stream(rows, queries.withColumn("query", F.xxhash64("item")), total["shards"], queries.count())
     best = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    return (_search(pairs, n_docs, n_terms, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return (_search(stream, n_docs, n_terms, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("item_id", "rank", "doc_id", "score"))
 
 

@@ -12,7 +12,7 @@ the k-th best approximation is known.  The bits that quantising left out add bet
 known from |q|; so every row whose approximation comes within N + P of the k-th best is looked at exactly, and no
 other row can be among the k best.  The best of all blocks are ranked by exact score.
 
-Each block of rows meets each block of queries once (``blocks.block_pairs``); a pair yields at most k rows a query.
+Each block of rows meets each block of queries once (``blocks.block_stream``) and yields at most k rows a query.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runready.llm.blocks import block_pairs
+from runready.llm.blocks import QUERY, block_stream
 from runready.llm.tables import stored
 
 BLOCK = 16_384               # rows of a block of vectors with up to 256 components
 QUERY_BLOCK = 64
+QUERY_BLOCKS_A_ROUND = 16
+NO_ID = 2 ** 63 - 1          # sorts rows without an id last
 SLICES = 5                   # leading bits kept of each attribute
 LARGEST = 2 ** 62            # sums beyond are an error, as any overflow of a long
 
@@ -194,30 +196,35 @@ def query_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.mapInPandas(run, "owner long, qdims long, at array<long>, qids array<long>, queries binary")
 
 
-def _pairs(pairs: DataFrame, k: int) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, block, ids = None, None, None
-        for part in parts:
-            for row in part.itertuples(index=False):
-                if row.block != held:
-                    held, block = row.block, SlicedBlock(_unpack(row.vectors, len(row.ids), row.dims))
-                    ids = pd.array(row.ids, "Int64")
-                    order = np.asarray(ids.fillna(2 ** 63 - 1), np.int64)
-                wide = block.x.shape[1]
-                queries = _unpack(row.queries, len(row.at), row.qdims)
-                queries = np.pad(queries, ((0, 0), (0, max(0, wide - queries.shape[1]))))[:, :wide]
-                out = []
-                for n, (q, at, qid) in enumerate(zip(queries, row.at, row.qids, strict=True)):
-                    if not block.fits(q):
-                        raise OverflowError(f"a score of query {qid} may not fit a long")
-                    found = block.best(q, k, int(at) if row.owner == row.block else -1)
-                    score = block.x[found] @ q
-                    top = np.lexsort((order[found], -score))[:k]
-                    out += [(row.owner, int(at), qid, ids[r], int(s)) for r, s in zip(found[top], score[top], strict=True)]
-                frame = pd.DataFrame(out, columns=["owner", "at", "query_id", "vec_id", "score"])
-                yield frame.astype({"query_id": "Int64", "vec_id": "Int64"})
-
-    return pairs.mapInPandas(run, "owner long, at long, query_id long, vec_id long, score long")
+def _block_best(stream: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each block for each of its queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, queries = None, []
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = {c: batch.column(c)[n].as_py() for c in ("key", "kind")}
+                if row["key"] != key:
+                    key, queries = row["key"], []
+                row |= {c: batch.column(c)[n].as_py() for c in batch.schema.names}
+                if row["kind"] == QUERY:
+                    queries.append((row["owner"], row["at"], row["qids"], _unpack(row["queries"], len(row["at"]), row["qdims"])))
+                    continue
+                block = SlicedBlock(_unpack(row["vectors"], len(row["ids"]), row["dims"]))
+                order = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
+                for owner, at, ids, x in queries:
+                    x = np.pad(x, ((0, 0), (0, max(0, row["dims"] - x.shape[1]))))[:, :row["dims"]]
+                    out = []
+                    for q, place, query in zip(x, at, ids, strict=True):
+                        if not block.fits(q):
+                            raise OverflowError(f"a score of query {query} may not fit a long")
+                        found = block.best(q, k, place if owner == row["block"] else -1)
+                        score = block.x[found] @ q
+                        top = np.lexsort((order[found], -score))[:k]
+                        out += [(owner, place, query, row["ids"][found[t]], int(score[t])) for t in top]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else
+                                                     [pa.array([], pa.int64())] * 5, names=["owner", "at", "query_id", "vec_id", "score"])
+
+    return stream.mapInArrow(run, "owner long, at long, query_id long, vec_id long, score long")
 
 
 def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id",
@@ -233,12 +240,11 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, scale:
     """
     blocks, n_blocks = build_blocks(vectors, scale, is_query, id_col, vector_col)
     queries = stored(query_blocks(blocks), "query-blocks")
-    n_queries = queries.count()
-    queries = queries.withColumn("qblock", F.xxhash64("owner", F.element_at("at", 1)))
-    pairs = block_pairs(blocks.select("block", "dims", "ids", "vectors"), queries,
-                        n_blocks, n_queries)
+    stream = block_stream(blocks.select("block", F.lit(0).alias("part"), "dims", "ids", "vectors"),
+                          queries.withColumn("query", F.xxhash64("owner", F.element_at("at", 1))),
+                          n_blocks, queries.count(), QUERY_BLOCKS_A_ROUND)
     best = Window.partitionBy("owner", "at").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    return (_pairs(pairs, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return (_block_best(stream, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 

@@ -16,7 +16,7 @@ from runready.llm import best_position as bp
 from runready.llm import bit_sliced as bs
 from runready.llm import catalog
 from runready.llm import fim_fenwick as fim
-from runready.llm.blocks import block_pairs
+from runready.llm.blocks import QUERY, block_stream
 
 SF = "/root/testdata/sf0.001"
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -233,7 +233,17 @@ def test_sums_beyond_a_long_are_an_error(spark):
         top(spark, [(0, [3e10] * 4), (1, [3e10] * 4)])
 
 
-def test_every_block_meets_every_block_of_queries_once(spark):
+def test_every_block_meets_every_query_once(spark):
     for n, m in ((1, 1), (7, 3), (40, 50)):
-        pairs = block_pairs(spark.range(n).withColumnRenamed("id", "block"), spark.range(m).withColumnRenamed("id", "qblock"), n, m)
-        assert sorted(map(tuple, pairs.select("block", "qblock").collect())) == [(a, b) for a in range(n) for b in range(m)]
+        blocks = spark.range(n).select(F.col("id").alias("block"), F.lit(0).alias("part"))
+        queries = spark.range(m).select(F.col("id").alias("query"), F.col("id").alias("name"))
+        met, key, names = [], None, []
+        for part in block_stream(blocks, queries, n, m, queries_a_round=8).rdd.glom().collect():
+            for r in part:
+                if r.key != key:
+                    key, names = r.key, []
+                if r.kind == QUERY:
+                    names.append(r.name)
+                else:
+                    met += [(r.block, x) for x in names]
+        assert sorted(met) == [(a, b) for a in range(n) for b in range(m)]
