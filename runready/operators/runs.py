@@ -23,6 +23,9 @@ from .. import schemas
 from ..functions import vocab
 from ..functions.joins import broadcast_if_small, broadcast_within
 
+# Times are epoch seconds of a long in milliseconds, far inside this bound.
+TIME_BOUND = 10 ** 18
+
 
 def is_terminal(state_col) -> "F.Column":
     """True iff a life-cycle state is terminal (null state -> null)."""
@@ -162,18 +165,19 @@ def latest_run(runs: DataFrame, jobs_bound: int | None = None, running_first: bo
     Same result as the reference's two max-joins: runs without an end time never win, a job
     whose winning end time has no start time drops out, exact ties are all kept and
     duplicate rows collapse.  The reference lets an older finished run beat a running one
-    (end time 0); ``running_first=True`` ranks an end time of 0 above every other.
+    (end time 0); ``running_first=True`` ranks an end time of 0 above every other.  Times lie
+    within ``TIME_BOUND`` of the epoch.
     """
     ended = runs.where(F.col("end_time").isNotNull())
-    key = "end_time"
+    end = F.col("end_time")
     if running_first:
-        key = "_end_rank"
-        ended = ended.withColumn(key, F.when(F.col("end_time") == 0, F.lit(2**63 - 1)).otherwise(F.col("end_time")))
-    # survivors: the distinct runs tied at their job's greatest end (copies collapse map-side)
-    at_end = rows_at_max(ended, "job_id", key, jobs_bound).select(*runs.columns).distinct()
-    # the start tie-break looks only at the survivors, again by an aggregate and a join: with
-    # ``running_first`` all running runs of a hot job are survivors
-    return rows_at_max(at_end, "job_id", "start_time", jobs_bound).select(*runs.columns)
+        end = F.when(end == 0, F.lit(TIME_BOUND)).otherwise(end)
+    # end and start as one number: one hash-aggregated max per job and one join back, so the log is read twice
+    start = F.coalesce(F.col("start_time") + F.lit(TIME_BOUND), F.lit(0))
+    packed = (end.cast("decimal(19,0)") * F.lit(2 * TIME_BOUND).cast("decimal(19,0)") + start.cast("decimal(19,0)")).cast("decimal(38,0)")
+    at_end = rows_at_max(ended.withColumn("_packed", packed), "job_id", "_packed", jobs_bound)
+    # a job whose winning end has no start drops out; copies collapse map-side
+    return at_end.where(F.col("start_time").isNotNull()).select(*runs.columns).distinct()
 
 
 def lock_status(latest: DataFrame, slots: DataFrame | None = None, jobs_bound: int | None = None) -> DataFrame:

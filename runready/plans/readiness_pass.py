@@ -54,7 +54,9 @@ def new_state_rows(raw_defs: DataFrame, raw_runs: DataFrame, old_state: DataFram
     if n_jobs is None:
         n_jobs = defs.count()
     if selected is None:
-        selected = select_defined_runs(raw_runs, defs, n_jobs, old_state, hwm_ms, carry_over)
+        # small (runs since the mark and one per carried job) and read twice: stored, so that it is planned and run once
+        ensure_checkpoint_dir(raw_runs.sparkSession)
+        selected = select_defined_runs(raw_runs, defs, n_jobs, old_state, hwm_ms, carry_over).checkpoint()
     latest = runs.latest_run(runs.normalize_runs(selected, defs, jobs_bound=n_jobs), jobs_bound=n_jobs)
     slots = (runs.open_slots(slot_runs if slot_runs is not None else raw_runs, defs, jobs_bound=n_jobs)
              if release_slots else None)
@@ -68,9 +70,10 @@ def select_defined_runs(raw_runs: DataFrame, defs: DataFrame, n_jobs: int, old_s
                         hwm_ms: int | None, carry_over: str = "reference") -> DataFrame:
     """``select_runs`` over the runs of defined jobs (the others would be dropped later anyway)."""
     ids = broadcast_within(defs.select("job_id"), n_jobs)
-    # rows of retired jobs and of external feeds carry nothing over either
-    return runs.select_runs(raw_runs.join(ids, "job_id", "left_semi"), old_state.join(ids, "job_id", "left_semi"),
-                            hwm_ms, carry_over, jobs_bound=n_jobs)
+    # rows of retired jobs and of external feeds carry nothing over either; the feeds' constant job id goes by a
+    # filter, as a join on a constant has no key to hash
+    own = old_state.where(F.col("job_id") != F.lit(vocab.EXTERNAL_JOB_ID)).join(ids, "job_id", "left_semi")
+    return runs.select_runs(raw_runs.join(ids, "job_id", "left_semi"), own, hwm_ms, carry_over, jobs_bound=n_jobs)
 
 
 def build_itinerary(defs: DataFrame, calendar: DataFrame, as_of: int, day_rule: str = "and",

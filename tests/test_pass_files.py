@@ -96,4 +96,5 @@ def test_pass_with_no_definitions(spark, tmp_path):
     result = readiness_pass(spark, defs, fx.fx_runs(spark, SF), fx.fx_calendar(spark), str(tmp_path / "state"),
                             str(tmp_path / "log"), fx.AS_OF, external=fx.fx_external(spark, SF))
     assert result.version == 1 and result.ready.count() == 0
-    assert state.read_state(spark, str(tmp_path / "state")).count() == fx.fx_external(spark, SF).count()
+    keys = fx.fx_external(spark, SF).select("pipeline", "source").distinct()      # the feed keeps history; the state has a row a key
+    assert state.read_state(spark, str(tmp_path / "state")).count() == keys.count()
