@@ -159,3 +159,34 @@ def test_fiscal_bounds_period_and_quarter_days(spark):
     assert fiscal.fiscal_bounds_at(cal, 1706702400) == {
         "fcl_per_start_time": 1705726800, "fcl_per_first_mon": 1705899600,
         "fcl_qtr_start_time": 1703307600, "fcl_qtr_first_mon": 1703480400}
+
+
+def test_as_of_join_equals_a_search_for_each_request(spark):
+    """Random instants over two years in zones with and without changes of offset, on the broadcast and the split path."""
+    import random
+
+    from runready.functions import joins
+    rnd = random.Random(11)
+    zones = ["UTC", "US/Eastern", "Australia/Lord_Howe", "Asia/Kathmandu", "America/St_Johns", "America/Havana", "Not/AZone"]
+    req = [(rnd.choice(CRONS), rnd.choice(zones), rnd.randrange(1672531200, 1735689600)) for _ in range(400)]
+    req += [("*/15 * * * *", "US/Eastern", 1710054000 + 600 * k) for k in range(-20, 20)] + [(None, "UTC", 1706702400), ("0 6 * * *", None, 1706702400)]
+    df = spark.createDataFrame(req, "cron string, tz string, as_of long").distinct().cache()
+    key = lambda r: (str(r.cron), str(r.tz), r.as_of)
+    for rule in ("or",):
+        want = {key(r): (r.prev_fire, r.next_fire, bool(r.valid)) for r in schedule.search_fires(df, rule).collect()}
+        assert {key(r): (r.prev_fire, r.next_fire, r.valid) for r in schedule.fires_as_of(df, rule).collect()} == want
+    budget, joins.MAX_BROADCAST_BYTES = joins.MAX_BROADCAST_BYTES, 4096
+    try:
+        got = {key(r): (r.prev_fire, r.next_fire, r.valid) for r in schedule.fires_as_of(df, "or", hot_rows=20).collect()}
+    finally:
+        joins.MAX_BROADCAST_BYTES = budget
+    assert got == want
+
+
+def test_fires_are_worked_out_once_a_schedule_day(spark):
+    from pyspark.sql import functions as F
+    many = spark.range(20_000).select(F.lit("*/7 * * * *").alias("cron"), F.lit("UTC").alias("tz"), (F.lit(1706702400) + F.col("id") % 7200).alias("as_of"))
+    days = schedule.schedule_days(many.select("cron", "tz", F.to_date(F.timestamp_seconds("as_of")).alias("day")).distinct())
+    assert days.count() == 1
+    got = schedule.cron_fires(many)
+    assert got.count() == 7200 and got.where("prev_fire is null or next_fire is null or prev_fire >= as_of or next_fire <= as_of").count() == 0
