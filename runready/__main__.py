@@ -45,6 +45,8 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--day-rule", default="and", choices=["and", "or"])
     ps = sub.choices["pass"]
     ps.add_argument("--as-of", type=int, help="pass instant, epoch seconds (default: now)")
+    ps.add_argument("--log-shape", default="factored", choices=["factored", "product"],
+                    help="decision rows: own and edge rows, or every combination of a job's dependencies")
     ps.add_argument("--carry-over", default="reference", choices=["reference", "locked"])
     ss = sub.choices["stream"]
     ss.add_argument("--checkpoint", required=True, help="streaming checkpoint location (shared storage)")
@@ -66,7 +68,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         as_of = args.as_of if args.as_of is not None else int(time.time())
         result = readiness_pass(spark, defs, readers.read_runs(spark, args.runs, args.runs_format), cal,
                                 args.state, args.log, as_of, external=ext, carry_over=args.carry_over,
-                                day_rule=args.day_rule, log_format=args.log_format)
+                                day_rule=args.day_rule, log_format=args.log_format, log_shape=args.log_shape)
         print(json.dumps({"as_of": as_of, "version": result.version, "ready_jobs": result.ready.count(),
                           "log": f"{args.log.rstrip('/')}/log_date=*/log_time={as_of}"}))
         return 0

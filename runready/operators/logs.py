@@ -27,10 +27,19 @@ _DECISION_TYPES = {
     "prev_fcl_per_start_time": T.LongType(), "prev_fcl_per_first_mon": T.LongType(),
     "prev_fcl_qtr_start_time": T.LongType(), "prev_fcl_qtr_first_mon": T.LongType(),
     "dep_start_time": T.LongType(), "dep_end_time": T.LongType(), "readiness": T.IntegerType(),
+    **{f"{k}dep_{t}_time": T.LongType() for k in "tc" for t in ("start", "end")},
 }
-DECISION_LOG = T.StructType(
-    [T.StructField(c, _DECISION_TYPES.get(c, T.StringType())) for c in schemas.DECISION_COLUMNS]
-    + [T.StructField("log_date", T.StringType()), T.StructField("log_time", T.LongType())])
+
+
+def _log_schema(columns: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, _DECISION_TYPES.get(c, T.StringType())) for c in columns]
+                        + [T.StructField("log_date", T.StringType()), T.StructField("log_time", T.LongType())])
+
+
+DECISION_LOG = _log_schema(schemas.DECISION_COLUMNS)
+# the log of wide decision rows (``operators.product``)
+PRODUCT_LOG = _log_schema(schemas.PRODUCT_COLUMNS)
+SHAPES = {"factored": DECISION_LOG, "product": PRODUCT_LOG}
 
 # Pipe-separated, every field quoted, whitespace kept, null written as \N so that an
 # empty string and a null survive the round trip as themselves.
@@ -75,14 +84,17 @@ def _partition(path: str, as_of: int) -> str:
     return f"{path.rstrip('/')}/log_date={day}/log_time={int(as_of)}"
 
 
-def write_decision_log(decisions: DataFrame, path: str, as_of: int | None = None, fmt: str = "csv") -> None:
+def write_decision_log(decisions: DataFrame, path: str, as_of: int | None = None, fmt: str = "csv",
+                       shape: str = "factored") -> None:
     """Write decision rows, one partition per pass instant (idempotent per instant).
 
+    ``shape``: "factored" for ``readiness_rows``, "product" for the wide rows of ``readiness_product``.
+
     ``as_of`` stamps every row with one pass instant; without it each row's own ``as_of``
     is its log time (decisions at many instants go to one partition per instant).
     """
     t = F.lit(int(as_of)).cast("long") if as_of is not None else F.col("as_of").cast("long")
-    out = decisions.select(*schemas.DECISION_COLUMNS)
+    out = decisions.select(*SHAPES[shape].fieldNames()[:-2])
     if fmt == "csv":
         out = _each_string(out, _escaped)
     if as_of is not None:                # a replay that yields no rows must leave none
@@ -95,13 +107,14 @@ def write_decision_log(decisions: DataFrame, path: str, as_of: int | None = None
     _csv(w, fmt).format(fmt).save(path)
 
 
-def read_decision_log(spark: SparkSession, path: str, fmt: str = "csv", as_of: int | None = None) -> DataFrame:
+def read_decision_log(spark: SparkSession, path: str, fmt: str = "csv", as_of: int | None = None,
+                      shape: str = "factored") -> DataFrame:
     """The decision log, or the partition of one pass (only its folder is opened)."""
-    reader = _csv(spark.read.schema(DECISION_LOG), fmt).format(fmt)
+    reader = _csv(spark.read.schema(SHAPES[shape]), fmt).format(fmt)
     if as_of is not None:
         folder = _partition(path, as_of)
         if not path_exists(spark, folder):
-            return spark.createDataFrame([], DECISION_LOG)
+            return spark.createDataFrame([], SHAPES[shape])
         log = reader.option("basePath", path).load(folder)
     else:
         log = reader.load(path)

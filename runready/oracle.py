@@ -383,6 +383,53 @@ _DEPS.update({
     "own": ["itin", "merged"], "items": ["itin"], "edges": ["items", "merged"],
     "decisions": ["own", "edges", "itin"], "ready": ["itin", "own", "edges"],
 })
+# every combination, by joins of whole lists; blank items stay in the product as null dependencies
+STEPS["titems"] = """
+ select it.job_id, it.kind, it.dependency, s.start_time, s.end_time, s.status
+ from items it left join merged s on trim(it.dependency) = s.pipeline"""
+STEPS["wide"] = f"""
+ select cast({AS_OF} as bigint) as as_of, o.job_id, o.pipeline, o.state, o.lock_flag, o.pipeline_status, o.tz, o.spec, o.onfail,
+  o.last_start_time, o.last_end_time, {BOUNDS}, nullif(t.dependency, '') as trigger_dependency, t.start_time as tdep_start_time,
+  t.end_time as tdep_end_time, t.status as tdep_status, nullif(s.dependency, '') as status_dependency, s.status as sdep_status,
+  nullif(c.dependency, '') as completed_dependency, c.start_time as cdep_start_time, c.end_time as cdep_end_time
+ from own o
+ left join (select * from titems where kind = 'trigger') t on t.job_id = o.job_id
+ left join (select * from titems where kind = 'status') s on s.job_id = o.job_id
+ left join (select * from titems where kind = 'completed') c on c.job_id = o.job_id"""
+_DEPS.update({"titems": ["items", "merged"], "wide": ["own", "titems"]})
+ORACLES["readiness_product"] = with_ctes(["wide"], f"""
+ select *, case when {OWN_RULE} and (trigger_dependency is null or (last_start_time < tdep_end_time and tdep_status = 'SUCCESS'))
+   and (status_dependency is null or sdep_status = 'SUCCESS')
+   and (completed_dependency is null or last_start_time < cdep_end_time) then 0 else 1 end as readiness,
+  '2024-01-31' as log_date, cast({AS_OF} as bigint) as log_time
+ from wide""")
+
+# the same rules at many instants: requests in place of the one instant
+_cron_steps("dcron_", "select distinct d.cron, d.tz, r.as_of from dreq r join defs d on d.job_id = r.job_id", ["dreq", "defs"])
+STEPS.update({
+    "dreq": "select distinct job_id, (cast(floor(start_time / 86400000.0) as bigint) + 20) * 86400 + 43200 as as_of from fx_runs",
+    "dfis_row": STEPS["fis_row"].replace("from fis_inst i", "from (select distinct as_of from dreq) i"),
+    "dfis": STEPS["fis"].replace("from fis_row r", "from dfis_row r"),
+    "ditin": """
+ select d.*, r.as_of, cp.prev_fire as prev_min_exec_time, f.fcl_per_start_time as prev_fcl_per_start_time,
+  f.fcl_per_first_mon as prev_fcl_per_first_mon, f.fcl_qtr_start_time as prev_fcl_qtr_start_time,
+  f.fcl_qtr_first_mon as prev_fcl_qtr_first_mon
+ from dreq r join defs d on d.job_id = r.job_id
+ left join dcron_prev cp on d.cron = cp.cron and d.tz = cp.tz and r.as_of = cp.as_of left join dfis f on r.as_of = f.as_of""",
+    "down": STEPS["own"].replace("from itin i", "from ditin i"),
+})
+_DEPS.update({
+    "dreq": ["fx_runs"], "dfis_row": ["dreq", "fx_calendar"], "dfis": ["dfis_row", "fx_calendar"],
+    "ditin": ["dreq", "defs", "dcron_prev", "dfis"], "down": ["ditin", "merged"],
+})
+ORACLES["decide_at"] = with_ctes(["down", "edges"], f"""
+ select job_id, as_of, cast(count(*) as bigint) as decision_rows, cast(sum(fails) as bigint) as failed_rows from (
+  select job_id, as_of, case when {OWN_RULE} then 0 else 1 end as fails from down
+  union all
+  select m.job_id, m.as_of, case when coalesce(case e.kind when 'trigger' then m.mx < e.dep_end_time and e.dep_status = 'SUCCESS'
+    when 'status' then e.dep_status = 'SUCCESS' else m.mx < e.dep_end_time end, false) then 0 else 1 end
+  from edges e join (select job_id, as_of, max(last_start_time) as mx from down group by job_id, as_of) m on e.job_id = m.job_id)
+ group by job_id, as_of""")
 DECISION_COLS = ("as_of, job_id, pipeline, state, row_kind, lock_flag, pipeline_status, tz, spec, onfail, last_start_time, "
                  f"last_end_time, {BOUNDS}, dependency, source, dep_start_time, dep_end_time, dep_status, readiness")
 ORACLES.update({

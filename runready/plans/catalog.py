@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import definitions, dependencies, fiscal, logs, outcome, readiness, runs, schedule, state
+from ..operators import definitions, dependencies, fiscal, logs, outcome, product, readiness, runs, schedule, state
 from ..session import list_dirs, shared_path
 from ..sources import fixtures as fx
 
@@ -150,6 +150,28 @@ def q_decision_log(spark: SparkSession, sf: str) -> DataFrame:
     return logs.read_decision_log(spark, path)
 
 
+def q_readiness_product(spark: SparkSession, sf: str) -> DataFrame:
+    """O13 in product form: every combination of each job's dependencies, through the pass's wide log."""
+    st = pass_state(spark, sf)
+    path = shared_path(spark, "product_log")
+    logs.write_decision_log(product.readiness_product(pass_itinerary(spark, sf), st, st.count()), path, fx.AS_OF,
+                            shape="product")
+    return logs.read_decision_log(spark, path, shape="product")
+
+
+# Fixed value: days from a run to the instant at which its job is decided again.
+LATER_DAYS = 20
+
+
+def q_decide_at(spark: SparkSession, sf: str) -> DataFrame:
+    """Decision rows and failed ones of each job at noon UTC, some days after each of its runs, all decided in one job."""
+    from .readiness_pass import decide_at
+    noon = (F.floor(F.col("start_time") / 86_400_000) + LATER_DAYS) * 86_400 + 43_200
+    requests = fx.fx_runs(spark, sf).select("job_id", noon.cast("long").alias("as_of")).distinct()
+    rows = decide_at(spark, fx.fx_defs(spark, sf), fx.fx_calendar(spark), pass_state(spark, sf), requests)
+    return rows.groupBy("job_id", "as_of").agg(F.count("*").alias("decision_rows"), F.sum("readiness").alias("failed_rows"))
+
+
 def q_invocation_log(spark: SparkSession, sf: str) -> DataFrame:
     """One invocation line per run, appended to the monthly log and read back."""
     path = shared_path(spark, "invocation_log")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..session import ensure_checkpoint_dir
 from ..functions.joins import broadcast_within
-from ..operators import definitions, dependencies, fiscal, logs, readiness, runs, schedule, state
+from ..operators import definitions, dependencies, fiscal, logs, product, readiness, runs, schedule, state
 
 
 @dataclass
@@ -123,7 +123,7 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
                    log_format: str = "csv", extras: dict[str, DataFrame] | None = None,
                    retention_ms: int | None = vocab.LOG_RETENTION_MS, newest_wins: bool = False,
                    stream_batch: tuple[str, int] | None = None, keep_versions: int | None = 100,
-                   late_ms: int | None = None) -> PassResult:
+                   late_ms: int | None = None, log_shape: str = "factored") -> PassResult:
     """Run one pass at ``as_of`` (epoch s) and write state version ``version`` (default: latest + 1).
 
     ``selected`` replaces the run selection (the stream passes its micro-batch),
@@ -131,7 +131,8 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
     the version.  After the commit, log partitions at or before ``as_of - retention_ms``
     are dropped (``None`` keeps them all).  ``newest_wins``: see ``merge_state``.  ``stream_batch``
     (stream, batch id) is recorded with the version; the ``keep_versions`` newest versions
-    are kept (``None``: all).  ``late_ms``: see ``refresh_active_runs``.  Runs that start after
+    are kept (``None``: all).  ``late_ms``: see ``refresh_active_runs``.  ``log_shape``: "factored"
+    decision rows, or "product" for the wide rows of ``readiness_product``, in a log of its own; both give the same ready jobs.  Runs that start after
     ``as_of`` are not looked at, so a replay at a past instant sees the log of that instant.
     """
     raw_runs = raw_runs.where(F.col("start_time").isNull() | (F.col("start_time") < F.lit((int(as_of) + 1) * 1000)))
@@ -181,8 +182,10 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
         itin = build_itinerary(defs, calendar, as_of, day_rule, jobs_bound=n_jobs).persist()
         try:
             # the state was just written: its row count (Parquet metadata) bounds the lookups
-            logs.write_decision_log(readiness.readiness_rows(itin, current, current.count(), jobs_bound=n_jobs),
-                                    log_path, as_of, log_format)
+            n_state = current.count()
+            rows_of = (product.readiness_product(itin, current, n_state) if log_shape == "product" else
+                       readiness.readiness_rows(itin, current, n_state, jobs_bound=n_jobs))
+            logs.write_decision_log(rows_of, log_path, as_of, log_format, log_shape)
         finally:
             itin.unpersist()
         state.commit_version(spark, state_root, version, int(as_of) * 1000, batches)
@@ -193,5 +196,5 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
         state.prune_versions(spark, state_root, keep_versions)
     if retention_ms is not None:
         logs.drop_expired_partitions(spark, log_path, as_of, retention_ms)
-    logged = logs.read_decision_log(spark, log_path, log_format, as_of=as_of)
+    logged = logs.read_decision_log(spark, log_path, log_format, as_of=as_of, shape=log_shape)
     return PassResult(version, int(as_of), hwm, current, logged, readiness.ready_jobs(logged))

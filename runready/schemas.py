@@ -104,3 +104,12 @@ DECISION_COLUMNS = [
     "prev_fcl_per_start_time", "prev_fcl_per_first_mon", "prev_fcl_qtr_start_time", "prev_fcl_qtr_first_mon",
     "dependency", "source", "dep_start_time", "dep_end_time", "dep_status", "readiness",
 ]
+
+# Wide decision rows: one per combination of a job's own, trigger, status and completed state rows.
+PRODUCT_COLUMNS = [
+    "as_of", "job_id", "pipeline", "state", "lock_flag", "pipeline_status", "tz", "spec", "onfail",
+    "last_start_time", "last_end_time", "prev_min_exec_time", "next_min_exec_time",
+    "prev_fcl_per_start_time", "prev_fcl_per_first_mon", "prev_fcl_qtr_start_time", "prev_fcl_qtr_first_mon",
+    "trigger_dependency", "tdep_start_time", "tdep_end_time", "tdep_status", "status_dependency", "sdep_status",
+    "completed_dependency", "cdep_start_time", "cdep_end_time", "readiness",
+]

@@ -227,3 +227,75 @@ def test_many_instant_itinerary_paths_agree(spark):
     split = rows(dependencies.itinerary(jobs, fires, bounds, fires_rows=10**12, bounds_rows=10**12, hot_rows=2),
                  *cols)
     assert plain == bcast == split and len(plain) == 12 and all(r[2] is not None for r in plain)
+
+
+# ---- product form ----------------------------------------------------------------------
+
+def _product_rows(itin, state):
+    """The wide rows, literally: explode every list, join everything."""
+    def match(name):
+        return [s for s in state if name is not None and s[4] == name.strip()] or [None]
+
+    def items(lst):
+        return [None] if lst is None else lst.split(",")
+
+    out = []
+    for j in itin:
+        for r in match(j[3]):
+            for t in items(j[8]):
+                for tr in match(t):
+                    for s in items(j[9]):
+                        for sr in match(s):
+                            for c in items(j[10]):
+                                for cr in match(c):
+                                    out.append((j[1], r and r[1], t or None, tr and tr[5], tr and tr[6], tr and tr[3],
+                                                s or None, sr and sr[3], c or None, cr and cr[5], cr and cr[6]))
+    return out
+
+
+WIDE = ["trigger_dependency", "tdep_start_time", "tdep_end_time", "tdep_status", "status_dependency", "sdep_status",
+        "completed_dependency", "cdep_start_time", "cdep_end_time"]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.integers(min_value=0, max_value=10**6), st.sampled_from([1, 2, 20_000]), st.booleans())
+def test_product_rows_equal_the_literal_product(spark, seed, piece, broadcast):
+    from collections import Counter
+
+    from runready.operators import product
+    itin, state = _random_case(seed)
+    idf, sdf = spark.createDataFrame(itin, ITIN), state_df(spark, state)
+    wide = product.readiness_product(idf, sdf, len(state) if broadcast else None, hot_rows=2, piece=piece)
+    got = Counter((r["job_id"], *[r[c] for c in WIDE]) for r in wide.collect())
+    assert got == Counter((x[0], *x[2:]) for x in _product_rows(itin, state))
+    gate = {r[0] for r in rows(readiness.ready_jobs(wide))}
+    assert gate == {r[0] for r in rows(readiness.ready_jobs(readiness.readiness_rows(idf, sdf)))} == product_gate(itin, state)
+
+
+def test_a_large_product_is_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from runready.operators import product
+    names = [f"up{k}" for k in range(40)]
+    state = state_df(spark, [(k, "p", "0", "SUCCESS", n, 5, 50) for k, n in enumerate(names)])
+    lists = ",".join(names)
+    itin = [(100, 1, 3000, "big", "active", "UTC", "None", "hold", lists, lists, lists, 14, 40, 9, 11, 16, 2)]
+    itin += [(100, j, 3000, f"small{j}", "active", "UTC", "None", "hold", "up1", None, "", 14, 40, 9, 11, 16, 2) for j in range(2, 30)]
+    wide = product.readiness_product(spark.createDataFrame(itin, ITIN), state, piece=1000)
+    assert wide.count() == 40 ** 3 + 28
+    a_task = wide.where("job_id = 1").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert a_task <= 40 ** 3 / 2                           # 64 pieces dealt over the shuffle partitions
+
+
+def test_pass_with_a_wide_log(spark, tmp_path):
+    from runready.operators import logs
+    from runready.plans.readiness_pass import readiness_pass
+    sf = "/root/testdata/sf0.001"
+    ready = {}
+    for shape in ("factored", "product"):
+        got = readiness_pass(spark, fx.fx_defs(spark, sf), fx.fx_runs(spark, sf), fx.fx_calendar(spark), str(tmp_path / shape / "s"),
+                             str(tmp_path / shape / "l"), fx.AS_OF, external=fx.fx_external(spark, sf), log_shape=shape)
+        ready[shape] = rows(got.ready)
+    assert ready["factored"] == ready["product"] and ready["product"]
+    log = logs.read_decision_log(spark, str(tmp_path / "product" / "l"), shape="product")
+    assert log.columns[1] == "job_id" and len(log.columns) == 29 and log.count() > 0
