@@ -11,8 +11,12 @@
    probability that its similarity reaches the threshold falls under ``MISS``.
    The others are verified exactly on the full sets of both texts.
 4. The links join classes to components.  Only buckets with members of several components hold pairs
-   that can still change the answer: those across components, which are verified in the same way.
-   Within a component no pair can add anything, so all others are never made.
+   that can still change the answer: those across components.  Such a bucket is cut into chunks, and every two
+   chunks meet in a cell of bounded size.  A cell compares signatures as in 3, each pair in the first band it shares alone;
+   what the test keeps is verified on the full sets of the members concerned, and a pair whose members have come together
+   by then is passed over.  No pair is ever a row: a cell gives out the links that joined something, fewer than its members.
+   (A bucket of many members that are no copies of each other is still compared in full, in proportion to the square
+   of its size, spread over its cells.)
 5. Components of all links give the result.
 
 A pair at similarity s is no candidate with probability (1 - s^ROWS)^BANDS: 5e-6 at 0.8.
@@ -39,6 +43,7 @@ MISS = 1e-7                  # chance of dropping a true link at one look
 LEADERS = 3
 CACHED_WORDS = 300_000
 CHUNK = 512                  # shingles hashed at once: bounds the memory of very long texts
+CELL = 256                   # members of one chunk of a bucket
 
 _rng = np.random.default_rng(20240229)
 _MULT = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -179,6 +184,121 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float)
             .select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"))
 
 
+def _cells(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``members(bucket, doc_id, ...)`` in the cells of their buckets: one row for each cell ``(bucket, i, j)`` of a member.
+
+    ``sizes(bucket, n)``.  A bucket of up to ``CELL`` members is one cell; a larger one has a cell for each two of its chunks.
+    """
+    chunks = F.ceil(F.col("n") / CELL).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", "bucket"), F.col("chunks")).cast("int")
+    dealt = (members.join(sizes.select("bucket", chunks.alias("chunks")), "bucket").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("chunks", "other")
+
+
+def _runs(parts: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key of sorted frames, as one frame."""
+    held: list[pd.DataFrame] = []
+    for part in parts:
+        if not len(part):
+            continue
+        new = (part[key] != part[key].shift()).any(axis=1).to_numpy()
+        new[0] = not held or any(held[-1][k].iloc[-1] != part[k].iloc[0] for k in key)
+        edges = np.append(np.flatnonzero(new), len(part))
+        if len(edges) == 1:                                       # all of it goes on with the last key
+            held.append(part)
+            continue
+        if edges[0]:
+            held.append(part.iloc[:edges[0]])
+        if held:
+            yield pd.concat(held) if len(held) > 1 else held[0]
+        for a, z in zip(edges[:-2], edges[1:-1], strict=True):
+            yield part.iloc[a:z]
+        held = [part.iloc[edges[-2]:]]
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def _cell_candidates(cells: DataFrame, threshold: float) -> DataFrame:
+    """``bucket, i, j, doc_id, label, others``: for each member of a cell the smaller ids that the sequential test keeps with it.
+
+    Every member of such a pair has a row; members without a pair have none.
+    """
+    looks = least_matches(threshold)
+
+    def kept(group: pd.DataFrame) -> list[tuple[int, int]]:
+        ids, label, n = (group[c].to_numpy() for c in ("doc_id", "label", "n_shingles"))
+        band, own, i, j = group["band"].iloc[0], group["own"].to_numpy(), group["i"].iloc[0], group["j"].iloc[0]
+        sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), HASHES)
+        out = []
+        for a in range(1, len(group)):
+            b = np.arange(a)
+            ok = (label[b] != label[a]) & (np.minimum(n[b], n[a]) >= threshold * np.maximum(n[b], n[a]))
+            if i != j:
+                ok &= own[b] != own[a]                            # pairs of one chunk have a cell of their own
+            b, matches = b[ok], 0
+            for look, least in enumerate(looks):
+                if not len(b):
+                    break
+                cols = slice(look * BATCH, (look + 1) * BATCH)
+                matches = matches + (sig[b, cols] == sig[a, cols]).sum(1)
+                stay = matches >= least
+                b, matches = b[stay], matches[stay]
+            if len(b):
+                shared = (sig[b].reshape(len(b), BANDS, ROWS) == sig[a].reshape(BANDS, ROWS)).all(2)
+                out += [(a, int(x)) for x in b[shared.argmax(1) == band]]
+        return out
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _runs(parts, ["bucket", "i", "j"]):
+            pairs = kept(group)
+            if not pairs:
+                continue
+            ids, others = group["doc_id"].to_numpy(), {}
+            for a, b in pairs:
+                high, low = max(ids[a], ids[b]), min(ids[a], ids[b])
+                others.setdefault(high, []).append(low)
+                others.setdefault(low, [])
+            rows = group[["bucket", "i", "j", "doc_id", "label"]][group["doc_id"].isin(others.keys())]
+            yield rows.assign(others=[others[x] for x in rows["doc_id"]])
+
+    return cells.mapInPandas(run, "bucket long, i int, j int, doc_id long, label long, others array<long>")
+
+
+def _cell_links(candidates: DataFrame, docs: DataFrame, shingle: int, threshold: float, parts: int) -> DataFrame:
+    """Links of the cells that join members (or their components) not joined yet, verified on the full sets."""
+    percent = round(threshold * 100)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = worker_cache(("shingles", shingle), lambda: ShingleHasher(shingle))
+        for group in _runs(frames, ["bucket", "i", "j"]):
+            sets = {d: shingles(t) for d, t in zip(group["doc_id"], group["text"], strict=True)}
+            label = dict(zip(group["doc_id"], group["label"], strict=True))
+            up: dict = {}
+
+            def top(x, up=up):
+                while up.setdefault(x, x) != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            links = []
+            for a, others in zip(group["doc_id"], group["others"], strict=True):
+                for b in others:
+                    one, two = top(label[a]), top(label[b])
+                    if one == two:
+                        continue
+                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                        up[one] = two
+                        links.append((a, b))
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return (candidates.join(texts, "doc_id").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+            .select("bucket", "i", "j", "doc_id", "label", "others", "text").mapInPandas(run, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)`` with an id.
 
@@ -196,7 +316,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     # one sketch per class
     later = members.where("doc_id <> class_id").select("doc_id")
     classes = full.select("doc_id", "n_shingles", "bands", "sig").join(later, "doc_id", "left_anti")
-    rows = classes.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    rows = classes.select("doc_id", "n_shingles", F.posexplode("bands").alias("place", "band"))
     leaders = F.array(F.min("doc_id"), *[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))) for k in range(1, LEADERS)])
     buckets = stored(rows.groupBy("band").agg(F.array_distinct(leaders).alias("leaders"), F.count("*").alias("n"))
                      .where("n > 1").drop("n"), "buckets")
@@ -209,20 +329,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     links = stored(_verified(_unpruned(met, involved, threshold), docs, shingle, threshold), "links")
     labels = connected_components(links)
 
-    # buckets that still span components: pairs across them, of sizes that can reach the threshold
-    labelled = (rows.select("band", "doc_id", "n_shingles")
+    # buckets that still span components: pairs across them, in cells of bounded size
+    labelled = (rows.select(F.col("band").alias("bucket"), F.col("place").alias("band"), "doc_id", "n_shingles")
                 .join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                .select("band", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label")))
+                .select("bucket", "band", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label")))
     labelled = stored(labelled, "labelled")
-    mixed = (labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .where("lo <> hi").select("band"))
-    open_rows = stored(labelled.join(mixed, "band", "left_semi"), "open-rows")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    across = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") > F.col("y.doc_id"))
-                     & (F.col("x.label") != F.col("y.label"))
-                     & (F.least("x.n_shingles", "y.n_shingles") >= threshold * F.greatest("x.n_shingles", "y.n_shingles")))
-              .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
-    more = stored(_verified(_unpruned(across, involved, threshold), docs, shingle, threshold), "links")
+    mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+                   .where("lo <> hi").select("bucket", "n"), "mixed")
+    spark = docs.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = (_cells(labelled, mixed).join(involved.select("doc_id", "sig"), "doc_id")
+             .repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"))
+    candidates = stored(_cell_candidates(cells, threshold), "candidates")
+    more = stored(_cell_links(candidates, docs, shingle, threshold, parts), "links")
     # whole components are joined by them: a table of labels, far smaller than that of the documents
     of = labels.select(F.col("node"), "label")
     merged = (more.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
