@@ -9,7 +9,8 @@
 3. A pair's signatures are compared ``BATCH`` minima at a time.  With a uniform prior, m matches of n
    give the similarity the posterior Beta(m + 1, n - m + 1); the pair goes as soon as the
    probability that its similarity reaches the threshold falls under ``MISS``.
-   The others are verified exactly on the full sets of both texts.
+   The others are verified exactly on the full sets, leader by leader: a text is sent once for each of its leaders, a leader's
+   once for each ``CELL`` of its candidates.
 4. The links join classes to components.  Only buckets with members of several components hold pairs
    that can still change the answer: those across components.  Such a bucket is cut into chunks, and every two
    chunks meet in a cell of bounded size.  A cell compares signatures as in 3, each pair in the first band it shares alone;
@@ -33,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runready.functions.joins import broadcast_if_small
 from runready.llm.components import connected_components
 from runready.llm.tables import ascii_words, stored, worker_cache
 
@@ -43,7 +45,7 @@ MISS = 1e-7                  # chance of dropping a true link at one look
 LEADERS = 3
 CACHED_WORDS = 300_000
 CHUNK = 512                  # shingles hashed at once: bounds the memory of very long texts
-CELL = 256                   # members of one chunk of a bucket
+CELL = 1024                  # members of one chunk of a bucket
 
 _rng = np.random.default_rng(20240229)
 _MULT = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -161,27 +163,15 @@ def _unpruned(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
             .select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
-    percent = round(threshold * 100)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = worker_cache(("shingles", shingle), lambda: ShingleHasher(shingle))
-        last, last_set = None, None
-        for part in parts:
-            keep = np.zeros(len(part), bool)
-            for k, (b, x, y) in enumerate(zip(part["b"], part["text_a"], part["text_b"], strict=True)):
-                if b != last:                       # rows of one b mostly follow each other
-                    last, last_set = b, shingles(y)
-                s = shingles(x)
-                common = len(np.intersect1d(s, last_set, assume_unique=True))
-                keep[k] = 100 * common >= percent * (len(s) + len(last_set) - common)
-            yield part.loc[keep, ["a", "b"]]
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"))
+def _stars(pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` as cells around each ``b`` (see ``_cell_links``): a member has one row, the centre one in each cell."""
+    cells = F.ceil(F.count("*") / CELL).cast("int")
+    dealt = (pairs.join(pairs.groupBy("b").agg(cells.alias("cells")), "b")
+             .select(F.col("b").alias("bucket"), F.pmod(F.xxhash64("a"), F.col("cells")).cast("int").alias("i"), "a"))
+    centres = dealt.select("bucket", "i").distinct()
+    return (dealt.select("bucket", "i", F.col("a").alias("doc_id"), F.array("bucket").alias("others"))
+            .unionByName(centres.select("bucket", "i", F.col("bucket").alias("doc_id"), F.array().cast("array<long>").alias("others")))
+            .withColumns({"j": F.lit(0), "label": F.col("doc_id")}))
 
 
 def _cells(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -294,7 +284,10 @@ def _cell_links(candidates: DataFrame, docs: DataFrame, shingle: int, threshold:
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # only the texts concerned are shuffled, where their ids fit the broadcast budget
+    concerned = broadcast_if_small(candidates.select("doc_id").distinct())
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+             .join(concerned, "doc_id", "left_semi"))
     return (candidates.join(texts, "doc_id").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
             .select("bucket", "i", "j", "doc_id", "label", "others", "text").mapInPandas(run, "a long, b long"))
 
@@ -326,7 +319,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
            .select(F.greatest("doc_id", "leader").alias("a"), F.least("doc_id", "leader").alias("b")).distinct())
     involved = stored(classes.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
                       .select("doc_id", "n_shingles", "sig"), "involved")
-    links = stored(_verified(_unpruned(met, involved, threshold), docs, shingle, threshold), "links")
+    spark = docs.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stars = stored(_stars(stored(_unpruned(met, involved, threshold), "pairs")), "stars")
+    links = stored(_cell_links(stars, docs, shingle, threshold, parts), "links")
     labels = connected_components(links)
 
     # buckets that still span components: pairs across them, in cells of bounded size
@@ -336,8 +332,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     labelled = stored(labelled, "labelled")
     mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
                    .where("lo <> hi").select("bucket", "n"), "mixed")
-    spark = docs.sparkSession
-    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cells = (_cells(labelled, mixed).join(involved.select("doc_id", "sig"), "doc_id")
              .repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"))
     candidates = stored(_cell_candidates(cells, threshold), "candidates")
