@@ -10,7 +10,7 @@
    give the similarity the posterior Beta(m + 1, n - m + 1); the pair goes as soon as the
    probability that its similarity reaches the threshold falls under ``MISS``.
    The others are verified exactly on the full sets, leader by leader: a text is sent once for each of its leaders, a leader's
-   once for each ``CELL`` of its candidates.
+   once for each ``STAR`` of its candidates.
 4. The links join classes to components.  Only buckets with members of several components hold pairs
    that can still change the answer: those across components.  Such a bucket is cut into chunks, and every two
    chunks meet in a cell of bounded size.  A cell compares signatures as in 3, each pair in the first band it shares alone;
@@ -31,7 +31,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runready.functions.joins import broadcast_if_small
@@ -45,7 +45,9 @@ MISS = 1e-7                  # chance of dropping a true link at one look
 LEADERS = 3
 CACHED_WORDS = 300_000
 CHUNK = 512                  # shingles hashed at once: bounds the memory of very long texts
-CELL = 1024                  # members of one chunk of a bucket
+CELL = 4096                  # members of one chunk of a bucket, about
+CELL_SHINGLES = 2_000_000    # and their shingles: bounds the text that a task holds
+STAR = 1024                  # candidates verified together with one leader
 
 _rng = np.random.default_rng(20240229)
 _MULT = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -124,20 +126,25 @@ def _sketch(docs: DataFrame, shingle: int) -> DataFrame:
         for part in parts:
             for at in range(0, len(part), 512):
                 rows = []
-                for doc, text in zip(part["doc_id"].iloc[at:at + 512], part["text"].iloc[at:at + 512], strict=True):
+                some = part.iloc[at:at + 512]
+                for doc, own, text in zip(some["doc_id"], some["id"].astype("Int64"), some["text"], strict=True):
                     s = shingles(text)
                     if not len(s):
-                        rows.append((doc, 0, None, None, None, None))
+                        rows.append((doc, own, 0, None, None, None, None))
                         continue
                     sig, digest = signature(s), xxhash.xxh3_128_digest(s.tobytes())
                     high, low = np.frombuffer(digest, ">i8")
-                    rows.append((doc, len(s), int(high), int(low), band_keys(sig).tolist(), sig.tobytes()))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "high", "low", "bands", "sig"])
-                yield out.astype({"doc_id": "Int64", "high": "Int64", "low": "Int64"})
+                    rows.append((doc, own, len(s), int(high), int(low), band_keys(sig).tolist(), sig.tobytes()))
+                out = pd.DataFrame(rows, columns=["doc_id", "id", "n_shingles", "high", "low", "bands", "sig"])
+                yield out.astype({"id": "Int64", "high": "Int64", "low": "Int64"})
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .where("doc_id is not null")
-            .mapInPandas(run, "doc_id long, n_shingles long, high long, low long, bands array<long>, sig binary"))
+    return docs.select("doc_id", "id", "text").mapInPandas(
+        run, "doc_id long, id long, n_shingles long, high long, low long, bands array<long>, sig binary")
+
+
+def row_key() -> Column:
+    """What tells rows apart here: a hash of id and text, so that rows that share an id, or have none, are rows of their own."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def _unpruned(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -165,7 +172,7 @@ def _unpruned(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
 
 def _stars(pairs: DataFrame) -> DataFrame:
     """``pairs(a, b)`` as cells around each ``b`` (see ``_cell_links``): a member has one row, the centre one in each cell."""
-    cells = F.ceil(F.count("*") / CELL).cast("int")
+    cells = F.ceil(F.count("*") / STAR).cast("int")
     dealt = (pairs.join(pairs.groupBy("b").agg(cells.alias("cells")), "b")
              .select(F.col("b").alias("bucket"), F.pmod(F.xxhash64("a"), F.col("cells")).cast("int").alias("i"), "a"))
     centres = dealt.select("bucket", "i").distinct()
@@ -177,9 +184,10 @@ def _stars(pairs: DataFrame) -> DataFrame:
 def _cells(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """``members(bucket, doc_id, ...)`` in the cells of their buckets: one row for each cell ``(bucket, i, j)`` of a member.
 
-    ``sizes(bucket, n)``.  A bucket of up to ``CELL`` members is one cell; a larger one has a cell for each two of its chunks.
+    ``sizes(bucket, n, shingles)``.  A bucket within ``CELL`` and ``CELL_SHINGLES`` is one cell; a larger one has a cell for
+    each two of its chunks.
     """
-    chunks = F.ceil(F.col("n") / CELL).cast("int")
+    chunks = F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("doc_id", "bucket"), F.col("chunks")).cast("int")
     dealt = (members.join(sizes.select("bucket", chunks.alias("chunks")), "bucket").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
@@ -262,7 +270,18 @@ def _cell_links(candidates: DataFrame, docs: DataFrame, shingle: int, threshold:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = worker_cache(("shingles", shingle), lambda: ShingleHasher(shingle))
         for group in _runs(frames, ["bucket", "i", "j"]):
-            sets = {d: shingles(t) for d, t in zip(group["doc_id"], group["text"], strict=True)}
+            texts, sets, held = dict(zip(group["doc_id"], group["text"], strict=True)), {}, 0
+
+            def members(d):
+                nonlocal held
+                if d not in sets:
+                    if held > 2 * CELL_SHINGLES:
+                        sets.clear()
+                        held = 0
+                    sets[d] = shingles(texts[d])
+                    held += len(sets[d])
+                return sets[d]
+
             label = dict(zip(group["doc_id"], group["label"], strict=True))
             up: dict = {}
 
@@ -277,8 +296,9 @@ def _cell_links(candidates: DataFrame, docs: DataFrame, shingle: int, threshold:
                     one, two = top(label[a]), top(label[b])
                     if one == two:
                         continue
-                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                    x, y = members(a), members(b)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
                         up[one] = two
                         links.append((a, b))
             if links:
@@ -286,29 +306,32 @@ def _cell_links(candidates: DataFrame, docs: DataFrame, shingle: int, threshold:
 
     # only the texts concerned are shuffled, where their ids fit the broadcast budget
     concerned = broadcast_if_small(candidates.select("doc_id").distinct())
-    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-             .join(concerned, "doc_id", "left_semi"))
+    texts = docs.select("doc_id", "text").join(concerned, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return (candidates.join(texts, "doc_id").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
             .select("bucket", "i", "j", "doc_id", "label", "others", "text").mapInPandas(run, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)`` with an id.
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``row_key, doc_id, n_shingles, component, component_id, first`` for every row of ``docs(doc_id, text)``.
 
     Documents are linked where the Jaccard similarity of their sets is ``threshold`` (whole per cents)
-    or more; ``component_id`` is the smallest id reachable over links and ``kept`` marks that document.
-    Null, empty and word-less texts have ``n_shingles`` 0 and stand alone.  ``doc_id`` is a key:
-    rows with a null id are left out.  Other columns are not read.
+    or more; ``component`` names the rows reachable over links, ``component_id`` is their smallest id (null if none has one) and
+    ``first`` the ``row_key`` of a row with that id.  Null, empty and word-less texts have ``n_shingles`` 0 and stand alone.
+    Rows that share an id, or have none, are compared each for itself; rows equal in id and text have
+    one ``row_key``.  Other columns are not read.
     """
+    docs = docs.select(row_key().alias("doc_id"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sketches = stored(_sketch(docs, shingle), "sketches")
     full = sketches.where("n_shingles > 0")
     copies = stored(full.groupBy("high", "low").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
                     .where("n > 1").drop("n"), "copies")
-    members = stored(sketches.select("doc_id", "n_shingles", "high", "low").join(copies, ["high", "low"], "left")
-                     .select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
-    # one sketch per class
-    later = members.where("doc_id <> class_id").select("doc_id")
-    classes = full.select("doc_id", "n_shingles", "bands", "sig").join(later, "doc_id", "left_anti")
+    members = stored(sketches.select("doc_id", "id", "n_shingles", "high", "low").join(copies, ["high", "low"], "left")
+                     .select("doc_id", "id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
+    # one sketch per class: those without copies, and one row of each group of copies
+    copied = broadcast_if_small(copies)
+    alone = full.join(copied, ["high", "low"], "left_anti").select("doc_id", "n_shingles", "bands", "sig")
+    leads = full.join(copied, ["high", "low"]).where("doc_id = class_id").select("doc_id", "n_shingles", "bands", "sig")
+    classes = alone.unionByName(leads.dropDuplicates(["doc_id"]))
     rows = classes.select("doc_id", "n_shingles", F.posexplode("bands").alias("place", "band"))
     leaders = F.array(F.min("doc_id"), *[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))) for k in range(1, LEADERS)])
     buckets = stored(rows.groupBy("band").agg(F.array_distinct(leaders).alias("leaders"), F.count("*").alias("n"))
@@ -330,8 +353,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
                 .join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                 .select("bucket", "band", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label")))
     labelled = stored(labelled, "labelled")
-    mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-                   .where("lo <> hi").select("bucket", "n"), "mixed")
+    mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"),
+                                                                  F.sum("n_shingles").alias("shingles"))
+                   .where("lo <> hi").select("bucket", "n", "shingles"), "mixed")
     cells = (_cells(labelled, mixed).join(involved.select("doc_id", "sig"), "doc_id")
              .repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"))
     candidates = stored(_cell_candidates(cells, threshold), "candidates")
@@ -349,9 +373,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
                              .join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("label")))
         final = stored(every.join(onto.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
                        .select("node", F.coalesce("to", "label").alias("label")), "final")
-    return (members.join(final.select(F.col("node").alias("class_id"), "label"), "class_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("label", "class_id").alias("component_id"))
-            .withColumn("kept", F.col("doc_id") == F.col("component_id")))
+    placed = stored(members.join(final.select(F.col("node").alias("class_id"), "label"), "class_id", "left")
+                    .select("doc_id", "id", "n_shingles", F.coalesce("label", "class_id").alias("component"),
+                            (F.col("n_shingles") > 0).alias("words")), "placed")
+    # word-less rows may share a key but are no group
+    firsts = (placed.where("words").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("f"), F.count("*").alias("n"))
+              .where("n > 1").select("component", F.col("f.id").alias("least"), F.col("f.doc_id").alias("first"), F.lit(True).alias("words")))
+    return (placed.join(firsts, ["component", "words"], "left")
+            .select(F.col("doc_id").alias("row_key"), F.col("id").alias("doc_id"), "n_shingles", "component",
+                    F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
+                    F.coalesce("first", "doc_id").alias("first")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
+
+    See ``near_duplicate_groups``.  ``kept`` marks rows whose id is the component's smallest; a component without any id
+    has a null ``component_id``, and the row that stands for it is kept.
+    """
+    groups = near_duplicate_groups(docs, shingle, threshold)
+    return groups.select("doc_id", "n_shingles", "component_id",
+                         F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("row_key") == F.col("first")))
+                         .alias("kept"))
 
 
-__all__ = ["near_duplicates", "ShingleHasher", "signature", "band_keys", "least_matches"]
+__all__ = ["near_duplicates", "near_duplicate_groups", "row_key", "ShingleHasher", "signature", "band_keys", "least_matches"]

@@ -295,14 +295,14 @@ def test_pipeline_stages_equal_brute_force(spark):
     before = {r.doc_id for r in out["language_id"]}
     assert not before & {9000, 9001, 9002} and {9003, None} <= before
     parts = brute_components([(r.doc_id, r.text) for r in out["language_id"] if r.doc_id is not None], 5, 80)
-    kept = {d for d, (_, c) in parts.items() if d == c}
+    kept = {d for d, (_, c) in parts.items() if d == c} | {None}      # a row without an id stays as a document of its own
     assert {r.doc_id for r in out["near_dedup"]} == kept
     hit = {d for d, _ in brute_contaminated([(r.doc_id, r.text) for r in out["near_dedup"]], bench)}
     assert 9003 in hit and {r.doc_id for r in out["decontamination"]} == kept - hit
     copies = Counter(r.doc_id for r in out["mixing"])
     assert set(copies) == kept - hit and max(copies.values()) <= 3
     enc, start, expected = ts._encoder(word_tokenizer()).tokenizer, 0, []
-    for r in sorted(out["mixing"], key=lambda r: r.doc_id):
+    for r in sorted(out["mixing"], key=lambda r: (r.doc_id is not None, r.doc_id)):
         ids = whole(enc, r.text) + [2]
         expected.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)

@@ -190,11 +190,30 @@ def test_near_duplicates_equal_brute_force(spark, shingle):
     got = bm.near_duplicates(docs.union(docs.where("doc_id = 1000").selectExpr("null", "text", "lang", "source", "label")),
                              shingle, 0.8).collect()
     expected = brute_components(rows, shingle, 80)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected and len(got) == len(rows)
-    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == expected
+    assert len(got) == len(rows) + 1 and [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(0, None)]
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
     assert bm.near_duplicates(docs_of(spark, []), shingle).count() == 0
 
 
+def test_near_duplicates_with_shared_and_missing_ids(spark, monkeypatch):
+    """Rows that share an id or have none are rows of their own; cells and stars of any size give the same result."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(7, a), (7, b), (7, a), (9, a + " x"), (None, b + " y"), (None, a), (None, "alone " + " ".join("cdefg")), (3, ""), (3, "")]
+    got = sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in bm.near_duplicates(docs_of(spark, rows), 2, 0.8).collect())))
+    assert got == sorted(map(str, [(7, 39, 7, True), (7, 39, 7, True), (7, 39, 7, True), (9, 40, 7, False), (None, 40, 7, False),
+                                   (None, 39, 7, False), (None, 5, None, True), (3, 0, 3, True), (3, 0, 3, True)]))
+    import corpus_pipeline
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, rows), SF).collect()
+    assert sorted((str(r.doc_id), r.text[:5]) for r in kept) == [("3", ""), ("3", ""), ("7", a[:5]), ("7", b[:5]), ("None", "alone")]
+    many = near_copies(4, 5)
+    monkeypatch.setattr(bm, "LEADERS", 1)
+    monkeypatch.setattr(bm, "CELL", 3)
+    monkeypatch.setattr(bm, "STAR", 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in bm.near_duplicates(docs_of(spark, many), 2, 0.8).collect()}
+    assert got == brute_components(many, 2, 80)
+
+
 def test_sequential_test_keeps_true_links():
     """The chance that a pair at the threshold is pruned stays near the chosen miss probability."""
     rng, looks = np.random.default_rng(1), bm.least_matches(0.8)
