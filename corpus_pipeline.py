@@ -3,8 +3,7 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that ``run`` writes as Parquet
 and rereads as the next stage's ``docs``.  All but the last return the columns of their input.
 
-Rows whose ``doc_id`` is null stay through language ID and leave at near-dedup, which needs an
-id to name a group.  Null, empty and letterless texts leave at language ID, as undetermined.
+Rows whose ``doc_id`` is null, and rows that share one, are documents of their own in every stage.  Null, empty and letterless texts leave at language ID, as undetermined.
 Extra columns travel with their rows up to the last stage.
 """
 
@@ -13,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runready.llm.bayes_minhash import near_duplicates
+from runready.llm.bayes_minhash import near_duplicate_groups, row_key
 from runready.llm.catalog import split_by_id, word_tokenizer
 from runready.llm.language_id import predict, train
 from runready.llm.spaced_seeds import contaminated
@@ -36,15 +35,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group on 5-word shingles at similarity 0.8: the one with the smallest id."""
-    out = stored(near_duplicates(docs, shingle=5, threshold=0.8).where("not kept").select("doc_id"), "later-copies")
-    return docs.where("doc_id is not null").join(out, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """One document of each group on 5-word shingles at similarity 0.8: one with the smallest id.
+
+    Rows that share an id, or have none, are documents of their own; of rows equal in id and text one stays.
+    """
+    groups = stored(near_duplicate_groups(docs, shingle=5, threshold=0.8).where("n_shingles > 0").select("row_key", "first"), "groups")
+    later = stored(groups.where("row_key <> first").select("row_key").distinct(), "later-copies")
+    repeated = stored(groups.groupBy("row_key").count().where("count > 1").select("row_key"), "repeated-rows")
+    rows, restored = shielded(docs, "doc_id", "text")
+    rows = rows.withColumn("row_key", row_key()).join(later, "row_key", "left_anti")
+    once = rows.join(repeated, "row_key", "left_anti")
+    one_of = rows.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return once.unionByName(one_of).select(*restored)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    hits = stored(contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(hits, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """Documents without a benchmark passage; rows that share an id, or have none, are judged each for itself."""
+    rows, restored = shielded(docs, "doc_id", "text")
+    rows = rows.withColumn("row_key", row_key())
+    found = contaminated(rows.select(F.col("row_key").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    hits = stored(found.select(F.col("doc_id").alias("row_key")).distinct(), "leaks")
+    return rows.join(hits, "row_key", "left_anti").select(*restored)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
