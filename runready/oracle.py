@@ -472,6 +472,16 @@ ORACLES.update({
  from outcome_in"""),
 })
 ORACLES["readiness_pass"] = ORACLES["ready_jobs"]
+ORACLES["quarantine"] = f"""
+ with w as (select event_id, user_id, {SEC} * 1000 as ms,
+   concat('{{"run_id":', event_id, case when event_id % 13 = 0 then '' else concat(',"job_id":', user_id) end,
+    ',"state":{{"life_cycle_state":"TERMINATED","result_state":"SUCCESS"}},"start_time":',
+    case when event_id % 17 = 0 then '"soon"' else cast({SEC} * 1000 as varchar) end, '}}') as whole from events),
+ l as (select *, case when event_id % 11 = 0 then substring(whole, 1, cast(12 + event_id % 50 as int)) else whole end as line,
+   case when event_id % 11 = 0 then 'not json' when event_id % 17 = 0 then 'wrong type' when event_id % 13 = 0 then 'missing job_id'
+        else 'good' end as reason from w)
+ select case when reason = 'good' then event_id end as run_id, case when reason = 'good' then user_id end as job_id,
+  case when reason = 'good' then ms end as start_time, case when reason <> 'good' then line end as line, reason from l"""
 
 
 # ---- stream: one batch per week of run starts, folded column-wise ---------------------

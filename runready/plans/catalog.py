@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import definitions, dependencies, fiscal, logs, outcome, product, readiness, runs, schedule, state
 from ..session import list_dirs, shared_path
 from ..sources import fixtures as fx
+from ..sources import quarantine
 
 RAW_RUN_FLAT = ["run_id", "job_id", "life_cycle_state", "result_state", "start_time", "end_time"]
 
@@ -190,6 +191,21 @@ def q_expire_log(spark: SparkSession, sf: str) -> DataFrame:
     return logs.expire_log(lines, fx.AS_OF, FIXTURE_RETENTION_MS)
 
 
+def q_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Every run of a landed file with broken lines: the good ones by run id, the bad ones by line and reason."""
+    from .. import schemas
+    base = shared_path(spark, "landed_runs")
+    fx.fx_run_lines(spark, sf).write.text(f"{base}/runs")
+    split = quarantine.read_checked(spark, f"{base}/runs", schemas.RAW_RUN, required=("run_id", "job_id"))
+    quarantine.write_quarantine(split, f"{base}/bad", "runs", fx.AS_OF)
+    good = quarantine.good_rows(split).select(
+        "run_id", "job_id", "start_time", F.lit(None).cast("string").alias("line"), F.lit("good").alias("reason"))
+    none = F.lit(None).cast("long")
+    bad = quarantine.read_quarantine(spark, f"{base}/bad").select(
+        none.alias("run_id"), none.alias("job_id"), none.alias("start_time"), "line", "reason")
+    return good.unionByName(bad)
+
+
 def q_classify_outcome(spark: SparkSession, sf: str) -> DataFrame:
     """Outcome of every platform run and of every external pipeline run (in factory words)."""
     db = fx.fx_runs_flat(spark, sf).select(

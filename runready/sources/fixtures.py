@@ -180,6 +180,16 @@ def fx_state_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     return platform.unionByName(feed).select(*[F.col(f.name).cast(f.dataType) for f in schemas.STATE.fields])
 
 
+def fx_run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON line per event as a run: some cut off, some with a word for a time, some without a job id."""
+    sec = "unix_seconds(cast(ts as timestamp)) * 1000"
+    whole = f"""concat('{{"run_id":', event_id, case when event_id % 13 = 0 then '' else concat(',"job_id":', user_id) end,
+        ',"state":{{"life_cycle_state":"TERMINATED","result_state":"SUCCESS"}},"start_time":',
+        case when event_id % 17 = 0 then '"soon"' else cast({sec} as string) end, '}}')"""
+    return table(spark, sf_dir, "events").selectExpr(f"{whole} as whole", "event_id").selectExpr(
+        "case when event_id % 11 = 0 then substring(whole, 1, cast(12 + event_id % 50 as int)) else whole end as value")
+
+
 def fx_calendar(spark: SparkSession) -> DataFrame:
     """Fiscal calendar: 28-day periods and 84-day quarters starting on a Saturday."""
     return spark.sql(f"""
