@@ -1,13 +1,17 @@
 """State-table operators: O9 normalize_external, O10 combine_runs, O11 merge_state.
 
-The state table holds the latest known run per (pipeline, source).  It is written as a
-new versioned Parquet folder each pass (read version v, write v+1), which replaces the
-reference's copy-to-temp-then-overwrite and makes a pass idempotent: re-running pass
-v+1 rewrites the same folder from the same inputs.
+The state table holds the latest known run per (pipeline, source).  Each pass reads version v and
+adds version v+1.  The rows lie in buckets, a hash of (pipeline, source); a pass reads the buckets that
+its new rows fall into and writes those whose rows change, and a version names the files of each bucket.
+Files are never overwritten: every attempt at a version has folders of its own, and one of them is
+committed, by creating the version's marker file where there is none.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,39 +67,94 @@ def merge_state(old: DataFrame, new: DataFrame, newest_wins: bool = False) -> Da
     One aggregate per key with a map-side partial: a hot key costs a row per map task, and
     neither side is joined or counted.
     """
+    return _merged(old, new, newest_wins).select(*schemas.STATE_COLUMNS)
+
+
+def _merged(old: DataFrame, new: DataFrame, newest_wins: bool) -> DataFrame:
+    """``merge_state`` and ``changed``: the key is new, or a value is not the one of its (greatest) old row."""
     rows = (old.select(*schemas.STATE_COLUMNS).withColumn("_side", F.lit(0))
             .unionByName(new.select(*schemas.STATE_COLUMNS).withColumn("_side", F.lit(1))))
     order = ["start_time", "end_time", "_side"] if newest_wins else ["_side", "end_time", "start_time"]
     # the value itself comes last: rows that tie in time still give one answer
     last = [F.max(F.when(F.col(c).isNotNull(), F.struct(*[F.col(o).alias(f"o{k}") for k, o in enumerate(order)],
                                                         F.col(c).alias("v")))).alias(c) for c in _VALUES]
-    merged = rows.groupBy(*_KEY).agg(*last)
-    return merged.select(*[c if c in _KEY else F.col(f"{c}.v").alias(c) for c in schemas.STATE_COLUMNS])
+    was = F.max(F.when(F.col("_side") == 0, F.struct(*_VALUES))).alias("_was")
+    merged = rows.groupBy(*_KEY).agg(*last, was)
+    merged = merged.select(*[c if c in _KEY else F.col(f"{c}.v").alias(c) for c in schemas.STATE_COLUMNS], "_was")
+    return merged.withColumn("changed", F.col("_was").isNull() | ~F.col("_was").eqNullSafe(F.struct(*_VALUES))).drop("_was")
 
 
 # ---- versioned storage -------------------------------------------------------------
 #
-# <root>/v=000000007/state       the state table written by pass 7 (Parquet)
-# <root>/v=000000007/checkpoint  one row: the high-water mark (ms) the next pass starts from, and the last
-#                               batch of each stream that is part of the state (carried from version to version)
-# A version is committed once its checkpoint folder has _SUCCESS (it is written last).
+# A pass writes, for version 7 and an attempt of its own:
+#
+# <root>/data/written=000000007-<attempt>/bucket=3   the rows of a bucket that the pass changed (Parquet)
+# <root>/v=000000007/<attempt>/buckets      for each bucket, the ``written`` folder that holds its rows
+# <root>/v=000000007/<attempt>/checkpoint   one row: the high-water mark (ms) the next pass starts from, and the last
+#                                         batch of each stream that is part of the state (carried from version to version)
+# <root>/v=000000007/_committed             the attempt that the version is; created last, and only where there is none
+#
+# ``write_state`` writes a whole table at once, into the version's own folder (state, checkpoint); such a version is
+# committed once its checkpoint has _SUCCESS.
 
 CHECKPOINT_SCHEMA = "hwm_ms long, batches map<string, long>"
+MANIFEST_SCHEMA = "bucket int, written string"
 # name of the active-run table kept with each version (runs active at that pass)
 ACTIVE_RUNS = "active_runs"
+# buckets of a new state; a state keeps its number
+STATE_BUCKETS = 32
+
+
+class VersionTaken(RuntimeError):
+    """Another pass committed the version first: this one was worked out from a state that is no longer the newest."""
 
 
 def _version_dir(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/v={version:09d}"
 
 
+def new_attempt() -> str:
+    return uuid.uuid4().hex[:12]
+
+
 def _version_numbers(spark: SparkSession, root: str) -> list[int]:
     """Numbers of all version folders, committed or not, ascending: one listing."""
     return sorted(int(n[2:]) for n in list_dirs(spark, root) if n.startswith("v=") and n[2:].isdigit())
 
 
+def _fs(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, hpath = _fs(spark, path)
+    fs.delete(hpath, True)
+
+
+def _winner(spark: SparkSession, root: str, version: int) -> str | None:
+    """The attempt named by the version's marker; None without a marker, or while it is being written."""
+    fs, marker = _fs(spark, f"{_version_dir(root, version)}/_committed")
+    if not fs.exists(marker):
+        return None
+    stream = fs.open(marker)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") or None
+    finally:
+        stream.close()
+
+
+def _home(spark: SparkSession, root: str, version: int) -> str | None:
+    """The folder of a committed version's tables; None when the version is not committed."""
+    folder = _version_dir(root, version)
+    winner = _winner(spark, root, version)
+    if winner:
+        return f"{folder}/{winner}"
+    return folder if path_exists(spark, f"{folder}/checkpoint/_SUCCESS") else None
+
+
 def _committed(spark: SparkSession, root: str, version: int) -> bool:
-    return path_exists(spark, f"{_version_dir(root, version)}/checkpoint/_SUCCESS")
+    return _home(spark, root, version) is not None
 
 
 def state_versions(spark: SparkSession, root: str) -> list[int]:
@@ -121,26 +180,92 @@ def prune_versions(spark: SparkSession, root: str, keep: int) -> list[int]:
             if kept == max(1, keep):
                 break
     gone = [v for v in numbers if oldest is not None and kept >= keep and v < oldest]
-    jvm = spark.sparkContext._jvm
+    if gone:
+        kept_homes = [h for v in numbers if v >= oldest and (h := _home(spark, root, v))]
+        _prune_data(spark, root, oldest, [f"{h}/buckets" for h in kept_homes if path_exists(spark, f"{h}/buckets/_SUCCESS")])
     for v in gone:
-        path = jvm.org.apache.hadoop.fs.Path(_version_dir(root, v))
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _version_dir(root, v))
     return gone
 
 
+def _prune_data(spark: SparkSession, root: str, oldest: int, manifests: list[str]) -> None:
+    """Delete the bucket folders written before version ``oldest`` that none of the kept versions' ``manifests`` names."""
+    data = f"{root.rstrip('/')}/data"
+    early = [f for f in list_dirs(spark, data) if int(f.removeprefix("written=").split("-", 1)[0]) < oldest]
+    if not early:
+        return
+    named = set()
+    if manifests:                        # at most a row per early folder and bucket
+        rows = spark.read.schema(MANIFEST_SCHEMA).parquet(*manifests).where(F.col("written") < F.lit(f"{oldest:09d}"))
+        named = {(f"written={r.written}", f"bucket={r.bucket}") for r in rows.distinct().collect()}
+    used = {w for w, _ in named}
+    for folder in early:
+        if folder not in used:
+            _delete(spark, f"{data}/{folder}")
+            continue
+        for bucket in list_dirs(spark, f"{data}/{folder}"):
+            if (folder, bucket) not in named:
+                _delete(spark, f"{data}/{folder}/{bucket}")
+
+
 def read_state(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """State at ``version`` (latest committed when None); an empty state when there is none."""
     if version is None:
         version = latest_version(spark, root)
     if version is None:
         return spark.createDataFrame([], schemas.STATE)
-    return spark.read.schema(schemas.STATE).parquet(f"{_version_dir(root, version)}/state")
+    home = _home(spark, root, version) or _version_dir(root, version)
+    manifest = _manifest(spark, home)
+    return _read_buckets(spark, root, manifest) if manifest else spark.read.schema(schemas.STATE).parquet(f"{home}/state")
+
+
+def _manifest(spark: SparkSession, home: str | None) -> dict[int, str | None]:
+    """Bucket -> ``written`` folder (None: no rows yet); empty for a version without buckets.  A row per bucket reaches the driver."""
+    if home is None or not path_exists(spark, f"{home}/buckets/_SUCCESS"):
+        return {}
+    return {r.bucket: r.written for r in spark.read.schema(MANIFEST_SCHEMA).parquet(f"{home}/buckets").collect()}
+
+
+def _read_buckets(spark: SparkSession, root: str, manifest: dict[int, str | None], only: set[int] | None = None) -> DataFrame:
+    paths = [f"{root.rstrip('/')}/data/written={w}/bucket={b}" for b, w in sorted(manifest.items())
+             if w is not None and (only is None or b in only)]
+    return spark.read.schema(schemas.STATE).parquet(*paths) if paths else spark.createDataFrame([], schemas.STATE)
+
+
+def rewrite_state(old: DataFrame, new: DataFrame, root: str, version: int, base: int | None, attempt: str,
+                  newest_wins: bool = False, buckets: int = STATE_BUCKETS) -> DataFrame:
+    """``merge_state`` of version ``base`` and ``new``, written as an attempt at ``version``; returns the result read back.
+
+    Of a base in buckets only those that ``new`` falls into are read, and of these only the ones in
+    which a row changes are written; all others keep their files.  A base without buckets (None, or a
+    table of ``write_state``) is taken from ``old`` and written whole.  ``new`` is evaluated twice: persist it.
+    """
+    spark = new.sparkSession
+    named = _manifest(spark, _home(spark, root, base)) if base is not None else {}
+    n = len(named) or buckets
+    bucket = F.pmod(F.xxhash64(*_KEY), F.lit(n)).cast("int").alias("bucket")
+    if named:
+        touched = {r.bucket for r in new.select(bucket).distinct().collect()}
+        old = _read_buckets(spark, root, named, touched)
+    merged = _merged(old, new, newest_wins).withColumn("bucket", bucket).persist()
+    try:
+        rows = merged if not named else merged.where("changed")
+        changed = sorted(r.bucket for r in rows.select("bucket").distinct().collect())
+        written = f"{version:09d}-{attempt}"
+        if changed:
+            (merged.where(F.col("bucket").isin(changed)).select(*schemas.STATE_COLUMNS, "bucket").repartition("bucket")
+             .write.mode("overwrite").partitionBy("bucket").parquet(f"{root.rstrip('/')}/data/written={written}"))
+    finally:
+        merged.unpersist()
+    named = {b: named.get(b) for b in range(n)} | dict.fromkeys(changed, written)
+    write_extra(spark.createDataFrame(sorted(named.items()), MANIFEST_SCHEMA).coalesce(1), root, version, "buckets", attempt)
+    return _read_buckets(spark, root, named)
 
 
 def _checkpoint_row(spark: SparkSession, root: str, version: int | None):
     if version is None:
         version = latest_version(spark, root)
-    folder = None if version is None else f"{_version_dir(root, version)}/checkpoint"
+    folder = None if version is None else f"{_home(spark, root, version) or _version_dir(root, version)}/checkpoint"
     if folder is None or not path_exists(spark, folder):
         return None
     rows = spark.read.schema(CHECKPOINT_SCHEMA).parquet(folder).limit(1).collect()
@@ -179,34 +304,64 @@ def write_state(state: DataFrame, root: str, version: int, hwm_ms: int | None =
     return path
 
 
-def read_uncommitted_state(spark: SparkSession, root: str, version: int) -> DataFrame:
-    """The state written for ``version`` before its commit."""
-    return spark.read.schema(schemas.STATE).parquet(f"{_version_dir(root, version)}/state")
-
-
 def commit_version(spark: SparkSession, root: str, version: int, hwm_ms: int | None,
                    batches: dict[str, int] | None = None) -> None:
-    """Write the checkpoint of ``version``; its _SUCCESS marks the version committed."""
-    spark.createDataFrame([(hwm_ms, batches or {})], CHECKPOINT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
-        f"{_version_dir(root, version)}/checkpoint")
+    """Write the checkpoint of a ``write_state`` version; its _SUCCESS marks the version committed."""
+    _delete(spark, f"{_version_dir(root, version)}/_committed")
+    _write_checkpoint(spark, _version_dir(root, version), hwm_ms, batches)
+
 
+def _write_checkpoint(spark: SparkSession, folder: str, hwm_ms: int | None, batches: dict[str, int] | None) -> None:
+    spark.createDataFrame([(hwm_ms, batches or {})], CHECKPOINT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+        f"{folder}/checkpoint")
 
-def has_extra(spark: SparkSession, root: str, version: int, name: str) -> bool:
-    return path_exists(spark, f"{_version_dir(root, version)}/{name}/_SUCCESS")
 
+def commit_attempt(spark: SparkSession, root: str, version: int, attempt: str, hwm_ms: int | None,
+                   batches: dict[str, int] | None = None, exclusive: bool = True) -> None:
+    """Make ``attempt`` the version: of several passes on one base the first wins, the others get ``VersionTaken``.
 
-def read_extra(spark: SparkSession, root: str, version: int | None, name: str, schema) -> DataFrame:
-    """An extra table stored with a version; empty when the version or table is missing."""
+    The marker is created with ``overwrite=false``, which is atomic on HDFS and on stores with
+    conditional writes.  A marker left empty by a writer that died in between commits nothing, and keeps
+    its number taken until it is removed.  ``exclusive=False`` replaces what the version was (a replay).
+    """
+    folder = _version_dir(root, version)
+    if exclusive and path_exists(spark, f"{folder}/checkpoint/_SUCCESS"):
+        raise VersionTaken(f"version {version} of {root} is committed")
+    _write_checkpoint(spark, f"{folder}/{attempt}", hwm_ms, batches)
+    fs, marker = _fs(spark, f"{folder}/_committed")
+    try:
+        out = fs.create(marker, not exclusive)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            raise VersionTaken(f"version {version} of {root} is committed") from e
+        raise
+    try:
+        out.write(bytearray(attempt.encode()))
+    finally:
+        out.close()
+
+
+def _extra_dir(spark: SparkSession, root: str, version: int, name: str, attempt: str | None) -> str:
+    folder = _version_dir(root, version)
+    return f"{folder}/{attempt}/{name}" if attempt else f"{_home(spark, root, version) or folder}/{name}"
+
+
+def has_extra(spark: SparkSession, root: str, version: int, name: str, attempt: str | None = None) -> bool:
+    return path_exists(spark, f"{_extra_dir(spark, root, version, name, attempt)}/_SUCCESS")
+
+
+def read_extra(spark: SparkSession, root: str, version: int | None, name: str, schema, attempt: str | None = None) -> DataFrame:
+    """An extra table stored with a version, or with an attempt at it; empty when the version or table is missing."""
     if version is None:
         version = latest_version(spark, root)
-    if version is None or not has_extra(spark, root, version, name):
+    if version is None or not has_extra(spark, root, version, name, attempt):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{_version_dir(root, version)}/{name}")
+    return spark.read.schema(schema).parquet(_extra_dir(spark, root, version, name, attempt))
 
 
-def write_extra(df: DataFrame, root: str, version: int, name: str) -> DataFrame:
-    """Write a table into (the not yet committed) ``version`` and return it read back."""
-    path = f"{_version_dir(root, version)}/{name}"
+def write_extra(df: DataFrame, root: str, version: int, name: str, attempt: str) -> DataFrame:
+    """Write a table into an attempt at ``version`` and return it read back."""
+    path = _extra_dir(df.sparkSession, root, version, name, attempt)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -215,6 +215,7 @@ ORACLES: dict[str, str] = {
     "normalize_external": with_ctes(["ext"], f"select {STATE_COLS} from ext"),
     "combine_runs": with_ctes(["lock_all", "ext"], f"select {STATE_COLS} from lock_all union all select {STATE_COLS} from ext"),
     "merge_state": with_ctes(["merged"], f"select {STATE_COLS} from merged"),
+    "state_rewrite": with_ctes(["merged"], f"select {STATE_COLS} from merged"),
 }
 
 

@@ -101,6 +101,19 @@ def q_merge_state(spark: SparkSession, sf: str) -> DataFrame:
     return state.merge_state(fx.fx_state_old(spark, sf), pass_new_rows(spark, sf))
 
 
+def q_state_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    """The state after three versions in buckets: the feed's rows, then the platform's, then the same again."""
+    from .readiness_pass import new_state_rows
+    root = shared_path(spark, "state_buckets")
+    state.write_state(fx.fx_state_old(spark, sf), root, 0, hwm_ms=fx.HWM_MS)
+    platform = new_state_rows(fx.fx_defs(spark, sf), fx.fx_runs(spark, sf), fx.fx_state_old(spark, sf), fx.HWM_MS).checkpoint()
+    for version, new in enumerate([q_normalize_external(spark, sf).checkpoint(), platform, platform], 1):
+        attempt = state.new_attempt()
+        state.rewrite_state(state.read_state(spark, root), new, root, version, version - 1, attempt)
+        state.commit_attempt(spark, root, version, attempt, fx.AS_OF * 1000)
+    return state.read_state(spark, root)
+
+
 def q_cron_fires(spark: SparkSession, sf: str) -> DataFrame:
     """Previous / next scheduled fire of each job at the start of each of its runs, at instants of the seasons
     in which clocks change, and of schedules that do not parse."""

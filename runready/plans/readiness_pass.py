@@ -123,9 +123,16 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
                    log_format: str = "csv", extras: dict[str, DataFrame] | None = None,
                    retention_ms: int | None = vocab.LOG_RETENTION_MS, newest_wins: bool = False,
                    stream_batch: tuple[str, int] | None = None, keep_versions: int | None = 100,
-                   late_ms: int | None = None, log_shape: str = "factored") -> PassResult:
+                   late_ms: int | None = None, log_shape: str = "factored", attempt: str | None = None,
+                   exclusive: bool | None = None, max_redos: int = 5,
+                   state_buckets: int = state.STATE_BUCKETS) -> PassResult:
     """Run one pass at ``as_of`` (epoch s) and write state version ``version`` (default: latest + 1).
 
+    Of passes that start from the same version one commits the next; the others are redone on it,
+    ``max_redos`` times at most, and a redone pass replaces its own log partition.  A pass with a given ``version``
+    is a replay and replaces that version, unless ``exclusive`` says otherwise: then ``VersionTaken`` is raised.
+    ``attempt`` names the folders of the pass (default: a new name); ``state_buckets``: see ``rewrite_state``.
+
     ``selected`` replaces the run selection (the stream passes its micro-batch),
     ``slot_runs`` the runs counted for open slots, and ``extras`` are tables committed with
     the version.  After the commit, log partitions at or before ``as_of - retention_ms``
@@ -136,8 +143,31 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
     ``as_of`` are not looked at, so a replay at a past instant sees the log of that instant.
     """
     raw_runs = raw_runs.where(F.col("start_time").isNull() | (F.col("start_time") < F.lit((int(as_of) + 1) * 1000)))
-    if version is None:
-        version = (state.latest_version(spark, state_root) or 0) + 1
+    redone = 0
+    while True:
+        try:
+            result = _pass_once(
+                spark, raw_defs, raw_runs, calendar, state_root, log_path, int(as_of), external,
+                version if version is not None else (state.latest_version(spark, state_root) or 0) + 1,
+                attempt or state.new_attempt(), version is None if exclusive is None else exclusive, initial_state,
+                selected, slot_runs, release_slots, carry_over, day_rule, log_format, extras, newest_wins, stream_batch,
+                late_ms, log_shape, state_buckets)
+            break
+        except state.VersionTaken:
+            redone += 1
+            if version is not None or redone > max_redos:
+                raise
+    if keep_versions is not None:
+        state.prune_versions(spark, state_root, keep_versions)
+    if retention_ms is not None:
+        logs.drop_expired_partitions(spark, log_path, as_of, retention_ms)
+    return result
+
+
+def _pass_once(spark, raw_defs, raw_runs, calendar, state_root, log_path, as_of, external, version, attempt, exclusive,
+               initial_state, selected, slot_runs, release_slots, carry_over, day_rule, log_format, extras, newest_wins,
+               stream_batch, late_ms, log_shape, state_buckets) -> PassResult:
+    """One attempt at ``version``; see ``readiness_pass``."""
     base = state.latest_version(spark, state_root, below=version)
     batches = state.read_batches(spark, state_root, base) if base is not None else {}
     if stream_batch is not None:
@@ -157,7 +187,7 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
         if base is not None and hwm is not None and state.has_extra(spark, state_root, base, state.ACTIVE_RUNS):
             prev_active = state.read_extra(spark, state_root, base, state.ACTIVE_RUNS, state.schemas.RAW_RUN)
         slot_runs = state.write_extra(runs.refresh_active_runs(raw_runs, prev_active, hwm, late_ms), state_root, version,
-                                      state.ACTIVE_RUNS)
+                                      state.ACTIVE_RUNS, attempt)
     # the definitions are read once per pass and kept for its six uses (count, run filter,
     # names, open slots, schedules, itinerary); they are dimension-sized
     defs = definitions.flatten_definitions(raw_defs).persist()
@@ -174,9 +204,10 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
         kept.append(rows)
         # the version is committed only after its decision log is written, so a failure
         # anywhere in the pass leaves it uncommitted and a replay redoes the whole pass
-        state.write_state(state.merge_state(old, rows, newest_wins), state_root, version, extras=extras,
-                          commit=False)
-        current = state.read_uncommitted_state(spark, state_root, version)
+        current = state.rewrite_state(old, rows, state_root, version, base, attempt, newest_wins,
+                                      state_buckets)
+        for name, table in (extras or {}).items():
+            state.write_extra(table, state_root, version, name, attempt)
         # the itinerary (one row per job, with its cron search) feeds both the own rows and
         # the edges; it is computed once and kept until the log is written
         itin = build_itinerary(defs, calendar, as_of, day_rule, jobs_bound=n_jobs).persist()
@@ -188,13 +219,9 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
             logs.write_decision_log(rows_of, log_path, as_of, log_format, log_shape)
         finally:
             itin.unpersist()
-        state.commit_version(spark, state_root, version, int(as_of) * 1000, batches)
+        state.commit_attempt(spark, state_root, version, attempt, int(as_of) * 1000, batches, exclusive)
     finally:
         for df in kept:
             df.unpersist()
-    if keep_versions is not None:
-        state.prune_versions(spark, state_root, keep_versions)
-    if retention_ms is not None:
-        logs.drop_expired_partitions(spark, log_path, as_of, retention_ms)
     logged = logs.read_decision_log(spark, log_path, log_format, as_of=as_of, shape=log_shape)
     return PassResult(version, int(as_of), hwm, current, logged, readiness.ready_jobs(logged))

@@ -31,6 +31,7 @@ without new runs; the tick rows are dropped before the pass.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 
@@ -55,6 +56,8 @@ def batch_instant(batch: DataFrame) -> int | None:
     return None if row["m"] is None else -(-int(row["m"]) // 1000)
 
 
+# attempts of a batch to commit the version after the newest one
+MAX_REDOS = 10
 INSTANT_SCHEMA = "stream string, batch long, as_of long"
 
 
@@ -63,17 +66,23 @@ def _now(source: DataFrame | Callable[[], DataFrame] | None) -> DataFrame | None
     return source if source is None or isinstance(source, DataFrame) else source()
 
 
+def _attempt(stream: str, batch_id: int) -> str:
+    """The folder name of a batch's attempts: a repeated attempt finds what the one before it noted."""
+    return f"{hashlib.sha256(stream.encode()).hexdigest()[:12]}-{batch_id}"
+
+
 def _instant(spark: SparkSession, state_root: str, version: int, stream: str, batch_id: int,
              take: Callable[[], int | None]) -> int | None:
     """The batch's instant: the one noted by an attempt that failed, else ``take()``, noted."""
-    noted = st.read_extra(spark, state_root, version, "instant", INSTANT_SCHEMA).where(
+    attempt = _attempt(stream, batch_id)
+    noted = st.read_extra(spark, state_root, version, "instant", INSTANT_SCHEMA, attempt).where(
         (F.col("stream") == stream) & (F.col("batch") == batch_id)).collect()
     if noted:
         return noted[0]["as_of"]
     as_of = take()
     if as_of is not None:
         st.write_extra(spark.createDataFrame([(stream, batch_id, int(as_of))], INSTANT_SCHEMA).coalesce(1),
-                       state_root, version, "instant")
+                       state_root, version, "instant", attempt)
     return as_of
 
 
@@ -104,26 +113,35 @@ def readiness_stream(spark: SparkSession, runs_dir: str, raw_defs: DataFrame | C
         as_of_fn = (lambda b, i: int(time.time())) if tick else (lambda b, i: batch_instant(b))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        base = st.latest_version(spark, state_root)
-        if base is not None and st.read_batches(spark, state_root, base).get(stream, -1) >= batch_id:
-            return
-        version = (base or 0) + 1
         # the batch is read from its files once: persisted before the instant is taken
         batch = batch.where(~F.col("_tick")).drop("_tick").persist()
         try:
-            as_of = _instant(spark, state_root, version, stream, int(batch_id), lambda: as_of_fn(batch, batch_id))
-            if as_of is None:
-                return
-            prev_active = st.read_extra(spark, state_root, base, ACTIVE, schemas.RAW_RUN)
-            # written into the (uncommitted) version first, then read back for the slot count
-            active = st.write_extra(runs_ops.active_runs(prev_active, batch), state_root, version, ACTIVE)
+            # where another pass takes the version, the batch goes on top of that one
+            if not any(attempt_batch(batch, int(batch_id)) for _ in range(MAX_REDOS)):
+                raise st.VersionTaken(f"batch {batch_id} lost its version {MAX_REDOS} times")
+        finally:
+            batch.unpersist()
+
+    def attempt_batch(batch: DataFrame, batch_id: int) -> bool:
+        base = st.latest_version(spark, state_root)
+        if base is not None and st.read_batches(spark, state_root, base).get(stream, -1) >= batch_id:
+            return True
+        version, attempt = (base or 0) + 1, _attempt(stream, batch_id)
+        as_of = _instant(spark, state_root, version, stream, batch_id, lambda: as_of_fn(batch, batch_id))
+        if as_of is None:
+            return True
+        prev_active = st.read_extra(spark, state_root, base, ACTIVE, schemas.RAW_RUN)
+        # written into the (uncommitted) attempt first, then read back for the slot count
+        active = st.write_extra(runs_ops.active_runs(prev_active, batch), state_root, version, ACTIVE, attempt)
+        try:
             readiness_pass(spark, _now(raw_defs), batch, _now(calendar), state_root, log_path, as_of,
                            external=_now(external), version=version, selected=batch, slot_runs=active,
                            release_slots=release_slots, day_rule=day_rule, log_format=log_format,
-                           retention_ms=retention_ms, newest_wins=True, stream_batch=(stream, int(batch_id)),
-                           keep_versions=keep_versions)
-        finally:
-            batch.unpersist()
+                           retention_ms=retention_ms, newest_wins=True, stream_batch=(stream, batch_id),
+                           keep_versions=keep_versions, attempt=attempt, exclusive=True)
+        except st.VersionTaken:
+            return False
+        return True
 
     writer = runs.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_location)
     if query_name:

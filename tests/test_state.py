@@ -1,7 +1,9 @@
 """External feed, union and merge; versioned storage."""
 
+import os
 import tempfile
 
+import pytest
 from conftest import rows
 from helpers import state_df
 
@@ -89,3 +91,101 @@ def test_latest_version_and_pruning(spark):
     assert state.latest_version(spark, root) == 4 and state.latest_version(spark, root, below=4) == 2
     assert state.prune_versions(spark, root, keep=2) == [1]
     assert state.state_versions(spark, root) == [2, 4] and state.read_checkpoint(spark, root) == 4
+
+
+def _files(root):
+    return {os.path.join(d, f) for d, _, names in os.walk(f"{root}/data") for f in names if f.endswith(".parquet")}
+
+
+def _add(spark, root, version, new, **options):
+    attempt = state.new_attempt()
+    base = state.latest_version(spark, root, below=version)
+    state.rewrite_state(state.read_state(spark, root, base), new, root, version, base, attempt, **options)
+    state.commit_attempt(spark, root, version, attempt, version)
+
+
+def test_only_buckets_with_changed_rows_are_written(spark):
+    """The rows are those of merge_state; buckets that no change falls into keep their files, null keys and all."""
+    root = tempfile.mkdtemp(prefix="rr-state-")
+    old = state_df(spark, [(i, "p", "0", "SUCCESS", f"j{i}", 10, 20) for i in range(200)]
+                   + [(7, None, "0", "SUCCESS", "x", 1, 2), (8, "p", None, None, None, None, None)])
+    state.write_state(old, root, 0)
+    _add(spark, root, 1, old.limit(0), buckets=8)                        # a table without buckets is laid out whole
+    first = _files(root)
+    assert len({os.path.dirname(f) for f in first}) == 8 and rows(state.read_state(spark, root)) == rows(old)
+    new = state_df(spark, [(3, "p", "1", None, "j3", 30, None), (8, "p", "1", "FAILED", None, 5, 6)])
+    _add(spark, root, 2, new)
+    added = _files(root) - first
+    assert first <= _files(root) and 1 <= len({os.path.dirname(f) for f in added}) <= 2
+    want = rows(state.merge_state(old, new))
+    assert rows(state.read_state(spark, root)) == want
+    assert set(state.read_state(spark, root).inputFiles()) == {
+        f"file://{f}" for f in first | added if os.path.basename(os.path.dirname(f))
+        not in {os.path.basename(os.path.dirname(a)) for a in added} or f in added}
+    before = _files(root)
+    _add(spark, root, 3, new)                                             # the same again: nothing to write
+    assert _files(root) == before and rows(state.read_state(spark, root)) == want
+    assert rows(state.read_state(spark, root, 1)) == rows(old)            # earlier versions stay readable
+    late = state_df(spark, [(3, "p", "0", "LATE", "j3", 1, 2)])
+    _add(spark, root, 4, late, newest_wins=True)
+    assert rows(state.read_state(spark, root)) == rows(state.merge_state(state.read_state(spark, root, 3), late, True))
+
+
+def test_pruning_keeps_the_files_that_kept_versions_name(spark):
+    root = tempfile.mkdtemp(prefix="rr-state-")
+    every = state_df(spark, [(i, "p", "0", "SUCCESS", f"j{i}", 10, 20) for i in range(60)])
+    _add(spark, root, 1, every, buckets=4)
+    for v in range(2, 6):
+        _add(spark, root, v, state_df(spark, [(1, "p", "0", f"S{v}", "j1", 10 + v, 20 + v)]))
+    want = rows(state.read_state(spark, root))
+    assert state.prune_versions(spark, root, keep=2) == [1, 2, 3]
+    assert rows(state.read_state(spark, root)) == want and state.read_state(spark, root, 4).count() == 60
+    assert sorted(os.listdir(f"{root}/data"))[0].startswith("written=000000001")
+    assert len(os.listdir(f"{root}/data")) == 3                            # versions 2 and 3 left no file that is named
+    assert len(_files(root)) == 3 + 2
+
+
+def test_one_of_two_passes_on_a_base_commits(spark):
+    root = tempfile.mkdtemp(prefix="rr-state-")
+    _add(spark, root, 1, state_df(spark, [(1, "p", "0", "SUCCESS", "a", 10, 20)]))
+    tries = {}
+    for name in ("b", "c"):                                                # both read version 1
+        tries[name] = state.new_attempt()
+        new = state_df(spark, [(2, "p", "0", "SUCCESS", name, 10, 20)])
+        state.rewrite_state(state.read_state(spark, root), new, root, 2, 1, tries[name])
+    state.commit_attempt(spark, root, 2, tries["c"], 5)
+    with pytest.raises(state.VersionTaken):
+        state.commit_attempt(spark, root, 2, tries["b"], 6)
+    assert state.read_checkpoint(spark, root) == 5
+    assert rows(state.read_state(spark, root), "pipeline") == [("a",), ("c",)]
+    state.commit_attempt(spark, root, 2, tries["b"], 7, exclusive=False)   # a replay replaces the version
+    assert rows(state.read_state(spark, root), "pipeline") == [("a",), ("b",)]
+    state.write_state(state.read_state(spark, root, 1), root, 3)
+    with pytest.raises(state.VersionTaken):                                # so does a version without buckets
+        state.commit_attempt(spark, root, 3, state.new_attempt(), 8)
+
+
+def test_a_pass_that_loses_its_version_is_redone_on_the_new_base(spark, monkeypatch):
+    from runready import schemas
+    from runready.plans.readiness_pass import readiness_pass
+    from runready.sources import fixtures as fx
+    base = tempfile.mkdtemp(prefix="rr-state-")
+    root, defs = f"{base}/state", spark.createDataFrame([], schemas.DEFINITION)
+    runs, cal = spark.createDataFrame([], schemas.RAW_RUN), fx.fx_calendar(spark)
+
+    def feed(name):
+        return spark.createDataFrame([("feed", 0, "SUCCESS", name, 1706600000, 1706600900)],
+                                     "source string, lock int, status string, pipeline string, start_time long, end_time long")
+
+    commit, raced = state.commit_attempt, []
+
+    def overtaken(*args):
+        if not raced:                                                      # another pass gets in before the commit
+            raced.append(1)
+            readiness_pass(spark, defs, runs, cal, root, f"{base}/log", fx.AS_OF - 60, external=feed("other"))
+        return commit(*args)
+
+    monkeypatch.setattr(state, "commit_attempt", overtaken)
+    done = readiness_pass(spark, defs, runs, cal, root, f"{base}/log", fx.AS_OF, external=feed("own"))
+    assert done.version == 2 and state.state_versions(spark, root) == [1, 2]
+    assert rows(state.read_state(spark, root), "pipeline") == [("other",), ("own",)]
