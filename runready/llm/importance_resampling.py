@@ -1,9 +1,8 @@
 """Quality selection by importance resampling over hashed n-grams.
 
 Two bag-of-n-grams models over ``BUCKETS`` hashed word unigrams and bigrams are counted on whole texts:
-one on the target rows, one on all rows.  A document's log weight is the mean log ratio of the two models over
-its n-grams, times their number up to ``FULL_WEIGHT`` (beyond it a longer text says no more about
-its kind).  Adding Gumbel noise to the log weights and taking the k greatest samples k documents
+one on the target rows, one on all rows.  A document's log weight is the log ratio of the two models: the sum over all
+its n-grams (``full_weight`` can temper it for long texts; that is off by default).  Adding Gumbel noise to the log weights and taking the k greatest samples k documents
 without replacement in proportion to their weights.  The noise is a hash of the id, so a rerun or a
 repeated task gives the same sample.
 """
@@ -24,7 +23,6 @@ from runready.llm.tables import ascii_words, stored, worker_cache
 
 BUCKETS = 1 << 16
 SMOOTHING = 10.0             # expected counts added on both sides: a bucket must be met often to say much
-FULL_WEIGHT = 200
 BINS = 4096
 CACHED_WORDS = 300_000
 
@@ -84,8 +82,10 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + SMOOTHING) / (expected + SMOOTHING))
 
 
-def log_weight(buckets: np.ndarray, ratios: np.ndarray) -> float:
-    return float(ratios[buckets].mean() * min(len(buckets), FULL_WEIGHT)) if len(buckets) else 0.0
+def log_weight(buckets: np.ndarray, ratios: np.ndarray, full_weight: int | None = None) -> float:
+    """The sum of the log ratios; with ``full_weight`` that of a text of more n-grams is scaled down to so many."""
+    total = float(ratios[buckets].sum()) if len(buckets) else 0.0
+    return total if full_weight is None or len(buckets) <= full_weight else total * full_weight / len(buckets)
 
 
 def kth_greatest(values: DataFrame, column: str, k: int) -> float | None:
@@ -112,13 +112,14 @@ def kth_greatest(values: DataFrame, column: str, k: int) -> float | None:
 
 
 def resample(docs: DataFrame, targets: DataFrame, share: float | None = None, seed: int = 1,
-             labelled: DataFrame | None = None) -> DataFrame:
+             labelled: DataFrame | None = None, full_weight: int | None = None) -> DataFrame:
     """``doc_id, log_weight, gumbel_key, kept`` for every row of ``docs(doc_id, text)``.
 
     ``targets(doc_id)`` names the rows of the target model (repeated ids count once, null ids
     never).  k is ``share`` of all rows, rounded up; with ``share`` None it is the share of ``labelled(doc_id)`` ids
     that are targets.  Null and empty texts have log weight 0; rows with equal keys are kept or left together;
     rows with a null id share one noise value.  Without any target all log weights are 0.  Other columns are not read.
+    ``full_weight``: see ``log_weight``.
     """
     wanted = targets.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     wanted = stored(wanted.withColumn("is_target", F.lit(True)), "targets")
@@ -133,7 +134,7 @@ def resample(docs: DataFrame, targets: DataFrame, share: float | None = None, se
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets_of = worker_cache("ngrams", NgramHasher)
         for batch in batches:
-            found = [log_weight(buckets_of(t), ratios.value) for t in batch.column("text").to_pylist()]
+            found = [log_weight(buckets_of(t), ratios.value, full_weight) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())],
                                              names=["doc_id", "log_weight"])
 

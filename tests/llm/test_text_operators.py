@@ -372,12 +372,14 @@ def test_resample_counts_ratios_and_top_k(spark):
     assert len(got) == len(rows)
     for r in got:
         texts = [t for d, t in rows if d == r.doc_id]
-        assert any(r.log_weight == pytest.approx(ir.log_weight(hasher(t), ratios)) for t in texts)
+        assert any(r.log_weight == pytest.approx(sum(ratios[b] for b in hasher(t))) for t in texts)   # all n-grams count
     keys = sorted((r.gumbel_key for r in got), reverse=True)
     cut = keys[int(np.ceil(0.5 * len(rows))) - 1]
     assert all(r.kept == (r.gumbel_key >= cut) for r in got)
     assert sum(r.kept for r in got if 100 <= r.doc_id < 120) == 0
     assert ir.resample(docs_of(spark, []), targets, share=0.5).count() == 0
+    tempered = {r.log_weight for r in ir.resample(docs, targets, share=0.5, full_weight=10).collect() if r.doc_id == 902}
+    assert tempered == {pytest.approx(ratios[hasher("x " * 30_000)].mean() * 10)}
     none = ir.resample(docs, targets.limit(0), share=0.5).collect()
     assert all(r.log_weight == 0 for r in none)
 
