@@ -64,10 +64,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         from .plans.readiness_pass import readiness_pass
         defs = readers.read_definitions(spark, args.defs)
         cal = readers.read_calendar(spark, args.calendar)
-        ext = readers.read_external(spark, args.external) if args.external else None
         as_of = args.as_of if args.as_of is not None else int(time.time())
         result = readiness_pass(spark, defs, readers.read_runs(spark, args.runs, args.runs_format), cal,
-                                args.state, args.log, as_of, external=ext, carry_over=args.carry_over,
+                                args.state, args.log, as_of, external_path=args.external, carry_over=args.carry_over,
                                 day_rule=args.day_rule, log_format=args.log_format, log_shape=args.log_shape)
         print(json.dumps({"as_of": as_of, "version": result.version, "ready_jobs": result.ready.count(),
                           "log": f"{args.log.rstrip('/')}/log_date=*/log_time={as_of}"}))

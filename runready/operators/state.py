@@ -20,12 +20,12 @@ from ..functions import vocab
 from ..session import list_dirs, path_exists
 
 
-def normalize_external(ext: DataFrame) -> DataFrame:
+def normalize_external(ext: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """External feed -> state rows.
 
     All external runs share one job id; ``lock`` is kept as the string "0"/"1" (a union
     with an integer lock would otherwise turn the column into bigint under ANSI); times
-    of any castable type become epoch seconds.
+    of any castable type become epoch seconds.  ``keep`` names further columns to carry along.
     """
     def epoch(c: str):
         return F.unix_timestamp(F.expr(f"try_cast({c} as timestamp)")).cast("long")
@@ -38,6 +38,7 @@ def normalize_external(ext: DataFrame) -> DataFrame:
         F.col("pipeline").cast("string").alias("pipeline"),
         epoch("start_time").alias("start_time"),
         epoch("end_time").alias("end_time"),
+        *keep,
     )
 
 

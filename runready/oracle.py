@@ -153,6 +153,10 @@ STEPS: dict[str, str] = {
  select *, 0 as side from fx_state_old
  union all by name select *, 1 as side from new_rows""",
     "merged": _merged("side", "end_time", "start_time", "merge_in"),
+    "feed_in": """
+ select *, 0 as side from fx_state_old
+ union all by name select *, 1 as side from ext""",
+    "fed": _merged("side", "end_time", "start_time", "feed_in"),
 }
 
 # dependency order of every CTE name
@@ -173,6 +177,8 @@ _DEPS: dict[str, list[str]] = {
     "new_rows": ["lock_incr", "ext"],
     "merge_in": ["fx_state_old", "new_rows"],
     "merged": ["merge_in"],
+    "feed_in": ["fx_state_old", "ext"],
+    "fed": ["feed_in"],
 }
 
 
@@ -215,6 +221,7 @@ ORACLES: dict[str, str] = {
     "normalize_external": with_ctes(["ext"], f"select {STATE_COLS} from ext"),
     "combine_runs": with_ctes(["lock_all", "ext"], f"select {STATE_COLS} from lock_all union all select {STATE_COLS} from ext"),
     "merge_state": with_ctes(["merged"], f"select {STATE_COLS} from merged"),
+    "feed_incremental": with_ctes(["fed"], f"select {STATE_COLS} from fed"),
     "state_rewrite": with_ctes(["merged"], f"select {STATE_COLS} from merged"),
 }
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import definitions, dependencies, fiscal, logs, outcome, product, readiness, runs, schedule, state
 from ..session import list_dirs, shared_path
 from ..sources import fixtures as fx
-from ..sources import quarantine
+from ..sources import feed, quarantine
 
 RAW_RUN_FLAT = ["run_id", "job_id", "life_cycle_state", "result_state", "start_time", "end_time"]
 
@@ -114,6 +114,20 @@ def q_state_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     return state.read_state(spark, root)
 
 
+def q_feed_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The state after two versions fed from landed files: the orders' runs, then the suppliers', of which alone are read."""
+    base = shared_path(spark, "feed")
+    root, runs_of = f"{base}/state", fx.fx_external(spark, sf)
+    state.write_state(fx.fx_state_old(spark, sf), root, 0, hwm_ms=fx.HWM_MS)
+    for version, source in enumerate(["order_feed", "supplier_feed"], 1):
+        runs_of.where(F.col("source") == source).write.mode("append").parquet(f"{base}/landed")
+        attempt = state.new_attempt()
+        new = feed.advance_feed(spark, f"{base}/landed", root, version, version - 1, attempt)
+        state.rewrite_state(state.read_state(spark, root), new, root, version, version - 1, attempt)
+        state.commit_attempt(spark, root, version, attempt, fx.AS_OF * 1000)
+    return state.read_state(spark, root)
+
+
 def q_cron_fires(spark: SparkSession, sf: str) -> DataFrame:
     """Previous / next scheduled fire of each job at the start of each of its runs, at instants of the seasons
     in which clocks change, and of schedules that do not parse."""

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..session import ensure_checkpoint_dir
 from ..functions.joins import broadcast_within
+from ..sources import feed
 from ..operators import definitions, dependencies, fiscal, logs, product, readiness, runs, schedule, state
 
 
@@ -125,13 +126,14 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
                    stream_batch: tuple[str, int] | None = None, keep_versions: int | None = 100,
                    late_ms: int | None = None, log_shape: str = "factored", attempt: str | None = None,
                    exclusive: bool | None = None, max_redos: int = 5,
-                   state_buckets: int = state.STATE_BUCKETS) -> PassResult:
+                   state_buckets: int = state.STATE_BUCKETS, external_path: str | None = None) -> PassResult:
     """Run one pass at ``as_of`` (epoch s) and write state version ``version`` (default: latest + 1).
 
     Of passes that start from the same version one commits the next; the others are redone on it,
     ``max_redos`` times at most, and a redone pass replaces its own log partition.  A pass with a given ``version``
     is a replay and replaces that version, unless ``exclusive`` says otherwise: then ``VersionTaken`` is raised.
     ``attempt`` names the folders of the pass (default: a new name); ``state_buckets``: see ``rewrite_state``.
+    ``external_path`` names the feed's files in place of ``external``: a pass then reads those that landed since its base version.
 
     ``selected`` replaces the run selection (the stream passes its micro-batch),
     ``slot_runs`` the runs counted for open slots, and ``extras`` are tables committed with
@@ -151,7 +153,7 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
                 version if version is not None else (state.latest_version(spark, state_root) or 0) + 1,
                 attempt or state.new_attempt(), version is None if exclusive is None else exclusive, initial_state,
                 selected, slot_runs, release_slots, carry_over, day_rule, log_format, extras, newest_wins, stream_batch,
-                late_ms, log_shape, state_buckets)
+                late_ms, log_shape, state_buckets, external_path)
             break
         except state.VersionTaken:
             redone += 1
@@ -166,7 +168,7 @@ def readiness_pass(spark: SparkSession, raw_defs: DataFrame, raw_runs: DataFrame
 
 def _pass_once(spark, raw_defs, raw_runs, calendar, state_root, log_path, as_of, external, version, attempt, exclusive,
                initial_state, selected, slot_runs, release_slots, carry_over, day_rule, log_format, extras, newest_wins,
-               stream_batch, late_ms, log_shape, state_buckets) -> PassResult:
+               stream_batch, late_ms, log_shape, state_buckets, external_path) -> PassResult:
     """One attempt at ``version``; see ``readiness_pass``."""
     base = state.latest_version(spark, state_root, below=version)
     batches = state.read_batches(spark, state_root, base) if base is not None else {}
@@ -188,6 +190,8 @@ def _pass_once(spark, raw_defs, raw_runs, calendar, state_root, log_path, as_of,
             prev_active = state.read_extra(spark, state_root, base, state.ACTIVE_RUNS, state.schemas.RAW_RUN)
         slot_runs = state.write_extra(runs.refresh_active_runs(raw_runs, prev_active, hwm, late_ms), state_root, version,
                                       state.ACTIVE_RUNS, attempt)
+    if external_path is not None:
+        external = feed.advance_feed(spark, external_path, state_root, version, base, attempt)
     # the definitions are read once per pass and kept for its six uses (count, run filter,
     # names, open slots, schedules, itinerary); they are dimension-sized
     defs = definitions.flatten_definitions(raw_defs).persist()
