@@ -4,10 +4,12 @@ Templates fall into classes of similar length: class L holds those of L / 1.5 to
 class a text is cut into windows of 1.25 L tokens that start every L / 4: each run of L tokens lies whole in one of them,
 so the window that holds a template has a Jaccard similarity of at least 0.53 to it, and of at least
 0.4 to one that keeps ``MIN_CONTAINMENT`` of its shingles.  ``BANDS`` bands of ``ROWS`` minima
-then collide with probability 1 - (1 - 0.4^2)^48 > 0.9997.  The minimum of a window is the least of its quarter steps'
-minima, so every shingle is hashed once, whatever the number of classes.
+then collide with probability 1 - (1 - 0.4^2)^48 > 0.9997.
 
 A retrieved template is a match where at least ``MIN_CONTAINMENT`` of its distinct shingles stand in the window.
+So a window with fewer shingles of its class than the least of the class's templates needs cannot match, and is not
+signed: the shingles of each class are looked up in a bitmap and counted over the windows.  The rest is signed from its
+quarter steps, whose minima are taken once a class.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ HASHES = BANDS * ROWS
 SHINGLE = 2
 MIN_CONTAINMENT = 0.8
 CHUNK = 64                   # documents looked at together
-PIECE = 20_000               # shingles hashed at once: bounds the memory of very long texts
+PIECE = 20_000               # shingles looked at together: bounds the memory of very long texts
+BITMAP_BITS = 18
 
 # Well-known license notices.
 TEMPLATES = {
@@ -107,13 +110,12 @@ def shingles(tokens: np.ndarray) -> np.ndarray:
     return h
 
 
-def minima(members: np.ndarray, step: int) -> np.ndarray:
-    """``HASHES`` minima over each run of ``step`` shingles: one column a run, the last run may be short."""
-    x = (members >> np.uint64(32)).astype(np.uint32)
-    starts = np.arange(0, len(x), step)
-    out = np.empty((HASHES, len(starts)), np.uint32)
+def minima(runs: np.ndarray) -> np.ndarray:
+    """``HASHES`` minima over each column of shingles."""
+    x = (runs >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((HASHES, x.shape[1]), np.uint32)
     for k in range(HASHES):
-        out[k] = np.minimum.reduceat(x * _MULT[k] + _ADD[k], starts)
+        out[k] = (x * _MULT[k] + _ADD[k]).min(0)
     return out
 
 
@@ -141,36 +143,61 @@ class Templates:
                     self.sets.append(s)
                     sizes.append(len(t))
         self.classes: dict[int, dict[int, list[int]]] = {}
+        self.least: dict[int, int] = {}
         for k, size in enumerate(sizes):
             length = 6
             while length < size:
                 length = length * 3 // 2
             index = self.classes.setdefault(length, {})
-            for key in band_hashes(minima(self.sets[k], len(self.sets[k])))[:, 0].tolist():
+            for key in band_hashes(minima(self.sets[k][:, None]))[:, 0].tolist():
                 index.setdefault(key, []).append(k)
+            needed = int(np.ceil(MIN_CONTAINMENT * len(self.sets[k]) - 1e-9))
+            self.least[length] = min(self.least.get(length, needed), needed)
         self.keys = {c: np.array(sorted(index), np.uint64) for c, index in self.classes.items()}
+        # bit c of a bitmap's entry: a shingle with these leading bits stands in a template of the c-th class
+        self.bitmap = np.zeros(1 << BITMAP_BITS, np.uint64)
+        for c, index in enumerate(self.classes.values()):
+            for k in {k for found in index.values() for k in found}:
+                self.bitmap[self._place(self.sets[k])] |= np.uint64(1 << c)
+
+    @staticmethod
+    def _place(members: np.ndarray) -> np.ndarray:
+        return (members >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
     def candidates(self, members: np.ndarray) -> set[tuple[int, int, int]]:
-        """(template, first shingle, last shingle + 1) of every window that shares a band key with a template."""
+        """(template, first shingle, last shingle + 1) of every window that shares a band key with a template
+        and holds enough shingles of its class to match."""
         found = set()
-        for length, index in self.classes.items():
+        if not len(members):
+            return found
+        classes_of = self.bitmap[self._place(members)]
+        for c, (length, index) in enumerate(self.classes.items()):
             step = max(1, length // 4)
             runs_in_window = -(-5 * length // (4 * step))           # a window is 1.25 lengths
-            # long inputs go piece by piece; pieces begin at a window's start and overlap by a window
-            piece = max(1, PIECE // step) * step
-            for start in range(0, max(1, len(members)), piece):
-                part = members[start:start + piece + runs_in_window * step]
-                if not len(part):
+            held = np.concatenate([[0], np.cumsum((classes_of >> np.uint64(c)) & np.uint64(1), dtype=np.int64)])
+            first = np.arange(0, len(members), step)
+            n_held = held[np.minimum(first + runs_in_window * step, len(members))] - held[first]
+            windows = np.flatnonzero(n_held >= self.least[length])
+            # a piece of windows lies within PIECE shingles
+            piece = windows * step // PIECE
+            for own in np.split(windows, np.flatnonzero(np.diff(piece)) + 1):
+                if not len(own):
                     continue
-                runs = minima(part, step)
-                sigs = runs.copy()
-                for ahead in range(1, runs_in_window):
-                    np.minimum(sigs[:, :-ahead], runs[:, ahead:], out=sigs[:, :-ahead])
+                ahead = np.minimum(own[:, None] + np.arange(runs_in_window), len(first) - 1)
+                runs, at = np.unique(ahead, return_inverse=True)
+                # the last run may be short: its last shingle stands for those beyond the end
+                places = np.minimum(runs * step + np.arange(step)[:, None], len(members) - 1)
+                least, at = minima(members[places]), at.reshape(ahead.shape)
+                sigs = least[:, at[:, 0]]
+                for k in range(1, runs_in_window):
+                    np.minimum(sigs, least[:, at[:, k]], out=sigs)
                 keys = band_hashes(sigs)
-                for band, window in zip(*np.nonzero(np.isin(keys, self.keys[length])), strict=True):
-                    at = start + int(window) * step
+                known = self.keys[length]
+                hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+                for band, window in zip(*np.nonzero(hit), strict=True):
+                    start = int(own[window]) * step
                     for k in index[int(keys[band, window])]:
-                        found.add((k, at, at + runs_in_window * step))
+                        found.add((k, start, start + runs_in_window * step))
         return found
 
 

@@ -312,6 +312,42 @@ def test_license_scan(spark):
     assert license_scan.scan(docs_of(spark, [])).count() == 0
 
 
+def test_license_scan_finds_what_an_exact_search_finds(spark):
+    """Every run of a notice's length that holds 0.8 of its shingles, over the whole given table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {(r.doc_id, r.license) for r in license_scan.scan(docs).collect()}
+    tokens = spaced_seeds.TokenHasher()
+    notices = [(name, set(license_scan.shingles(tokens(n)).tolist()), len(license_scan.shingles(tokens(n))))
+               for name, each in license_scan.TEMPLATES.items() for n in each]
+    expected = set()
+    for r in docs.select("doc_id", "text").where("text is not null").collect():
+        s = license_scan.shingles(tokens(r.text)).tolist()
+        whole_text = set(s)
+        for name, notice, n in notices:
+            if (len(notice & whole_text) >= 0.8 * len(notice)
+                    and any(len(notice & set(s[a:a + n])) >= 0.8 * len(notice) for a in range(max(1, len(s) - n + 1)))):
+                expected.add((r.doc_id, name))
+    assert expected and expected <= got
+    # what is found beyond: runs up to a window of 1.25 * 1.5 notices long
+    assert len(got - expected) <= 0.05 * len(got)
+
+
+def test_license_scan_repeated_ids_clashing_columns_and_pieces(spark, monkeypatch):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+    notice = license_scan.TEMPLATES["MIT"][2]
+    assert notice.startswith(mit)
+    long_text = "plain words " * 9_000 + notice + " more words" * 9_000 + " " + notice
+    rows = [(1, notice), (1, notice), (None, notice), (2, long_text), (3, None), (4, ""), (5, notice[:200])]
+    docs = docs_of(spark, rows).selectExpr("*", "doc_id as license", "doc_id as notice", "text as containment")
+    got = Counter((r.doc_id, r.license, r.notice) for r in license_scan.scan(docs).collect())
+    assert got == {(1, "MIT", 2): 2, (None, "MIT", 2): 1, (2, "MIT", 2): 1}
+    templates = license_scan.Templates(license_scan.TEMPLATES)
+    members = license_scan.shingles(spaced_seeds.TokenHasher()(long_text + " " + " ".join([notice] * 40)))
+    whole_text = templates.candidates(members)
+    monkeypatch.setattr(license_scan, "PIECE", 64)
+    assert whole_text and templates.candidates(members) == whole_text
+
+
 # ---- op9 -----------------------------------------------------------------------------
 
 def whole(tokenizer, text):
