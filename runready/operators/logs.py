@@ -6,7 +6,8 @@
 * Invocation log: one line per started job, pipe-separated with every field quoted and a
   header, partitioned by the month of its start (``yyyymm``); appends.
 * Retention: rows (and partitions) whose instant is at or before ``as_of - retention``
-  expire; partition folders are dropped through the Hadoop FileSystem API.
+  expire; partition folders are dropped through the Hadoop FileSystem API.  ``log_files`` has retention by
+  the size and time of files, and the compaction of the invocation log.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import vocab
 from ..session import path_exists
+from . import log_files
 
 _DECISION_TYPES = {
     "as_of": T.LongType(), "job_id": T.LongType(), "lock_flag": T.IntegerType(), "last_start_time": T.LongType(),
@@ -126,6 +128,8 @@ def write_invocation_log(invocations: DataFrame, path: str, batch: str | None =
 
     Writing the same ``batch`` again replaces its lines; without one the lines are a batch of their own.
     """
+    if batch is not None and batch.startswith(log_files.COMPACTED):
+        raise ValueError(f"batch names that begin with {log_files.COMPACTED!r} are taken")
     out = invocations.select(*[F.col(f.name).cast(f.dataType) for f in schemas.INVOCATION.fields])
     out = _each_string(out, _escaped).withColumns({
         "yyyymm": F.date_format(F.timestamp_millis(F.col("start_time")), "yyyyMM"),
@@ -134,10 +138,24 @@ def write_invocation_log(invocations: DataFrame, path: str, batch: str | None =
      .options(**CSV_OPTIONS).csv(path))
 
 
+INVOCATION_FILES = T.StructType(list(schemas.INVOCATION.fields)
+                               + [T.StructField("yyyymm", T.StringType()), T.StructField("batch", T.StringType())])
+
+
+def _invocation_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The log's lines as they lie in its files, of all batches."""
+    return spark.read.schema(INVOCATION_FILES).options(**CSV_OPTIONS).csv(path)
+
+
 def read_invocation_log(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType(list(schemas.INVOCATION.fields)
-                          + [T.StructField("yyyymm", T.StringType()), T.StructField("batch", T.StringType())])
-    return _each_string(spark.read.schema(schema).options(**CSV_OPTIONS).csv(path), _unescaped).drop("batch")
+    """The invocation lines of all months; a compacted batch stands for those it was made from."""
+    lines = log_files.read_visible(spark, path, lambda: _invocation_lines(spark, path))
+    return _each_string(lines, _unescaped).drop("batch")
+
+
+def compact_invocation_log(spark: SparkSession, path: str, **how) -> list[str]:
+    """One set of files a month in place of one a batch (see ``log_files.compact``, also for ``how``)."""
+    return log_files.compact(spark, path, lambda: _invocation_lines(spark, path), CSV_OPTIONS, **how)
 
 
 def expire_log(log: DataFrame, as_of: int, retention_ms: int = vocab.LOG_RETENTION_MS,

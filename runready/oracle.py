@@ -471,6 +471,9 @@ ORACLES.update({
     "expire_log": with_ctes(["fx_runs"], f"""
  select run_id, job_id, cast(floor(start_time / 1000.0) as bigint) as log_time from fx_runs
  where cast(floor(start_time / 1000.0) as bigint) * 1000 > {AS_OF * 1000 - 10 * 86400 * 1000}"""),
+    "expire_files": with_ctes(["fx_runs"], f"""
+ select run_id, job_id, start_time, strftime(epoch_ms(start_time), '%Y-%m-%d') as day from fx_runs
+ where (start_time // 86400000 + 1) * 86400000 > {AS_OF * 1000 - 10 * 86400 * 1000}"""),
     "classify_outcome": with_ctes(["outcome_in"], f"""
  select system, run_key, state, result,
   case when lower(system) = 'db' then coalesce(state in ({TERMINAL}), false)
@@ -480,6 +483,7 @@ ORACLES.update({
  from outcome_in"""),
 })
 ORACLES["readiness_pass"] = ORACLES["ready_jobs"]
+ORACLES["invocation_compaction"] = ORACLES["invocation_log"]
 ORACLES["quarantine"] = f"""
  with w as (select event_id, user_id, {SEC} * 1000 as ms,
    concat('{{"run_id":', event_id, case when event_id % 13 = 0 then '' else concat(',"job_id":', user_id) end,

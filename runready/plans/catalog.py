@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import definitions, dependencies, fiscal, logs, outcome, product, readiness, runs, schedule, state
+from ..operators import definitions, dependencies, fiscal, log_files, logs, outcome, product, readiness, runs, schedule, state
 from ..session import list_dirs, shared_path
 from ..sources import fixtures as fx
 from ..sources import feed, quarantine
@@ -207,6 +207,45 @@ def q_invocation_log(spark: SparkSession, sf: str) -> DataFrame:
     return logs.read_invocation_log(spark, path)
 
 
+def q_invocation_compaction(spark: SparkSession, sf: str) -> DataFrame:
+    """Invocation lines appended in four batches, compacted after the third and after the fourth, old batches deleted."""
+    path = shared_path(spark, "invocation_months")
+    lines, day = fx.fx_invocations(spark, sf), F.dayofmonth(F.timestamp_millis(F.col("start_time")))
+    for k, batch in enumerate([day <= 8, (day > 8) & (day <= 16), (day > 16) & (day <= 24), day > 24], 1):
+        logs.write_invocation_log(lines.where(batch), path, f"batch {k}")
+        if k >= 3:
+            logs.compact_invocation_log(spark, path, settle_ms=0)
+    log_files.vacuum(spark, path, keep_ms=0)
+    return logs.read_invocation_log(spark, path)
+
+
+def q_expire_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of the daily files that a retention by modification time keeps; a file is last written as its day ends."""
+    path = shared_path(spark, "run_files")
+    (fx.fx_runs_flat(spark, sf).select("run_id", "job_id", "start_time", F.date_format(
+        F.timestamp_millis(F.col("start_time")), "yyyy-MM-dd").alias("day"))
+     .repartition("day").write.partitionBy("day").parquet(path))
+    _stamp_files(spark, path, lambda folder: _day_end_ms(folder.split("=")[1]))
+    log_files.drop_expired_files(spark, path, fx.AS_OF, FIXTURE_RETENTION_MS)
+    return spark.read.schema("run_id long, job_id long, start_time long, day string").parquet(path)
+
+
+def _day_end_ms(day: str) -> int:
+    from datetime import UTC, datetime
+    return int(datetime.fromisoformat(day).replace(tzinfo=UTC).timestamp() + 86_400) * 1000
+
+
+def _stamp_files(spark: SparkSession, path: str, time_of) -> None:
+    """Give the files of each sub-folder the modification time ``time_of(folder name)``: test input only."""
+    jvm = spark.sparkContext._jvm
+    for name in list_dirs(spark, path):
+        if "=" in name:
+            hpath = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            for st in fs.listStatus(hpath):
+                fs.setTimes(st.getPath(), time_of(name), -1)
+
+
 # Retention used by the expire_log fixture query (10 days in ms).
 FIXTURE_RETENTION_MS = 10 * 86400 * 1000
 
