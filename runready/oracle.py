@@ -483,6 +483,7 @@ ORACLES.update({
  from outcome_in"""),
 })
 ORACLES["readiness_pass"] = ORACLES["ready_jobs"]
+ORACLES["run_log_selection"] = ORACLES["select_runs_incremental"]
 ORACLES["invocation_compaction"] = ORACLES["invocation_log"]
 ORACLES["quarantine"] = f"""
  with w as (select event_id, user_id, {SEC} * 1000 as ms,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import definitions, dependencies, fiscal, log_files, logs, outcome, product, readiness, runs, schedule, state
+from ..operators import definitions, dependencies, fiscal, log_files, logs, outcome, product, readiness, run_log, runs, schedule, state
 from ..session import list_dirs, shared_path
 from ..sources import fixtures as fx
 from ..sources import feed, quarantine
@@ -47,6 +47,20 @@ def q_select_runs_incremental(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_runs(runs.select_runs(fx.fx_runs(spark, sf), fx.fx_state_old(spark, sf), hwm_ms=fx.HWM_MS))
 
 
+# Fixed value: 2024-01-25 00:00 UTC, before the fixture's high-water mark.
+LANDED_AGAIN_MS = 1_706_140_800_000
+
+
+def q_run_log_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """O5 incremental over a landed log: the late days landed first as still running, then as they ended."""
+    path = shared_path(spark, "run_log")
+    log, late = fx.fx_runs(spark, sf), F.col("start_time") >= F.lit(LANDED_AGAIN_MS)
+    running = F.struct(F.lit("RUNNING").alias("life_cycle_state"), F.lit(None).cast("string").alias("result_state"))
+    run_log.land_runs(log.withColumn("state", F.when(late, running).otherwise(F.col("state"))), path)
+    run_log.land_runs(log.where(late), path)
+    return _flat_runs(run_log.select_landed(run_log.read_run_log(spark, path), fx.fx_state_old(spark, sf), fx.HWM_MS))
+
+
 def q_open_slots(spark: SparkSession, sf: str) -> DataFrame:
     """Free concurrent slots of multi-slot jobs with active runs."""
     return runs.open_slots(fx.fx_runs(spark, sf), _defs(spark, sf)).select(

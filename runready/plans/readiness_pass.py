@@ -26,7 +26,7 @@ from ..functions import vocab
 from ..session import ensure_checkpoint_dir
 from ..functions.joins import broadcast_within
 from ..sources import feed
-from ..operators import definitions, dependencies, fiscal, logs, product, readiness, runs, schedule, state
+from ..operators import definitions, dependencies, fiscal, logs, product, readiness, run_log, runs, schedule, state
 
 
 @dataclass
@@ -69,12 +69,16 @@ def new_state_rows(raw_defs: DataFrame, raw_runs: DataFrame, old_state: DataFram
 
 def select_defined_runs(raw_runs: DataFrame, defs: DataFrame, n_jobs: int, old_state: DataFrame,
                         hwm_ms: int | None, carry_over: str = "reference") -> DataFrame:
-    """``select_runs`` over the runs of defined jobs (the others would be dropped later anyway)."""
+    """``select_runs`` over the runs of defined jobs (the others would be dropped later anyway).
+
+    A log with start dates (``run_log.read_run_log``) is read by ``run_log.select_landed``.
+    """
     ids = broadcast_within(defs.select("job_id"), n_jobs)
     # rows of retired jobs and of external feeds carry nothing over either; the feeds' constant job id goes by a
     # filter, as a join on a constant has no key to hash
     own = old_state.where(F.col("job_id") != F.lit(vocab.EXTERNAL_JOB_ID)).join(ids, "job_id", "left_semi")
-    return runs.select_runs(raw_runs.join(ids, "job_id", "left_semi"), own, hwm_ms, carry_over, jobs_bound=n_jobs)
+    select = run_log.select_landed if run_log.DAY in raw_runs.columns else runs.select_runs
+    return select(raw_runs.join(ids, "job_id", "left_semi"), own, hwm_ms, carry_over, jobs_bound=n_jobs)
 
 
 def build_itinerary(defs: DataFrame, calendar: DataFrame, as_of: int, day_rule: str = "and",
