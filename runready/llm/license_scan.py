@@ -5,6 +5,7 @@ class a text is cut into windows of 1.25 L tokens that start every L / 4: each r
 so the window that holds a template has a Jaccard similarity of at least 0.53 to it, and of at least
 0.4 to one that keeps ``MIN_CONTAINMENT`` of its shingles.  ``BANDS`` bands of ``ROWS`` minima
 then collide with probability 1 - (1 - 0.4^2)^48 > 0.9997.
+Classes under 6 tokens have windows of L tokens, one at every token.
 
 A retrieved template is a match where at least ``MIN_CONTAINMENT`` of its distinct shingles stand in the window.
 So a window with fewer shingles of its class than the least of the class's templates needs cannot match, and is not
@@ -42,6 +43,7 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is "
         "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License.",
+        "SPDX-License-Identifier: Apache-2.0",
     ],
     "MIT": [
         "Released under the MIT License.",
@@ -53,27 +55,37 @@ TEMPLATES = {
         "conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial "
         "portions of the Software.",
+        "SPDX-License-Identifier: MIT",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version.",
+        "SPDX-License-Identifier: GPL-3.0",
     ],
     "GPL-2.0": [
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
         "option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
         "following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
@@ -89,6 +101,33 @@ TEMPLATES = {
     ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions:",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this "
+        "work.",
+        "SPDX-License-Identifier: CC0-1.0",
     ],
 }
 
@@ -145,7 +184,7 @@ class Templates:
         self.classes: dict[int, dict[int, list[int]]] = {}
         self.least: dict[int, int] = {}
         for k, size in enumerate(sizes):
-            length = 6
+            length = 2
             while length < size:
                 length = length * 3 // 2
             index = self.classes.setdefault(length, {})
@@ -173,7 +212,8 @@ class Templates:
         classes_of = self.bitmap[self._place(members)]
         for c, (length, index) in enumerate(self.classes.items()):
             step = max(1, length // 4)
-            runs_in_window = -(-5 * length // (4 * step))           # a window is 1.25 lengths
+            # a window is 1.25 lengths; of a few tokens, just those, as one starts at every token
+            runs_in_window = -(-5 * length // (4 * step)) if length >= 6 else length - 1
             held = np.concatenate([[0], np.cumsum((classes_of >> np.uint64(c)) & np.uint64(1), dtype=np.int64)])
             first = np.arange(0, len(members), step)
             n_held = held[np.minimum(first + runs_in_window * step, len(members))] - held[first]

@@ -332,6 +332,15 @@ def test_license_scan_finds_what_an_exact_search_finds(spark):
     assert len(got - expected) <= 0.05 * len(got)
 
 
+def test_license_identifiers_are_told_apart(spark):
+    lines = {k: (name, notice) for k, (name, notice) in enumerate(
+        (name, notice) for name, each in license_scan.TEMPLATES.items() for notice in each if notice.startswith("SPDX"))}
+    rows = [(k, f"some code here // {notice.lower()} and more of it") for k, (_, notice) in lines.items()]
+    rows += [(100, "SPDX-License-Identifier: Something-Else-9"), (101, "the license identifier of mit")]
+    got = {(r.doc_id, r.license) for r in license_scan.scan(docs_of(spark, rows)).collect()}
+    assert got == {(k, name) for k, (name, _) in lines.items()}
+
+
 def test_license_scan_repeated_ids_clashing_columns_and_pieces(spark, monkeypatch):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
     notice = license_scan.TEMPLATES["MIT"][2]
