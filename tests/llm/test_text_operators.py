@@ -429,6 +429,39 @@ def test_resample_counts_ratios_and_top_k(spark):
     assert all(r.log_weight == 0 for r in none)
 
 
+def test_resample_equals_plain_python_models(spark):
+    """Weights, noise and choice over the whole given table, from counts, hashes and logarithms of this test's own."""
+    import math
+
+    import xxhash
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    mask, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    targets = set(sorted(texts)[::3])
+
+    def grams(text):
+        h = [xxhash.xxh3_64_intdigest(w.lower()) for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
+        for a, b in zip(h, h[1:]):
+            two = (a * odd & mask) ^ b
+            yield ((two ^ two >> 31) * odd & mask) >> 48
+        for a in h:
+            yield a >> 48
+
+    each = {d: list(grams(t)) for d, t in texts.items()}
+    raw = Counter(g for gs in each.values() for g in gs)
+    good = Counter(g for d in targets for g in each[d])
+    share = sum(good.values()) / sum(raw.values())
+    ratio = {g: math.log((good[g] + 10) / (n * share + 10)) for g, n in raw.items()}
+    weights = {d: sum(ratio[g] for g in gs) for d, gs in each.items()}
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id, 7) as h").collect()}
+    keys = {d: w - math.log(-math.log((((hashes[d] & mask) >> 11) + 0.5) / 2 ** 53)) for d, w in weights.items()}
+    best = set(sorted(keys, key=keys.get, reverse=True)[:math.ceil(0.4 * len(keys))])
+    got = ir.resample(docs, spark.createDataFrame([(d,) for d in targets], "doc_id long"), share=0.4, seed=7).collect()
+    assert len(got) == len(texts) and {r.doc_id for r in got if r.kept} == best
+    for r in got:
+        assert r.log_weight == pytest.approx(weights[r.doc_id], abs=1e-9) and r.gumbel_key == pytest.approx(keys[r.doc_id], abs=1e-9)
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 5, 9, 20])
 def test_kth_greatest(spark, k):
     values = [3.5, -1.0, 3.5, 7.25, 0.0, 7.25, -1e9, 2.0, 1e-300]
