@@ -73,17 +73,27 @@ def lookup_join(left: DataFrame, right: DataFrame, left_key, right_key: str, rig
     * otherwise the keys of ``left`` are counted (a partial aggregate).  Rows whose key
       reaches ``hot_rows`` join a broadcast of just the matching ``right`` rows (bounded by
       the number of hot keys); the remaining rows take an ordinary shuffle join, which has no
-      hot key left.  Null keys never match, as in a plain join.
+      hot key left.  Without a hot key all rows take it.  Null keys never match, as in a plain join.
     """
     lk = left.withColumn("_lk", left_key)
     cond_col = F.col("_lk") == F.col(right_key)
     if fits_broadcast(right_rows, right):
         return lk.join(F.broadcast(right), cond_col, "left").drop("_lk")
-    hot = broadcast_if_small(lk.groupBy("_lk").count().where(F.col("count") >= hot_rows)
-                             .select(F.col("_lk").alias("_hk")).where(F.col("_hk").isNotNull()))
+    hot = (lk.groupBy("_lk").count().where(F.col("count") >= hot_rows)
+           .select(F.col("_lk").alias("_hk")).where(F.col("_hk").isNotNull()))
+    if not hot.limit(1).count():         # no key to split off: one shuffle join, and ``left`` is not gone through again
+        return lk.join(right, cond_col, "left").drop("_lk")
+    hot = broadcast_if_small(hot)
     hot_left = lk.join(hot, F.col("_lk") == F.col("_hk"), "left_semi")
     cold_left = lk.join(hot, F.col("_lk") == F.col("_hk"), "left_anti")
     right_hot = broadcast_if_small(right.join(hot, F.col(right_key) == F.col("_hk"), "left_semi"))
     hot_part = hot_left.join(right_hot, cond_col, "left")
     cold_part = cold_left.join(right, cond_col, "left")
     return hot_part.unionByName(cold_part).drop("_lk")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` over all cores, however few files or row groups it was read from."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)

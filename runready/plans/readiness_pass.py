@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..session import ensure_checkpoint_dir
-from ..functions.joins import broadcast_within
+from ..functions.joins import broadcast_within, spread
 from ..sources import feed
 from ..operators import definitions, dependencies, fiscal, logs, product, readiness, run_log, runs, schedule, state
 
@@ -83,10 +83,13 @@ def select_defined_runs(raw_runs: DataFrame, defs: DataFrame, n_jobs: int, old_s
 
 def build_itinerary(defs: DataFrame, calendar: DataFrame, as_of: int, day_rule: str = "and",
                     jobs_bound: int | None = None) -> DataFrame:
-    """Every job with its fire times and fiscal bounds at ``as_of`` (one row per job)."""
+    """Every job with its fire times and fiscal bounds at ``as_of`` (one row per job).
+
+    The jobs are spread over all cores, as the decision rows are worked out where a job lies.
+    """
     fires = schedule.cron_fires(defs, as_of=as_of, day_rule=day_rule)
     bounds = fiscal.fiscal_bounds_at(calendar, as_of)
-    return dependencies.itinerary(defs, fires, bounds, as_of=as_of, jobs_bound=jobs_bound)
+    return dependencies.itinerary(spread(defs, "job_id"), fires, bounds, as_of=as_of, jobs_bound=jobs_bound)
 
 
 def decide(spark: SparkSession, raw_defs: DataFrame, calendar: DataFrame, current_state: DataFrame, as_of: int,
@@ -197,8 +200,8 @@ def _pass_once(spark, raw_defs, raw_runs, calendar, state_root, log_path, as_of,
     if external_path is not None:
         external = feed.advance_feed(spark, external_path, state_root, version, base, attempt)
     # the definitions are read once per pass and kept for its six uses (count, run filter,
-    # names, open slots, schedules, itinerary); they are dimension-sized
-    defs = definitions.flatten_definitions(raw_defs).persist()
+    # names, open slots, schedules, itinerary); a file of them may be one task to read, so they are spread
+    defs = definitions.flatten_definitions(spread(raw_defs, "job_id")).persist()
     kept = [defs]
     try:
         n_jobs = defs.count()
@@ -208,8 +211,7 @@ def _pass_once(spark, raw_defs, raw_runs, calendar, state_root, log_path, as_of,
             selected = select_defined_runs(raw_runs, defs, n_jobs, old, hwm, carry_over).persist()
             kept.append(selected)
         rows = new_state_rows(raw_defs, raw_runs, old, hwm, external, selected, slot_runs, release_slots, carry_over,
-                              defs=defs, n_jobs=n_jobs).persist()
-        kept.append(rows)
+                              defs=defs, n_jobs=n_jobs)
         # the version is committed only after its decision log is written, so a failure
         # anywhere in the pass leaves it uncommitted and a replay redoes the whole pass
         current = state.rewrite_state(old, rows, state_root, version, base, attempt, newest_wins,

@@ -26,3 +26,14 @@ def test_broadcast_hints_follow_the_bound(spark):
     assert "broadcast" in plan(joins.broadcast_within(small, 10)).lower()
     assert "broadcast" not in plan(joins.broadcast_within(small, None)).lower()
     assert "broadcast" in plan(joins.broadcast_if_small(small)).lower()
+
+
+def test_lookup_without_hot_keys_is_one_join(spark):
+    """Without a hot key the left side is gone through once: no split, no union."""
+    left = spark.createDataFrame([(i, f"k{i % 5}" if i % 3 else None) for i in range(40)], "i int, name string")
+    right = spark.createDataFrame([("k1", 1), ("k1", 2), ("k2", 3)], "rk string, v int")
+    got = joins.lookup_join(left, right, left["name"], "rk", right_rows=None, hot_rows=100)
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    split = joins.lookup_join(left, right, left["name"], "rk", right_rows=None, hot_rows=5)
+    assert got.columns == split.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, split.collect()))

@@ -119,3 +119,14 @@ def T_DECISIONS():
 
     from runready.operators import logs
     return T.StructType(logs.DECISION_LOG.fields[:-2])
+
+
+def test_itinerary_of_one_file_is_spread(spark):
+    """Definitions that are read as one partition are decided by all cores."""
+    from runready.operators import definitions
+    from runready.plans.readiness_pass import build_itinerary
+    from runready.sources import fixtures as fx
+    defs = definitions.flatten_definitions(fx.fx_defs(spark, SMOKE)).coalesce(1)
+    itin = build_itinerary(defs, fx.fx_calendar(spark), fx.AS_OF, jobs_bound=defs.count())
+    assert itin.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert itin.count() == defs.count()
