@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,24 @@ def merge_state(old: DataFrame, new: DataFrame, newest_wins: bool = False) -> Da
     return _merged(old, new, newest_wins).select(*schemas.STATE_COLUMNS)
 
 
+def decisive_rows(rows: DataFrame, newest_wins: bool = False) -> DataFrame:
+    """The rows that give a key one of its values in ``merge_state``, whatever they are merged with.
+
+    As many as there are value columns at most, however many rows of a key a feed holds: merging them
+    in place of all ``rows`` (as the new side) gives the same state.
+    """
+    order = ["start_time", "end_time"] if newest_wins else ["end_time", "start_time"]
+    # the greatest by time, then by the value, as in ``_merged``; the whole row goes along
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(*[F.col(o).alias(f"o{k}") for k, o in enumerate(order)],
+                                                        F.col(c).alias("v"), F.struct(*_VALUES).alias("row")))).alias(c) for c in _VALUES]
+    found = rows.groupBy(*_KEY).agg(*last)
+    picked = F.array_distinct(F.filter(F.array(*[F.col(f"{c}.row") for c in _VALUES]), lambda r: r.isNotNull()))
+    # a key without any value has a row all the same
+    none = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.STATE.fields if f.name not in _KEY]))
+    each = found.select(*_KEY, F.explode(F.when(F.size(picked) > 0, picked).otherwise(none)).alias("row"))
+    return each.select(*_KEY, "row.*").select(*schemas.STATE_COLUMNS)
+
+
 def _merged(old: DataFrame, new: DataFrame, newest_wins: bool) -> DataFrame:
     """``merge_state`` and ``changed``: the key is new, or a value is not the one of its (greatest) old row."""
     rows = (old.select(*schemas.STATE_COLUMNS).withColumn("_side", F.lit(0))
@@ -239,17 +258,21 @@ def rewrite_state(old: DataFrame, new: DataFrame, root: str, version: int, base:
 
     Of a base in buckets only those that ``new`` falls into are read, and of these only the ones in
     which a row changes are written; all others keep their files.  A base without buckets (None, or a
-    table of ``write_state``) is taken from ``old`` and written whole.  ``new`` is evaluated twice: persist it.
+    table of ``write_state``) is taken from ``old`` and written whole, in one look at ``new``, which is not stored for it.
     """
     spark = new.sparkSession
     named = _manifest(spark, _home(spark, root, base)) if base is not None else {}
     n = len(named) or buckets
     bucket = F.pmod(F.xxhash64(*_KEY), F.lit(n)).cast("int").alias("bucket")
-    if named:
-        touched = {r.bucket for r in new.select(bucket).distinct().collect()}
-        old = _read_buckets(spark, root, named, touched)
-    merged = _merged(old, new, newest_wins).withColumn("bucket", bucket).persist()
+    kept = []
     try:
+        if named:
+            if new.storageLevel == StorageLevel.NONE:
+                kept.append(new.persist())
+            touched = {r.bucket for r in new.select(bucket).distinct().collect()}
+            old = _read_buckets(spark, root, named, touched)
+        merged = _merged(old, new, newest_wins).withColumn("bucket", bucket).persist()
+        kept.append(merged)
         rows = merged if not named else merged.where("changed")
         changed = sorted(r.bucket for r in rows.select("bucket").distinct().collect())
         written = f"{version:09d}-{attempt}"
@@ -257,7 +280,8 @@ def rewrite_state(old: DataFrame, new: DataFrame, root: str, version: int, base:
             (merged.where(F.col("bucket").isin(changed)).select(*schemas.STATE_COLUMNS, "bucket").repartition("bucket")
              .write.mode("overwrite").partitionBy("bucket").parquet(f"{root.rstrip('/')}/data/written={written}"))
     finally:
-        merged.unpersist()
+        for df in kept:
+            df.unpersist()
     named = {b: named.get(b) for b in range(n)} | dict.fromkeys(changed, written)
     write_extra(spark.createDataFrame(sorted(named.items()), MANIFEST_SCHEMA).coalesce(1), root, version, "buckets", attempt)
     return _read_buckets(spark, root, named)

@@ -10,7 +10,8 @@ micro-batch, and ``foreachBatch`` runs the pass on it:
   replay after a failure (Spark re-runs the last uncommitted batch) is skipped if that very
   batch is part of the state, and a batch pass or a new checkpoint folder hides nothing;
 * definitions, calendar and external feed may be given as functions: they are called, and so
-  read again, for every batch;
+  read again, for every batch; a feed given as a frame is read once, by the first batch, which
+  keeps the rows that give a key its values (``state.decisive_rows``) for itself and all later ones;
 * files may arrive in any order: per key the run with the later start and end wins;
 * open-slot release counts the runs still active after the batch: the set of active runs
   (latest record per run id, terminal records leave it) is kept with each state version
@@ -44,6 +45,7 @@ from ..operators import runs as runs_ops
 from ..operators import state as st
 from ..functions import vocab
 from ..plans.readiness_pass import readiness_pass
+from ..session import ensure_checkpoint_dir
 
 
 # name of the active-run table kept with each state version
@@ -112,6 +114,16 @@ def readiness_stream(spark: SparkSession, runs_dir: str, raw_defs: DataFrame | C
     if as_of_fn is None:
         as_of_fn = (lambda b, i: int(time.time())) if tick else (lambda b, i: batch_instant(b))
 
+    feed_rows: list[DataFrame] = []
+
+    def feed() -> DataFrame | None:
+        if not isinstance(external, DataFrame):
+            return _now(external)
+        if not feed_rows:
+            ensure_checkpoint_dir(spark)
+            feed_rows.append(st.decisive_rows(st.normalize_external(external), newest_wins=True).checkpoint())
+        return feed_rows[0]
+
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         # the batch is read from its files once: persisted before the instant is taken
         batch = batch.where(~F.col("_tick")).drop("_tick").persist()
@@ -135,7 +147,7 @@ def readiness_stream(spark: SparkSession, runs_dir: str, raw_defs: DataFrame | C
         active = st.write_extra(runs_ops.active_runs(prev_active, batch), state_root, version, ACTIVE, attempt)
         try:
             readiness_pass(spark, _now(raw_defs), batch, _now(calendar), state_root, log_path, as_of,
-                           external=_now(external), version=version, selected=batch, slot_runs=active,
+                           external=feed(), version=version, selected=batch, slot_runs=active,
                            release_slots=release_slots, day_rule=day_rule, log_format=log_format,
                            retention_ms=retention_ms, newest_wins=True, stream_batch=(stream, batch_id),
                            keep_versions=keep_versions, attempt=attempt, exclusive=True)

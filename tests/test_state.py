@@ -189,3 +189,25 @@ def test_a_pass_that_loses_its_version_is_redone_on_the_new_base(spark, monkeypa
     done = readiness_pass(spark, defs, runs, cal, root, f"{base}/log", fx.AS_OF, external=feed("own"))
     assert done.version == 2 and state.state_versions(spark, root) == [1, 2]
     assert rows(state.read_state(spark, root), "pipeline") == [("other",), ("own",)]
+
+
+@pytest.mark.parametrize("newest_wins", [False, True])
+def test_decisive_rows_stand_for_the_whole_feed(spark, newest_wins):
+    """Merging the few rows that decide equals merging the whole history, whatever the state holds."""
+    import random
+    r = random.Random(7)
+
+    def some(*values):
+        return r.choice([None, *values])
+
+    def drawn(n):
+        return [(some(1, 2), some("p", "q"), some("0", "1"), some("FAILED", "SUCCESS"), some("a", "b", "c", "d"),
+                 some(*range(6)), some(*range(6))) for _ in range(n)]
+
+    feed = state_df(spark, drawn(600) + [(None, "p", None, None, "bare", None, None)] * 2)
+    few = state.decisive_rows(feed, newest_wins)
+    assert few.columns == feed.columns
+    assert few.groupBy("pipeline", "source").count().agg({"count": "max"}).first()[0] <= 5 and few.count() < feed.count()
+    for old in (drawn(0), drawn(40), drawn(40)):
+        before = state_df(spark, old)
+        assert rows(state.merge_state(before, few, newest_wins)) == rows(state.merge_state(before, feed, newest_wins))

@@ -148,3 +148,23 @@ def test_stream_after_batch_pass_new_checkpoint_and_fresh_inputs(spark):
     assert state.latest_version(spark, root) == before + 1
     now = {r.pipeline: r for r in state.read_state(spark, root).collect()}
     assert now["one"].status == "FAILED" and now["two"].status == "SUCCESS"
+
+
+def test_a_feed_given_as_a_frame_is_read_once(spark):
+    """All batches of a stream share one look at the feed's rows."""
+    base = tempfile.mkdtemp(prefix="rr-stream-")
+    for i, day in enumerate(DAYS):
+        _runs(spark, day).coalesce(1).write.json(f"{base}/runs/d{i}")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    feed = _external(spark)
+    readiness_stream(spark, f"{base}/runs/*", _defs(spark), fx.fx_calendar(spark), f"{base}/state", f"{base}/log", f"{base}/ckpt",
+                     external=feed.mapInPandas(counted, feed.schema), max_files_per_trigger=1).awaitTermination()
+    assert state.state_versions(spark, f"{base}/state") == [1, 2, 3]
+    assert "ext" in {r.pipeline for r in state.read_state(spark, f"{base}/state").collect()}
+    assert seen.value == 1
