@@ -231,6 +231,23 @@ def test_components_of_chains_and_hubs(spark):
     assert all(got[k] == 0 for k in range(61)) and all(got[k] == 100 for k in range(100, 301))
 
 
+def test_components_go_on_with_the_edges_between_trees(spark, monkeypatch):
+    """Edges are looked at once: members that share many leaders do not come back in every round."""
+    seen, store = [], components.stored
+
+    def counted(df, name, *rest):
+        out = store(df, name, *rest)
+        if name == "edges":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "stored", counted)
+    edges = [(1000 + m, leader) for m in range(200) for leader in range(10) if (m + leader) % 3] + [(1200, 1199)]
+    got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 211
+    assert seen[0] == len(edges) and sum(seen) < 1.2 * len(edges)
+
+
 # ---- op6 -----------------------------------------------------------------------------
 
 def test_masks_reach_every_window_with_two_substitutions():
