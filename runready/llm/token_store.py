@@ -13,11 +13,16 @@ Documents are dealt into ascending ranges of ``doc_id``, one range per file.  A
 White space never joins two tokens of a word-level vocabulary: the encoding of a text is the
 concatenation of those of its words.  So each worker encodes a word once and keeps the
 ids of up to ``CACHED_WORDS`` words, which changes no result (tested against whole texts).
+Where a tokenizer cuts words as ``CUTS`` says, those of printable ASCII and Latin-1 letters are cut here and only their
+pieces go to the library's model, each once; all other words and tokenizers go through the whole of it.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +38,7 @@ ROW_GROUP_BYTES = 32 * 1024 * 1024
 PAGE_BYTES = 256 * 1024
 PAGE_ROWS = 2_000
 CACHED_WORDS = 700_000
+CACHED_PIECES = 300_000
 BATCH_ROWS = 256
 
 WRITER = {
@@ -48,6 +54,20 @@ WRITER = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 
+# The cutting of words that ``WordEncoder`` knows, as a tokenizer file states it: NFC and lower case, then these pieces, then
+# bytes as characters.  Printable ASCII and the letters of Latin-1 are their own NFC and have lower case of one letter each.
+CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
 FILE_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
 
 
@@ -56,23 +76,58 @@ class WordEncoder:
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.ids: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        # the six ASCII white-space characters only: the tokenizer keeps some that str.split() drops
-        for c in "\t\n\v\f\r":
-            text = text.replace(c, " ")
-        words = text.split(" ")
+        self.model = self.tokenizer.model
+        with open(tokenizer_path, encoding="utf-8") as f:
+            said = json.load(f)
+        added = said.get("added_tokens") or []
+        self.cuts = all(said.get(part) == CUTS[part] for part in CUTS) and not any(t["normalized"] for t in added)
+        # these are found before words are cut
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
+        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ids: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def encode(self, text: str | bytes) -> bytes:
+        # bytes.split() knows the six ASCII white-space characters only: the tokenizer keeps some that str.split() drops
+        words = (text.encode() if isinstance(text, str) else text).split()
         distinct, known = set(words), self.ids
-        new = [w for w in distinct if w not in known]
+        new = distinct.difference(known)
         if new:
             if len(known) + len(new) > CACHED_WORDS:
-                self.ids = {"": b""}
-                new = list(distinct - {""})
-            for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.ids[word] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.ids.__getitem__, words))
+                known = self.ids = {}
+                new = distinct
+            self._learn(new)
+        return b"".join(map(known.__getitem__, words))
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Encodes words that are not known yet."""
+        whole, known, cuts, piece = [], self.ids, self.cuts, self._piece
+        plain, added, pieces = PLAIN.fullmatch, self.added.search, PIECES.findall
+        for word in new:
+            text = word.decode()
+            if cuts and plain(text) and not added(text):
+                known[word] = b"".join([piece(p) for p in pieces(text.lower())])
+            else:
+                whole.append(text)
+        if whole:
+            for text, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+                known[text.encode()] = _packed(e.ids)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= CACHED_PIECES:
+                self.pieces = {}
+            chars = piece if piece.isascii() else self.as_bytes.pre_tokenize_str(piece)[0][0]
+            ids = self.pieces[piece] = _packed([t.id for t in self.model.tokenize(chars)])
+        return ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -96,7 +151,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                parts = [enc.encode(t or "") + end for t in batch.column("text").to_pylist()]
+                parts = [enc.encode(t or b"") + end for t in batch.column("text").cast(pa.binary()).to_pylist()]
                 n = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
                 ends = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(

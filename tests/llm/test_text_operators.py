@@ -388,6 +388,22 @@ def test_word_by_word_encoding_equals_whole_texts(text):
     assert np.frombuffer(enc.encode(text), "<u4").tolist() == whole(enc.tokenizer, text)
 
 
+def test_words_are_cut_into_pieces_of_their_own():
+    """A piece goes to the model once, whatever stands around it; other words go through the whole tokenizer."""
+    import random
+
+    from tokenizers import Tokenizer
+    tokenizer, encoder, r = Tokenizer.from_file(word_tokenizer()), ts.WordEncoder(word_tokenizer()), random.Random(5)
+    encoder.encode("river River, (river) RIVER.")
+    assert set(encoder.pieces) == {"river", ",", "(", ")", "."}
+    letters = "".join(map(chr, range(33, 127))) + "'''stdlrvem" * 3 + "\u00e9\u00dc\u00df\u00ff\u00d7\u00f7\u0301\u0130\u03a3\u4e2d\u0663\ufb01\x1c\x7f\xa0"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 8))) for _ in range(4_000)]
+    words += ["<|endoftext|>", "x<|endoftext|>y", "<|ENDOFTEXT|>", "I'LL", "'S", "don't", *map(chr, range(0xA1, 0x250))]
+    for word in words:
+        ids = tokenizer.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(word), "<u4").tolist() == ids, word
+
+
 def test_token_files_round_trip(spark, tmp_path):
     import pyarrow.parquet as pq
     rows = [(5, "five words are in here"), (1, None), (3, ""), (9, "x " * 20_000), (5, "another five"), (5, "another five"),
