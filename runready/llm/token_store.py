@@ -11,10 +11,11 @@ Documents are dealt into ascending ranges of ``doc_id``, one range per file.  A
   the pages it hits, and the offsets of all documents can be read without reading any id.
 
 White space never joins two tokens of a word-level vocabulary: the encoding of a text is the
-concatenation of those of its words.  So each worker encodes a word once and keeps the
-ids of up to ``CACHED_WORDS`` words, which changes no result (tested against whole texts).
-Where a tokenizer cuts words as ``CUTS`` says, those of printable ASCII and Latin-1 letters are cut here and only their
-pieces go to the library's model, each once; all other words and tokenizers go through the whole of it.
+concatenation of those of its words.  So the words of some ``SLICE_BYTES`` of text are looked up by
+distinct word, and laid out by their numbers (tested against whole texts).  Where a tokenizer cuts
+words as ``CUTS`` says, those of printable ASCII and Latin-1 letters are cut here and only their pieces
+go to the library's model, many in a call; all other words and tokenizers go through the whole of it.
+Each worker keeps the ids of up to ``CACHED_PIECES`` pieces and such words, which changes no result.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,9 @@ from runready.session import shared_path
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 PAGE_BYTES = 256 * 1024
 PAGE_ROWS = 2_000
-CACHED_WORDS = 700_000
-CACHED_PIECES = 300_000
+CACHED_PIECES = 700_000
+CALL_KEYS = 5_000
+SLICE_BYTES = 8 * 1024 * 1024
 BATCH_ROWS = 256
 
 WRITER = {
@@ -65,69 +68,129 @@ CUTS = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
     "post_processor": None, "truncation": None, "padding": None,
 }
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
+PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|\n|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9ß-öø-ÿ\n]+")     # of words in lines
 
 FILE_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
 
 
 class WordEncoder:
-    """Encodes texts word by word to little-endian unsigned 32-bit ids."""
+    """Encodes texts word by word."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.model = self.tokenizer.model
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
         with open(tokenizer_path, encoding="utf-8") as f:
             said = json.load(f)
         added = said.get("added_tokens") or []
-        self.cuts = all(said.get(part) == CUTS[part] for part in CUTS) and not any(t["normalized"] for t in added)
-        # these are found before words are cut
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
+        self.added = [t["content"] for t in added]          # these are found before words are cut
         self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.ids: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        # the last token of a piece, and no other, ends with the suffix; every byte has a token, so none is left out
+        model, vocab = said["model"], self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = model.get("end_of_word_suffix")
+        self.cuts = (all(said.get(part) == CUTS[part] for part in CUTS) and not any(t["normalized"] for t in added)
+                     and model.get("type") == "BPE" and bool(suffix)
+                     and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+                     and all(c in vocab and c + suffix in vocab for c in ByteLevel.alphabet()))
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if self.cuts:
+            self.last[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the table of ids, whose number 0 has none and stands for a line's end."""
+        self.pieces: dict[str, int] = {}
+        self.parts, self.counts = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+        self.ids, self.starts, self.lengths = self.parts[0], self.counts[0], self.counts[0]
 
     def encode(self, text: str | bytes) -> bytes:
-        # bytes.split() knows the six ASCII white-space characters only: the tokenizer keeps some that str.split() drops
-        words = (text.encode() if isinstance(text, str) else text).split()
-        distinct, known = set(words), self.ids
-        new = distinct.difference(known)
+        """Little-endian unsigned 32-bit ids of one text."""
+        return self.encode_all(pa.array([text if isinstance(text, str) else text.decode()], pa.string()))[0].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one text after another, and the number of ids of each (null: none)."""
+        # splits at the six ASCII white-space characters only: the tokenizer keeps some that str.split() drops
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        at = words.indices.to_numpy()
+        table, starts, lengths = self._words(words.dictionary)
+        ids, ends = _laid(table, starts[at], lengths[at])
+        bounds = split.offsets.to_numpy()
+        return ids, np.diff(np.concatenate([[0], ends])[bounds - bounds[0]])
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, where each word's start and how many they are."""
+        plain = np.zeros(len(words), bool)
+        if self.cuts:
+            plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+            for token in self.added:
+                plain = plain & ~pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        ids = np.zeros(0, "<u4")
+        if plain.any():
+            lines = pc.binary_join(pa.array([words.filter(pa.array(plain))], pa.list_(words.type)), "\n")[0].as_py()
+            numbers = self._numbers(PIECES.findall(lines.lower()))
+            ids, ends = _laid(self.ids, self.starts[numbers], self.lengths[numbers])
+            line_ends = np.append(np.flatnonzero(numbers == 0), len(numbers))
+            word_ends = np.concatenate([[0], ends])[line_ends]
+            lengths[plain] = np.diff(word_ends, prepend=0)
+            starts[plain] = word_ends - lengths[plain]
+        if not plain.all():
+            # a space before a whole word tells it from a piece
+            numbers = self._numbers([" " + word for word in words.filter(pa.array(~plain)).to_pylist()])
+            whole, ends = _laid(self.ids, self.starts[numbers], self.lengths[numbers])
+            lengths[~plain] = self.lengths[numbers]
+            starts[~plain] = len(ids) + ends - lengths[~plain]
+            ids = np.concatenate([ids, whole])
+        return ids, starts, lengths
+
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        """Numbers of pieces and whole words in the table, learnt where they are new; 0 for a line's end."""
+        distinct = set(keys)
+        distinct.discard("\n")
+        new = distinct.difference(self.pieces)
+        if len(self.pieces) + len(new) > CACHED_PIECES:
+            self._forget()
+            new = distinct
+        whole, cut = [key for key in new if key[0] == " "], [key for key in new if key[0] != " "]
+        for at in range(0, len(whole), CALL_KEYS):
+            self._learn_whole(whole[at:at + CALL_KEYS])
+        for at in range(0, len(cut), CALL_KEYS):
+            self._learn_cut(cut[at:at + CALL_KEYS])
         if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known = self.ids = {}
-                new = distinct
-            self._learn(new)
-        return b"".join(map(known.__getitem__, words))
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Encodes words that are not known yet."""
-        whole, known, cuts, piece = [], self.ids, self.cuts, self._piece
-        plain, added, pieces = PLAIN.fullmatch, self.added.search, PIECES.findall
-        for word in new:
-            text = word.decode()
-            if cuts and plain(text) and not added(text):
-                known[word] = b"".join([piece(p) for p in pieces(text.lower())])
-            else:
-                whole.append(text)
-        if whole:
-            for text, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-                known[text.encode()] = _packed(e.ids)
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= CACHED_PIECES:
-                self.pieces = {}
-            chars = piece if piece.isascii() else self.as_bytes.pre_tokenize_str(piece)[0][0]
-            ids = self.pieces[piece] = _packed([t.id for t in self.model.tokenize(chars)])
-        return ids
-
-
-def _packed(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+            self.ids, lengths = np.concatenate(self.parts), np.concatenate(self.counts)
+            self.parts, self.counts = [self.ids], [lengths]
+            self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
+        return np.fromiter(map(self.pieces.get, keys, repeat(0)), np.int64, len(keys))
+
+    def _learn_whole(self, keys: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([key[1:] for key in keys], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self._learn(keys, np.fromiter(chain.from_iterable(found), "<u4", int(lengths.sum())), lengths)
+
+    def _learn_cut(self, keys: list[str]) -> None:
+        chars = [key if key.isascii() else self.as_bytes.pre_tokenize_str(key)[0][0] for key in keys]
+        # only this call gives ids without offsets and tokens
+        ids = np.array(self.bare.encode_batch_fast([" ".join(chars)], add_special_tokens=False)[0].ids, "<u4")
+        self._learn(keys, ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+
+    def _learn(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.pieces) + 1
+        self.pieces.update(zip(keys, range(first, first + len(lengths)), strict=True))
+        self.parts.append(ids)
+        self.counts.append(lengths)
+
+
+def _laid(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``ids`` with these starts and lengths, one after another, and where each ends."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(starts - ends + lengths, lengths) + np.arange(total)], ends
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -146,19 +209,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     columns are not read.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = _encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        enc = _encoder(tokenizer_path)
         start = 0
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
-                parts = [enc.encode(t or b"") + end for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                n = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
+            sizes = pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy().astype(np.int64)
+            cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE_BYTES, prepend=-1))
+            for at, until in zip(cuts, [*cuts[1:], whole.num_rows], strict=True):
+                batch = whole.slice(at, until - at)
+                ids, n = enc.encode_all(batch.column("text"))
+                ids = np.insert(ids, np.cumsum(n), end_id)
+                n = n + 1
                 ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                    pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("shard"), batch.column("doc_id"), pa.array(start + ends - n), pa.array(n), ids],
+                    [batch.column("shard"), batch.column("doc_id"), pa.array(start + ends - n), pa.array(n), lists],
                     names=["shard", "doc_id", "shard_start", "n_tokens", "ids"])
                 start += int(ends[-1])
 

@@ -404,6 +404,51 @@ def test_words_are_cut_into_pieces_of_their_own():
         assert np.frombuffer(encoder.encode(word), "<u4").tolist() == ids, word
 
 
+def test_pieces_of_many_texts_go_to_the_library_in_one_call(monkeypatch):
+    """Also with null and empty texts, a slice of an array, and a table that is full at once."""
+    import random
+
+    import pyarrow as pa
+    encoder, r = ts.WordEncoder(word_tokenizer()), random.Random(7)
+    letters = "abcdeXYZ\u00e9\u00dc'st,.!7 \n\t"
+    texts = [None, "", " \n ", "River, river 12", None, "\u4e2dx y\u0130 <|endoftext|> a<|endoftext|> <|ENDOFTEXT|>", "\x1cz\u00a0z",
+             *("".join(r.choice(letters) for _ in range(80)) for _ in range(300)), ""]
+    expected = [whole(encoder.tokenizer, text or "") for text in texts]
+    bare, calls = encoder.bare, []
+
+    class Counted:
+        def encode_batch_fast(self, *args, **kwargs):
+            calls.append(1)
+            return bare.encode_batch_fast(*args, **kwargs)
+
+    def check(array, expected):
+        ids, n = encoder.encode_all(array)
+        assert ids.tolist() == [i for e in expected for i in e] and n.tolist() == [len(e) for e in expected]
+
+    encoder.bare = Counted()
+    for _ in range(2):
+        check(pa.array(texts, pa.string()), expected)
+        assert len(calls) == 1
+    check(pa.array(texts, pa.string()).slice(3, 50), expected[3:53])
+    check(pa.array([None, ""], pa.string()), [[], []])
+    check(pa.array([], pa.string()), [])
+    monkeypatch.setattr(ts, "CACHED_PIECES", 20)
+    monkeypatch.setattr(ts, "CALL_KEYS", 7)
+    for at in range(0, len(texts), 9):
+        check(pa.array(texts[at:at + 9], pa.string()), expected[at:at + 9])
+
+
+def test_token_files_of_more_text_than_a_slice(spark, tmp_path):
+    texts = [(k, f"w{k % 10} " * (ts.SLICE_BYTES // 20) + "end") for k in range(12)] + [(20, None), (21, "")]
+    ts.write_tokens(docs_of(spark, texts).coalesce(1), str(tmp_path / "tokens"), word_tokenizer(), 2)
+    start, tokenizer = 0, ts._encoder(word_tokenizer()).tokenizer
+    got = sorted(ts.token_digests(spark, str(tmp_path / "tokens")).collect(), key=lambda r: r.doc_id)
+    for row, (doc, text) in zip(got, texts, strict=True):
+        ids = (whole(tokenizer, text[:3]) * (ts.SLICE_BYTES // 20) + whole(tokenizer, "end") if text else []) + [2]
+        assert tuple(row) == (doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_token_files_round_trip(spark, tmp_path):
     import pyarrow.parquet as pq
     rows = [(5, "five words are in here"), (1, None), (3, ""), (9, "x " * 20_000), (5, "another five"), (5, "another five"),
