@@ -87,7 +87,8 @@ class WordEncoder:
             said = json.load(f)
         added = said.get("added_tokens") or []
         self.added = [t["content"] for t in added]          # these are found before words are cut
-        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {k: as_bytes.pre_tokenize_str(chr(k))[0][0] for k in range(0xC0, 0x100)}
         # the last token of a piece, and no other, ends with the suffix; every byte has a token, so none is left out
         model, vocab = said["model"], self.tokenizer.get_vocab(with_added_tokens=False)
         suffix = model.get("end_of_word_suffix")
@@ -133,7 +134,8 @@ class WordEncoder:
         starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         ids = np.zeros(0, "<u4")
         if plain.any():
-            lines = pc.binary_join(pa.array([words.filter(pa.array(plain))], pa.list_(words.type)), "\n")[0].as_py()
+            kept = words.filter(pa.array(plain))
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), "\n")[0].as_py()
             numbers = self._numbers(PIECES.findall(lines.lower()))
             ids, ends = _laid(self.ids, self.starts[numbers], self.lengths[numbers])
             line_ends = np.append(np.flatnonzero(numbers == 0), len(numbers))
@@ -174,7 +176,7 @@ class WordEncoder:
         self._learn(keys, np.fromiter(chain.from_iterable(found), "<u4", int(lengths.sum())), lengths)
 
     def _learn_cut(self, keys: list[str]) -> None:
-        chars = [key if key.isascii() else self.as_bytes.pre_tokenize_str(key)[0][0] for key in keys]
+        chars = [key if key.isascii() else key.translate(self.as_bytes) for key in keys]
         # only this call gives ids without offsets and tokens
         ids = np.array(self.bare.encode_batch_fast([" ".join(chars)], add_special_tokens=False)[0].ids, "<u4")
         self._learn(keys, ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
